@@ -28,10 +28,12 @@ COMMON = 200
 MAX_LANGS = 256
 #: Guards: code points in words for the character classes, words for the common words.
 MIN_CHARS = 200
-MIN_WORDS = 100
-#: Largest distances of a document that is kept.
+MIN_WORDS = 50
+#: Largest distances of a document that is kept; a histogram of n words strays by about 1 / sqrt(n), so NOISE / sqrt(n)
+#: is added to the distance of the common words.
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.62
+MAX_WORD_DISTANCE = 0.48
+NOISE = 0.6
 MIN_BASE_WORDS = 50
 ALL = "*"
 
@@ -213,7 +215,7 @@ def judge(docs: DataFrame, common: int = COMMON, max_char: float = MAX_CHAR_DIST
             base = base_counts(w)
             char, word = own.distances(w, batch.column(1).to_pylist())
             failed = (base["n_words"] < MIN_BASE_WORDS) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-            odd = (base["word_chars"] >= MIN_CHARS) & (char > max_char) | (base["n_words"] >= MIN_WORDS) & (word > max_word)
+            odd = (base["word_chars"] >= MIN_CHARS) & (char > max_char) | (base["n_words"] >= MIN_WORDS) & (word > max_word + NOISE / np.sqrt(np.maximum(base["n_words"], 1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(base[c].astype(np.int64)) for c in longs), pa.array(failed), pa.array(~failed & ~odd), pa.array(char), pa.array(word)],
                 names=["doc_id", *longs, "base_failed", "kept", "char_distance", "word_distance"],
