@@ -46,5 +46,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language, op3_quality_rules, op7_decontamination, op8_packing)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language, op3_quality_rules, op7_decontamination, op8_packing, op10_quality_classifier)}
 ORACLE: dict[str, str] = {}
