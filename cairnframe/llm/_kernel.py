@@ -44,7 +44,7 @@ _VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _LOWER_VALUES = _VALUES[LOWER]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=12)
 def _powers(bits: int, base: int) -> np.ndarray:
     out = np.full(1 << bits, base, U64)
     out[0] = 1
@@ -126,6 +126,19 @@ def hash_runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def hash_windows(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Like hash_runs, by prefix sums, so the work does not depend on k; seeds give independent hashes."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.empty(0, U64)
+    bits = max(18, (len(hashes) + 1).bit_length())
+    base = (0xD6E8FEB86659FD93 + 0x51_7CC1_B727_220A * seed) & _MASK | 3
+    sums = np.empty(len(hashes) + 1, U64)
+    sums[0] = 0
+    np.cumsum(mix(hashes + U64(seed * 0x9E3779B9 + 1)) * _powers(bits, base)[: len(hashes)], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * _powers(bits, pow(base, -1, 1 << 64))[:n])
+
+
 def inside(w: Words, k: int) -> np.ndarray:
     """Word positions at which k consecutive words of one document start."""
     last = np.repeat(w.first[1:], w.counts)

@@ -22,7 +22,7 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder named by spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -44,16 +44,16 @@ def regroup(df: DataFrame, key: str = "bucket") -> DataFrame:
     return df.repartition(parts(df), key)
 
 
-def possible(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, bits: int = 23) -> DataFrame:
-    """Rows of df whose key may be among the wanted keys, to keep the rest out of a shuffle.
+def flagged(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, bits: int = 23) -> DataFrame:
+    """df with a column `_maybe`: false only where the key is surely not among the wanted keys.
 
-    A filter of fixed size (2**bits bits, 1 MB by default, whatever the data) is broadcast.  It never loses a wanted
-    row; where it is too small for the data it only lets more rows through to the exact join that follows.
+    Keeps rows out of a shuffle that the exact join after it would drop.  A filter of fixed size (2**bits bits, 1 MB
+    by default, whatever the data) is broadcast; where it is too small for the data, more rows go to the join.
     """
     place = F.pmod(F.xxhash64(wanted_key), F.lit(1 << bits))
     table_ = wanted.select(F.bitmap_bucket_number(place).alias("_b"), F.bitmap_bit_position(place).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
     at = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     pos = F.bitmap_bit_position(at)
     byte = F.conv(F.hex(F.substring("_m", (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    out = df.withColumn("_b", F.bitmap_bucket_number(at)).join(F.broadcast(table_), "_b", "inner")
-    return out.where(F.getbit(byte, (pos % 8).cast("int")) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+    out = df.withColumn("_b", F.bitmap_bucket_number(at)).join(F.broadcast(table_), "_b", "left")
+    return out.withColumn("_maybe", F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))).drop("_b", "_m")
