@@ -32,6 +32,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import cluster
+
+    return cluster(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import digest
 
@@ -58,5 +64,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language, op3_quality_rules, op5_substring_dedup, op7_decontamination, op8_packing, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language, op3_quality_rules, op4_jaccard_join, op5_substring_dedup, op7_decontamination, op8_packing, op10_quality_classifier)}
 ORACLE: dict[str, str] = {}
