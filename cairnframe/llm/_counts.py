@@ -55,9 +55,14 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, keys, counts) for keys in ascending order; counts take 1, 2, 4 or 8 bytes by their largest."""
-    cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+def packed(keys: np.ndarray, counts: np.ndarray, buckets: int, spread: np.ndarray | None = None) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, keys, counts) for keys in ascending order; counts take 1, 2, 4 or 8 bytes by their largest.  Buckets
+    are those of `spread`, a hash of each key, or of the keys themselves."""
+    bucket = bucket_of(keys if spread is None else spread, buckets)
+    if spread is not None:
+        order = np.argsort(bucket, kind="stable")
+        keys, counts, bucket = keys[order], counts[order], bucket[order]
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         part = counts[cuts[b] : cuts[b + 1]]
         yield b, keys[cuts[b] : cuts[b + 1]].tobytes(), part.astype(np.min_scalar_type(int(part.max()))).tobytes()
