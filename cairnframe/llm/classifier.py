@@ -29,7 +29,7 @@ from ._spark import parts, regroup
 from .quality_rules import base_counts, by_doc
 
 MAX_LABELLED = 20_000
-MAX_TRAINING = 20_000
+MAX_TRAINING = 8_000
 BITS = 20
 LEXICON = 20_000
 STEM = 5
@@ -59,16 +59,15 @@ def unique_pairs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature): words as written, lower-cased words, their stems, and steps of a few ratios, hashed to BITS bits."""
+    """(document, feature): words, their stems, and steps of a few ratios, hashed to BITS bits."""
     data, offsets = K.buffers(text)
-    plain = K.find_words(data, offsets, K.SPACE_WORDS)
     w, h, stem = words_of(text)
     shift = K.U64(64 - BITS)
-    ratios = shares(plain)
+    ratios = shares(K.find_words(data, offsets, K.SPACE_WORDS))
     n = len(offsets) - 1
     steps = [K.mix(np.minimum(20 * r, 20).astype(np.uint64) + K.U64(1000 * (k + 1))) >> shift for k, r in enumerate(ratios.values())]
-    doc = np.concatenate([plain.doc, w.doc, w.doc, *[np.arange(n)] * len(steps)])
-    value = np.concatenate([K.hash_words(plain, False) >> shift, K.mix(h + K.U64(7)) >> shift, stem >> shift, *steps])
+    doc = np.concatenate([w.doc, w.doc, *[np.arange(n)] * len(steps)])
+    value = np.concatenate([K.mix(h + K.U64(7)) >> shift, stem >> shift, *steps])
     return unique_pairs(doc, value.astype(np.int64))
 
 
@@ -135,7 +134,7 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, trus
     return q
 
 
-def fit(doc_first: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int = 80, rate: float = 0.1, penalty: float = 1e-6) -> np.ndarray:
+def fit(doc_first: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int = 60, rate: float = 0.1, penalty: float = 1e-6) -> np.ndarray:
     """Weights (features, then the bias) of a logistic regression on soft targets, by full-batch Adam.  A feature of
     one document alone says nothing about others and gets no weight."""
     dims = 1 << BITS
