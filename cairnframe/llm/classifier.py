@@ -36,7 +36,7 @@ STEM = 5
 #: A word belongs to the lexicon if so many labelled toxic documents hold it, and so large a part of all that do.
 MIN_TOXIC = 3
 MIN_PRECISION = 0.9
-REJECT = 0.6
+REJECT = 0.72
 QUESTIONS = ("low", "toxic")
 #: labellers of each question; the last of each is the given label
 LABELLERS = {"low": 6, "toxic": 4}
