@@ -239,6 +239,25 @@ def _travel(buckets: int, window: int, run: int, hot: np.ndarray):
     return out
 
 
+def _windows(head: bytes, texts: bytes, sizes: bytes, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Two hashes, row, start, and one more copy or none, for each window of the super-k-mers of a blob.  Super-k-mers
+    are read in pieces of about SLICE_BYTES; only the windows' numbers stay."""
+    n_head, n_text = np.frombuffer(sizes, np.int64).tolist()
+    table = np.frombuffer(pa.decompress(head, n_head, "zstd", asbytes=True), np.int64).reshape(-1, 4)
+    data = np.frombuffer(pa.decompress(texts, n_text, "zstd", asbytes=True), np.uint8)
+    ends = np.r_[0, np.cumsum(table[:, 2])]
+    at = 0
+    while at < len(table):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + K.SLICE_BYTES, side="right")) - 1)
+        w = K.find_words(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at], K.SPACE_WORDS)
+        h = K.hash_words(w, False)
+        first = K.inside(w, window)
+        own = np.searchsorted(w.first, first, side="right") - 1
+        mine = table[at:to][own]
+        yield K.hash_windows(h, window, 1)[first], K.hash_windows(h, window, 2)[first], mine[:, 0], first - w.first[own] + mine[:, 1], mine[:, 3]
+        at = to
+
+
 def _count_windows(window: int):
     """(row, spans): windows found more than once, as start << 32 | number of windows."""
 
@@ -251,29 +270,20 @@ def _count_windows(window: int):
                     rows_out.append(int(np.frombuffer(row, np.int64)[0]))
                     spans_out.append(spans)
                 continue
-            heads, texts = [], []
-            for a, b, c in blobs:
-                n_head, n_text = np.frombuffer(c, np.int64).tolist()
-                heads.append(np.frombuffer(pa.decompress(a, n_head, "zstd", asbytes=True), np.int64).reshape(-1, 4))
-                texts.append(pa.decompress(b, n_text, "zstd", asbytes=True))
-            head = np.concatenate(heads)
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            w = K.find_words(data, np.r_[0, np.cumsum(head[:, 2])], K.SPACE_WORDS)
-            h = K.hash_words(w, False)
-            at = K.inside(w, window)
-            own = np.searchsorted(w.first, at, side="right") - 1
-            one, two = K.hash_windows(h, window, 1)[at], K.hash_windows(h, window, 2)[at]
+            parts_: list[tuple[np.ndarray, ...]] = []
+            for blob in blobs:
+                parts_ += _windows(*blob, window)
+            one, two, row, start, more = (np.concatenate(x) for x in zip(*parts_, strict=True))
             order = np.lexsort((two, one))
             one, two = one[order], two[order]
             new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
             group = np.cumsum(new) - 1
-            total = np.bincount(group, weights=1 + head[own[order], 3])
-            again = np.zeros(len(at), bool)
+            total = np.bincount(group, weights=1 + more[order])
+            again = np.zeros(len(row), bool)
             again[order] = (total > 1)[group]
-            again &= head[own, 3] == 0
-            at, own = at[again], own[again]
-            hit_rows.append(head[own, 0])
-            hit_spans.append((at - w.first[own] + head[own, 1]).astype(np.uint64) << K.U64(32) | K.U64(1))
+            again &= more == 0
+            hit_rows.append(row[again])
+            hit_spans.append(start[again].astype(np.uint64) << K.U64(32) | K.U64(1))
         if hit_rows:
             for row, spans in by_row(np.concatenate(hit_rows), np.concatenate(hit_spans)):
                 rows_out.append(row)
