@@ -14,6 +14,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pattern() -> str:
+    """How the byte-level vocabulary splits text."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+#: The special string of the byte-level vocabulary.
+END_TEXT = {"<|endoftext|>": 50256}
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts
 
@@ -57,11 +68,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern(), END_TEXT)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +85,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language, op3_quality_rules, op4_jaccard_join, op5_substring_dedup, op6_html_extraction, op7_decontamination, op8_packing, op9_lm_scoring, op10_quality_classifier)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language, op3_quality_rules, op4_jaccard_join, op5_substring_dedup, op6_html_extraction, op7_decontamination, op8_packing, op9_lm_scoring, op10_quality_classifier, pipeline)}
+#: Operators that DuckDB can express over whole tables.
 ORACLE: dict[str, str] = {}

@@ -364,19 +364,23 @@ def digest(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
 
 
 def remove(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """The documents with all columns; where windows repeat, text is the kept words joined by one space."""
-    at, width = docs.columns.index("text"), len(docs.columns)
+    """The documents with all columns; where windows repeat, text is the kept words joined by one space.  A document
+    that loses all its words goes; one that had none stays."""
+    names, at, width = docs.columns, docs.columns.index("text"), len(docs.columns)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
+            emptied = [False] * len(texts)
             for k, blobs in enumerate(batch.column(width).to_pylist()):
                 if blobs:
                     words = texts[k].encode().split()
                     gone = covered(len(words), blobs, window)
                     texts[k] = b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g]).decode()
+                    emptied[k] = not texts[k]
             columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(width)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            made = pa.RecordBatch.from_arrays(columns, names=names)
+            yield made.filter(pa.array([not e for e in emptied])) if any(emptied) else made
 
     clean, hit = _split(with_row(docs), window, run)
-    return clean.select(*docs.columns).unionByName(hit.select(*docs.columns, "spans").mapInArrow(out, docs.schema))
+    return clean.select(*names).unionByName(hit.select(*names, "spans").mapInArrow(out, docs.schema))
