@@ -38,10 +38,20 @@ TABLE_BITS = 21
 CHUNKS = 64
 #: Index lists up to this length are asked for all their pairs at once, longer ones by leaders first.
 SHORT = 8
+#: Bytes of a shingle's hash in sets that travel.
+ITEM = 6
+#: One shingle in EXTRA is added to a prefix.
+EXTRA = 25
 #: Rows of a hot leader that one task answers.
 SPLIT = 2_000
 
 
+def matches(size: np.ndarray) -> np.ndarray:
+    """A set's prefix is longer than needed by so many shingles less one; then two linked sets share at least the smaller
+    of their two numbers of shingles in both prefixes, and pairs that share fewer need no answer."""
+    return 1 + size // EXTRA
+
+
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least intersection with which sets of sizes a and b link."""
     return -((-NUMERATOR * (a + b)) // (NUMERATOR + DENOMINATOR))
@@ -135,7 +145,7 @@ def _index(buckets: int, levels) -> object:
                 if name not in seen:
                     seen.add(name)
                     new[d] = True
-            prefix = sets.size - -(-NUMERATOR * sets.size // DENOMINATOR) + 1
+            prefix = sets.size - -(-NUMERATOR * sets.size // DENOMINATOR) + matches(sets.size)
             at = np.arange(len(sets.value)) - sets.first[sets.doc]
             take = (at < prefix[sets.doc]) & new[sets.doc]
             for column, values in zip(held, (sets.value[take], names[sets.doc[take]], sets.size[sets.doc[take]], at[take]), strict=True):
@@ -177,8 +187,8 @@ def _entries(blobs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, ...]:
 
 
 def _reach(size_a, at_a, size_b, at_b) -> np.ndarray:
-    """Whether sets that first meet at these positions can still link."""
-    return np.minimum(size_a - at_a, size_b - at_b) >= needed(size_a, size_b)
+    """Whether sets that meet at these positions, as one of their first meetings, can still link."""
+    return np.minimum(size_a - at_a, size_b - at_b) > needed(size_a, size_b) - matches(np.minimum(size_a, size_b))
 
 
 def _shifted(first: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -190,17 +200,29 @@ def _shifted(first: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray
         yield i, i + step
 
 
-def _unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-    return a[new], b[new]
+def _counted(a: list[np.ndarray], b: list[np.ndarray], size: list[np.ndarray], kind: int) -> pa.RecordBatch:
+    """Pairs (smaller name first) with the times they met and the times they must."""
+    x, y, n = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b, size))
+    u, v = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((v, u))
+    u, v, n = u[order], v[order], n[order]
+    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.empty(0, np.int64)
+    times = np.diff(np.r_[first, len(u)])
+    none = pa.nulls(len(first), pa.binary())
+    return _arrow([u[first], v[first], times, matches(n[first]), pa.array(np.full(len(first), kind, np.int32)), pa.nulls(len(first), pa.int32()), none, none], PAIRS)
+
+
+PAIRS = ["u", "v", "met", "must", "kind", "bucket", "a", "b"]
+PAIR_ROWS = "u long, v long, met long, must long, kind int, bucket int, a binary, b binary"
+WHOLE, LED, OPEN, LIST = range(4)
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v) to verify first; with the lists longer than SHORT, which come back for what leaders leave open."""
-    pairs_u, pairs_v, longs = [], [], []
+    """How often pairs meet: all pairs of short lists (WHOLE), and leaders with the others of long lists (LED).  The long
+    lists come back (LIST) for what leaders leave open."""
+    whole: tuple[list, list, list] = ([], [], [])
+    led: tuple[list, list, list] = ([], [], [])
+    longs = []
     for bucket, blobs in _collect(batches).items():
         key, name, size, at = _entries(blobs)
         if not len(key):
@@ -210,8 +232,8 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = length <= SHORT
         for i, j in _shifted(first[short], length[short]):
             good = _reach(size[i], at[i], size[j], at[j])
-            pairs_u.append(name[i[good]])
-            pairs_v.append(name[j[good]])
+            for column, values in zip(whole, (name[i[good]], name[j[good]], size[i[good]]), strict=True):
+                column.append(values)
         if short.all():
             continue
         more = np.repeat(~short, length)
@@ -221,15 +243,29 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])]
         leader = np.flatnonzero(new)[np.cumsum(new) - 1]
         good = ~new & _reach(size[leader], at[leader], size, at)
-        pairs_u.append(name[leader[good]])
-        pairs_v.append(name[good])
-        longs.append((bucket, key.tobytes() + name.tobytes(), np.stack([size, at]).astype(np.uint32).tobytes()))
-    u, v = _unique(np.concatenate(pairs_u), np.concatenate(pairs_v)) if pairs_u else (np.empty(0, np.int64),) * 2
+        for column, values in zip(led, (name[leader[good]], name[good], size[leader[good]]), strict=True):
+            column.append(values)
+        longs.append((bucket, pa.compress(key.tobytes() + name.tobytes(), "zstd", asbytes=True), pa.compress(np.stack([size, at]).astype(np.uint32).tobytes(), "zstd", asbytes=True)))
+    yield _counted(*whole, WHOLE)
+    yield _counted(*led, LED)
     n = len(longs)
-    yield _arrow(
-        [pa.array(np.r_[u, np.zeros(n, np.int64)]), pa.array(np.r_[v, np.zeros(n, np.int64)]), pa.array([None] * len(u) + [x[0] for x in longs], pa.int32()), pa.array([None] * len(u) + [x[1] for x in longs], pa.binary()), pa.array([None] * len(u) + [x[2] for x in longs], pa.binary())],
-        ["u", "v", "bucket", "a", "b"],
-    )
+    zero = np.zeros(n, np.int64)
+    yield _arrow([zero, zero, zero, zero, pa.array(np.full(n, LIST, np.int32)), pa.array([x[0] for x in longs], pa.int32()), pa.array([x[1] for x in longs], pa.binary()), pa.array([x[2] for x in longs], pa.binary())], PAIRS)
+
+
+def _list(a: bytes, b: bytes) -> tuple[np.ndarray, ...]:
+    """(list, set, size, position) of a packed long list."""
+    sizes = pa.decompress(b, _plain(b), "zstd", asbytes=True)
+    size, at = np.frombuffer(sizes, np.uint32).reshape(2, -1).astype(np.int64)
+    n = len(size)
+    raw = pa.decompress(a, 12 * n, "zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.int64, n, 4 * n), size, at
+
+
+def _plain(blob: bytes) -> int:
+    import zstandard
+
+    return zstandard.frame_content_size(blob)
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
@@ -242,7 +278,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
 
 def _names_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, blobs in _collect(batches).items():
-        names = np.unique(np.concatenate([np.frombuffer(a, np.int64, len(a) // 12, len(a) // 12 * 4) for a, _ in blobs]))
+        names = np.unique(np.concatenate([_list(a, b)[1] for a, b in blobs]))
         yield _arrow([pa.array(np.full(len(names), bucket, np.int32)), names], ["bucket", "sid"])
 
 
@@ -257,11 +293,10 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = [np.frombuffer(c, np.int64).reshape(2, -1) for _, _, c in blobs if c is not None]
         of = np.concatenate(marks, 1) if marks else np.empty((2, 0), np.int64)
         of = of[:, np.argsort(of[0])]
-        pairs_u, pairs_v = [], []
+        pairs: tuple[list, list, list] = ([], [], [])
         for a, b in lists:
-            n = len(a) // 12
-            key, name = np.frombuffer(a, np.uint32, n), np.frombuffer(a, np.int64, n, 4 * n)
-            size, at = np.frombuffer(b, np.uint32).reshape(2, n).astype(np.int64)
+            key, name, size, at = _list(a, b)
+            n = len(key)
             comp = name.copy()
             if of.shape[1]:
                 k = np.minimum(np.searchsorted(of[0], name), of.shape[1] - 1)
@@ -274,36 +309,47 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s, p, names = size[lo:hi], at[lo:hi], name[lo:hi]
                 # sets outside the largest component against all; pairs inside it are known to be connected
                 values, counts = np.unique(c, return_counts=True)
-                outside = np.flatnonzero(c != values[counts.argmax()])
+                out = c != values[counts.argmax()]
+                outside = np.flatnonzero(out)
                 left = s - p
                 for i in outside.tolist():
                     stop = int(np.searchsorted(s, s[i] * DENOMINATOR // NUMERATOR, side="right"))
                     start = int(np.searchsorted(s, -(-s[i] * NUMERATOR // DENOMINATOR)))
-                    if left[i] < needed(s[i], s[start]) if start < len(s) else True:
+                    if left[i] <= needed(s[i], s[start]) - matches(s[i]):
                         continue
                     j = np.arange(start, stop)
-                    j = j[(c[j] != c[i]) & (np.minimum(left[i], left[j]) >= needed(s[i], s[j]))]
-                    pairs_u.append(np.full(len(j), names[i]))
-                    pairs_v.append(names[j])
-                if sum(map(len, pairs_u)) > 1_000_000:
-                    u, v = _unique(np.concatenate(pairs_u), np.concatenate(pairs_v))
-                    yield _arrow([u, v], ["u", "v"])
-                    pairs_u, pairs_v = [], []
-        if pairs_u:
-            u, v = _unique(np.concatenate(pairs_u), np.concatenate(pairs_v))
-            yield _arrow([u, v], ["u", "v"])
+                    # a pair of two sets outside is taken once
+                    j = j[(c[j] != c[i]) & ~(out[j] & (j < i)) & _reach(s[i], p[i], s[j], p[j])]
+                    for column, values in zip(pairs, (np.full(len(j), names[i]), names[j], np.minimum(s[i], s[j])), strict=True):
+                        column.append(values)
+                if sum(map(len, pairs[0])) > 1_000_000:
+                    yield _counted(*pairs, OPEN)
+                    pairs = ([], [], [])
+        if pairs[0]:
+            yield _counted(*pairs, OPEN)
 
 
 def _write_sets(levels) -> object:
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             sets = Sets(batch.column(1), levels.value)
-            blobs = [sets.value[a:b].tobytes() for a, b in zip(sets.first[:-1].tolist(), sets.first[1:].tolist(), strict=True)]
+            raw = np.ascontiguousarray(sets.value.view(np.uint8).reshape(-1, 8)[:, :ITEM])  # low bytes, which tell shingles apart
+            blobs = [raw[a:b].tobytes() for a, b in zip(sets.first[:-1].tolist(), sets.first[1:].tolist(), strict=True)]
             yield _arrow([batch.column(0), pa.array(blobs, pa.binary())], ["sid", "items"])
 
     return out
 
 
+def _items(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // ITEM, 8), np.uint8)
+    out[:, :ITEM] = np.frombuffer(blob, np.uint8).reshape(-1, ITEM)
+    return out.view(np.uint64)[:, 0]
+
+
+def _blob_of(items: np.ndarray) -> bytes:
+    return np.ascontiguousarray(items.view(np.uint8).reshape(-1, 8)[:, :ITEM]).tobytes()
+
+
 def _answer_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (leader, part, kind): the leader's set, then its members' sets.  Gives the links, and how a
     member's set differs from the leader's."""
@@ -312,7 +358,7 @@ def _answer_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         us, vs, minus, plus, sizes = [], [], [], [], []
         for u, v, items in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("u", "v", "items")), strict=True):
-            mine = np.frombuffer(items, np.uint64)
+            mine = _items(items)
             if v is None:
                 leader, name = mine, u
                 continue
@@ -322,8 +368,8 @@ def _answer_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if DENOMINATOR * both >= NUMERATOR * (len(mine) + len(leader) - both):
                 us.append(u)
                 vs.append(v)
-                plus.append(mine[~common].tobytes())
-                minus.append(leader[~np.isin(leader, mine, assume_unique=True)].tobytes())
+                plus.append(_blob_of(mine[~common]))
+                minus.append(_blob_of(leader[~np.isin(leader, mine, assume_unique=True)]))
                 sizes.append(len(mine))
         yield _arrow([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(minus, pa.binary()), pa.array(plus, pa.binary()), pa.array(sizes, pa.int64())], ["u", "v", "minus", "plus", "size"])
 
@@ -337,12 +383,12 @@ def _answer_derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         us, vs = [], []
         for u, kind, v, items, minus, plus in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("y", "kind", "z", "items", "minus", "plus")), strict=True):
             if kind == 0:
-                y = np.frombuffer(items, np.uint64)
+                y = _items(items)
             elif kind == 1:
-                x = np.frombuffer(items, np.uint64)
+                x = _items(items)
                 both = int(np.isin(y, x, assume_unique=True).sum())
             else:
-                less, more = np.frombuffer(minus, np.uint64), np.frombuffer(plus, np.uint64)
+                less, more = _items(minus), _items(plus)
                 common = both - int(np.isin(less, y, assume_unique=True).sum()) + int(np.isin(more, y, assume_unique=True).sum())
                 size = len(x) - len(less) + len(more)
                 if DENOMINATOR * common >= NUMERATOR * (len(y) + size - common):
@@ -358,6 +404,14 @@ def _spread(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, Data
     return split, many.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("part"))
 
 
+def _sets(docs: DataFrame, meta: DataFrame, wanted: DataFrame, levels) -> DataFrame:
+    """sid, items of the wanted sets, each from one document."""
+    rows = keep(meta.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("_row").alias("_row")))
+    some = flagged(docs.select(F.xxhash64("doc_id", "text").alias("_row"), "text"), "_row", rows, "_row").where("_maybe").drop("_maybe")
+    one = some.join(rows, "_row").dropDuplicates(["_row"]).select("sid", "text")
+    return keep(one.mapInArrow(_write_sets(levels), "sid long, items binary"))
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, _row, n_shingles, sid: equal sets have equal sid."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -376,16 +430,15 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
             yield _arrow([batch.column(0), Sets(batch.column(0)).names()], ["text", "sid"])
 
     sent = docs.select("text").mapInArrow(named, "text string, sid long").mapInArrow(_index(buckets, levels), BLOBS)
-    first = keep(regroup(sent).mapInArrow(_first_pairs, "u long, v long, bucket int, a binary, b binary"))
-    pairs = keep(first.where("bucket is null").select("u", "v").distinct())
-    lists = first.where("bucket is not null").select("bucket", "a", "b")
+    first = keep(regroup(sent).mapInArrow(_first_pairs, PAIR_ROWS))
+    met = first.where(F.col("kind") < LIST).groupBy("u", "v").agg(F.sum("met").alias("met"), F.max("must").alias("must"))
+    pairs = keep(met.where("met >= must").select("u", "v"))
+    lists = first.where(F.col("kind") == LIST).select("bucket", "a", "b")
 
     # the sets that take part, from one document each
-    involved = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).unionByName(lists.mapInArrow(_names_of_lists, "bucket int, sid long").select("sid")).distinct()
-    rows = keep(meta.join(involved, "sid", "left_semi").groupBy("sid").agg(F.min("_row").alias("_row")))
-    some = flagged(docs.select(F.xxhash64("doc_id", "text").alias("_row"), "text"), "_row", rows, "_row").where("_maybe").drop("_maybe")
-    one = some.join(rows, "_row").dropDuplicates(["_row"]).select("sid", "text")
-    sets = keep(one.mapInArrow(_write_sets(levels), "sid long, items binary"))
+    involved = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid")))
+
+    sets = _sets(docs, meta, involved, levels)
 
     # leaders answer first
     split, every = _spread(pairs, ["u"], "v")
@@ -408,10 +461,16 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("binary")
     marked = marks.select("bucket", "sid", "component").mapInArrow(pack, "bucket int, c binary").select("bucket", none.alias("a"), none.alias("b"), "c")
-    more = regroup(lists.withColumn("c", none).unionByName(marked)).mapInArrow(_open_pairs, "u long, v long").distinct()
+    opened = regroup(lists.withColumn("c", none).unionByName(marked)).mapInArrow(_open_pairs, PAIR_ROWS)
+    both = opened.select("u", "v", "met", "must", "kind").unionByName(first.where(F.col("kind") == WHOLE).select("u", "v", "met", "must", "kind"))
+    met = both.groupBy("u", "v").agg(F.sum("met").alias("met"), F.max("must").alias("must"), F.max("kind").alias("kind"))
+    more = keep(met.where((F.col("met") >= F.col("must")) & (F.col("kind") == OPEN)).join(pairs, ["u", "v"], "left_anti").select("u", "v"))
     # z is the side with the more likely leader: v if it has one
     led = answered.groupBy("v").agg(F.min_by(F.struct("u", "minus", "plus"), F.struct(F.length("minus") + F.length("plus"), "u")).alias("by")).select(F.col("v").alias("z"), "by.*")
     asked = more.select(F.col("u").alias("y"), F.col("v").alias("z")).join(led.withColumnRenamed("u", "x"), "z", "left")
+    asked = keep(asked)
+    later = asked.select(F.col("y").alias("sid")).unionByName(asked.select(F.coalesce("x", "z").alias("sid"))).distinct()
+    sets = sets.unionByName(_sets(docs, meta, later.join(sets, "sid", "left_anti"), levels))
     empty = F.lit(b"")
     asked = asked.select("y", F.coalesce("x", "z").alias("x"), "z", F.coalesce("minus", empty).alias("minus"), F.coalesce("plus", empty).alias("plus"))
     split, every = _spread(asked, ["y", "x"], "z")
