@@ -71,7 +71,7 @@ class Model:
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods (words x languages) and the document of each word."""
         bins, firsts, doc = grams(data, offsets)
-        if not len(firsts):
+        if not len(firsts) or not self.tables:
             return np.empty((0, len(self.langs))), doc
         return np.stack([np.add.reduceat(t[bins], firsts) for t in self.tables], 1).astype(np.float64), doc
 
