@@ -24,7 +24,7 @@ def site_key(c: Column) -> Column:
 
 def last_segment(c: Column) -> Column:
     """Last part of the path, without query; empty if there is no path."""
-    return F.regexp_extract(F.regexp_replace(c, r"[?#].*$", ""), r"^[a-zA-Z]+://[^/]+/(?:.*/)?([^/]*)/?$", 1)
+    return F.regexp_extract(F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"/+$", ""), r"^[a-zA-Z]+://[^/]+/(?:.*/)?([^/]*)$", 1)
 
 
 def path_slug(c: Column) -> Column:

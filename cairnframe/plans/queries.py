@@ -64,7 +64,7 @@ def text_rename_slug(spark, d):
     return p.select("p_partkey", text.replace_all(F.col("p_name"), {"red": "crimson", "blue": "navy"}).alias("renamed"), text.slug(F.concat_ws(" & ", "p_name", "p_type")).alias("slug"), text.size_band(F.col("p_size")).alias("band"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?([^/:?#]+)', 1), '^www\\.', '') AS host, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z]+://[^/]+/(?:.*/)?([^/]*)/?$', 1) AS segment FROM pages")
+@query("SELECT page_id, regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?([^/:?#]+)', 1), '^www\\.', '') AS host, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '^[a-zA-Z]+://[^/]+/(?:.*/)?([^/]*)$', 1) AS segment FROM pages")
 def url_host_segment(spark, d):
     return parquet(spark, d, "pages").select("page_id", url.host(F.col("url")).alias("host"), url.last_segment(F.col("url")).alias("segment"))
 
