@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays, dates, text, url
-from ..operators import aggregate, funding, joins, network, tags, taxonomy, viewer, windows
+from ..functions import arrays, dates, predicates, profile, text, url
+from ..operators import aggregate, funding, hierarchy, joins, network, similar, simulate, tags, taxonomy, viewer, windows
+from ..operators import pages as pages_op
 from ..sources.tables import list_columns, parquet
 from ..streaming import events as stream
 
@@ -596,3 +597,118 @@ def list_column_scan(spark, d):
     return spark.createDataFrame([(len(list_columns(parquet(spark, d, "part"))),)], "n long")
 
 
+
+
+# --- further operators
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000 AND (o_orderstatus IN ('F', 'P') OR contains(lower(o_orderpriority), 'urgent'))")
+def predicate_filter(spark, d):
+    p = predicates.AllOf((predicates.Predicate("o_totalprice", "between", (100000, 200000)), predicates.AnyOf((predicates.Predicate("o_orderstatus", "includes", ("F", "P")), predicates.Predicate("o_orderpriority", "contains", ("URGENT",))))))
+    return parquet(spark, d, "orders").where(predicates.condition(p)).select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_suppkey FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING avg(l_discount) > 0.06) USING (l_orderkey)")
+def threshold_by_mean(spark, d):
+    l = parquet(spark, d, "lineitem")
+    good = l.groupBy("l_orderkey").agg(F.avg("l_discount").alias("m")).where("m > 0.06").select("l_orderkey")
+    return l.select("l_orderkey", "l_suppkey").distinct().join(good, "l_orderkey", "left_semi")
+
+
+@query("WITH k AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS t FROM orders GROUP BY o_custkey), x AS (SELECT c_custkey, coalesce(t, []) AS t FROM customer LEFT JOIN k ON c_custkey = o_custkey) SELECT c_custkey, CASE WHEN len(t) = 0 THEN 'none' WHEN len(list_filter(t, lambda x: x NOT IN ('4-NOT SPECIFIED', '5-LOW'))) = 0 THEN 'philanthropy' WHEN len(list_filter(t, lambda x: x NOT IN ('1-URGENT', '2-HIGH'))) = 0 THEN 'venture' WHEN list_has_any(t, ['4-NOT SPECIFIED', '5-LOW']) AND list_has_any(t, ['1-URGENT', '2-HIGH']) THEN 'mixed' ELSE 'other' END AS kind FROM x")
+def funding_kind(spark, d):
+    k = parquet(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("t"))
+    c = parquet(spark, d, "customer").join(k, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return c.select("c_custkey", profile.funding_kind(F.col("t"), ["4-NOT SPECIFIED", "5-LOW"], ["1-URGENT", "2-HIGH"]).alias("kind"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN coalesce(length(n), 0) > coalesce(length(text), 0) THEN n ELSE text END AS longer FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)")
+def choose_longer_text(spark, d):
+    c = parquet(spark, d, "conversations").withColumn("n", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.select("conv_id", "turn", profile.longer(F.col("text"), F.col("n")).alias("longer"))
+
+
+@query("WITH l AS (SELECT DISTINCT regexp_extract(url, '://([^/]+)', 1) AS site, trim(regexp_replace(url, '^[a-z]+://[^/]+|[?#].*$', '', 'g'), '/') AS path FROM pages), r AS (SELECT site, path, string_split(path, '/') AS p FROM l WHERE path <> ''), k AS (SELECT * FROM r WHERE list_has_any(list_transform(p, lambda x: lower(x)), ['en', 'de'])), x AS (SELECT site, array_to_string(p[1:i], '/') AS path FROM (SELECT site, p, unnest(range(1, len(p) + 1)) AS i FROM k)), n AS (SELECT site, path, count(*) AS n FROM x GROUP BY ALL), j AS (SELECT k.site, k.path, n.n, p[1] AS top, len(p) = 1 AS first FROM k JOIN n ON k.site = n.site AND k.path = n.path), f AS (SELECT *, row_number() OVER (PARTITION BY site, top, first ORDER BY n DESC, path) AS i FROM j WHERE first OR n = 1) SELECT site, path, n FROM f WHERE first OR i <= 3")
+def choose_pages(spark, d):
+    p = parquet(spark, d, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("site"), F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", "").alias("path"))
+    return pages_op.choose_pages(p, "site", "path", ["en", "de"], 3)
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN '## ' || text ELSE '* ' || text END AS md FROM conversations")
+def section_text(spark, d):
+    c = parquet(spark, d, "conversations")
+    e = F.array(F.struct(F.when(F.col("role") == "user", "Title").otherwise("ListItem").alias("kind"), F.lit(1).alias("depth"), F.col("text").alias("text")))
+    return c.select("conv_id", "turn", pages_op.section_text(F.element_at(pages_op.sections(e), 1)).alias("md"))
+
+
+@query("WITH f AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS i FROM lineitem WHERE l_partkey < 400), s AS (SELECT u, count(*) AS n FROM f GROUP BY u), p AS (SELECT a.u, b.u AS v, count(*) AS common FROM f a JOIN f b USING (i) WHERE a.u < b.u GROUP BY ALL) SELECT p.u, p.v, common, round(common / (x.n + y.n - common), 9)::DOUBLE AS jaccard FROM p JOIN s x ON p.u = x.u JOIN s y ON p.v = y.u WHERE common / (x.n + y.n - common) > 0.2")
+def set_jaccard(spark, d):
+    l = parquet(spark, d, "lineitem").where("l_partkey < 400")
+    return similar.set_jaccard(l, "l_suppkey", "l_partkey", 0.2).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query(f"WITH {_TRADE}, f AS (SELECT u AS node, 'o' || v AS i FROM t UNION ALL SELECT v, 'i' || u FROM t), s AS (SELECT node, count(*) AS n FROM f GROUP BY node), p AS (SELECT a.node AS u, b.node AS v, count(*) AS common FROM f a JOIN f b USING (i) WHERE a.node < b.node GROUP BY ALL) SELECT p.u, p.v, common, round(common / (x.n + y.n - common), 9)::DOUBLE AS jaccard FROM p JOIN s x ON p.u = x.node JOIN s y ON p.v = y.node")
+def neighbour_jaccard(spark, d):
+    return similar.neighbour_jaccard(_trade(spark, d)).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query("WITH b(box, x0, x1, y0, y1) AS (VALUES ('a', 0.0, 20.0, 0.0, 3000.0), ('b', 10.0, 50.0, 1000.0, 9000.0)) SELECT c_custkey AS point, box FROM customer JOIN b ON c_nationkey BETWEEN x0 AND x1 AND c_acctbal BETWEEN y0 AND y1")
+def points_in_boxes(spark, d):
+    boxes = spark.createDataFrame([("a", 0.0, 20.0, 0.0, 3000.0), ("b", 10.0, 50.0, 1000.0, 9000.0)], "box string, x0 double, x1 double, y0 double, y1 double")
+    c = parquet(spark, d, "customer").select(F.col("c_custkey").alias("point"), F.col("c_nationkey").cast("double").alias("x"), F.col("c_acctbal").alias("y"))
+    return similar.points_in_boxes(c, boxes, 500.0)
+
+
+@query("SELECT p_partkey AS point, 'tri' AS polygon FROM part WHERE p_size + 0.5 < 40.25 AND 10.25 < p_size + 0.5 AND (p_partkey % 50) + 0.25 > 0 AND (p_partkey % 50) + 0.25 < (40.25 - (p_size + 0.5))")
+def points_in_polygons(spark, d):
+    edges = spark.createDataFrame([("tri", 0.0, 10.25, 30.0, 10.25), ("tri", 30.0, 10.25, 0.0, 40.25), ("tri", 0.0, 40.25, 0.0, 10.25)], "polygon string, x1 double, y1 double, x2 double, y2 double")
+    p = parquet(spark, d, "part").select(F.col("p_partkey").alias("point"), (F.col("p_partkey") % 50 + 0.25).alias("x"), (F.col("p_size") + 0.5).alias("y"))
+    return similar.points_in_polygons(p, edges)
+
+
+@query(f"WITH {_TRADE} SELECT u AS source, count(*) AS n FROM t WHERE v < 6 GROUP BY u HAVING count(*) >= 2")
+def influence_overlap(spark, d):
+    return similar.influence_overlap(_trade(spark, d), spark.range(6).withColumnRenamed("id", "node"), 2)
+
+
+@query()
+def sensitivity_rounds(spark, d):
+    l = parquet(spark, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    runs = simulate.jittered_relevance(l, "l_suppkey", "l_partkey", "y", 10, 5, threshold=0.33)
+    return simulate.stability(runs, "person", "share")
+
+
+@query()
+def tag_tree(spark, d):
+    e = parquet(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.col("label").alias("g"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("term"), "embedding", (F.col("vec_id") % 7 + 1).alias("freq"))
+    return hierarchy.tag_tree(e, "g", "term", "embedding", "freq")
+
+
+@query("WITH r AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name || 's ' || p_name, ' ')) AS term FROM part WHERE p_partkey % 2 = 0) SELECT DISTINCT p_partkey, CASE WHEN s.t IS NOT NULL THEN s.t ELSE r.term END AS term FROM r LEFT JOIN (SELECT DISTINCT term AS t FROM r) s ON s.t = CASE WHEN suffix(r.term, 'ies') THEN regexp_replace(r.term, 'ies$', 'y') WHEN suffix(r.term, 's') THEN regexp_replace(r.term, 's$', '') END")
+def singular_terms(spark, d):
+    p = parquet(spark, d, "part").where("p_partkey % 2 = 0").select("p_partkey", F.explode(F.split(F.concat(F.col("p_name"), F.lit("s "), F.col("p_name")), " ")).alias("t"))
+    return hierarchy.singular_terms(p, "p_partkey", "t")
+
+
+@query(f"WITH {_TRADE}, a AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey < 20 THEN 0 ELSE n_nationkey END AS cluster FROM nation), z AS (SELECT cluster, count(*) AS n FROM a GROUP BY cluster), b AS (SELECT x.cluster AS a, y.cluster AS b, avg(1.0) AS s FROM t JOIN a x ON t.u = x.node JOIN a y ON t.v = y.node WHERE x.cluster <> y.cluster GROUP BY ALL), m AS (SELECT b.a, max(b.b) AS t FROM b JOIN z p ON b.a = p.cluster JOIN z q ON b.b = q.cluster WHERE p.n < 40 AND q.n > 10 * p.n GROUP BY b.a) SELECT node, coalesce(m.t, cluster)::INT AS cluster FROM a LEFT JOIN m ON m.a = cluster")
+def merge_small_clusters(spark, d):
+    a = parquet(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") < 20, 0).otherwise(F.col("n_nationkey")).alias("cluster"))
+    return hierarchy.merge_small_clusters(a, _trade(spark, d).withColumn("sim", F.lit(1.0)))
+
+
+@query("SELECT conv_id, regexp_replace('https://www.linkedin.com/company/' || role || conv_id || '/', '^x', '') AS url, role || conv_id AS id FROM conversations WHERE turn = 0")
+def profile_addresses(spark, d):
+    raw = F.concat(F.lit(" HTTP://uk.LinkedIn.com/company/company/"), F.col("role"), F.col("conv_id").cast("string"), F.lit("/about/?x=1"))
+    return parquet(spark, d, "conversations").where("turn = 0").select("conv_id", profile.profile_url(raw).alias("url"), profile.profile_id(profile.profile_url(raw)).alias("id"))
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::INT AS k FROM events")
+def parse_reply(spark, d):
+    reply = F.concat(F.lit("```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```"))
+    return parquet(spark, d, "events").select("event_id", profile.parse_reply(reply, "k int")["k"].alias("k"))
+
+
+@query("SELECT o_custkey, year(o_orderdate)::INT AS year, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS raised, count(*) AS n FROM orders GROUP BY ALL")
+def funding_by_year(spark, d):
+    o = parquet(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year"))
+    return o.agg(F.sum(money("o_totalprice")).cast("double").alias("raised"), F.count("*").alias("n"))
