@@ -139,13 +139,14 @@ def fit(doc_first: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds:
     one document alone says nothing about others and gets no weight."""
     dims = 1 << BITS
     size = np.diff(np.r_[doc_first, len(feature)])
-    own = np.repeat(np.arange(len(size)), size)
     shared = np.bincount(feature, minlength=dims) > 1
-    own, feature = own[shared[feature]], feature[shared[feature]]
+    good = shared[feature]
+    own, feature = np.repeat(np.arange(len(size)), size)[good], feature[good]
     used = np.flatnonzero(shared)
     place = np.zeros(dims, np.int64)
     place[used] = np.arange(len(used))
     at = place[feature]
+    del good, feature
     scale = 1 / np.sqrt(np.maximum(size, 1))
     w, bias = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0

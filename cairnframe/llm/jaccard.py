@@ -69,8 +69,9 @@ class Sets:
         whole = [K.mix(np.array([int(K.hash_runs(h[w.first[d] : w.first[d + 1]], int(w.counts[d]))[0])], np.uint64) + K.U64(int(w.counts[d]))) for d in few]
         value = np.concatenate([K.hash_runs(h, WORDS)[at], *whole]) if len(at) or len(few) else np.empty(0, np.uint64)
         doc = np.concatenate([w.doc[at], few])
-        if levels is not None:  # rare shingles first
-            value = value >> K.U64(3) | levels[(value & K.U64((1 << TABLE_BITS) - 1)).astype(np.int64)].astype(np.uint64) << K.U64(61)
+        value = value >> K.U64(3)
+        if levels is not None:  # rare shingles first: their level stands in the top bits
+            value = value | levels[(value & K.U64((1 << TABLE_BITS) - 1)).astype(np.int64)].astype(np.uint64) << K.U64(61)
         order = np.lexsort((value, doc))
         doc, value = doc[order], value[order]
         new = np.r_[True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])] if len(doc) else np.zeros(0, bool)
@@ -79,8 +80,8 @@ class Sets:
         self.size = np.diff(self.first)
 
     def names(self) -> np.ndarray:
-        """A hash of each whole set; independent of the order of shingles."""
-        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(K.mix(self.value ^ K.U64(0xA5A5A5A5)))]
+        """A hash of each whole set; independent of the order of shingles and of their levels."""
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(K.mix(self.value & K.U64((1 << 61) - 1) ^ K.U64(0xA5A5A5A5)))]
         return K.mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.size.astype(np.uint64)).view(np.int64)
 
 
@@ -139,7 +140,7 @@ def _index(buckets: int, levels) -> object:
         held: list[list[np.ndarray]] = [[], [], [], []]
         for batch in K.slices(batches):
             sets = Sets(batch.column(0), levels.value)
-            names = batch.column(1).to_numpy(zero_copy_only=False)
+            names = sets.names()
             new = np.zeros(len(names), bool)
             for d, name in enumerate(names.tolist()):  # equal sets are indexed once
                 if name not in seen:
@@ -148,7 +149,7 @@ def _index(buckets: int, levels) -> object:
             prefix = sets.size - -(-NUMERATOR * sets.size // DENOMINATOR) + matches(sets.size)
             at = np.arange(len(sets.value)) - sets.first[sets.doc]
             take = (at < prefix[sets.doc]) & new[sets.doc]
-            for column, values in zip(held, (sets.value[take], names[sets.doc[take]], sets.size[sets.doc[take]], at[take]), strict=True):
+            for column, values in zip(held, (sets.value[take], names[sets.doc[take]], sets.size[sets.doc[take]].astype(np.uint32), at[take].astype(np.uint32)), strict=True):
                 column.append(values)
         if not held[0]:
             return
@@ -425,11 +426,7 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     n, buckets = parts(docs), 2 * parts(docs)
     levels = sc.broadcast(shingle_levels(docs))
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches):
-            yield _arrow([batch.column(0), Sets(batch.column(0)).names()], ["text", "sid"])
-
-    sent = docs.select("text").mapInArrow(named, "text string, sid long").mapInArrow(_index(buckets, levels), BLOBS)
+    sent = docs.select("text").mapInArrow(_index(buckets, levels), BLOBS)
     first = keep(regroup(sent).mapInArrow(_first_pairs, PAIR_ROWS))
     met = first.where(F.col("kind") < LIST).groupBy("u", "v").agg(F.sum("met").alias("met"), F.max("must").alias("must"))
     pairs = keep(met.where("met >= must").select("u", "v"))

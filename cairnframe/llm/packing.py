@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 WINDOW = 1024
 END = 0
 #: Pieces of text remembered by a worker in each of two generations.
-REMEMBER = 300_000
+REMEMBER = 150_000
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
