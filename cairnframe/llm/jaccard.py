@@ -498,6 +498,11 @@ def cluster(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all columns."""
-    found = cluster(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each component, the one with the smallest doc_id, with all columns; of several rows with that
+    doc_id one stays.  Only documents that may go are moved."""
+    key = F.xxhash64("doc_id").alias("_key")
+    ids = cluster(docs).groupBy(key).agg(F.count("*").alias("_n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
+    special = keep(ids.where("not _stays or _n > 1").select("_key", "_stays"))
+    both = flagged(docs.select("*", key), "_key", special, "_key")
+    rest = both.where("_maybe").join(special, "_key", "left").where("coalesce(_stays, true)").dropDuplicates(["_key"])
+    return both.where("not _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
