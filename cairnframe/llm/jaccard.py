@@ -33,9 +33,13 @@ from ._spark import flagged, keep, parts, regroup
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
-#: Counts of the table that orders shingles; the order has 8 levels.
-TABLE_BITS = 21
+#: The table of counts that orders shingles has an entry for LOAD shingles of the corpus, between 2**18 and
+#: 2**MAX_TABLE_BITS of them (64 MB of levels at most); the order has 8 levels.
+LOAD = 8
+MAX_TABLE_BITS = 26
 CHUNKS = 64
+#: Leaders of a block of a long list.
+LEADERS = 8
 #: Index lists up to this length are asked for all their pairs at once, longer ones by leaders first.
 SHORT = 8
 #: Bytes of a shingle's hash in sets that travel.
@@ -71,7 +75,7 @@ class Sets:
         doc = np.concatenate([w.doc[at], few])
         value = value >> K.U64(3)
         if levels is not None:  # rare shingles first: their level stands in the top bits
-            value = value | levels[(value & K.U64((1 << TABLE_BITS) - 1)).astype(np.int64)].astype(np.uint64) << K.U64(61)
+            value = value | levels[(value & K.U64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << K.U64(61)
         order = np.lexsort((value, doc))
         doc, value = doc[order], value[order]
         new = np.r_[True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])] if len(doc) else np.zeros(0, bool)
@@ -95,33 +99,36 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _arrow([batch.column(0), batch.column(1), sets.size.astype(np.int64), sets.names()], ["doc_id", "_row", "n_shingles", "sid"])
 
 
-def shingle_levels(docs: DataFrame) -> np.ndarray:
-    """How common the shingles of each table entry are, in 8 levels, counted over all documents.  The driver gets the
-    table, whose size is fixed."""
-    width = (1 << TABLE_BITS) // CHUNKS
+def shingle_levels(docs: DataFrame, total: int) -> np.ndarray:
+    """How common the shingles of each table entry are, in 8 levels, counted over all documents.  total: how many
+    shingles there are.  The driver gets one byte an entry; the table's size is bounded."""
+    bits = int(np.clip(np.ceil(np.log2(max(total, 1) / LOAD)), 18, MAX_TABLE_BITS))
+    width = (1 << bits) // CHUNKS
+    mean = max(total / (1 << bits), 4.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, np.int64)
+        table = np.zeros(1 << bits, np.uint16)
         for batch in K.slices(batches):
-            table += np.bincount((Sets(batch.column(0)).value & K.U64((1 << TABLE_BITS) - 1)).astype(np.int64), minlength=1 << TABLE_BITS)
+            at, times = np.unique((Sets(batch.column(0)).value & K.U64((1 << bits) - 1)).astype(np.uint32), return_counts=True)
+            table[at] = np.minimum(table[at] + times, 65535)  # what one task counts; beyond it the level is the highest anyway
         yield _rows([(k, table[k * width : (k + 1) * width]) for k in range(CHUNKS)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(pa.decompress(part, 8 * width, "zstd", asbytes=True), np.int64)
-        yield _rows(list(sums.items()))
+                got = np.frombuffer(pa.decompress(part, 2 * width, "zstd", asbytes=True), np.uint16)
+                sums[k] = sums[k] + got if k in sums else got.astype(np.int64)
+        yield _rows([(k, np.clip(np.floor(np.log2(np.maximum(t, 1) / mean)), 0, 7).astype(np.uint8)) for k, t in sums.items()])
 
     def _rows(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        return _arrow([pa.array([k for k, _ in rows], pa.int32()), pa.array([pa.compress(t.astype(np.int64).tobytes(), "zstd", asbytes=True) for _, t in rows], pa.binary())], ["chunk", "counts"])
+        return _arrow([pa.array([k for k, _ in rows], pa.int32()), pa.array([pa.compress(t.tobytes(), "zstd", asbytes=True) for _, t in rows], pa.binary())], ["chunk", "counts"])
 
     rows = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(parts(docs), "chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    table = np.zeros(1 << TABLE_BITS)
+    levels = np.zeros(1 << bits, np.uint8)
     for r in rows:
-        table[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(pa.decompress(bytes(r["counts"]), 8 * width, "zstd", asbytes=True), np.int64)
-    mean = max(table.mean(), 4.0)
-    return np.clip(np.floor(np.log2(np.maximum(table, 1) / mean)), 0, 7).astype(np.uint8)
+        levels[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(pa.decompress(bytes(r["counts"]), width, "zstd", asbytes=True), np.uint8)
+    return levels
 
 
 BLOBS = "bucket int, a binary, b binary"
@@ -201,24 +208,61 @@ def _shifted(first: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray
         yield i, i + step
 
 
-def _counted(a: list[np.ndarray], b: list[np.ndarray], size: list[np.ndarray], kind: int) -> pa.RecordBatch:
-    """Pairs (smaller name first) with the times they met and the times they must."""
+def _counted(a: list[np.ndarray], b: list[np.ndarray], size: list[np.ndarray], kind: int, buckets: int) -> pa.RecordBatch:
+    """Pairs (smaller name first) with the times they met and the times they must, packed by bucket of the pair."""
     x, y, n = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b, size))
     u, v = np.minimum(x, y), np.maximum(x, y)
     order = np.lexsort((v, u))
     u, v, n = u[order], v[order], n[order]
     first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.empty(0, np.int64)
-    times = np.diff(np.r_[first, len(u)])
-    none = pa.nulls(len(first), pa.binary())
-    return _arrow([u[first], v[first], times, matches(n[first]), pa.array(np.full(len(first), kind, np.int32)), pa.nulls(len(first), pa.int32()), none, none], PAIRS)
+    met, must = np.diff(np.r_[first, len(u)]).astype(np.uint32), matches(n[first]).astype(np.uint32)
+    u, v = u[first], v[first]
+    bucket = C.bucket_of(K.mix(u.view(np.uint64) ^ K.mix(v.view(np.uint64))), buckets)
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    rows = []
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        part = by[cuts[k] : cuts[k + 1]]
+        rows.append((kind, k, np.stack([u[part], v[part]]).tobytes(), np.stack([met[part], must[part]]).tobytes()))
+    return _kinds(rows)
 
 
-PAIRS = ["u", "v", "met", "must", "kind", "bucket", "a", "b"]
-PAIR_ROWS = "u long, v long, met long, must long, kind int, bucket int, a binary, b binary"
+def _kinds(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return _arrow([pa.array(list(c), t) for c, t in zip(columns, [pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["kind", "bucket", "a", "b"])
+
+
+PAIR_ROWS = "kind int, bucket int, a binary, b binary"
 WHOLE, LED, OPEN, LIST = range(4)
 
 
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chosen(opened: bool):
+    """(u, v) of a bucket's pairs that met often enough: by whole lists and leaders, or, if opened, the others, by whole
+    lists and open pairs."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for kind, bucket, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(bucket, []).append((kind, np.frombuffer(a, np.int64).reshape(2, -1), np.frombuffer(b, np.uint32).reshape(2, -1)))
+        for blobs in held.values():
+            u, v = np.concatenate([x for _, x, _ in blobs], 1)
+            met, must = np.concatenate([x for _, _, x in blobs], 1).astype(np.int64)
+            kind = np.concatenate([np.full(x.shape[1], k) for k, x, _ in blobs])
+            order = np.lexsort((v, u))
+            u, v, met, must, kind = (x[order] for x in (u, v, met, must, kind))
+            first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+            times = [np.add.reduceat(np.where(kind == k, met, 0), first) for k in (WHOLE, LED, OPEN)]
+            least = np.maximum.reduceat(must, first)
+            good = times[WHOLE] + times[LED] >= least
+            if opened:
+                good = ~good & (times[OPEN] > 0) & (times[WHOLE] + times[OPEN] >= least)
+            yield _arrow([u[first][good], v[first][good]], ["u", "v"])
+
+    return out
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """How often pairs meet: all pairs of short lists (WHOLE), and leaders with the others of long lists (LED).  The long
     lists come back (LIST) for what leaders leave open."""
     whole: tuple[list, list, list] = ([], [], [])
@@ -239,19 +283,25 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         more = np.repeat(~short, length)
         key, name, size, at = key[more], name[more], size[more], at[more]
-        # blocks of sizes that can link, each with its first set as the leader
+        # blocks of sizes that can link, each with LEADERS leaders that are the same in all lists where they stand
         block = np.floor(np.log(size) / np.log(DENOMINATOR / NUMERATOR)).astype(np.int64)
         new = np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])]
-        leader = np.flatnonzero(new)[np.cumsum(new) - 1]
-        good = ~new & _reach(size[leader], at[leader], size, at)
-        for column, values in zip(led, (name[leader[good]], name[good], size[leader[good]]), strict=True):
-            column.append(values)
+        group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+        seen: list[np.ndarray] = []
+        for r in range(LEADERS):
+            rank = K.mix(name.view(np.uint64) + K.U64(r * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            own = np.lexsort((rank, group))[heads] if r else heads
+            leader = own[group]
+            good = (leader != np.arange(len(name))) & _reach(np.minimum(size[leader], size), np.where(size[leader] < size, at[leader], at), np.maximum(size[leader], size), np.where(size[leader] < size, at, at[leader]))
+            for before in seen:  # a leader twice, or two leaders to each other, meet once
+                good &= (own != before)[group] & (np.arange(len(name)) != before[group])
+            seen.append(own)
+            for column, values in zip(led, (name[leader[good]], name[good], np.minimum(size[leader[good]], size[good])), strict=True):
+                column.append(values)
         longs.append((bucket, pa.compress(key.tobytes() + name.tobytes(), "zstd", asbytes=True), pa.compress(np.stack([size, at]).astype(np.uint32).tobytes(), "zstd", asbytes=True)))
-    yield _counted(*whole, WHOLE)
-    yield _counted(*led, LED)
-    n = len(longs)
-    zero = np.zeros(n, np.int64)
-    yield _arrow([zero, zero, zero, zero, pa.array(np.full(n, LIST, np.int32)), pa.array([x[0] for x in longs], pa.int32()), pa.array([x[1] for x in longs], pa.binary()), pa.array([x[2] for x in longs], pa.binary())], PAIRS)
+    yield _counted(*whole, WHOLE, buckets)
+    yield _counted(*led, LED, buckets)
+    yield _kinds([(LIST, *x) for x in longs])
 
 
 def _list(a: bytes, b: bytes) -> tuple[np.ndarray, ...]:
@@ -283,7 +333,7 @@ def _names_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _arrow([pa.array(np.full(len(names), bucket, np.int32)), names], ["bucket", "sid"])
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """(u, v) of different components that meet in a long list and can still link.
 
     In each list, sets are in order of size.  Blocks of sets are skipped whole where the best of them cannot reach the
@@ -324,10 +374,10 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for column, values in zip(pairs, (np.full(len(j), names[i]), names[j], np.minimum(s[i], s[j])), strict=True):
                         column.append(values)
                 if sum(map(len, pairs[0])) > 1_000_000:
-                    yield _counted(*pairs, OPEN)
+                    yield _counted(*pairs, OPEN, buckets)
                     pairs = ([], [], [])
         if pairs[0]:
-            yield _counted(*pairs, OPEN)
+            yield _counted(*pairs, OPEN, buckets)
 
 
 def _write_sets(levels) -> object:
@@ -424,12 +474,12 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     """(u, v): links between different sets (sid) that connect every component; copies are not repeated."""
     sc = docs.sparkSession.sparkContext
     n, buckets = parts(docs), 2 * parts(docs)
-    levels = sc.broadcast(shingle_levels(docs))
+    total = meta.agg(F.sum("n_shingles")).first()[0] or 0
+    levels = sc.broadcast(shingle_levels(docs, total))
 
     sent = docs.select("text").mapInArrow(_index(buckets, levels), BLOBS)
-    first = keep(regroup(sent).mapInArrow(_first_pairs, PAIR_ROWS))
-    met = first.where(F.col("kind") < LIST).groupBy("u", "v").agg(F.sum("met").alias("met"), F.max("must").alias("must"))
-    pairs = keep(met.where("met >= must").select("u", "v"))
+    first = keep(regroup(sent).mapInArrow(lambda batches: _first_pairs(batches, buckets), PAIR_ROWS))
+    pairs = keep(regroup(first.where(F.col("kind") < LIST)).mapInArrow(_chosen(False), "u long, v long"))
     lists = first.where(F.col("kind") == LIST).select("bucket", "a", "b")
 
     # the sets that take part, from one document each
@@ -458,10 +508,8 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("binary")
     marked = marks.select("bucket", "sid", "component").mapInArrow(pack, "bucket int, c binary").select("bucket", none.alias("a"), none.alias("b"), "c")
-    opened = regroup(lists.withColumn("c", none).unionByName(marked)).mapInArrow(_open_pairs, PAIR_ROWS)
-    both = opened.select("u", "v", "met", "must", "kind").unionByName(first.where(F.col("kind") == WHOLE).select("u", "v", "met", "must", "kind"))
-    met = both.groupBy("u", "v").agg(F.sum("met").alias("met"), F.max("must").alias("must"), F.max("kind").alias("kind"))
-    more = keep(met.where((F.col("met") >= F.col("must")) & (F.col("kind") == OPEN)).join(pairs, ["u", "v"], "left_anti").select("u", "v"))
+    opened = regroup(lists.withColumn("c", none).unionByName(marked)).mapInArrow(lambda batches: _open_pairs(batches, buckets), PAIR_ROWS)
+    more = keep(regroup(opened.unionByName(first.where(F.col("kind") < OPEN))).mapInArrow(_chosen(True), "u long, v long"))
     # z is the side with the more likely leader: v if it has one
     led = answered.groupBy("v").agg(F.min_by(F.struct("u", "minus", "plus"), F.struct(F.length("minus") + F.length("plus"), "u")).alias("by")).select(F.col("v").alias("z"), "by.*")
     asked = more.select(F.col("u").alias("y"), F.col("v").alias("z")).join(led.withColumnRenamed("u", "x"), "z", "left")
