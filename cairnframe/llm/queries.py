@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from ._spark import table
 
 
@@ -93,4 +94,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language, op3_quality_rules, op4_jaccard_join, op5_substring_dedup, op6_html_extraction, op7_decontamination, op8_packing, op9_lm_scoring, op10_quality_classifier, pipeline)}
 #: Operators that DuckDB can express over whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_jaccard_join": oracles.JACCARD, "op5_substring_dedup": oracles.SUBSTRING, "op7_decontamination": oracles.DECONTAMINATION}
