@@ -8,6 +8,7 @@ which bounds the memory of a task whatever the batch size is.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -15,7 +16,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+try:  # memory of large arrays goes back to the system when they go, and Arrow takes its memory there too
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 6 << 20)  # mmap for what is larger than this
+    _libc.mallopt(-1, 16 << 20)  # trim
+    pa.set_memory_pool(pa.system_memory_pool())
+except OSError:  # another C library
+    pass
+
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 3
@@ -104,7 +113,7 @@ def hash_words(w: Words, lower: bool) -> np.ndarray:
     """A hash of 64 bits for each word."""
     if not len(w.starts):
         return np.empty(0, U64)
-    bits = max(20, int(len(w.data)).bit_length())
+    bits = max(19, int(len(w.data)).bit_length())
     sums = np.empty(len(w.data) + 1, U64)
     sums[0] = 0
     values = (_LOWER_VALUES if lower else _VALUES)[w.data]

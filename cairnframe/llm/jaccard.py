@@ -38,6 +38,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 LOAD = 8
 MAX_TABLE_BITS = 26
 CHUNKS = 64
+#: Prefix entries that a task holds before it sends them.
+FLUSH = 400_000
 #: Leaders of a block of a long list.
 LEADERS = 8
 #: Index lists up to this length are asked for all their pairs at once, longer ones by leaders first.
@@ -145,6 +147,7 @@ def _index(buckets: int, levels) -> object:
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[list[np.ndarray]] = [[], [], [], []]
+        entries = 0
         for batch in K.slices(batches):
             sets = Sets(batch.column(0), levels.value)
             names = sets.names()
@@ -158,23 +161,30 @@ def _index(buckets: int, levels) -> object:
             take = (at < prefix[sets.doc]) & new[sets.doc]
             for column, values in zip(held, (sets.value[take], names[sets.doc[take]], sets.size[sets.doc[take]].astype(np.uint32), at[take].astype(np.uint32)), strict=True):
                 column.append(values)
-        if not held[0]:
-            return
-        value, name, size, at = (np.concatenate(c) for c in held)
-        bucket = C.bucket_of(value << K.U64(3), buckets)
-        order = np.lexsort((value, bucket))
-        value, name, size, at, bucket = (c[order] for c in (value, name, size, at, bucket))
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            part = slice(cuts[b], cuts[b + 1])
-            small = np.stack([size[part], at[part]]).astype(np.uint32).view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1)
-            rows.append((b, value[part].astype(np.uint32).tobytes() + name[part].tobytes(), pa.compress(np.ascontiguousarray(small).tobytes(), "zstd", asbytes=True)))
-        yield _blob(rows)
+            entries += int(take.sum())
+            if entries >= FLUSH:
+                yield _index_blobs(held, buckets)
+                held, entries = [[], [], [], []], 0
+        if entries:
+            yield _index_blobs(held, buckets)
 
     return out
 
 
+def _index_blobs(held: list[list[np.ndarray]], buckets: int) -> pa.RecordBatch:
+    value, name, size, at = (np.concatenate(c) for c in held)
+    bucket = C.bucket_of(value << K.U64(3), buckets)
+    order = np.lexsort((value, bucket))
+    value, name, size, at, bucket = (c[order] for c in (value, name, size, at, bucket))
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows = []
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[b], cuts[b + 1])
+        small = np.stack([size[part], at[part]]).view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1)
+        rows.append((b, value[part].astype(np.uint32).tobytes() + name[part].tobytes(), pa.compress(np.ascontiguousarray(small).tobytes(), "zstd", asbytes=True)))
+    return _blob(rows)
+
+
 def _entries(blobs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, ...]:
     """(list, set, size, position) of lists with two sets or more, in order of (list, size, set)."""
     keys, names, smalls = [], [], []
