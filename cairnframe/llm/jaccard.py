@@ -41,7 +41,7 @@ CHUNKS = 64
 #: Prefix entries that a task holds before it sends them.
 FLUSH = 400_000
 #: Leaders of a block of a long list.
-LEADERS = 8
+LEADERS = 16
 #: Index lists up to this length are asked for all their pairs at once, longer ones by leaders first.
 SHORT = 8
 #: Bytes of a shingle's hash in sets that travel.
