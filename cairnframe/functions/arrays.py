@@ -15,7 +15,7 @@ def literal_list(c: Column) -> Column:
 
 def clean_tags(c: Column, separator: str = r"\|") -> Column:
     """Trimmed, not empty, distinct and in order."""
-    parts = F.transform(F.split(c, separator), F.trim)
+    parts = F.transform(F.split(c, separator), lambda t: F.trim(t))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda t: t != "")))
 
 

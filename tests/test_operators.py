@@ -141,3 +141,24 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_predicates(spark):
+    from cairnframe.functions.predicates import AllOf, AnyOf, Predicate, condition, without_nulls
+
+    df = spark.createDataFrame([(1, "Solar"), (2, None), (3, " ")], "i int, t string")
+    keep = lambda p: [r["i"] for r in df.where(condition(p)).orderBy("i").collect()]
+    assert keep(Predicate("t", "blank")) == [2, 3] and keep(AllOf()) == [1, 2, 3] and keep(AnyOf()) == []
+    assert keep(AnyOf((Predicate("t", "contains", ("SOL",)), Predicate("i", "gte", (3,))))) == [1, 3]
+    assert without_nulls({"a": None, "b": {"c": [1, None, {"d": None}]}}) == {"b": {"c": [1, {}]}}
+
+
+def test_sections_and_linkage(spark):
+    from cairnframe.operators import hierarchy, pages
+
+    rows = [("Title", 0, "A"), ("Text", 1, "x"), ("Title", 0, "B"), ("ListItem", 1, "l"), ("Text", 1, "y")]
+    got = one(spark, rows, pages.sections, "array<struct<kind:string,depth:int,text:string>>")
+    assert [[e["text"] for e in s] for s in got] == [["A", "x"], ["B", "l"], ["y"]]
+    assert one(spark, "This is **bold**.", pages.markdown_inline) == "<p>This is <strong>bold</strong>.</p>"
+    merges = hierarchy.average_linkage(np.array([[1, 0], [0.9, 0.1], [0, 1.0]]))
+    assert merges[0][:2] == (0, 1) and set(merges[1][:2]) == {3, 2}
