@@ -1,13 +1,14 @@
 """Language-model scoring by a weighted backoff automaton (operator 9).
 
-Training counts every token of the training documents (lower-cased words and one end per text), then, order by order,
-the n-grams whose parts were kept.  An n-gram is kept if it occurs at least training tokens / MAX_NGRAMS times (and at
-least twice), so at most MAX_NGRAMS of each order are kept and broadcast, whatever the corpus.  Absolute discounting
-smooths them; what is taken from seen continuations is the weight of the failure arc.  Kept n-grams are the states; one
-left-to-right traversal carries the state of a text and adds up arcs and failures.
+Training counts every token of the training documents (lower-cased words and one end per text) and every n-gram up to
+the order.  N-grams that occur at least LEAST times are states and arcs; the number does not depend on the size of the
+corpus.  Absolute discounting smooths them; what is taken from seen continuations is the weight of the failure arc.
 
-The counts of all other tokens stay distributed.  Each task sends the rare words of its documents, packed, to the
-buckets that hold the counts; the sums of log-probabilities come back per document.  So no count is lost or cut.
+A token costs its unigram, the failures of the kept contexts before it, and for each kept n-gram that ends at it what
+the n-gram's probability gains over failing.  So a document's score is a sum over its n-grams of one value each.  All
+counts and values stay distributed: tasks send the n-grams of their documents, packed, to the buckets that hold the
+values, and the sums come back.  Only words with at least tokens / FREQUENT occurrences are also broadcast, which saves
+traffic and changes no result.  `Automaton` is the same model in the memory of one process.
 
 Defined results: null and empty texts are one end token; without training rows every token is unknown; equal rows get
 equal scores; other columns are ignored; an empty table gives no rows.
@@ -19,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _counts as C
@@ -27,10 +29,15 @@ from . import _kernel as K
 from ._spark import crc_mod, keep, parts, regroup
 
 ORDER = 3
-MAX_NGRAMS = 1 << 20
+LEAST = 2
+#: At most so many words are broadcast.
+FREQUENT = 1 << 20
+#: Tokens of a chunk of documents, about.
+CHUNK = 1 << 20
 DISCOUNT = 0.75
 ADD = 0.1
 END = np.uint64(0xE17D_E17D_E17D_E17D)
+START = np.uint64(0x57A7_57A7_57A7_57A7)
 
 
 class Kept:
@@ -65,28 +72,23 @@ def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(n), np.diff(first)), first
 
 
-def grams(hashes: np.ndarray, first: np.ndarray, kept: list[Kept]) -> list[np.ndarray]:
-    """By order from 1, the number of the kept n-gram that ends at each token, or -1.  Before a text stands a start,
-    whose number as a word is len(kept[0].keys)."""
-    start = len(kept[0].keys)
-    out = [kept[0].find(hashes)]
-    starts = first[:-1]
-    for level in kept[1:]:
-        at = np.flatnonzero(out[0] >= 0)
-        key = _key(out[-1], out[0], starts, start if len(out) == 1 else -1)
-        found = np.full(len(hashes), -1, np.int64)
-        at = at[key[at] >= 0]
-        found[at] = level.find(key[at].astype(np.uint64))
-        out.append(found)
-    return out
+def _key_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    return K.mix(K.mix(a + K.U64(n)) * K.U64(0x9E3779B97F4A7C15) + b)
 
 
-def _key(prefix: np.ndarray, word: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
-    """prefix << 32 | word of the n-gram that ends at each token, or -1."""
-    before = np.empty_like(prefix)
-    before[1:] = prefix[:-1]
-    before[starts] = start
-    return np.where((before >= 0) & (word >= 0), before << 32 | word, -1)
+def grams(hashes: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By order from 2: keys of the n-grams, those of their first and last n - 1 tokens, and the token each ends at.
+    Before a text stands a start."""
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[first[:-1]] = START
+    inside = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
+    prefix, suffix, at = before, hashes, np.arange(len(hashes))
+    for n in range(2, order + 1):
+        key = _key_of(prefix, suffix, n)
+        yield key, prefix, suffix, at
+        after = np.flatnonzero(inside[at] >= n - 1)
+        prefix, suffix, at = key[after - 1], key[after], at[after]
 
 
 def _pack(rows: list[tuple]) -> pa.RecordBatch:
@@ -109,17 +111,6 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pack(rows)
 
 
-def _often(least: int):
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sum(batches):
-            for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                k, n = C.unpacked(keys, counts)
-                good = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array(k[good].view(np.int64)), pa.array(n[good])], names=["key", "n"])
-
-    return out
-
-
 class Automaton:
     """States: 0 is empty; then the words (and the start); then longer n-grams below the highest order."""
 
@@ -214,10 +205,110 @@ def traverse(words: list[int], machine: tuple) -> float:
     return total
 
 
-def train(docs: DataFrame, order: int, max_ngrams: int) -> tuple[Automaton, DataFrame]:
-    """docs: the training texts.  The automaton, and the table of all counts by bucket."""
+def _arrow(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Slices of about CHUNK tokens together, hashes of the tokens, and the first token of each document."""
+    held, size = [], 0
+    for batch in K.slices(batches):
+        hashes, _, first = tokens(batch.column(batch.schema.get_field_index("text")))
+        held.append((batch, hashes, first))
+        size += len(hashes)
+        if size >= CHUNK:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple]) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]:
+    counts = np.concatenate([np.diff(f) for _, _, f in held])
+    return [b for b, _, _ in held], np.concatenate([h for _, h, _ in held]), np.r_[0, np.cumsum(counts)]
+
+
+PARTS = "level int, bucket int, a binary, b binary, counts binary"
+
+
+def _count_grams(order: int, buckets: int):
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes, first in _chunks(batches):
+            for n, (key, a, b, _) in enumerate(grams(hashes, first, order), 2):
+                key, at, counts = np.unique(key, return_index=True, return_counts=True)
+                a, b = a[at], b[at]
+                cuts = np.searchsorted(C.bucket_of(key, buckets), np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(cuts)).tolist()
+                small = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+                x, y, z = ([v[cuts[k] : cuts[k + 1]].tobytes() for k in full] for v in (a, b, small))
+                yield _arrow({"level": ([n] * len(full), pa.int32()), "bucket": (full, pa.int32()), "a": (x, pa.binary()), "b": (y, pa.binary()), "counts": (z, pa.binary())})
+
+    return out
+
+
+def _sum_grams(least: int):
+    """The n-grams of a bucket that occur often enough."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for level, bucket, a, b, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault((level, bucket), []).append((a, b, counts))
+        for level, bucket in list(held):
+            blobs = held.pop((level, bucket))
+            a, b = (np.concatenate([np.frombuffer(x[k], np.uint64) for x in blobs]) for k in (0, 1))
+            n = np.concatenate([C.unpacked(x[0], x[2])[1] for x in blobs])
+            key = _key_of(a, b, level)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            n = np.add.reduceat(n[order], first)
+            good = n >= least
+            at = order[first[good]]
+            if len(at):
+                yield _arrow({"level": ([level], pa.int32()), "bucket": ([bucket], pa.int32()), "a": ([a[at].tobytes()], pa.binary()), "b": ([b[at].tobytes()], pa.binary()), "counts": ([n[good].tobytes()], pa.binary())})
+
+    return out
+
+
+def _gram_rows(send):
+    """Kept n-grams as rows; counts of their parts where these are broadcast words."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, counts = send.value
+        times = np.r_[counts, 0]
+        for batch in batches:
+            for level, _, a, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b, n = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(n, np.int64)
+                parts_ = []
+                for part in (a, b):
+                    at = kept.find(part) if level == 2 else np.full(len(part), -1, np.int64)
+                    parts_.append(pa.array(times[at], mask=at < 0))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (_key_of(a, b, level), a, b)] + [pa.array(n), *parts_], names=["key", "a", "b", "n", "na", "nb"])
+
+    return out
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            k, n = C.unpacked(keys, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+
+class Trained:
+    """Totals, the broadcast words (with base and value each), the value of a start, and the table of all values."""
+
+    def __init__(self, total: int, distinct: int, frequent: Kept, base: np.ndarray, value: np.ndarray, start: float, values: DataFrame):
+        self.total, self.mass = total, total + ADD * (distinct + 1)
+        self.frequent, self.base, self.value, self.start, self.values = frequent, base, value, start, values
+
+
+def train(docs: DataFrame, order: int = ORDER, least: int = LEAST, frequent: int = FREQUENT) -> Trained:
+    """docs: the training texts."""
     buckets = 2 * parts(docs)
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    sc = spark.sparkContext
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = C.Tally()
@@ -234,148 +325,212 @@ def train(docs: DataFrame, order: int, max_ngrams: int) -> tuple[Automaton, Data
                 yield pa.RecordBatch.from_arrays([pa.array([len(k)]), pa.array([int(c.sum())]), pa.array([int(c[k == END].sum())])], names=["distinct", "total", "texts"])
 
     distinct, total, texts = (int(x or 0) for x in counts.mapInArrow(size, "distinct long, total long, texts long").agg(F.sum("distinct"), F.sum("total"), F.sum("texts")).first())
-    least = max(2, -(-total // max_ngrams))
+    mass = total + ADD * (distinct + 1)
+    floor = max(1, -(-total // frequent))
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k, c = C.unpacked(keys, n)
+                good = c >= floor
+                if good.any():
+                    yield _pack([(bucket, k[good].tobytes(), c[good].tobytes())])
+
+    words, times = C.total((bytes(r["keys"]), bytes(r["counts"])) for r in counts.mapInArrow(often, BLOBS).collect())
+    # a start is a word that occurs once in each text, but only before others
+    known = np.r_[words, START]
+    by = np.argsort(known)
+    send = sc.broadcast((Kept(known[by]), np.r_[times, texts][by]))
 
-    def collected(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    grams_ = keep(docs.mapInArrow(_count_grams(order, buckets), PARTS).repartition(parts(docs), "level", "bucket").mapInArrow(_sum_grams(least), PARTS))
+    word = counts.mapInArrow(_word_rows, "key long, n long")
+    prob = lambda n: (F.col(n) + ADD) / mass
 
-    model = Automaton(total, distinct, *collected(counts.mapInArrow(_often(least), "key long, n long").collect()), texts)
+    tables, failures = [], []
     for n in range(2, order + 1):
-        send = sc.broadcast((model.kept, n))
-
-        def further(batches: Iterator[pa.RecordBatch], send=send) -> Iterator[pa.RecordBatch]:
-            kept, n = send.value
-            tally = C.Tally()
-            for batch in K.slices(batches):
-                hashes, _, first = tokens(batch.column(0))
-                found = grams(hashes, first, kept)
-                key = _key(found[-1], found[0], first[:-1], len(kept[0].keys) if n == 2 else -1)
-                good = key >= 0
-                if n > 2:  # its suffix must be kept too
-                    good &= found[-1] >= 0
-                tally.add(key[good].astype(np.uint64))
-            keys, counts = tally.total()
-            yield _pack(list(C.packed(keys, counts, buckets, K.mix(keys))))
-
-        got = regroup(docs.mapInArrow(further, BLOBS)).mapInArrow(_often(least), "key long, n long").collect()
-        model.extend(*collected(got))
-    model.close()
-    return model, counts
-
-
-def _ask(send, buckets: int):
-    """The rare words of each document: (words, rows and times) by bucket of the word."""
+        rows = grams_.where(F.col("level") == n).mapInArrow(_gram_rows(send), "key long, a long, b long, n long, na long, nb long")
+        if n == 2:  # rare words are looked up, the others are there already, so no join has a hot key
+            rows = rows.withColumn("hot", F.col("na").isNotNull())
+            for part, own in (("a", "na"), ("b", "nb")):
+                lack = rows.where(F.col(own).isNull()).drop(own).join(word.select(F.col("key").alias(part), F.col("n").alias(own)), part)
+                rows = rows.where(F.col(own).isNotNull()).unionByName(lack)
+            rows = rows.withColumn("lower", prob("nb"))
+        else:
+            before = tables[-1]
+            rows = rows.drop("na", "nb").join(before.select(F.col("key").alias("a"), F.col("n").alias("na")), "a")
+            rows = rows.join(before.select(F.col("key").alias("b"), F.col("p").alias("lower")), "b").withColumn("hot", F.lit(False))
+        rows = rows.withColumn("p", (F.col("n") - DISCOUNT) / F.col("na")).select("key", "a", "n", "p", "lower", "hot")
+        tables.append(rows)
+        left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-9))
+        failures.append(rows.groupBy("a", "hot").agg(F.log10(left("p") / left("lower")).alias("fail")))
+
+    # values of the broadcast words
+    hot = failures[0].where("hot").select("a", "fail").toArrow() if failures else pa.table({"a": pa.array([], pa.int64()), "fail": pa.array([], pa.float64())})
+    context, fail = hot.column("a").to_numpy().view(np.uint64), hot.column("fail").to_numpy()
+    own = np.zeros(len(words))
+    start = float(fail[context == START].sum())
+    at = Kept(words).find(context)
+    own[at[at >= 0]] = fail[at >= 0]
+    base = np.log10((times + ADD) / mass)
+
+    failed = [f.select(F.col("a").alias("key"), F.col("fail").alias("f")) for f in failures]
+    rare = word.where(F.col("n") < floor).select("key", F.log10(prob("n")).alias("base"))
+    rare = rare.join(failures[0].where("not hot").select(F.col("a").alias("key"), F.col("fail").alias("f")), "key", "left") if failures else rare.withColumn("f", F.lit(0.0))
+    values = rare.select("key", "base", (F.col("base") + F.coalesce("f", F.lit(0.0))).alias("value"))
+    for k, (rows, fails) in enumerate(zip(tables, failures, strict=True)):
+        if k == 0:
+            of_hot = rows.where("hot").join(F.broadcast(fails.where("hot").select("a", "fail")), "a")
+            rows = of_hot.unionByName(rows.where("not hot").join(fails.where("not hot").select("a", "fail"), "a").select(of_hot.columns))
+        else:
+            rows = rows.join(fails.select("a", "fail"), "a")
+        gain = rows.select("key", (F.log10("p") - F.col("fail") - F.log10("lower")).alias("gain"))
+        if k + 1 < len(failed):
+            gain = gain.join(failed[k + 1], "key", "left").select("key", (F.col("gain") + F.coalesce("f", F.lit(0.0))).alias("gain"))
+        values = values.unionByName(gain.select("key", F.lit(None).cast("double").alias("base"), F.col("gain").alias("value")))
+    return Trained(total, distinct, Kept(words), base, own + base, start, values)
+
+
+ASKED = "bucket int, kind int, chunk long, size int, a binary, b binary, c binary"
+WORDS, GRAMS, TABLE, HEAD = range(4)
+
+
+def _line(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, types, strict=True)], names=["bucket", "kind", "chunk", "size", "a", "b", "c"])
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _wide(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, f"u{len(blob) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+
+
+def _ask(send, order: int, buckets: int):
+    """The n-grams of a chunk by bucket: keys, how often each occurs, and the documents.  A chunk's head has its
+    documents and the sums of broadcast words."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rows, times = [], [], []
-        for batch in K.slices(batches):
-            hashes, doc, _ = tokens(batch.column(1))
-            rare = send.value.find(hashes) < 0
-            word, doc = hashes[rare], doc[rare]
-            order = np.lexsort((word, doc))
-            word, doc = word[order], doc[order]
-            first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])]) if len(word) else np.empty(0, np.int64)
-            words.append(word[first])
-            rows.append(batch.column(0).to_numpy(zero_copy_only=False)[doc[first]])
-            times.append(np.diff(np.r_[first, len(word)]))
-        if not words:
-            return
-        word, row, many = np.concatenate(words), np.concatenate(rows), np.concatenate(times)
-        bucket = C.bucket_of(word, buckets)
-        order = np.argsort(bucket, kind="stable")
-        word, row, many = word[order], row[order], many[order]
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            part = slice(cuts[b], cuts[b + 1])
-            n = many[part]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([word[part].tobytes()], pa.binary()), pa.array([n.astype(np.min_scalar_type(int(n.max()))).tobytes()], pa.binary()), pa.array([row[part].tobytes()], pa.binary())],
-                names=["bucket", "keys", "counts", "rows"],
-            )
+        frequent, base, value, start = send.value
+        base, value = np.r_[base, 0.0], np.r_[value, 0.0]
+        for k, (own, hashes, first) in enumerate(_chunks(batches)):
+            chunk = (TaskContext.get().partitionId() << 32) | k
+            n = len(first) - 1
+            doc = np.repeat(np.arange(n), np.diff(first))
+            found = frequent.find(hashes)
+            sums = [np.bincount(doc, w, n) for w in (base[found], value[found])]
+            head = pa.Table.from_batches([b.select(["doc_id"]) for b in own]).combine_chunks()
+            for name, x in (("n_tokens", np.diff(first)), ("n_known", np.bincount(doc[found >= 0], minlength=n)), ("base_score", sums[0]), ("score", sums[1] + start)):
+                head = head.append_column(name, pa.array(x))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, head.schema) as writer:
+                writer.write_table(head)
+            yield _line([(chunk % buckets, HEAD, chunk, n, sink.getvalue().to_pybytes(), None, None)])
+            rare = found < 0
+            asked = [(WORDS, hashes[rare], doc[rare])] + [(GRAMS, key, doc[at]) for key, _, _, at in grams(hashes, first, order)]
+            for kind, key, of in asked:
+                by = np.argsort(key, kind="stable")
+                key, of = key[by], of[by]
+                cuts = np.searchsorted(C.bucket_of(key, buckets), np.arange(buckets + 1))
+                rows = []
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    part = key[cuts[b] : cuts[b + 1]]
+                    new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                    rows.append((b, kind, chunk, len(part), part[new].tobytes(), _small(np.diff(np.r_[new, len(part)])).tobytes(), _small(of[cuts[b] : cuts[b + 1]]).tobytes()))
+                yield _line(rows)
+
+    return out
+
+
+def _tell(buckets: int):
+    """Values by bucket, packed."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            base, value = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (1, 2))
+            by = np.argsort(key)
+            key, base, value = key[by], base[by], value[by]
+            cuts = np.searchsorted(C.bucket_of(key, buckets), np.arange(buckets + 1))
+            yield _line([(b, TABLE, 0, 0, *(x[cuts[b] : cuts[b + 1]].tobytes() for x in (key, value, base))) for b in np.flatnonzero(np.diff(cuts)).tolist()])
 
     return out
 
 
-def _reply(mass: float, buckets: int):
-    """Counts of a bucket meet the words asked for: sums of log10 p and of known tokens by row, packed by bucket of the row."""
+def _reply(unknown: float):
+    """Values of a bucket meet what was asked: sums by document of each chunk."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for bucket, keys, counts, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(bucket, []).append((keys, counts, rows))
-        sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for blobs in held.values():
-            known, times = C.total((k, c) for k, c, r in blobs if r is None)
-            for keys, counts, rows in blobs:
-                if rows is None:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[1] == HEAD:
+                    yield _line([row])
+                else:
+                    held.setdefault(row[0], []).append(row)
+        for bucket in list(held):
+            blobs = held.pop(bucket)
+            table = [r for r in blobs if r[1] == TABLE]
+            keys, value, base = (np.concatenate([np.frombuffer(r[k], t) for r in table] or [np.empty(0, t)]) for k, t in ((4, np.uint64), (5, np.float64), (6, np.float64)))
+            by = np.argsort(keys, kind="stable")
+            index, value, base = Kept(keys[by]), np.r_[value[by], 0.0], np.r_[base[by], unknown]
+            for _, kind, chunk, size, a, b, c in blobs:
+                if kind == TABLE:
+                    continue
+                asked = np.frombuffer(a, np.uint64)
+                at = np.repeat(index.find(asked), _wide(b, len(asked)))
+                doc = _wide(c, size)
+                if kind == GRAMS:
+                    at, doc = at[at >= 0], doc[at >= 0]
+                if not len(doc):
                     continue
-                word, many = C.unpacked(keys, counts)
-                seen = np.zeros(len(word), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                    seen = np.where(known[at] == word, times[at], 0)
-                row = np.frombuffer(rows, np.int64)
-                order = np.argsort(row, kind="stable")
-                first = np.flatnonzero(np.r_[True, row[order][1:] != row[order][:-1]])
-                sums.append((row[order][first], np.add.reduceat((many * np.log10((seen + ADD) / mass))[order], first), np.add.reduceat((many * (seen > 0))[order], first)))
-        if not sums:
-            return
-        row, logs, known = (np.concatenate(x) for x in zip(*sums, strict=True))
-        order = np.argsort(row, kind="stable")
-        first = np.flatnonzero(np.r_[True, row[order][1:] != row[order][:-1]])
-        row, logs, known = row[order][first], np.add.reduceat(logs[order], first), np.add.reduceat(known[order], first)
-        bucket = C.bucket_of(row.view(np.uint64), buckets)
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cuts)).tolist()
-        blobs = [[x[by[cuts[b] : cuts[b + 1]]].tobytes() for b in full] for x in (row, logs, known.astype(np.uint32))]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "keys", "logs", "known"])
+                some, place = np.unique(doc, return_inverse=True)
+                if kind == GRAMS:
+                    sums = [np.bincount(place, value[at])]
+                else:
+                    sums = [np.bincount(place, np.where(at >= 0, value[at], unknown)), np.bincount(place, base[at]), np.bincount(place, at >= 0)]
+                yield _line([(bucket, kind, chunk, len(some), _small(some).tobytes(), sums[0].tobytes(), np.concatenate(sums[1:]).tobytes() if len(sums) > 1 else None)])
 
     return out
 
 
-def _per_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
-    if not held:
-        return
-    row, logs, known = (np.concatenate([np.frombuffer(h[k], t) for h in held]) for k, t in enumerate((np.int64, np.float64, np.uint32)))
-    order = np.argsort(row, kind="stable")
-    first = np.flatnonzero(np.r_[True, row[order][1:] != row[order][:-1]])
-    yield pa.RecordBatch.from_arrays([pa.array(row[order][first]), pa.array(np.add.reduceat(logs[order], first)), pa.array(np.add.reduceat(known[order].astype(np.int64), first))], names=["_row", "rare_log", "rare_known"])
+def _per_chunk(names: list[str]):
+    """The documents of each chunk with their sums, added bucket by bucket, so that equal rows get equal sums."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(row[2], []).append(row)
+        for chunk in list(held):
+            blobs = held.pop(chunk)
+            head = next(pa.ipc.open_stream(r[4]).read_all() for r in blobs if r[1] == HEAD)
+            known, base, score_ = (head.column(c).to_numpy().copy() for c in ("n_known", "base_score", "score"))
+            for _, kind, _, size, a, b, c in sorted((r for r in blobs if r[1] != HEAD), key=lambda r: (r[1], r[0])):
+                doc = _wide(a, size)
+                score_[doc] += np.frombuffer(b, np.float64)
+                if kind == WORDS:
+                    more = np.frombuffer(c, np.float64)
+                    base[doc] += more[:size]
+                    known[doc] += more[size:].astype(np.int64)
+            for batch in pa.table([head.column("doc_id"), head.column("n_tokens"), pa.array(known), pa.array(base), pa.array(score_)], names=names).to_batches():
+                yield batch
+
+    return out
 
 
-def score(docs: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, frequent: int = FREQUENT) -> DataFrame:
     """Base and model scores (log10) of each document."""
     sc = docs.sparkSession.sparkContext
     buckets = 2 * parts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     held_out = crc_mod("doc_id", 10) == 0
-    model, counts = train(docs.where(~held_out).select("text"), order, max_ngrams)
-    words, whole = sc.broadcast(model.kept[0]), sc.broadcast(model)
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("_row"), "text")
-    asked = rows.mapInArrow(_ask(words, buckets), "bucket int, keys binary, counts binary, rows binary")
-    told = counts.select("bucket", "keys", "counts", F.lit(None).cast("binary").alias("rows"))
-    sums = regroup(regroup(asked.unionByName(told)).mapInArrow(_reply(model.mass, buckets), "bucket int, keys binary, logs binary, known binary")).mapInArrow(_per_row, "_row long, rare_log double, rare_known long")
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Automaton = whole.value
-        machine = own.compile()
-        log1 = np.r_[own.log1, 0.0]
-        for batch in K.slices(batches, "text"):
-            hashes, _, first = tokens(batch.column(2))
-            found = own.kept[0].find(hashes)
-            n = np.diff(first)
-            base = np.add.reduceat(log1[found], first[:-1])
-            known = np.add.reduceat((found >= 0).astype(np.int64), first[:-1])
-            numbers = found.tolist()
-            total = [traverse(numbers[a:b], machine) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(total)], names=["doc_id", "_row", "n_tokens", "often_known", "often_log", "walked"])
-
-    walked = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text").mapInArrow(walk, f"doc_id {kind}, _row long, n_tokens long, often_known long, often_log double, walked double")
-    both = walked.join(sums, "_row", "left").withColumn("_same", F.count("*").over(Window.partitionBy("_row")))  # equal rows have asked together
-    log, known = F.coalesce(F.col("rare_log") / F.col("_same"), F.lit(0.0)), F.coalesce(F.expr("rare_known div _same"), F.lit(0))
-    return both.select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", (F.col("often_known") + known).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("often_log") + log).alias("base_score"), (F.col("walked") + log).alias("score"),
-    )
+    model = train(docs.where(~held_out).select("text"), order, least, frequent)
+    send = sc.broadcast((model.frequent, model.base, model.value, model.start))
+    asked = docs.select("doc_id", "text").mapInArrow(_ask(send, order, buckets), ASKED)
+    told = model.values.select("key", "base", "value").mapInArrow(_tell(buckets), ASKED)
+    replies = regroup(asked.unionByName(told)).mapInArrow(_reply(float(np.log10(ADD / model.mass))), ASKED)
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    rows = replies.repartition(parts(docs), "chunk").mapInArrow(_per_chunk(names), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

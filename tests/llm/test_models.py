@@ -159,3 +159,42 @@ def test_classifier(spark):
 def test_votes_abstain_without_labels():
     v = classifier.votes(pa.array(["a b c"]), np.array([0]), np.array([0]), np.empty(0, np.uint64))
     assert (v["toxic"] == 0).all() and v["low"].shape == (1, 6)
+
+
+@pytest.mark.parametrize("frequent", [1 << 20, 40])
+def test_language_model_keeps_ngrams_at_any_size(docs, monkeypatch, frequent):
+    """Scores are those of an automaton of all n-grams that occur twice, also where few words are broadcast."""
+    monkeypatch.setattr(language_model, "CHUNK", 500)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in rows}
+    tokens = {k: [*(t or "").lower().split(), ""] for k, t in rows.items()}
+    seqs = [t for k, t in tokens.items() if not out[k]]
+    uni = Counter(w for t in seqs for w in t)
+    number = {w: k for k, w in enumerate(sorted(w for w, c in uni.items() if c > 1))}
+    names = np.arange(len(number), dtype=np.uint64)
+    model = language_model.Automaton(sum(uni.values()), len(uni), names, np.array([uni[w] for w in number]), len(seqs))
+    two = Counter((a, b) for t in seqs for a, b in zip([None, *t], t, strict=False))
+    pairs = sorted((len(number) if a is None else number[a]) << 32 | number[b] for (a, b), c in two.items() if c > 1)
+    back = [None if k >> 32 == len(number) else list(number)[k >> 32] for k in pairs]
+    last = [list(number)[k & 0xFFFFFFFF] for k in pairs]
+    model.extend(np.array(pairs, np.uint64), np.array([two[p] for p in zip(back, last, strict=True)]))
+    place = {p: k for k, p in enumerate(zip(back, last, strict=True))}
+    three = Counter((a, b, c) for t in seqs for a, b, c in zip([None, *t], t, t[1:], strict=False))
+    kept = {place[a, b] << 32 | number[c]: n for (a, b, c), n in three.items() if n > 1}
+    model.extend(np.array(sorted(kept), np.uint64), np.array([kept[k] for k in sorted(kept)]))
+    model.close()
+    machine, mass = model.compile(), model.mass
+    got = {r["doc_id"]: r["score"] for r in language_model.score(docs, frequent=frequent).collect()}
+    for k, t in tokens.items():
+        rare = sum(math.log10((uni[w] + 0.1) / mass) for w in t if w not in number)
+        assert got[k] == pytest.approx(language_model.traverse([number.get(w, -1) for w in t], machine) + rare, rel=1e-9)
+
+
+def test_language_model_phrase_in_a_large_corpus(spark):
+    """A phrase that occurs six times is still an arc where the corpus has millions of tokens."""
+    out = [zlib.crc32(str(k).encode()) % 10 == 0 for k in range(30)]
+    rows = [(k, "alpha beta gamma") for k in [k for k in range(30) if not out[k]][:6] + [k for k in range(30) if out[k]][:1]]
+    rows += [(k, "filler " * 700_000) for k in [k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 10][:10]]
+    got = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    phrase = next(r for k, r in got.items() if k < 100 and r["held_out"])
+    assert phrase["score"] > phrase["base_score"] + 10
