@@ -40,7 +40,7 @@ def join_nonmissing(*columns: Column, sep: str = "|") -> Column:
 
 def sentence_case(c: Column) -> Column:
     """Each sentence with a capital first letter, the rest in lower case."""
-    one = F.transform(F.split(c, r"\. "), lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1_000_000))))
+    one = F.transform(F.split(c, r"\. "), lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substr(s, F.lit(2)))))
     return F.array_join(one, ". ")
 
 

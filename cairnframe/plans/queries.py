@@ -680,7 +680,7 @@ def sensitivity_rounds(spark, d):
 
 @query()
 def tag_tree(spark, d):
-    e = parquet(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.col("label").alias("g"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("term"), "embedding", (F.col("vec_id") % 7 + 1).alias("freq"))
+    e = parquet(spark, d, "embeddings").select(F.col("label").alias("g"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("term"), "embedding", (F.col("vec_id") % 7 + 1).alias("freq"))
     return hierarchy.tag_tree(e, "g", "term", "embedding", "freq")
 
 

@@ -162,3 +162,16 @@ def test_sections_and_linkage(spark):
     assert one(spark, "This is **bold**.", pages.markdown_inline) == "<p>This is <strong>bold</strong>.</p>"
     merges = hierarchy.average_linkage(np.array([[1, 0], [0.9, 0.1], [0, 1.0]]))
     assert merges[0][:2] == (0, 1) and set(merges[1][:2]) == {3, 2}
+
+
+def test_sentence_case_long(spark):
+    assert one(spark, "a" + "B" * 1_000_005, text.sentence_case) == "A" + "b" * 1_000_005
+
+
+def test_tag_tree_has_every_term(spark):
+    from cairnframe.plans.queries import QUERIES
+
+    from .conftest import DATA
+
+    every = spark.read.parquet(f"{DATA}/embeddings.parquet").select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("t"))
+    assert every.join(QUERIES["tag_tree"](spark, DATA), F.col("t") == F.col("label"), "left_anti").count() == 0
