@@ -5,7 +5,7 @@ in a language is the product over its n-grams; a document's words are drawn from
 proportions expectation-maximisation estimates.  The number of languages is the one with the best likelihood less
 PENALTY * log(words) for each language after the first.
 
-The model has a fixed size: BINS counts for each of at most MAX_LANGS languages (the most frequent ones).
+Every language of the training rows is learned: BINS counts for each, so the model grows with their number alone.
 
 Defined results: null text and text without letters is `und` with score 0; without training rows everything is `und`;
 ties go to the language first in order; other columns never count; equal rows give equal results.
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import _kernel as K
 from ._spark import crc_mod, parts
@@ -28,7 +27,8 @@ UNKNOWN = "und"
 GRAM = 4
 BITS = 17
 BINS = 1 << BITS
-MAX_LANGS = 64
+#: Languages whose counts a task holds before it sends them, and for which a slice of documents has its usual size.
+HELD_LANGS = 64
 CHUNKS = 32
 ROUNDS = 8
 MOST = 3
@@ -124,7 +124,6 @@ def mixture(p: np.ndarray, own: np.ndarray, first: np.ndarray, size: np.ndarray,
 def train(docs: DataFrame) -> Model:
     """docs: the training rows (lang, text).  The driver gets CHUNKS rows of BINS / CHUNKS counts for each language."""
     docs = docs.where("lang is not null").select("lang", "text")
-    langs = {r[0] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
@@ -133,10 +132,12 @@ def train(docs: DataFrame) -> Model:
             own = np.array(batch.column(0).to_pylist(), object)
             bins, firsts, doc = grams(data, offsets)
             of = doc[np.searchsorted(firsts, np.arange(len(bins)), side="right") - 1] if len(bins) else doc
-            for lang in set(own) & langs:
+            for lang in set(own):
                 tables[lang] = tables.get(lang, 0) + np.bincount(bins[(own == lang)[of]], minlength=BINS)
-        rows = [(lang, k, zlib.compress(part.astype(np.int64).tobytes(), 1)) for lang, t in tables.items() for k, part in enumerate(np.split(t, CHUNKS))]
-        yield _batch(rows)
+                if len(tables) >= HELD_LANGS:
+                    yield _packed(tables)
+                    tables = {}
+        yield _packed(tables)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], np.ndarray] = {}
@@ -154,6 +155,10 @@ def train(docs: DataFrame) -> Model:
     return Model(counts)
 
 
+def _packed(tables: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return _batch([(lang, k, zlib.compress(part.astype(np.int64).tobytes(), 1)) for lang, t in tables.items() for k, part in enumerate(np.split(t, CHUNKS))])
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * 3
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string(), pa.int32(), pa.binary()], strict=True)], names=["lang", "chunk", "counts"])
@@ -166,7 +171,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = send.value
-        for batch in K.slices(batches):
+        for batch in K.slices(batches, size=K.SLICE_BYTES * HELD_LANGS // max(HELD_LANGS, len(own.langs))):  # words x languages
             text = batch.column(1)
             data, offsets = K.buffers(text)
             shares, used = own.predict(data, offsets)

@@ -198,3 +198,12 @@ def test_language_model_phrase_in_a_large_corpus(spark):
     got = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     phrase = next(r for k, r in got.items() if k < 100 and r["held_out"])
     assert phrase["score"] > phrase["base_score"] + 10
+
+
+def test_language_learns_every_language(spark):
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = [["".join(rnd.choice(letters) for _ in range(5)) for _ in range(8)] for _ in range(70)]
+    rows = [(k, " ".join(rnd.choice(own[n]) for _ in range(60)), f"l{n:02}") for k, n in enumerate(n for n in range(70) for _ in range(8 if n < 64 else 6))]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert np.mean([got[k] == lang for k, _, lang in rows if lang >= "l64"]) > 0.95
