@@ -199,23 +199,36 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     """Per document: words, hit words, items hit, the verdict and the hit spans (in words)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = SCHEMA.format(id=kind)
-    source = docs.select("doc_id", "text")
-    frames = []
-    for group in _groups(benchmark, max_item_words):
-        send = docs.sparkSession.sparkContext.broadcast(group)
+    groups = _groups(benchmark, max_item_words)
+    if len(groups) > 1:
+        return _by_group(docs, groups, window, coverage).drop("_row")
+    return _match(docs.select("doc_id", "text"), groups[0], window, coverage, schema)
+
+
+def _match(source: DataFrame, group, window: int, coverage: int, schema: str) -> DataFrame:
+    """Hits of one group of items; columns of source after the text go along."""
+    send = source.sparkSession.sparkContext.broadcast(group)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(send.value, window)
+        for batch in K.slices(batches):
+            w, found = matcher.find(batch.column(1))
+            rows = [_row(int(n), *found.get(d, ([], set())), matcher.names, coverage) for d, n in enumerate(w.counts)]
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names=["doc_id", *_NAMES, *batch.schema.names[2:]])
+
+    return source.mapInArrow(match, schema)
+
 
-        def match(batches: Iterator[pa.RecordBatch], send=send) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(send.value, window)
-            for batch in K.slices(batches):
-                w, found = matcher.find(batch.column(1))
-                rows = [_row(int(n), *found.get(d, ([], set())), matcher.names, coverage) for d, n in enumerate(w.counts)]
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *_NAMES])
+#: Tells rows apart, so that documents with one id, or none, never merge.
+ROW = "xxhash64(doc_id, doc_id is null, text, text is null)"
 
-        frames.append(source.mapInArrow(match, schema))
-    if len(frames) == 1:
-        return frames[0]
-    return _united(source, frames, kind, coverage)
+
+def _by_group(docs: DataFrame, groups: list, window: int, coverage: int) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    source = docs.select("doc_id", "text", F.expr(ROW).alias("_row"))
+    schema = SCHEMA.format(id=kind) + ", _row long"
+    return _united([_match(source, g, window, coverage, schema).withColumn("_group", F.lit(k)) for k, g in enumerate(groups)], coverage)
 
 
 _NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
@@ -228,8 +241,9 @@ def _row(n: int, spans: list[tuple[int, int]], items: set[int], names: list[str]
     return n, hit, len(ids), digest(ids), hit > 0 and coverage * hit >= n, [{"start": s, "length": e - s} for s, e in spans], ids
 
 
-def _united(source: DataFrame, frames: list[DataFrame], kind: str, coverage: int) -> DataFrame:
-    """Hits of several groups of items: united in a fold over the spans of a document, which are few."""
+def _united(frames: list[DataFrame], coverage: int) -> DataFrame:
+    """Hits of several groups of items: united in a fold over the spans of a document, which are few.  Equal rows are
+    united once and come out as often as they are."""
     both = frames[0]
     for f in frames[1:]:
         both = both.unionByName(f)
@@ -251,11 +265,13 @@ def _united(source: DataFrame, frames: list[DataFrame], kind: str, coverage: int
         ).otherwise(F.concat(done, F.array(x))),
         lambda done: F.filter(done, lambda x: x["start"] >= 0),
     )
-    rows = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    each = both.groupBy("_row", "_group").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_words", "spans", "items")], F.count("*").alias("_n"))
+    rows = each.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.max("_n").alias("_n"))
+    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
     rows = rows.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["length"]))
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", "items",
+        ((F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", "items", "_row",
     )
 
 
@@ -263,8 +279,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     """The documents that are not contaminated, with all their columns."""
     groups = _groups(benchmark, MAX_ITEM_WORDS)
     if len(groups) > 1:
-        bad_ids = hits(docs, benchmark, window, coverage).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad_ids, docs["doc_id"].eqNullSafe(bad_ids["doc_id"]), "left_anti")
+        bad = _by_group(docs, groups, window, coverage).where("contaminated").select("_row").distinct()
+        return docs.withColumn("_row", F.expr(ROW)).join(bad, "_row", "left_anti").select(*docs.columns)
     items = groups[0]
     send = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index("text")

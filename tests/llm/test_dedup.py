@@ -170,3 +170,15 @@ def test_decontamination(spark, most):
     left = decontaminate.remove_spans(df, bench, max_length=12)
     again = {r["doc_id"]: r["n_hit"] for r in decontaminate.hits(left, spark.createDataFrame([x for x in items if x[1] and len(x[1].split()) >= 13], "item_id long, text string")).collect()}
     assert all(n == 0 for k, n in again.items() if any(r[0] == k and r[5] for r in brute_hits(docs, items)))
+
+
+def test_decontamination_groups_keep_rows_apart(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 20)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(4)]
+    texts = [items[0][1], items[3][1] + " zz", items[1][1] + " yy " + items[2][1], "nothing of it here", "nothing of it here", "something else"]
+    for key in (5, None):
+        docs = [(key, t) for t in texts]
+        df, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+        got = decontaminate.hits(df, bench, max_item_words=20).drop("spans", "items")
+        assert sorted(map(tuple, got.collect())) == brute_hits(docs, items)
+        assert sorted(r["text"] for r in decontaminate.clean(df, bench).collect()) == sorted(texts[3:])
