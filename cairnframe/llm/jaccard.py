@@ -539,6 +539,14 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     return direct.unionByName(derived)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, _row, n_shingles and the component of each document."""
+    meta = keep(describe(docs))
+    labels = components(links(docs, meta)).select(F.col("node").alias("sid"), "component")
+    # copies have one sid, so labels are joined once per set
+    return meta.join(labels, "sid", "left").select("doc_id", "_row", "n_shingles", F.coalesce("component", "sid").alias("component"))
+
+
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each document.
 
@@ -546,20 +554,23 @@ def cluster(docs: DataFrame) -> DataFrame:
     five words are one shingle; equal rows are in one component; a component of null ids alone is null; other columns
     are ignored; an empty table gives no rows.
     """
-    meta = keep(describe(docs))
-    labels = components(links(docs, meta)).select(F.col("node").alias("sid"), "component")
-    # copies have one sid, so labels are joined once per set
-    named = meta.join(labels, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component", "sid").alias("component"))
+    named = _named(docs)
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     some = named.where("n_shingles > 0").join(least, "component").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all columns; of several rows with that
-    doc_id one stays.  Only documents that may go are moved."""
-    key = F.xxhash64("doc_id").alias("_key")
-    ids = cluster(docs).groupBy(key).agg(F.count("*").alias("_n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
+    """One document of each component, the one with the smallest doc_id (nulls last, then by text hash), with all
+    columns; of rows with equal doc_id and text one stays.  Documents that share an id, or have none, are told apart by
+    their text.  Only documents that may go are moved."""
+    none = F.col("doc_id").isNull()
+    key = F.xxhash64(F.xxhash64("doc_id", "text"), none).alias("_key")
+    named = _named(docs).select(F.xxhash64("_row", none).alias("_key"), "doc_id", "n_shingles", "component")
+    rows = keep(named.groupBy("_key").agg(F.count("*").alias("_n"), F.first("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("component").alias("component")))
+    best = rows.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(none.alias("none"), "doc_id", "_key"))["_key"].alias("_best"))
+    linked = rows.where("n_shingles > 0").join(best, "component").select("_key", "_n", (F.col("_key") == F.col("_best")).alias("_stays"))
+    ids = linked.unionByName(rows.where("n_shingles = 0").select("_key", "_n", F.lit(True).alias("_stays")))
     special = keep(ids.where("not _stays or _n > 1").select("_key", "_stays"))
     both = flagged(docs.select("*", key), "_key", special, "_key")
     rest = both.where("_maybe").join(special, "_key", "left").where("coalesce(_stays, true)").dropDuplicates(["_key"])

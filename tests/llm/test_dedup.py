@@ -172,6 +172,16 @@ def test_decontamination(spark, most):
     assert all(n == 0 for k, n in again.items() if any(r[0] == k and r[5] for r in brute_hits(docs, items)))
 
 
+def test_keep_one_null_and_repeated_ids(spark):
+    rnd = random.Random(12)
+    clean = [" ".join(f"c{k}x{rnd.randrange(999)}" for _ in range(30)) for k in range(8)]
+    near = clean[0] + " more"
+    rows = [(None, clean[1]), (None, clean[2]), (None, clean[2]), (5, clean[3]), (5, clean[4]), (1, clean[0]), (7, near), (7, clean[5]), (None, clean[5] + " more"), (None, ""), (None, None), (8, None)]
+    left = jaccard.keep_one(frame(spark, rows)).collect()
+    want = [(None, clean[1]), (None, clean[2]), (5, clean[3]), (5, clean[4]), (1, clean[0]), (7, clean[5]), (None, ""), (None, None), (8, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=repr) == sorted(want, key=repr)
+
+
 def test_decontamination_groups_keep_rows_apart(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 20)
     items = [(k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(4)]
