@@ -1,4 +1,4 @@
-"""Hierarchical tags: term cleaning, average linkage, labels of a tree, tags of documents."""
+"""Hierarchical tags: term cleaning, average linkage, labels of a tree, small clusters merged into large ones."""
 
 from __future__ import annotations
 
