@@ -396,7 +396,7 @@ def redistribute_across(spark, d):
 @query()
 def permutation_test(spark, d):
     o = parquet(spark, d, "orders").withColumn("urgent", F.col("o_orderpriority") == "1-URGENT")
-    return funding.permutation_test(o, "urgent", F.col("o_totalprice"), "o_orderkey", 20, 7)
+    return funding.permutation_test(o, "urgent", F.col("o_totalprice"), "o_orderkey", 1000, 7)
 
 
 # --- networks
@@ -674,7 +674,7 @@ def influence_overlap(spark, d):
 @query()
 def sensitivity_rounds(spark, d):
     l = parquet(spark, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
-    runs = simulate.jittered_relevance(l, "l_suppkey", "l_partkey", "y", 10, 5, threshold=0.33)
+    runs = simulate.jittered_relevance(l, "l_suppkey", "l_partkey", "y", 1000, 5, threshold=0.33)
     return simulate.stability(runs, "person", "share")
 
 

@@ -175,3 +175,16 @@ def test_tag_tree_has_every_term(spark):
 
     every = spark.read.parquet(f"{DATA}/embeddings.parquet").select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("t"))
     assert every.join(QUERIES["tag_tree"](spark, DATA), F.col("t") == F.col("label"), "left_anti").count() == 0
+
+
+def test_simulations_have_the_reference_rounds(spark):
+    from cairnframe.operators import simulate
+    from cairnframe.plans.queries import QUERIES
+
+    from .conftest import DATA
+
+    assert QUERIES["permutation_test"](spark, DATA).first()["rounds"] == 1000
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    runs = simulate.jittered_relevance(rows, "l_suppkey", "l_partkey", "y", 1000, 5, threshold=0.33)
+    want = {r["person"]: r["mean"] for r in simulate.stability(runs, "person", "share").collect()}
+    assert {r["person"]: r["mean"] for r in QUERIES["sensitivity_rounds"](spark, DATA).collect()} == pytest.approx(want)
