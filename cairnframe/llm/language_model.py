@@ -1,22 +1,27 @@
 """Language-model scoring by a weighted backoff automaton (operator 9).
 
-Training counts every token of the training documents (lower-cased words and one end per text) and every n-gram up to
-the order.  N-grams that occur at least LEAST times are states and arcs; the number does not depend on the size of the
-corpus.  Absolute discounting smooths them; what is taken from seen continuations is the weight of the failure arc.
-
-A token costs its unigram, the failures of the kept contexts before it, and for each kept n-gram that ends at it what
-the n-gram's probability gains over failing.  So a document's score is a sum over its n-grams of one value each.  All
-counts and values stay distributed: tasks send the n-grams of their documents, packed, to the buckets that hold the
-values, and the sums come back.  Only words with at least tokens / FREQUENT occurrences are also broadcast, which saves
-traffic and changes no result.  `Automaton` is the same model in the memory of one process.
+Every n-gram of the training texts up to the order, also one that occurs once, is counted and is an arc; the shorter
+ones, and the start of a text, are states.  An arc's weight mixes the share of the context's occurrences that go on with
+the token and what the shorter context says; the mixing weight, which depends on how often the context occurs, is the
+weight of the context's failure arc.  So the weights of a state add up to 1.  No count is left out and nothing depends
+on the size of the corpus.
+
+Counts stay distributed.  A task hashes the tokens of a chunk of documents and sends the chunk's distinct n-grams,
+packed, to buckets; a bucket adds up what training texts hold and sends the chunk the total of each n-gram it asked for.
+Then the chunk knows all arcs and failure arcs its documents meet and traverses them from left to right: the state after
+a token is the longest n-gram that ends there and occurs in training.  The chunk's documents travel with its counts, so a
+lost task is computed again without any other state.  Only words with at least tokens / FREQUENT occurrences are also
+broadcast, which saves traffic and changes no result.  `Automaton` is the same model in the memory of one process.
 
 Defined results: null and empty texts are one end token; without training rows every token is unknown; equal rows get
-equal scores; other columns are ignored; an empty table gives no rows.
+equal scores; a null doc_id counts as the empty string; a very long text is a chunk of its own; other columns are
+ignored, whatever their names; an empty table gives no rows.  Ties play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +34,71 @@ from . import _kernel as K
 from ._spark import crc_mod, keep, parts, regroup
 
 ORDER = 3
-LEAST = 2
+#: Weight of the failure arc of a context of 1, and of 2 or more, tokens that occurs c times: a * c ** -b.
+LEAVE = ((0.95, 0.1), (0.75, 0.3))
 #: At most so many words are broadcast.
 FREQUENT = 1 << 20
 #: Tokens of a chunk of documents, about.
 CHUNK = 1 << 20
-DISCOUNT = 0.75
+#: Tokens of the corpus to a bucket, about, and the most buckets.
+PER_BUCKET, MOST_BUCKETS = 1 << 22, 1 << 16
 ADD = 0.1
 END = np.uint64(0xE17D_E17D_E17D_E17D)
 START = np.uint64(0x57A7_57A7_57A7_57A7)
 
 
+def leave(order: int, times):
+    """Weight of failing from a context of order - 1 tokens that occurs so many times (1 or more)."""
+    a, b = LEAVE[min(order - 2, len(LEAVE) - 1)]
+    return a * np.maximum(times, 1.0) ** -b
+
+
+class Automaton:
+    """The model in memory.  States are the n-grams shorter than the order that occur in training, the empty one and the
+    start of a text among them; texts are lists of tokens, ends included."""
+
+    def __init__(self, texts: Iterable[list[Hashable]], order: int = ORDER):
+        self.order = order
+        self.count: Counter = Counter()
+        for text in texts:
+            line = [None, *text]
+            for n in range(1, order + 1):
+                self.count.update(tuple(line[i - n + 1 : i + 1]) for i in range(max(n - 1, 1), len(line)))
+            self.count[(None,)] += 1
+        words = [k for k in self.count if len(k) == 1 and k != (None,)]
+        self.total, self.distinct = sum(self.count[k] for k in words), len(words)
+        contexts = {k[:-1] for k in self.count if len(k) > 1}  # what stands before the end of a text is one, the end is not
+        self.fail = {k: float(np.log10(leave(len(k) + 1, self.count[k]))) for k in contexts}
+        self.arcs: dict[tuple, float] = {}
+        for k in sorted((k for k in self.count if k != (None,)), key=len):
+            p = (self.count[k] + ADD) / self.mass
+            if len(k) > 1:
+                stay = 1 - 10 ** self.fail[k[:-1]]
+                p = stay * self.count[k] / self.count[k[:-1]] + (1 - stay) * 10 ** self.step(k[1:-1], k[-1])[0]
+            self.arcs[k] = float(np.log10(p))
+
+    @property
+    def mass(self) -> float:
+        return self.total + ADD * (self.distinct + 1)
+
+    def step(self, state: tuple, word: Hashable) -> tuple[float, tuple]:
+        """log10 probability of a token, and the state after it."""
+        cost = 0.0
+        while (*state, word) not in self.arcs:
+            if not state:
+                return cost + float(np.log10(ADD / self.mass)), ()
+            cost, state = cost + self.fail.get(state, 0.0), state[1:]
+        cost, state = cost + self.arcs[*state, word], (*state, word)[-(self.order - 1) :] if self.order > 1 else ()
+        return cost, state
+
+    def traverse(self, text: list[Hashable]) -> float:
+        total, state = 0.0, (None,) if self.order > 1 else ()
+        for word in text:
+            cost, state = self.step(state, word)
+            total += cost
+        return total
+
+
 class Kept:
     """Sorted keys and the place of a key among them, or -1."""
 
@@ -76,9 +135,8 @@ def _key_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return K.mix(K.mix(a + K.U64(n)) * K.U64(0x9E3779B97F4A7C15) + b)
 
 
-def grams(hashes: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By order from 2: keys of the n-grams, those of their first and last n - 1 tokens, and the token each ends at.
-    Before a text stands a start."""
+def grams(hashes: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By order from 2: keys of the n-grams, and the token each ends at.  Before a text stands a start."""
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
     before[first[:-1]] = START
@@ -86,7 +144,7 @@ def grams(hashes: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[n
     prefix, suffix, at = before, hashes, np.arange(len(hashes))
     for n in range(2, order + 1):
         key = _key_of(prefix, suffix, n)
-        yield key, prefix, suffix, at
+        yield key, at
         after = np.flatnonzero(inside[at] >= n - 1)
         prefix, suffix, at = key[after - 1], key[after], at[after]
 
@@ -107,208 +165,21 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for bucket, tally in tallies.items():
         keys, counts = tally.total()
-        rows.append((bucket, keys.tobytes(), counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()))
+        rows.append((bucket, keys.tobytes(), _small(counts).tobytes()))
     yield _pack(rows)
 
 
-class Automaton:
-    """States: 0 is empty; then the words (and the start); then longer n-grams below the highest order."""
-
-    def __init__(self, total: int, distinct: int, words: np.ndarray, counts: np.ndarray, texts: int):
-        self.total, self.distinct, self.texts = total, distinct, texts
-        order = np.argsort(words)
-        self.kept = [Kept(words[order])]
-        self.counts = [np.r_[counts[order], texts]]  # the start occurs once in each text
-        self.log1 = np.log10((counts[order] + ADD) / self.mass)
-        self.prob = [(counts[order] + ADD) / self.mass]
-
-    @property
-    def mass(self) -> float:
-        return self.total + ADD * (self.distinct + 1)
-
-    def extend(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.kept.append(Kept(keys[order]))
-        self.counts.append(counts[order])
-        prefix = (keys[order] >> K.U64(32)).astype(np.int64)
-        self.prob.append((counts[order] - DISCOUNT) / self.counts[-2][prefix])
-
-    def close(self) -> None:
-        """Weights of failure arcs, and suffixes."""
-        self.fail_log, self.suffix = [], []  # by order: of each n-gram as a context
-        for n in range(len(self.kept)):
-            size = len(self.counts[n])
-            seen, lower = np.zeros(size), np.zeros(size)
-            if n + 1 < len(self.kept):
-                keys = self.kept[n + 1].keys
-                prefix, word = (keys >> K.U64(32)).astype(np.int64), (keys & K.U64(0xFFFFFFFF)).astype(np.int64)
-                np.add.at(seen, prefix, self.prob[n + 1])
-                np.add.at(lower, prefix, self.prob[n][self.shorter(n, prefix, word)] if n else self.prob[0][word])
-            self.fail_log.append(np.log10(np.maximum(1 - seen, 1e-9) / np.maximum(1 - lower, 1e-9)))
-            if n:
-                keys = self.kept[n].keys
-                self.suffix.append(self.shorter(n - 1, (keys >> K.U64(32)).astype(np.int64), (keys & K.U64(0xFFFFFFFF)).astype(np.int64)))
-
-    def shorter(self, n: int, prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Number of the n-gram of order n + 1 that ends prefix + word, where prefix is one of order n + 1."""
-        if n == 0:
-            return word
-        keys = self.kept[n].keys[prefix]
-        tail = (keys & K.U64(0xFFFFFFFF)).astype(np.int64) if n == 1 else self.shorter(n - 1, (keys >> K.U64(32)).astype(np.int64), (keys & K.U64(0xFFFFFFFF)).astype(np.int64))
-        return self.kept[n].find(tail.astype(np.uint64) << K.U64(32) | word.astype(np.uint64))
-
-    def compile(self) -> tuple:
-        """arcs {state << 32 | word: (log10 p, state)}, the failure arcs, and what failing down to 0 costs."""
-        base = np.r_[1, 1 + np.cumsum([len(c) for c in self.counts[:-1]])].tolist()
-        top = len(self.kept) - 1
-        states = base[top] if top else 1
-        fail_to, fail_log, arcs = [0] * states, [0.0] * states, {}
-        for n in range(top):
-            logs = self.fail_log[n].tolist()
-            fail_log[base[n] : base[n] + len(logs)] = logs
-            if n:
-                fail_to[base[n] : base[n] + len(logs)] = (self.suffix[n - 1] + base[n - 1]).tolist()
-        for n in range(1, top + 1):
-            keys = self.kept[n].keys
-            prefix, word = (keys >> K.U64(32)).astype(np.int64), (keys & K.U64(0xFFFFFFFF)).astype(np.int64)
-            to = np.arange(len(keys)) + base[n] if n < top else self.suffix[n - 1] + base[n - 1]
-            arcs.update(zip(((prefix + base[n - 1]) << 32 | word).tolist(), zip(np.log10(self.prob[n]).tolist(), to.tolist(), strict=True), strict=True))
-        down = [0.0] * states
-        for s in range(1, states):
-            down[s] = fail_log[s] + down[fail_to[s]]
-        return arcs, fail_to, fail_log, down, self.log1.tolist(), len(self.kept[0].keys) + 1
-
-
-def traverse(words: list[int], machine: tuple) -> float:
-    """log10 probability of a text's tokens, save the unigrams of tokens that are no words of the automaton (-1)."""
-    arcs, fail_to, fail_log, down, log1, state = machine
-    total = 0.0
-    get = arcs.get
-    if len(down) == 1:
-        return sum(log1[w] for w in words if w >= 0)
-    for w in words:
-        if w < 0:
-            total += down[state]
-            state = 0
-            continue
-        while state:
-            arc = get(state << 32 | w)
-            if arc is not None:
-                total += arc[0]
-                state = arc[1]
-                break
-            total += fail_log[state]
-            state = fail_to[state]
-        else:
-            total += log1[w]
-            state = w + 1
-    return total
-
-
-def _arrow(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
-    """Slices of about CHUNK tokens together, hashes of the tokens, and the first token of each document."""
-    held, size = [], 0
-    for batch in K.slices(batches):
-        hashes, _, first = tokens(batch.column(batch.schema.get_field_index("text")))
-        held.append((batch, hashes, first))
-        size += len(hashes)
-        if size >= CHUNK:
-            yield _joined(held)
-            held, size = [], 0
-    if held:
-        yield _joined(held)
-
-
-def _joined(held: list[tuple]) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]:
-    counts = np.concatenate([np.diff(f) for _, _, f in held])
-    return [b for b, _, _ in held], np.concatenate([h for _, h, _ in held]), np.r_[0, np.cumsum(counts)]
-
-
-PARTS = "level int, bucket int, a binary, b binary, counts binary"
-
-
-def _count_grams(order: int, buckets: int):
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes, first in _chunks(batches):
-            for n, (key, a, b, _) in enumerate(grams(hashes, first, order), 2):
-                key, at, counts = np.unique(key, return_index=True, return_counts=True)
-                a, b = a[at], b[at]
-                cuts = np.searchsorted(C.bucket_of(key, buckets), np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cuts)).tolist()
-                small = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
-                x, y, z = ([v[cuts[k] : cuts[k + 1]].tobytes() for k in full] for v in (a, b, small))
-                yield _arrow({"level": ([n] * len(full), pa.int32()), "bucket": (full, pa.int32()), "a": (x, pa.binary()), "b": (y, pa.binary()), "counts": (z, pa.binary())})
-
-    return out
-
-
-def _sum_grams(least: int):
-    """The n-grams of a bucket that occur often enough."""
-
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            for level, bucket, a, b, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault((level, bucket), []).append((a, b, counts))
-        for level, bucket in list(held):
-            blobs = held.pop((level, bucket))
-            a, b = (np.concatenate([np.frombuffer(x[k], np.uint64) for x in blobs]) for k in (0, 1))
-            n = np.concatenate([C.unpacked(x[0], x[2])[1] for x in blobs])
-            key = _key_of(a, b, level)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            n = np.add.reduceat(n[order], first)
-            good = n >= least
-            at = order[first[good]]
-            if len(at):
-                yield _arrow({"level": ([level], pa.int32()), "bucket": ([bucket], pa.int32()), "a": ([a[at].tobytes()], pa.binary()), "b": ([b[at].tobytes()], pa.binary()), "counts": ([n[good].tobytes()], pa.binary())})
-
-    return out
-
-
-def _gram_rows(send):
-    """Kept n-grams as rows; counts of their parts where these are broadcast words."""
-
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, counts = send.value
-        times = np.r_[counts, 0]
-        for batch in batches:
-            for level, _, a, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b, n = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(n, np.int64)
-                parts_ = []
-                for part in (a, b):
-                    at = kept.find(part) if level == 2 else np.full(len(part), -1, np.int64)
-                    parts_.append(pa.array(times[at], mask=at < 0))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (_key_of(a, b, level), a, b)] + [pa.array(n), *parts_], names=["key", "a", "b", "n", "na", "nb"])
-
-    return out
-
-
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            k, n = C.unpacked(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
+class Words:
+    """Totals of the training tokens, and the counts of the frequent words."""
 
+    def __init__(self, total: int, distinct: int, texts: int, words: np.ndarray, counts: np.ndarray):
+        self.total, self.texts, self.mass = total, texts, total + ADD * (distinct + 1)
+        self.kept, self.counts = Kept(words), counts
 
-class Trained:
-    """Totals, the broadcast words (with base and value each), the value of a start, and the table of all values."""
 
-    def __init__(self, total: int, distinct: int, frequent: Kept, base: np.ndarray, value: np.ndarray, start: float, values: DataFrame):
-        self.total, self.mass = total, total + ADD * (distinct + 1)
-        self.frequent, self.base, self.value, self.start, self.values = frequent, base, value, start, values
-
-
-def train(docs: DataFrame, order: int = ORDER, least: int = LEAST, frequent: int = FREQUENT) -> Trained:
+def count_words(docs: DataFrame, frequent: int = FREQUENT) -> Words:
     """docs: the training texts."""
     buckets = 2 * parts(docs)
-    spark = docs.sparkSession
-    sc = spark.sparkContext
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = C.Tally()
@@ -325,7 +196,6 @@ def train(docs: DataFrame, order: int = ORDER, least: int = LEAST, frequent: int
                 yield pa.RecordBatch.from_arrays([pa.array([len(k)]), pa.array([int(c.sum())]), pa.array([int(c[k == END].sum())])], names=["distinct", "total", "texts"])
 
     distinct, total, texts = (int(x or 0) for x in counts.mapInArrow(size, "distinct long, total long, texts long").agg(F.sum("distinct"), F.sum("total"), F.sum("texts")).first())
-    mass = total + ADD * (distinct + 1)
     floor = max(1, -(-total // frequent))
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,201 +206,167 @@ def train(docs: DataFrame, order: int = ORDER, least: int = LEAST, frequent: int
                 if good.any():
                     yield _pack([(bucket, k[good].tobytes(), c[good].tobytes())])
 
-    words, times = C.total((bytes(r["keys"]), bytes(r["counts"])) for r in counts.mapInArrow(often, BLOBS).collect())
-    # a start is a word that occurs once in each text, but only before others
-    known = np.r_[words, START]
-    by = np.argsort(known)
-    send = sc.broadcast((Kept(known[by]), np.r_[times, texts][by]))
+    # at most `frequent` words, by the choice of the floor
+    return Words(total, distinct, texts, *C.total((bytes(r["keys"]), bytes(r["counts"])) for r in counts.mapInArrow(often, BLOBS).collect()))
 
-    grams_ = keep(docs.mapInArrow(_count_grams(order, buckets), PARTS).repartition(parts(docs), "level", "bucket").mapInArrow(_sum_grams(least), PARTS))
-    word = counts.mapInArrow(_word_rows, "key long, n long")
-    prob = lambda n: (F.col(n) + ADD) / mass
 
-    tables, failures = [], []
-    for n in range(2, order + 1):
-        rows = grams_.where(F.col("level") == n).mapInArrow(_gram_rows(send), "key long, a long, b long, n long, na long, nb long")
-        if n == 2:  # rare words are looked up, the others are there already, so no join has a hot key
-            rows = rows.withColumn("hot", F.col("na").isNotNull())
-            for part, own in (("a", "na"), ("b", "nb")):
-                lack = rows.where(F.col(own).isNull()).drop(own).join(word.select(F.col("key").alias(part), F.col("n").alias(own)), part)
-                rows = rows.where(F.col(own).isNotNull()).unionByName(lack)
-            rows = rows.withColumn("lower", prob("nb"))
-        else:
-            before = tables[-1]
-            rows = rows.drop("na", "nb").join(before.select(F.col("key").alias("a"), F.col("n").alias("na")), "a")
-            rows = rows.join(before.select(F.col("key").alias("b"), F.col("p").alias("lower")), "b").withColumn("hot", F.lit(False))
-        rows = rows.withColumn("p", (F.col("n") - DISCOUNT) / F.col("na")).select("key", "a", "n", "p", "lower", "hot")
-        tables.append(rows)
-        left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-9))
-        failures.append(rows.groupBy("a", "hot").agg(F.log10(left("p") / left("lower")).alias("fail")))
-
-    # values of the broadcast words
-    hot = failures[0].where("hot").select("a", "fail").toArrow() if failures else pa.table({"a": pa.array([], pa.int64()), "fail": pa.array([], pa.float64())})
-    context, fail = hot.column("a").to_numpy().view(np.uint64), hot.column("fail").to_numpy()
-    own = np.zeros(len(words))
-    start = float(fail[context == START].sum())
-    at = Kept(words).find(context)
-    own[at[at >= 0]] = fail[at >= 0]
-    base = np.log10((times + ADD) / mass)
-
-    failed = [f.select(F.col("a").alias("key"), F.col("fail").alias("f")) for f in failures]
-    rare = word.where(F.col("n") < floor).select("key", F.log10(prob("n")).alias("base"))
-    rare = rare.join(failures[0].where("not hot").select(F.col("a").alias("key"), F.col("fail").alias("f")), "key", "left") if failures else rare.withColumn("f", F.lit(0.0))
-    values = rare.select("key", "base", (F.col("base") + F.coalesce("f", F.lit(0.0))).alias("value"))
-    for k, (rows, fails) in enumerate(zip(tables, failures, strict=True)):
-        if k == 0:
-            of_hot = rows.where("hot").join(F.broadcast(fails.where("hot").select("a", "fail")), "a")
-            rows = of_hot.unionByName(rows.where("not hot").join(fails.where("not hot").select("a", "fail"), "a").select(of_hot.columns))
-        else:
-            rows = rows.join(fails.select("a", "fail"), "a")
-        gain = rows.select("key", (F.log10("p") - F.col("fail") - F.log10("lower")).alias("gain"))
-        if k + 1 < len(failed):
-            gain = gain.join(failed[k + 1], "key", "left").select("key", (F.col("gain") + F.coalesce("f", F.lit(0.0))).alias("gain"))
-        values = values.unionByName(gain.select("key", F.lit(None).cast("double").alias("base"), F.col("gain").alias("value")))
-    return Trained(total, distinct, Kept(words), base, own + base, start, values)
-
-
-ASKED = "bucket int, kind int, chunk long, size int, a binary, b binary, c binary"
-WORDS, GRAMS, TABLE, HEAD = range(4)
+ASKED = "bucket int, chunk long, size long, a binary, b binary"
 
 
 def _line(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, types, strict=True)], names=["bucket", "kind", "chunk", "size", "a", "b", "c"])
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, types, strict=True)], names=["bucket", "chunk", "size", "a", "b"])
 
 
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
-def _wide(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, f"u{len(blob) // n}").astype(np.int64) if n else np.empty(0, np.int64)
-
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers in byte planes, compressed; the first byte is their width."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
+    return bytes([x.itemsize]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
-def _ask(send, order: int, buckets: int):
-    """The n-grams of a chunk by bucket: keys, how often each occurs, and the documents.  A chunk's head has its
-    documents and the sums of broadcast words."""
 
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, base, value, start = send.value
-        base, value = np.r_[base, 0.0], np.r_[value, 0.0]
-        for k, (own, hashes, first) in enumerate(_chunks(batches)):
-            chunk = (TaskContext.get().partitionId() << 32) | k
-            n = len(first) - 1
-            doc = np.repeat(np.arange(n), np.diff(first))
-            found = frequent.find(hashes)
-            sums = [np.bincount(doc, w, n) for w in (base[found], value[found])]
-            head = pa.Table.from_batches([b.select(["doc_id"]) for b in own]).combine_chunks()
-            for name, x in (("n_tokens", np.diff(first)), ("n_known", np.bincount(doc[found >= 0], minlength=n)), ("base_score", sums[0]), ("score", sums[1] + start)):
-                head = head.append_column(name, pa.array(x))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, head.schema) as writer:
-                writer.write_table(head)
-            yield _line([(chunk % buckets, HEAD, chunk, n, sink.getvalue().to_pybytes(), None, None)])
-            rare = found < 0
-            asked = [(WORDS, hashes[rare], doc[rare])] + [(GRAMS, key, doc[at]) for key, _, _, at in grams(hashes, first, order)]
-            for kind, key, of in asked:
-                by = np.argsort(key, kind="stable")
-                key, of = key[by], of[by]
-                cuts = np.searchsorted(C.bucket_of(key, buckets), np.arange(buckets + 1))
-                rows = []
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    part = key[cuts[b] : cuts[b + 1]]
-                    new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                    rows.append((b, kind, chunk, len(part), part[new].tobytes(), _small(np.diff(np.r_[new, len(part)])).tobytes(), _small(of[cuts[b] : cuts[b + 1]]).tobytes()))
-                yield _line(rows)
+def _opened(blob: bytes, n: int) -> np.ndarray:
+    width = blob[0]
+    planes = np.frombuffer(pa.decompress(blob[1:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"u{width}")[:, 0]
 
-    return out
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Documents of about CHUNK tokens together."""
+    held, size = [], 0
+    for batch in K.slices(batches):
+        data, _ = K.buffers(batch.column(1))
+        held.append(batch)
+        size += 1 + batch.num_rows + int(np.count_nonzero(~K.SPACE_WORDS[data]))
+        if size >= CHUNK:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
-def _tell(buckets: int):
-    """Values by bucket, packed."""
 
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            base, value = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (1, 2))
-            by = np.argsort(key)
-            key, base, value = key[by], base[by], value[by]
-            cuts = np.searchsorted(C.bucket_of(key, buckets), np.arange(buckets + 1))
-            yield _line([(b, TABLE, 0, 0, *(x[cuts[b] : cuts[b + 1]].tobytes() for x in (key, value, base))) for b in np.flatnonzero(np.diff(cuts)).tolist()])
+class Chunk:
+    """The tokens of some documents, and all distinct n-grams of theirs that are not broadcast words, in order."""
 
-    return out
+    def __init__(self, text: pa.ChunkedArray, order: int, words: Kept):
+        self.hashes, self.doc, self.first = tokens(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)
+        self.word = words.find(self.hashes)
+        #: by order: where the n-grams end
+        self.at = [np.flatnonzero(self.word < 0)]
+        keys = [self.hashes[self.at[0]]]
+        for key, at in grams(self.hashes, self.first, order):
+            keys.append(key)
+            self.at.append(at)
+        self.keys, self.place = np.unique(np.concatenate(keys), return_inverse=True)
 
 
-def _reply(unknown: float):
-    """Values of a bucket meet what was asked: sums by document of each chunk."""
+def _ask(send, order: int, buckets: int):
+    """The distinct n-grams of a chunk by bucket, and how often training documents of the chunk hold each.  The chunk's
+    documents go to a bucket as they are."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[1] == HEAD:
-                    yield _line([row])
-                else:
-                    held.setdefault(row[0], []).append(row)
-        for bucket in list(held):
-            blobs = held.pop(bucket)
-            table = [r for r in blobs if r[1] == TABLE]
-            keys, value, base = (np.concatenate([np.frombuffer(r[k], t) for r in table] or [np.empty(0, t)]) for k, t in ((4, np.uint64), (5, np.float64), (6, np.float64)))
-            by = np.argsort(keys, kind="stable")
-            index, value, base = Kept(keys[by]), np.r_[value[by], 0.0], np.r_[base[by], unknown]
-            for _, kind, chunk, size, a, b, c in blobs:
-                if kind == TABLE:
-                    continue
-                asked = np.frombuffer(a, np.uint64)
-                at = np.repeat(index.find(asked), _wide(b, len(asked)))
-                doc = _wide(c, size)
-                if kind == GRAMS:
-                    at, doc = at[at >= 0], doc[at >= 0]
-                if not len(doc):
-                    continue
-                some, place = np.unique(doc, return_inverse=True)
-                if kind == GRAMS:
-                    sums = [np.bincount(place, value[at])]
-                else:
-                    sums = [np.bincount(place, np.where(at >= 0, value[at], unknown)), np.bincount(place, base[at]), np.bincount(place, at >= 0)]
-                yield _line([(bucket, kind, chunk, len(some), _small(some).tobytes(), sums[0].tobytes(), np.concatenate(sums[1:]).tobytes() if len(sums) > 1 else None)])
+        words = send.value
+        for k, table in enumerate(_chunks(batches)):
+            name = (TaskContext.get().partitionId() << 32) | k
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table)
+            yield _line([(name % buckets, name, -1, sink.getvalue().to_pybytes(), None)])
+            chunk = Chunk(table.column(1), order, words.kept)
+            learned = ~np.asarray(table.column(2).combine_chunks().to_numpy(zero_copy_only=False), bool)
+            times = np.bincount(chunk.place, np.concatenate([learned[chunk.doc[at]] for at in chunk.at]), len(chunk.keys)).astype(np.int64)
+            cuts = np.searchsorted(C.bucket_of(chunk.keys, buckets), np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[b], cuts[b + 1])
+                rows.append((b, name, cuts[b + 1] - cuts[b], _squeezed(np.diff(chunk.keys[part], prepend=np.uint64(0))), _squeezed(_small(times[part]))))
+            yield _line(rows)
 
     return out
 
 
-def _per_chunk(names: list[str]):
-    """The documents of each chunk with their sums, added bucket by bucket, so that equal rows get equal sums."""
+def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk gets the counts of what it asked of a bucket, in the order it asked."""
+    held: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[2] < 0:
+                yield _line([row])
+            else:
+                held.setdefault(row[0], []).append(row[1:])
+    for bucket in list(held):
+        asked = held.pop(bucket)
+        sizes = [n for _, n, _, _ in asked]
+        keys = np.concatenate([np.cumsum(_opened(a, n)) for _, n, a, _ in asked])
+        times = np.concatenate([_opened(b, n).astype(np.int64) for _, n, _, b in asked])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        counts = np.empty(len(keys), np.int64)
+        counts[order] = np.repeat(np.add.reduceat(times[order], first), np.diff(np.r_[first, len(keys)]))
+        cuts = np.cumsum([0, *sizes])
+        yield _line([(bucket, chunk, n, _squeezed(_small(counts[i:j])), None) for (chunk, n, _, _), i, j in zip(asked, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+
+
+def _traverse(send, order: int, names: list[str]):
+    """The documents of each chunk with their scores."""
+
+    def finish(rows: list[tuple]) -> pa.Table:
+        words = send.value
+        table = next(pa.ipc.open_stream(a).read_all() for _, n, a in rows if n < 0)
+        chunk = Chunk(table.column(1), order, words.kept)
+        counts = np.concatenate([_opened(a, n).astype(np.int64) for _, n, a in sorted((r for r in rows if r[1] >= 0), key=lambda r: r[0])] or [np.empty(0, np.int64)])
+        if len(counts) != len(chunk.keys):
+            raise ValueError("a chunk of documents and the counts it asked for differ")
+        counts = counts[chunk.place]
+        n, size = len(chunk.hashes), len(chunk.first) - 1
+        first = chunk.first[:-1]
+        context = None
+        base = p = np.empty(0)
+        known = np.empty(0, bool)
+        start = 0
+        for level, at in enumerate(chunk.at, 1):
+            own = np.zeros(n, np.int64)
+            own[at] = counts[start : start + len(at)]
+            start += len(at)
+            if level == 1:
+                frequent = chunk.word >= 0
+                own[frequent] = words.counts[chunk.word[frequent]]
+                base = p = (own + ADD) / words.mass
+                known = own > 0
+            else:  # an arc where the context goes on with the token; failure arcs alone where it does not
+                fail = leave(level, context)
+                p = np.where(context > 0, (1 - fail) * own / np.maximum(context, 1) + fail * p, p)
+            # the next order's contexts end one token earlier; only a start stands before a text
+            context = np.r_[0, own[:-1]]
+            context[first] = words.texts if level == 1 else 0
+        sums = [np.bincount(chunk.doc, w, size) for w in (known, np.log10(base), np.log10(p))]
+        return pa.table([table.column(0), pa.array(np.diff(chunk.first)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(row[2], []).append(row)
+            for bucket, chunk, size, a, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(chunk, []).append((bucket, size, a))
         for chunk in list(held):
-            blobs = held.pop(chunk)
-            head = next(pa.ipc.open_stream(r[4]).read_all() for r in blobs if r[1] == HEAD)
-            known, base, score_ = (head.column(c).to_numpy().copy() for c in ("n_known", "base_score", "score"))
-            for _, kind, _, size, a, b, c in sorted((r for r in blobs if r[1] != HEAD), key=lambda r: (r[1], r[0])):
-                doc = _wide(a, size)
-                score_[doc] += np.frombuffer(b, np.float64)
-                if kind == WORDS:
-                    more = np.frombuffer(c, np.float64)
-                    base[doc] += more[:size]
-                    known[doc] += more[size:].astype(np.int64)
-            for batch in pa.table([head.column("doc_id"), head.column("n_tokens"), pa.array(known), pa.array(base), pa.array(score_)], names=names).to_batches():
-                yield batch
+            yield from finish(held.pop(chunk)).to_batches()
 
     return out
 
 
-def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
     """Base and model scores (log10) of each document."""
-    sc = docs.sparkSession.sparkContext
-    buckets = 2 * parts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     held_out = crc_mod("doc_id", 10) == 0
-    model = train(docs.where(~held_out).select("text"), order, least, frequent)
-    send = sc.broadcast((model.frequent, model.base, model.value, model.start))
-    asked = docs.select("doc_id", "text").mapInArrow(_ask(send, order, buckets), ASKED)
-    told = model.values.select("key", "base", "value").mapInArrow(_tell(buckets), ASKED)
-    replies = regroup(asked.unionByName(told)).mapInArrow(_reply(float(np.log10(ADD / model.mass))), ASKED)
+    words = count_words(docs.where(~held_out).select("text"), frequent)
+    send = docs.sparkSession.sparkContext.broadcast(words)
+    buckets = int(np.clip(-(-words.total // PER_BUCKET), 2 * parts(docs), MOST_BUCKETS))
+    tasks = max(parts(docs), buckets // 2)
+    asked = docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_ask(send, order, buckets), ASKED)
+    replies = asked.repartition(tasks, "bucket").mapInArrow(_reply, ASKED)
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-    rows = replies.repartition(parts(docs), "chunk").mapInArrow(_per_chunk(names), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = replies.repartition(tasks, "chunk").mapInArrow(_traverse(send, order, names), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -101,22 +101,10 @@ def test_language_model_base_and_whole(docs):
 def test_automaton_is_a_distribution():
     """In every state the probabilities of all tokens, unknown ones as one, add up to 1."""
     rnd = random.Random(1)
-    texts = [[rnd.choice([0, 0, 1, 2, 3]) for _ in range(20)] + [4] for _ in range(50)]
-    words = np.array([11, 22, 33, 44, 55], np.uint64)
-    uni, two = Counter(w for t in texts for w in t), Counter()
-    for t in texts:
-        for a, b in zip([5, *t], t, strict=False):
-            two[a << 32 | b] += 1
-    model = language_model.Automaton(sum(uni.values()), 5, words, np.array([uni[k] for k in range(5)]), len(texts))
-    keys = [k for k, c in two.items() if c >= 5]
-    model.extend(np.array(keys, np.uint64), np.array([two[k] for k in keys]))
-    model.close()
-    arcs, fail_to, fail_log, down, log1, start = model.compile()
-    unknown = 0.1 / model.mass
-    for state in range(len(down)):
-        machine = (arcs, fail_to, fail_log, down, log1, state)
-        known = sum(10 ** language_model.traverse([w], machine) for w in range(5))
-        assert known + unknown * 10 ** language_model.traverse([-1], machine) == pytest.approx(1, abs=1e-6)
+    model = language_model.Automaton([[rnd.choice("aaabcd") for _ in range(20)] + ["end"] for _ in range(50)])
+    for state in model.fail:
+        assert sum(10 ** model.step(state, w)[0] for w in ["a", "b", "c", "d", "end", "unknown"]) == pytest.approx(1, abs=1e-9)
+    assert len(model.fail) > 20
 
 
 def test_label_model_recovers_answers():
@@ -161,33 +149,64 @@ def test_votes_abstain_without_labels():
     assert (v["toxic"] == 0).all() and v["low"].shape == (1, 6)
 
 
+def brute_scores(rows, out, order=3):
+    """Every n-gram of the training rows counted in one dictionary; an independent reading of the model."""
+    tokens = {k: [*(t or "").lower().split(), "\n"] for k, t in rows}
+    count = Counter()
+    for (k, _), t in zip(rows, [tokens[k] for k, _ in rows], strict=True):
+        if not out[k]:
+            line = ["\r", *t]
+            count.update(tuple(line[i:j]) for i in range(len(line)) for j in range(i + 1, min(i + order, len(line)) + 1))
+    total = sum(n for g, n in count.items() if len(g) == 1 and g != ("\r",))
+    mass = total + 0.1 * (sum(len(g) == 1 and g != ("\r",) for g in count) + 1)
+
+    def p(context, w):
+        if not context:
+            return (count[w,] + 0.1) / mass
+        lower = p(context[1:], w)
+        if not (c := count[context]):
+            return lower
+        a, b = language_model.LEAVE[len(context) - 1]
+        return (1 - a * c**-b) * count[*context, w] / c + a * c**-b * lower
+
+    def one(t):
+        line = ["\r", *t]
+        return sum(math.log10(p(tuple(line[max(0, i - order + 1) : i]), line[i])) for i in range(1, len(line)))
+
+    return {k: one(t) for k, t in tokens.items()}
+
+
 @pytest.mark.parametrize("frequent", [1 << 20, 40])
-def test_language_model_keeps_ngrams_at_any_size(docs, monkeypatch, frequent):
-    """Scores are those of an automaton of all n-grams that occur twice, also where few words are broadcast."""
+def test_language_model_is_whole_at_any_size(spark, docs, monkeypatch, frequent):
+    """Scores are those of all n-grams, also where few words are broadcast and chunks and buckets are many."""
     monkeypatch.setattr(language_model, "CHUNK", 500)
-    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    out = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in rows}
-    tokens = {k: [*(t or "").lower().split(), ""] for k, t in rows.items()}
-    seqs = [t for k, t in tokens.items() if not out[k]]
-    uni = Counter(w for t in seqs for w in t)
-    number = {w: k for k, w in enumerate(sorted(w for w, c in uni.items() if c > 1))}
-    names = np.arange(len(number), dtype=np.uint64)
-    model = language_model.Automaton(sum(uni.values()), len(uni), names, np.array([uni[w] for w in number]), len(seqs))
-    two = Counter((a, b) for t in seqs for a, b in zip([None, *t], t, strict=False))
-    pairs = sorted((len(number) if a is None else number[a]) << 32 | number[b] for (a, b), c in two.items() if c > 1)
-    back = [None if k >> 32 == len(number) else list(number)[k >> 32] for k in pairs]
-    last = [list(number)[k & 0xFFFFFFFF] for k in pairs]
-    model.extend(np.array(pairs, np.uint64), np.array([two[p] for p in zip(back, last, strict=True)]))
-    place = {p: k for k, p in enumerate(zip(back, last, strict=True))}
-    three = Counter((a, b, c) for t in seqs for a, b, c in zip([None, *t], t, t[1:], strict=False))
-    kept = {place[a, b] << 32 | number[c]: n for (a, b, c), n in three.items() if n > 1}
-    model.extend(np.array(sorted(kept), np.uint64), np.array([kept[k] for k in sorted(kept)]))
-    model.close()
-    machine, mass = model.compile(), model.mass
-    got = {r["doc_id"]: r["score"] for r in language_model.score(docs, frequent=frequent).collect()}
-    for k, t in tokens.items():
-        rare = sum(math.log10((uni[w] + 0.1) / mass) for w in t if w not in number)
-        assert got[k] == pytest.approx(language_model.traverse([number.get(w, -1) for w in t], machine) + rare, rel=1e-9)
+    monkeypatch.setattr(language_model, "PER_BUCKET", 300)
+    extra = [(900, "the Of the of AND in that of the of"), (901, "the of unseenword the of"), (902, "the of the of"), (902, "the of the of"), (903, "x " * 30_000), (None, "the of null"), (None, "the of null")]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string")).selectExpr("*", "'q' as bucket", "1 as chunk", "true as held_out", "2.0 as score")
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    out = {k: zlib.crc32(("" if k is None else str(k)).encode()) % 10 == 0 for k, _ in rows}
+    want = brute_scores(rows, out)
+    model = language_model.Automaton([[*(t or "").lower().split(), "\n"] for k, t in rows if not out[k]])
+    got = language_model.score(df, frequent=frequent).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
+    texts = dict(rows)
+    for k in (0, 5, 150, 900, 901):
+        assert model.traverse([*(texts[k] or "").lower().split(), "\n"]) == pytest.approx(want[k], rel=1e-9)
+
+
+def test_language_model_gains_with_the_corpus(spark):
+    """Held-out perplexity falls as training texts are added."""
+    rnd = random.Random(7)
+    phrases = [" ".join(rnd.choice("ka lo mi nu pe ra su".split()) + rnd.choice("ba de fi".split()) for _ in range(4)) for _ in range(60)]
+    rows = [(k, " ".join(rnd.choice(phrases) for _ in range(12))) for k in range(600)]
+    out = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 10 == 0]
+    perplexity = []
+    for n in (30, 150, 600):
+        got = language_model.score(spark.createDataFrame([r for r in rows if r[0] < n or r[0] in out], "doc_id long, text string")).where("held_out").collect()
+        perplexity.append(-sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got))
+    assert perplexity[0] > perplexity[1] > perplexity[2]
 
 
 def test_language_model_phrase_in_a_large_corpus(spark):
