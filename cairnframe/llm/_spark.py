@@ -28,13 +28,22 @@ def keep(df: DataFrame) -> DataFrame:
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
-            folder = tempfile.mkdtemp(prefix="checkpoints-")  # only where no cluster names a shared folder, as in tests
+            folder = tempfile.mkdtemp(prefix="checkpoints-")  # one machine, and no folder named
         sc.setCheckpointDir(folder)
     return df.checkpoint(True)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df, if each reading of it gives the same rows in the same partitions and order, as that of files does; else, as
+    where rows come through a shuffle, df written once."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return keep(df) if "Exchange" in plan or "Shuffle" in plan else df
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

@@ -9,9 +9,11 @@ on the size of the corpus.
 Counts stay distributed.  A task hashes the tokens of a chunk of documents and sends the chunk's distinct n-grams,
 packed, to buckets; a bucket adds up what training texts hold and sends the chunk the total of each n-gram it asked for.
 Then the chunk knows all arcs and failure arcs its documents meet and traverses them from left to right: the state after
-a token is the longest n-gram that ends there and occurs in training.  The chunk's documents travel with its counts, so a
-lost task is computed again without any other state.  Only words with at least tokens / FREQUENT occurrences are also
-broadcast, which saves traffic and changes no result.  `Automaton` is the same model in the memory of one process.
+a token is the longest n-gram that ends there and occurs in training.  The documents of a chunk meet its counts by the
+chunk's name, a hash of its texts, so a lost task is computed again without any other state.  An n-gram travels as the
+top bits of a hash: SPARE bits more than it takes to number all n-grams of the corpus.  Only words with at least
+tokens / FREQUENT occurrences are also broadcast, which saves traffic and changes no result.  `Automaton` is the same
+model in the memory of one process.
 
 Defined results: null and empty texts are one end token; without training rows every token is unknown; equal rows get
 equal scores; a null doc_id counts as the empty string; a very long text is a chunk of its own; other columns are
@@ -20,18 +22,18 @@ ignored, whatever their names; an empty table gives no rows.  Ties play no part.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _counts as C
 from . import _kernel as K
-from ._spark import crc_mod, keep, parts, regroup
+from ._spark import crc_mod, keep, parts, regroup, steady
 
 ORDER = 3
 #: Weight of the failure arc of a context of 1, and of 2 or more, tokens that occurs c times: a * c ** -b.
@@ -39,7 +41,9 @@ LEAVE = ((0.95, 0.1), (0.75, 0.3))
 #: At most so many words are broadcast.
 FREQUENT = 1 << 20
 #: Tokens of a chunk of documents, about.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
+#: Bits of an n-gram's hash beyond those that number all n-grams: one n-gram in 2 ** SPARE shares its hash with another.
+SPARE = 24
 #: Tokens of the corpus to a bucket, about, and the most buckets.
 PER_BUCKET, MOST_BUCKETS = 1 << 22, 1 << 16
 ADD = 0.1
@@ -251,8 +255,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 class Chunk:
     """The tokens of some documents, and all distinct n-grams of theirs that are not broadcast words, in order."""
 
-    def __init__(self, text: pa.ChunkedArray, order: int, words: Kept):
-        self.hashes, self.doc, self.first = tokens(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)
+    def __init__(self, text: pa.ChunkedArray, order: int, words: Kept, bits: int):
+        self.hashes, self.doc, self.first = tokens(text.combine_chunks())
         self.word = words.find(self.hashes)
         #: by order: where the n-grams end
         self.at = [np.flatnonzero(self.word < 0)]
@@ -260,25 +264,33 @@ class Chunk:
         for key, at in grams(self.hashes, self.first, order):
             keys.append(key)
             self.at.append(at)
-        self.keys, self.place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.keys, self.place = np.unique(np.concatenate(keys) >> K.U64(64 - bits), return_inverse=True)
 
 
-def _ask(send, order: int, buckets: int):
-    """The distinct n-grams of a chunk by bucket, and how often training documents of the chunk hold each.  The chunk's
-    documents go to a bucket as they are."""
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Chunks with their names: equal names mean equal texts, and equal parts in training."""
+    for table in _chunks(batches):
+        digest = hashlib.blake2b(digest_size=8)
+        data, offsets = K.buffers(table.column(1).combine_chunks())
+        for part in (data, offsets, np.packbits(_learned(table))):
+            digest.update(np.ascontiguousarray(part))
+        yield int.from_bytes(digest.digest(), "little", signed=True), table
+
+
+def _learned(table: pa.Table) -> np.ndarray:
+    return ~table.column(2).combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _ask(send, order: int, buckets: int, bits: int):
+    """The distinct n-grams of a chunk by bucket, and how often training documents of the chunk hold each."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = send.value
-        for k, table in enumerate(_chunks(batches)):
-            name = (TaskContext.get().partitionId() << 32) | k
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(table)
-            yield _line([(name % buckets, name, -1, sink.getvalue().to_pybytes(), None)])
-            chunk = Chunk(table.column(1), order, words.kept)
-            learned = ~np.asarray(table.column(2).combine_chunks().to_numpy(zero_copy_only=False), bool)
+        for name, table in _named(batches):
+            chunk = Chunk(table.column(1), order, words.kept, bits)
+            learned = _learned(table)
             times = np.bincount(chunk.place, np.concatenate([learned[chunk.doc[at]] for at in chunk.at]), len(chunk.keys)).astype(np.int64)
-            cuts = np.searchsorted(C.bucket_of(chunk.keys, buckets), np.arange(buckets + 1))
+            cuts = np.searchsorted(C.bucket_of(chunk.keys << K.U64(64 - bits), buckets), np.arange(buckets + 1))
             rows = []
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 part = slice(cuts[b], cuts[b + 1])
@@ -288,15 +300,21 @@ def _ask(send, order: int, buckets: int):
     return out
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each chunk, compressed, as a row of size -1."""
+    for name, table in _named(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        yield _line([(-1, name, -1, sink.getvalue().to_pybytes(), None)])
+
+
 def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each chunk gets the counts of what it asked of a bucket, in the order it asked."""
     held: dict[int, list[tuple]] = {}
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[2] < 0:
-                yield _line([row])
-            else:
-                held.setdefault(row[0], []).append(row[1:])
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.setdefault(bucket, []).append(row)
     for bucket in list(held):
         asked = held.pop(bucket)
         sizes = [n for _, n, _, _ in asked]
@@ -311,20 +329,19 @@ def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _line([(bucket, chunk, n, _squeezed(_small(counts[i:j])), None) for (chunk, n, _, _), i, j in zip(asked, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
 
 
-def _traverse(send, order: int, names: list[str]):
+def _traverse(send, order: int, bits: int, names: list[str]):
     """The documents of each chunk with their scores."""
 
-    def finish(rows: list[tuple]) -> pa.Table:
+    def finish(table: pa.Table, replies: dict[int, tuple[int, bytes]]) -> pa.Table:
         words = send.value
-        table = next(pa.ipc.open_stream(a).read_all() for _, n, a in rows if n < 0)
-        chunk = Chunk(table.column(1), order, words.kept)
-        counts = np.concatenate([_opened(a, n).astype(np.int64) for _, n, a in sorted((r for r in rows if r[1] >= 0), key=lambda r: r[0])] or [np.empty(0, np.int64)])
+        chunk = Chunk(table.column(1), order, words.kept, bits)
+        counts = np.concatenate([_opened(a, n).astype(np.int64) for _, (n, a) in sorted(replies.items())] or [np.empty(0, np.int64)])
         if len(counts) != len(chunk.keys):
-            raise ValueError("a chunk of documents and the counts it asked for differ")
+            raise ValueError("a chunk of documents does not find the counts it asked for")
         counts = counts[chunk.place]
         n, size = len(chunk.hashes), len(chunk.first) - 1
         first = chunk.first[:-1]
-        context = None
+        context = np.empty(0, np.int64)
         base = p = np.empty(0)
         known = np.empty(0, bool)
         start = 0
@@ -337,7 +354,7 @@ def _traverse(send, order: int, names: list[str]):
                 own[frequent] = words.counts[chunk.word[frequent]]
                 base = p = (own + ADD) / words.mass
                 known = own > 0
-            else:  # an arc where the context goes on with the token; failure arcs alone where it does not
+            else:  # the arc of a state that goes on with the token, and the failure arc of one that does not
                 fail = leave(level, context)
                 p = np.where(context > 0, (1 - fail) * own / np.maximum(context, 1) + fail * p, p)
             # the next order's contexts end one token earlier; only a start stands before a text
@@ -347,12 +364,18 @@ def _traverse(send, order: int, names: list[str]):
         return pa.table([table.column(0), pa.array(np.diff(chunk.first)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        heads: dict[int, list[bytes]] = {}
+        replies: dict[int, dict[int, tuple[int, bytes]]] = {}
         for batch in batches:
             for bucket, chunk, size, a, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(chunk, []).append((bucket, size, a))
-        for chunk in list(held):
-            yield from finish(held.pop(chunk)).to_batches()
+                if size < 0:
+                    heads.setdefault(chunk, []).append(a)
+                else:  # chunks with equal texts get equal replies
+                    replies.setdefault(chunk, {})[bucket] = (size, a)
+        for chunk in list(heads):
+            own = replies.pop(chunk, {})
+            for blob in heads.pop(chunk):
+                yield from finish(pa.ipc.open_stream(blob).read_all(), own).to_batches()
 
     return out
 
@@ -360,13 +383,16 @@ def _traverse(send, order: int, names: list[str]):
 def score(docs: DataFrame, order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
     """Base and model scores (log10) of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = steady(docs.select("doc_id", "text"))
     held_out = crc_mod("doc_id", 10) == 0
     words = count_words(docs.where(~held_out).select("text"), frequent)
     send = docs.sparkSession.sparkContext.broadcast(words)
     buckets = int(np.clip(-(-words.total // PER_BUCKET), 2 * parts(docs), MOST_BUCKETS))
+    bits = min(64, (words.total * order + 1).bit_length() + SPARE)
     tasks = max(parts(docs), buckets // 2)
-    asked = docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_ask(send, order, buckets), ASKED)
-    replies = asked.repartition(tasks, "bucket").mapInArrow(_reply, ASKED)
+    source = docs.select("doc_id", "text", held_out.alias("held_out"))
+    replies = source.mapInArrow(_ask(send, order, buckets, bits), ASKED).repartition(tasks, "bucket").mapInArrow(_reply, ASKED)
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-    rows = replies.repartition(tasks, "chunk").mapInArrow(_traverse(send, order, names), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    met = replies.unionByName(source.mapInArrow(_documents, ASKED)).repartition(tasks, "chunk")
+    rows = met.mapInArrow(_traverse(send, order, bits, names), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")
