@@ -3,17 +3,19 @@
 A word is a linked list of symbols and a heap of its adjacent pairs by merge rank.  The lowest-rank pair is popped and
 merged until none is left; the count is the initial symbols minus the merges.  No identifiers are made.  The count of a
 space-delimited piece of text does not depend on what stands around it, so pieces are counted once per worker and
-remembered in two generations of a table of bounded size.
+remembered in two generations of a table of bounded size.  Letters beyond ASCII are normalised and split by the
+library's own tables, whatever Unicode version they are; merging is done here.
 
 Defined results: null or empty text has 0 bytes and 0 tokens; a special string inside a text is one token, as the
-vocabulary file says; equal rows give equal results; other columns are ignored; an empty table gives no rows.
+vocabulary file says; of pairs with equal rank the leftmost is merged first; equal rows give equal results; very long
+texts are counted whole; a null doc_id stays null; other columns are ignored, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,10 +66,13 @@ class Counter(dict):
 
     def __init__(self, path: str, remember: int = REMEMBER):
         import regex
+        from tokenizers import Tokenizer
 
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.ranks = {(a, b): r for r, (a, b) in enumerate(pairs)}
@@ -99,14 +104,14 @@ class Counter(dict):
     def _plain(self, piece: str) -> int:
         if not piece:
             return 0
-        text = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        return sum(map(self._word, self.pattern.findall(text.lower())))
+        if not piece.isascii():
+            return sum(self._word(w) for w, _ in self.split(self.normal(piece)))
+        return sum(self._word("".join([self.symbols[b] for b in w.encode()])) for w in self.pattern.findall(piece.lower()))
 
     def _word(self, word: str) -> int:
+        """Tokens of a word, given as the symbols of its bytes."""
         if (n := self.words.get(word)) is None:
-            symbols = [self.symbols[b] for b in word.encode("utf-8", "replace")]
-            symbols[-1] += self.suffix
-            n = count_merges(symbols, self.ranks)
+            n = count_merges([*word[:-1], word[-1] + self.suffix], self.ranks)
             if len(self.words) >= self.remember:
                 self.words.clear()
             if len(word) <= 64:
