@@ -1,17 +1,23 @@
 """Quality classifier from weak labels (operator 10).
 
-Two questions are asked of a document: is it of low quality, is it toxic.  For each, heuristic labellers vote yes, no
-or abstain.  Expectation-maximisation over the counts of vote patterns of all documents estimates how each labeller
-votes given the hidden answer, and so the posterior of each pattern.  The posteriors of a bounded sample of documents
-train a linear scorer over hashed words (logistic regression); the scorer, which sees the whole text, decides alone.
+Two questions are asked of a document: is it of low quality, is it toxic.  For each, overlapping heuristic labellers
+vote yes, no or abstain; the given label, where there is one, is one more labeller.  Expectation-maximisation over the
+counts of vote patterns of all documents estimates how each labeller, the given label too, answers for each hidden kind
+of document, and so the posterior of each pattern.  Posteriors are the only targets of the scorer: a linear scorer over hashed words and steps of
+a few ratios (logistic regression) learns them on a sample drawn by hash from all documents, labelled or not.  The
+scorer, which sees the whole text, decides alone.
 
 Bounds, all of them parameters: MAX_LABELLED rows of `labels` (the smallest hashes of doc_id) teach the toxic words and
-vote as one more labeller; MAX_TRAINING documents (labelled ones first, then the smallest hashes) train the scorer.
-Everything else covers all documents.  Vote patterns are at most 3 ** labellers.
+vote; MAX_TRAINING documents (a quarter of likely low quality, a quarter likely toxic, half neither, each by hash) with
+at most MAX_FEATURES features train the scorer.  Everything else covers all documents.  Vote patterns are at most
+3 ** labellers.
 
 Defined results: null, empty and wordless texts are kept with scores of the bias alone unless a labeller says
 otherwise; null labels abstain, and of several label rows of a document the largest values count; without any labels the
-toxic question has no labeller and nobody is toxic; equal texts get equal scores; other columns are ignored.
+toxic question has no labeller and nobody is toxic; equal texts get equal scores, and each row of a repeated document
+votes; documents without id have no label; ties in the sample's order go by the features; very long texts are read
+whole, and train the scorer if the features of the sample hold them; other columns are ignored by `classify` and passed
+through by `keep_good`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,16 +36,23 @@ from .quality_rules import base_counts, by_doc
 
 MAX_LABELLED = 20_000
 MAX_TRAINING = 8_000
+MAX_FEATURES = 8_000_000
 BITS = 20
-LEXICON = 20_000
+WORDS = 1 << BITS
 STEM = 5
-#: A word belongs to the lexicon if so many labelled toxic documents hold it, and so large a part of all that do.
-MIN_TOXIC = 3
+#: Steps of a ratio; each ratio has one feature for each step.
+STEPS = 21
+RATIOS = 5
+#: Features: hashed words and stems, steps of the ratios, and the bias.
+SIZE = WORDS + RATIOS * STEPS + 1
+#: A word belongs to a lexicon if so large a part of the labelled documents that hold it are toxic, and if that many
+#: would be toxic by chance with less than this probability.
 MIN_PRECISION = 0.9
+MAX_CHANCE = 1e-5
 REJECT = 0.72
 QUESTIONS = ("low", "toxic")
 #: labellers of each question; the last of each is the given label
-LABELLERS = {"low": 6, "toxic": 4}
+LABELLERS = {"low": 6, "toxic": 5}
 
 
 def words_of(text: pa.Array) -> tuple[K.Words, np.ndarray, np.ndarray]:
@@ -59,16 +72,16 @@ def unique_pairs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature): words, their stems, and steps of a few ratios, hashed to BITS bits."""
+    """(document, feature): words and their stems, hashed to BITS bits, and steps of a few ratios."""
     data, offsets = K.buffers(text)
     w, h, stem = words_of(text)
     shift = K.U64(64 - BITS)
     ratios = shares(K.find_words(data, offsets, K.SPACE_WORDS))
     n = len(offsets) - 1
-    steps = [K.mix(np.minimum(20 * r, 20).astype(np.uint64) + K.U64(1000 * (k + 1))) >> shift for k, r in enumerate(ratios.values())]
+    steps = [WORDS + STEPS * k + np.minimum((STEPS - 1) * r, STEPS - 1).astype(np.int64) for k, r in enumerate(ratios.values())]
     doc = np.concatenate([w.doc, w.doc, *[np.arange(n)] * len(steps)])
-    value = np.concatenate([K.mix(h + K.U64(7)) >> shift, stem >> shift, *steps])
-    return unique_pairs(doc, value.astype(np.int64))
+    value = np.concatenate([(K.mix(h + K.U64(7)) >> shift).astype(np.int64), (stem >> shift).astype(np.int64), *steps])
+    return unique_pairs(doc, value)
 
 
 def shares(w: K.Words) -> dict[str, np.ndarray]:
@@ -92,7 +105,24 @@ def shares(w: K.Words) -> dict[str, np.ndarray]:
     }
 
 
-def votes(text: pa.Array, quality: np.ndarray, toxic: np.ndarray, lexicon: np.ndarray) -> dict[str, np.ndarray]:
+class Lexicon:
+    """Sorted hashes of words and stems that mark toxic documents, as three sets of labelled documents teach them: the two
+    halves of the labelled documents, and all."""
+
+    def __init__(self, keys: np.ndarray, taught: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.taught = keys[order], taught[order]
+
+    def of(self, *keys: np.ndarray) -> np.ndarray:
+        """By word, bits of the sets that hold the word or its stem."""
+        out = np.zeros(len(keys[0]), np.uint8)
+        for key in keys if len(self.keys) else ():
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out |= np.where(self.keys[at] == key, self.taught[at], 0).astype(np.uint8)
+        return out
+
+
+def votes(text: pa.Array, quality: np.ndarray, toxic: np.ndarray, lexicon: Lexicon) -> dict[str, np.ndarray]:
     """By question, (documents x labellers) of 1 yes, -1 no, 0 abstain."""
     data, offsets = K.buffers(text)
     plain = K.find_words(data, offsets, K.SPACE_WORDS)
@@ -101,71 +131,88 @@ def votes(text: pa.Array, quality: np.ndarray, toxic: np.ndarray, lexicon: np.nd
     say = lambda x, yes, no: np.where(x > yes, 1, np.where((x <= no) & long_enough, -1, 0))
     low = [say(r["repeat"], 0.5, 0.25), say(r["upper"], 0.5, 0.3), say(r["lines"], 0.3, 0.0), say(r["symbols"], 0.3, 0.1), say(r["stutter"], 0.2, 0.02)]
     w, h, stem = words_of(text)
-    hit = np.zeros(len(h), bool)
-    for key in (h, stem) if len(lexicon) else ():
-        at = np.minimum(np.searchsorted(lexicon, key), len(lexicon) - 1)
-        hit |= lexicon[at] == key
     n = len(offsets) - 1
-    odd = (h & K.U64(1)).astype(bool)
-    a, b = (np.bincount(w.doc[hit & x], minlength=n) for x in (odd, ~odd))
-    some = (lambda x: np.where(x > 0, 1, -1)) if len(lexicon) else np.zeros_like
-    toxics = [some(a), some(b), some(a + b > np.maximum(1, 0.01 * w.counts))]
+    if len(lexicon.keys):
+        hit = lexicon.of(h, stem)
+        half = [np.bincount(w.doc[hit & k > 0], minlength=n) for k in (1, 2)]
+        doc, value = unique_pairs(w.doc[hit > 0], h[hit > 0])
+        distinct, share = np.bincount(doc, minlength=n), np.bincount(w.doc[hit > 0], minlength=n) / np.maximum(w.counts, 1)
+        # a word of either half of the lexicon; several words of it; a share of words in it
+        toxics = [say(half[0], 0, 0), say(half[1], 0, 0), say(distinct, 1, 0), say(share, 0.01, 0)]
+    else:
+        toxics = [np.zeros(n, np.int64)] * (LABELLERS["toxic"] - 1)
     return {"low": np.stack([*low, -quality], 1), "toxic": np.stack([*toxics, toxic], 1)}
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, trust: float = 0.97) -> np.ndarray:
+def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Posterior of `yes` for each pattern of votes.
 
-    The last labeller is the given label.  It is trusted to be right with probability `trust`; where it is absent,
-    the posterior comes from how each other labeller votes (no, abstains, yes) under either answer, which is what
-    expectation-maximisation estimates.  The start is the majority vote.
+    Documents can be bad in several ways that exclude each other, so the hidden answer is no or one of as many kinds of
+    yes as there are heuristic labellers.  Expectation-maximisation estimates how often each labeller, the given label
+    (the last) like the others, says yes to documents of each kind; an abstention says nothing.  It starts with kind j
+    where labeller j says yes.  A kind counts as yes as often as given labels say yes to its documents, or wholly where
+    there are no given labels.
     """
-    given, patterns = patterns[:, -1], patterns[:, :-1]
-    anchored = np.where(given > 0, trust, 1 - trust)
-    q = np.where(given != 0, anchored, np.where((patterns > 0).any(1), 0.9, 0.05))
+    given, n = patterns[:, -1], patterns.shape[1] - 1
+    yes = patterns[:, :-1] > 0
+    q = np.empty((len(patterns), n + 1))
+    q[:, 1:] = np.where(yes.any(1)[:, None], 0.9 * yes / np.maximum(yes.sum(1), 1)[:, None], 0.05 / n)
+    q[:, 0] = 1 - q[:, 1:].sum(1)
     for _ in range(rounds):
-        yes, no = counts * q, counts * (1 - q)
-        total = np.full(len(q), np.log((yes.sum() + 1) / (no.sum() + 1)))
-        for j in range(patterns.shape[1]):
-            for v in (-1, 0, 1):
-                at = patterns[:, j] == v
-                total[at] += np.log(((yes[at].sum() + 0.5) / (yes.sum() + 1.5)) / ((no[at].sum() + 0.5) / (no.sum() + 1.5)))
-        q = np.where(given != 0, anchored, 1 / (1 + np.exp(-np.clip(total, -30, 30))))
-    return q
+        weight = counts[:, None] * q
+        total = np.repeat(np.log((weight.sum(0) + 1) / (weight.sum() + n + 1))[None], len(q), 0)
+        for votes_ in patterns.T:
+            said = weight[votes_ != 0].sum(0) + 1
+            for v in (-1, 1):
+                total[votes_ == v] += np.log((weight[votes_ == v].sum(0) + 0.5) / said)
+        q = np.exp(total - total.max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+    kinds = np.r_[0.0, np.ones(n)]
+    if (given != 0).any():
+        said_yes, said_no = ((counts[:, None] * q)[given == v].sum(0) for v in (1, -1))
+        kinds = (said_yes + np.r_[0.05, np.ones(n)]) / (said_yes + said_no + 1)
+    return q @ kinds
+
+
+def _sizes(doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+    """By feature of a document: words weigh 1 / sqrt(words), steps of ratios 1."""
+    word = feature < WORDS
+    scale = 1 / np.sqrt(np.maximum(np.bincount(doc[word], minlength=n), 1))
+    return np.where(word, scale[doc], 1.0)
 
 
 def fit(doc_first: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int = 60, rate: float = 0.1, penalty: float = 1e-6) -> np.ndarray:
     """Weights (features, then the bias) of a logistic regression on soft targets, by full-batch Adam.  A feature of
     one document alone says nothing about others and gets no weight."""
-    dims = 1 << BITS
     size = np.diff(np.r_[doc_first, len(feature)])
-    shared = np.bincount(feature, minlength=dims) > 1
+    shared = np.bincount(feature, minlength=SIZE) > 1
     good = shared[feature]
-    own, feature = np.repeat(np.arange(len(size)), size)[good], feature[good]
+    own, feature = np.repeat(np.arange(len(size)), size), feature
+    value = _sizes(own, feature, len(size))[good].astype(np.float32)
+    own, feature = own[good].astype(np.int32), feature[good]
     used = np.flatnonzero(shared)
-    place = np.zeros(dims, np.int64)
+    place = np.zeros(SIZE, np.int32)
     place[used] = np.arange(len(used))
     at = place[feature]
     del good, feature
-    scale = 1 / np.sqrt(np.maximum(size, 1))
     w, bias = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    balance = np.where(target > 0.5, 0.5 / max(target.mean(), 0.02), 0.5 / max(1 - target.mean(), 0.02))
+    yes = target.mean()
+    balance = target * 0.5 / max(yes, 0.02) + (1 - target) * 0.5 / max(1 - yes, 0.02)
     for t in range(1, rounds + 1):
-        z = np.bincount(own, weights=w[at], minlength=len(size)) * scale + bias
+        z = np.bincount(own, weights=w[at] * value, minlength=len(size)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * balance / len(target)
-        g, gb = np.bincount(at, weights=(error * scale)[own], minlength=len(used)) + penalty * w, error.sum()
+        g, gb = np.bincount(at, weights=error[own] * value, minlength=len(used)) + penalty * w, error.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w, bias = w - step * m / (np.sqrt(v) + 1e-8), bias - step * mb / (np.sqrt(vb) + 1e-8)
-    out = np.zeros(dims + 1, np.float32)
+    out = np.zeros(SIZE, np.float32)
     out[used], out[-1] = w, bias
     return out
 
 
 def scores(weights: np.ndarray, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-    size = np.bincount(doc, minlength=n)
-    z = np.bincount(doc, weights=weights[feature], minlength=n) / np.sqrt(np.maximum(size, 1)) + weights[-1]
+    z = np.bincount(doc, weights=weights[feature] * _sizes(doc, feature, n), minlength=n) + weights[-1]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -180,40 +227,49 @@ def _sign(column: pa.Array) -> np.ndarray:
     return np.array([0 if x is None else 1 if x > 0 else -1 for x in column.to_pylist()])
 
 
-def lexicon_of(labelled: DataFrame) -> np.ndarray:
-    """Hashes of words that mark toxic documents, at most LEXICON of them."""
+def marks(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
+    """Whether words of so many toxic and clean documents mark toxic ones; `rate` of all labelled documents are toxic."""
+    log = np.r_[0.0, np.cumsum(np.log(np.arange(1, int((toxic + clean).max(initial=0)) + 1)))]
+    chance = log[toxic + clean] - log[toxic] - log[clean] + toxic * np.log(max(rate, 1e-9)) + clean * np.log(max(1 - rate, 1e-9))
+    return (toxic >= MIN_PRECISION * (toxic + clean)) & (toxic > 0) & (chance < np.log(MAX_CHANCE))
+
+
+def lexicon_of(labelled: DataFrame, rate: float) -> Lexicon:
+    """The words that mark toxic documents among the labelled ones, whose number bounds the lexicon."""
     buckets = parts(labelled)
+    kinds = [(half, sign) for half in (0, 1) for sign in (1, -1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = {1: C.Tally(), -1: C.Tally()}
-        toxic_docs = 0
+        tally = {k: C.Tally() for k in kinds}
         for batch in K.slices(batches):
-            toxic = _sign(batch.column(2))
-            toxic_docs += int((toxic > 0).sum())
+            toxic, half = _sign(batch.column(2)), batch.column(3).to_numpy(zero_copy_only=False)
             w, h, stem = words_of(batch.column(0))
             doc, value = unique_pairs(np.r_[w.doc, w.doc], np.r_[h, stem])
-            for sign, t in tally.items():
-                t.add(value[toxic[doc] == sign])
-        rows = [(sign, *r) for sign, t in tally.items() for r in C.packed(*t.total(), buckets)]
-        yield _batch(rows, ["sign", "bucket", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+            for (own, sign), t in tally.items():
+                t.add(value[(toxic[doc] == sign) & (half[doc] == own)])
+        rows = [(kinds.index(k), *r) for k, t in tally.items() for r in C.packed(*t.total(), buckets)]
+        yield _batch(rows, ["kind", "bucket", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = {1: C.Tally(), -1: C.Tally()}
+        tally = {k: C.Tally() for k in kinds}
         for batch in batches:
-            for sign, _, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tally[sign].add(*C.unpacked(keys, counts))
-        keys, toxic = tally[1].total()
-        others, clean = tally[-1].total()
-        also = np.zeros(len(keys), np.int64)
-        if len(others) and len(keys):
-            at = np.minimum(np.searchsorted(others, keys), len(others) - 1)
-            also = np.where(others[at] == keys, clean[at], 0)
-        good = (toxic >= MIN_TOXIC) & (toxic >= MIN_PRECISION * (toxic + also))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[good].view(np.int64)), pa.array(toxic[good])], names=["key", "n"])
-
-    sent = labelled.select("text", "quality", "toxic").mapInArrow(count, "sign int, bucket int, keys binary, counts binary")
-    rows = regroup(sent).mapInArrow(choose, "key long, n long").orderBy(F.desc("n"), "key").limit(LEXICON).collect()
-    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+            for kind, _, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tally[kinds[kind]].add(*C.unpacked(keys, counts))
+        totals = [t.total() for t in tally.values()]
+        keys = np.unique(np.concatenate([totals[k][0] for k in (0, 2)]))
+        times = np.zeros((4, len(keys)), np.int64)
+        for row, (own, n) in zip(times, totals, strict=True):
+            if len(own) and len(keys):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                row[:] = np.where(own[at] == keys, n[at], 0)
+        taught = marks(times[0], times[1], rate) + 2 * marks(times[2], times[3], rate) + 4 * marks(times[0] + times[2], times[1] + times[3], rate)
+        good = taught > 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys[good].view(np.int64)), pa.array(taught[good].astype(np.int64))], names=["key", "taught"])
+
+    half = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)).alias("half")
+    sent = labelled.select("text", "quality", "toxic", half).mapInArrow(count, "kind int, bucket int, keys binary, counts binary")
+    rows = regroup(sent).mapInArrow(choose, "key long, taught long").collect()
+    return Lexicon(np.array([r["key"] for r in rows], np.int64).view(np.uint64), np.array([r["taught"] for r in rows], np.uint8))
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -222,7 +278,7 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 class Scorer:
-    """The fitted model: one weight vector for each question, 2**BITS + 1 numbers each."""
+    """The fitted model: one weight vector for each question, SIZE numbers each."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.weights = weights
@@ -232,54 +288,77 @@ class Scorer:
         return {q: scores(w, doc, feature, len(text)) for q, w in self.weights.items()}
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_training: int = MAX_TRAINING) -> Scorer:
+def _pattern(got: dict[str, np.ndarray]) -> np.ndarray:
+    every = np.concatenate(list(got.values()), 1) + 1
+    return (every * 3 ** np.arange(every.shape[1])).sum(1)
+
+
+def posteriors(codes: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """By question, what the votes of each pattern say."""
+    patterns = codes[:, None] // 3 ** np.arange(sum(LABELLERS.values())) % 3 - 1
+    split = LABELLERS["low"]
+    toxic = patterns[:, split:]
+    return {"low": label_model(patterns[:, :split], counts), "toxic": label_model(toxic, counts) if (toxic != 0).any() else np.zeros(len(codes))}
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_training: int = MAX_TRAINING, max_features: int = MAX_FEATURES) -> Scorer:
     sc = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
-    sample = F.broadcast(_pick(labels, max_labelled))
-    lexicon = sc.broadcast(lexicon_of(docs.join(sample, "doc_id")))
-    both = docs.join(sample, "doc_id", "left").select("doc_id", "text", "quality", "toxic")
-    many = sum(LABELLERS.values())
+    picked = _pick(labels, max_labelled)
+    rate = picked.agg(F.avg((F.col("toxic") > 0).cast("int"))).first()[0] or 0.0
+    sample = F.broadcast(picked)
+    lexicon = sc.broadcast(lexicon_of(docs.join(sample, "doc_id").select("doc_id", "text", "quality", "toxic"), rate))
+    both = docs.join(sample, "doc_id", "left").select(F.xxhash64("doc_id", "text").alias("hash"), "text", "quality", "toxic")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
-            got = votes(batch.column(1), _sign(batch.column(2)), _sign(batch.column(3)), lexicon.value)
-            pattern = ((np.concatenate(list(got.values()), 1) + 1) * 3 ** np.arange(many)).sum(1)
-            values, counts = np.unique(pattern, return_counts=True)
+            values, counts = np.unique(_pattern(votes(batch.column(1), _sign(batch.column(2)), _sign(batch.column(3)), lexicon.value)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["pattern", "n"])
 
     rows = both.mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     if not rows:
-        return Scorer({q: np.full((1 << BITS) + 1, -1e-9, np.float32) for q in QUESTIONS})
+        return Scorer({q: np.r_[np.zeros(SIZE - 1, np.float32), np.float32(-1e-9)] for q in QUESTIONS})
     codes, counts = np.array([r["pattern"] for r in rows]), np.array([r["n"] for r in rows], float)
-    patterns = codes[:, None] // 3 ** np.arange(many) % 3 - 1
-    split = LABELLERS["low"]
-    posterior = sc.broadcast((codes, label_model(patterns[:, :split], counts), label_model(patterns[:, split:], counts) if (patterns[:, split:] != 0).any() else np.zeros(len(codes))))
+    found = posteriors(codes, counts)
+    # three strata by what the votes say, each sampled by hash; a little more than its share, which `solve` cuts
+    stratum = np.where(found["low"] >= 0.5, 1, np.where(found["toxic"] >= 0.5, 2, 0))
+    shares_ = np.array([0.5, 0.25, 0.25])
+    rate = np.minimum(1, 1.3 * shares_ * max_training / np.maximum(np.bincount(stratum, counts, 3), 1))
+    send = sc.broadcast((codes, found["low"], found["toxic"], stratum, rate))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, low, toxic = posterior.value
+        codes, low, toxic, stratum, rate = send.value
         for batch in K.slices(batches):
-            got = votes(batch.column(1), _sign(batch.column(2)), _sign(batch.column(3)), lexicon.value)
-            at = np.searchsorted(codes, ((np.concatenate(list(got.values()), 1) + 1) * 3 ** np.arange(many)).sum(1))
-            doc, feature = features(batch.column(1))
-            cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            packed = [feature[cuts[k] : cuts[k + 1]].astype(np.int32).tobytes() for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(low[at]), pa.array(toxic[at])], names=["features", "low", "toxic"])
+            at = np.searchsorted(codes, _pattern(votes(batch.column(1), _sign(batch.column(2)), _sign(batch.column(3)), lexicon.value)))
+            hashed = batch.column(0).to_numpy(zero_copy_only=False)
+            chosen = np.flatnonzero(hashed.view(np.uint64) / 2.0**64 <= rate[stratum[at]])
+            if not len(chosen):
+                continue
+            at = at[chosen]
+            doc, feature = features(batch.column(1).take(pa.array(chosen)))
+            cuts = np.searchsorted(doc, np.arange(len(chosen) + 1))
+            packed = [feature[cuts[k] : cuts[k + 1]].astype(np.int32).tobytes() for k in range(len(chosen))]
+            yield pa.RecordBatch.from_arrays([pa.array(stratum[at]), pa.array(hashed[chosen]), pa.array(packed, pa.binary()), pa.array(low[at]), pa.array(toxic[at])], names=["stratum", "hash", "features", "low", "toxic"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        if not rows:
+        held: list[tuple[np.ndarray, float, float]] = []
+        docs_, size = np.zeros(3, np.int64), np.zeros(3, np.int64)
+        for batch in batches:
+            for stratum, _, packed, low, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(packed, np.int32)
+                if docs_[stratum] < shares_[stratum] * max_training and size[stratum] + len(part) <= shares_[stratum] * max_features:
+                    held.append((part, low, toxic))
+                    docs_[stratum] += 1
+                    size[stratum] += len(part)
+        if not held:
             return
-        parts_ = [np.frombuffer(r[0], np.int32) for r in rows]
-        first = np.r_[0, np.cumsum([len(p) for p in parts_])[:-1]]
-        feature = np.concatenate(parts_)
-        fitted = [fit(first, feature, np.array([r[1 + k] for r in rows])).tobytes() for k in range(2)]
+        first = np.r_[0, np.cumsum([len(p) for p, _, _ in held])[:-1]]
+        feature = np.concatenate([p for p, _, _ in held])
+        fitted = [fit(first, feature, np.array([r[1 + k] for r in held])).tobytes() for k in range(2)]
         yield pa.RecordBatch.from_arrays([pa.array(list(QUESTIONS)), pa.array(fitted, pa.binary())], names=["question", "weights"])
 
-    # the sample is chosen by id alone, then joined with the texts
-    labelled_first = docs.select("doc_id").join(sample.select("doc_id", F.lit(0).alias("_r")), "doc_id", "left")
-    chosen = labelled_first.orderBy(F.coalesce("_r", F.lit(1)), F.xxhash64("doc_id"), "doc_id").limit(max_training).select("doc_id").distinct()
-    few = both.join(F.broadcast(chosen), "doc_id", "left_semi")
-    got = few.mapInArrow(learn, "features binary, low double, toxic double").repartition(1).mapInArrow(solve, "question string, weights binary").collect()
+    drawn = both.mapInArrow(learn, "stratum long, hash long, features binary, low double, toxic double").repartition(1).sortWithinPartitions("stratum", "hash", "features")
+    got = drawn.mapInArrow(solve, "question string, weights binary").collect()
     return Scorer({r["question"]: np.frombuffer(r["weights"], np.float32) for r in got})
 
 

@@ -111,12 +111,25 @@ def test_label_model_recovers_answers():
     rnd = np.random.default_rng(3)
     y = rnd.random(5000) < 0.2
     right = lambda a: np.where(rnd.random(5000) < a, np.where(y, 1, -1), np.where(y, -1, 1))
-    votes = np.stack([right(0.9), right(0.8), np.where(rnd.random(5000) < 0.5, 0, right(0.85)), np.zeros(5000, int)], 1)
+    some = lambda share, votes: np.where(rnd.random(5000) < share, votes, 0)
+    votes = np.stack([right(0.9), right(0.8), some(0.5, right(0.85)), some(0.3, right(0.95))], 1)
     patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     q = classifier.label_model(patterns, counts.astype(float))[inverse.ravel()]
     assert ((q > 0.5) == y).mean() > 0.92
 
 
+def test_label_model_tells_kinds_apart():
+    """Defects that exclude each other: a labeller's no is not evidence against another kind, labels or not."""
+    rnd = np.random.default_rng(4)
+    kind = rnd.choice(4, 8000, p=[0.85, 0.05, 0.05, 0.05])
+    votes = np.stack([np.where((kind == k) == (rnd.random(8000) < 0.995), 1, -1) for k in (1, 2, 3)] + [np.zeros(8000, int)], 1)
+    for given in (0.0, 0.4):
+        votes[:, 3] = np.where(rnd.random(8000) < given, np.where(kind > 0, 1, -1), 0)
+        patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+        q = classifier.label_model(patterns, counts.astype(float))[inverse.ravel()]
+        assert ((q > 0.5) == (kind > 0)).mean() > 0.97
+
+
 def test_classifier(spark):
     rnd = random.Random(6)
     rows, labels = [], []
@@ -145,10 +158,39 @@ def test_classifier(spark):
 
 
 def test_votes_abstain_without_labels():
-    v = classifier.votes(pa.array(["a b c"]), np.array([0]), np.array([0]), np.empty(0, np.uint64))
+    v = classifier.votes(pa.array(["a b c"]), np.array([0]), np.array([0]), classifier.Lexicon(np.empty(0, np.uint64), np.empty(0, np.uint8)))
     assert (v["toxic"] == 0).all() and v["low"].shape == (1, 6)
 
 
+def test_classifier_follows_the_posteriors(spark, monkeypatch):
+    """Where every training row is labelled, the posteriors of expectation-maximisation still are the only targets."""
+    rnd = random.Random(9)
+    rows = [(k, text_in("aa", rnd, 40) + (" badword" * 3 if k % 4 == 0 else "")) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(k, int(k % 3 > 0), int(k % 4 == 0)) for k in range(120)], "doc_id long, quality int, toxic int")
+    own = classifier.train(df, lab).weights
+    again = classifier.train(df, lab).weights
+    assert all((own[q] == again[q]).all() for q in own)
+    monkeypatch.setattr(classifier, "label_model", lambda patterns, counts: np.full(len(patterns), 0.5))
+    flat = classifier.train(df, lab).weights
+    assert all((own[q] != flat[q]).any() for q in own)
+
+
+def test_classifier_odd_rows(spark):
+    """Repeated documents, null ids, clashing names, ties and very long texts."""
+    rnd = random.Random(10)
+    long = " ".join(text_in("aa", rnd, 1) for _ in range(60_000))
+    rows = [(k, text_in("aa", rnd, 50) + (" vilewordone" * 2 if k % 5 == 0 else "")) for k in range(100)] + [(5, "same text"), (5, "same text"), (None, "x y"), (None, "x y"), (200, long)]
+    df = spark.createDataFrame([(*r, "h", 0) for r in rows], "doc_id long, text string, hash string, stratum int")
+    lab = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(60)] + [(None, 0, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    got = classifier.classify(df, lab).collect()
+    assert len(got) == len(rows)
+    same = [(r["low_score"], r["toxic_score"]) for r in got if r["doc_id"] is None]
+    assert same[0] == same[1]
+    kept = classifier.keep_good(df, lab)
+    assert kept.columns == df.columns and 100 - 20 <= kept.count() <= len(rows)
+
+
 def brute_scores(rows, out, order=3):
     """Every n-gram of the training rows counted in one dictionary; an independent reading of the model."""
     tokens = {k: [*(t or "").lower().split(), "\n"] for k, t in rows}
