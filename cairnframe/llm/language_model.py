@@ -41,7 +41,7 @@ LEAVE = ((0.95, 0.1), (0.75, 0.3))
 #: At most so many words are broadcast.
 FREQUENT = 1 << 20
 #: Tokens of a chunk of documents, about.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Bits of an n-gram's hash beyond those that number all n-grams: one n-gram in 2 ** SPARE shares its hash with another.
 SPARE = 24
 #: Tokens of the corpus to a bucket, about, and the most buckets.
@@ -256,7 +256,10 @@ class Chunk:
     """The tokens of some documents, and all distinct n-grams of theirs that are not broadcast words, in order."""
 
     def __init__(self, text: pa.ChunkedArray, order: int, words: Kept, bits: int):
-        self.hashes, self.doc, self.first = tokens(text.combine_chunks())
+        pieces = [tokens(piece) for piece in text.chunks]  # slices of bounded size, as they were read
+        self.hashes = np.concatenate([h for h, _, _ in pieces])
+        self.first = np.r_[0, np.cumsum(np.concatenate([np.diff(first) for _, _, first in pieces]))]
+        self.doc = np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
         self.word = words.find(self.hashes)
         #: by order: where the n-grams end
         self.at = [np.flatnonzero(self.word < 0)]
