@@ -37,6 +37,24 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+#: Rows of one key that one task joins, at least; more where more than MOST_HOT keys would be hot.
+HOT_ROWS, MOST_HOT = 2_000, 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, by: list[str], total: int) -> DataFrame:
+    """left with what right, which has one row for each key, says of its key; null where nothing.
+
+    sizes: key, n (rows of left, `total` in all).  Rows of a hot key are dealt over several tasks by a hash of the
+    columns `by`, and right's row goes to each.  The hot keys are broadcast; there are at most MOST_HOT of them.
+    """
+    per = max(HOT_ROWS, -(-total // MOST_HOT))
+    hot = F.broadcast(sizes.where(F.col("n") > per).select(key, F.ceil(F.col("n") / per).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("_salts")
+    copies = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def steady(df: DataFrame) -> DataFrame:
     """df, if each reading of it gives the same rows in the same partitions and order, as that of files does; else, as
     where rows come through a shuffle, df written once."""
@@ -48,17 +66,32 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def regroup(df: DataFrame, key: str = "bucket") -> DataFrame:
-    """Packed rows of one bucket brought together; the number of tasks follows spark.sql.shuffle.partitions."""
-    return df.repartition(parts(df), key)
+def regroup(df: DataFrame, key: str = "bucket", tasks: int = 0) -> DataFrame:
+    """Packed rows of one bucket brought together, in spark.sql.shuffle.partitions tasks or more."""
+    return df.repartition(max(parts(df), tasks), key)
+
+
+#: Bytes of input to a bucket, about, and the most buckets.
+PER_BUCKET, MOST_BUCKETS = 8 << 20, 1 << 16
+
+
+def buckets_for(df: DataFrame) -> int:
+    """Buckets for packed rows of df: two to a task, and more for large inputs, by the size of its files."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * parts(df), min(size // PER_BUCKET, MOST_BUCKETS))
+
+
+#: Bits of a filter: at least, at most (32 MB), and for each wanted key.
+LEAST_BITS, MOST_BITS, KEY_BITS = 20, 28, 16
 
 
-def flagged(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, bits: int = 23) -> DataFrame:
-    """df with a column `_maybe`: false only where the key is surely not among the wanted keys.
+def flagged(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """df with a column `_maybe`: false only where the key is surely not among the wanted keys (a table written before).
 
-    Keeps rows out of a shuffle that the exact join after it would drop.  A filter of fixed size (2**bits bits, 1 MB
-    by default, whatever the data) is broadcast; where it is too small for the data, more rows go to the join.
+    Keeps rows out of a shuffle that the exact join after it would drop.  A filter of KEY_BITS bits for each wanted key,
+    32 MB at most, is broadcast; where it is too small for the data, more rows go to the join.
     """
+    bits = min(max((KEY_BITS * wanted.count()).bit_length(), LEAST_BITS), MOST_BITS)
     place = F.pmod(F.xxhash64(wanted_key), F.lit(1 << bits))
     table_ = wanted.select(F.bitmap_bucket_number(place).alias("_b"), F.bitmap_bit_position(place).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
     at = F.pmod(F.xxhash64(key), F.lit(1 << bits))

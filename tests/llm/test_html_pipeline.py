@@ -25,6 +25,71 @@ def test_extract_one():
     assert html_text.extract("<div>" * 3000 + "deep", None) == "deep"
 
 
+def page(inner, article="post"):
+    return f"<html><body><nav><a href=x>Home</a></nav><article class='{article}'><h1>Head</h1><p>{'Real text of the page, quite long. ' * 4}</p>{inner}<p>Last words.</p></article><footer>(c)</footer></body></html>"
+
+
+BODY = " ".join(["Head", *["Real text of the page, quite long."] * 4])
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<p>Mass is <math><mi>m</mi><mo>=</mo><mn>2</mn></math> here.</p>", "Mass is m=2 here."),
+        ('<section class="legal">Article two of the law.</section>', "Article two of the law."),
+        ('<div class="form">Forms of life are many.</div>', "Forms of life are many."),
+        ('<div class="search-history">Search has a history.</div>', "Search has a history."),
+        ('<div class="commentary">Learned commentary stays.</div>', "Learned commentary stays."),
+        ("<noscript>Without script too.</noscript>", "Without script too."),
+        ("<svg><title>t</title><text>drawn</text></svg>", "drawn"),
+        ('<div class="tags"><a href=a>one</a> <a href=b>two</a></div>', ""),
+        ('<div class="ad">BUY</div><div id="ad-slot-3" class="ad-banner">BUY</div>', ""),
+        ('<div class="cookie-notice">We use cookies.</div><div role="alert">Now!</div><p hidden>unseen</p>', ""),
+        ('<div class="share-buttons">Tell all your friends</div><div class="related-posts">Other stories</div>', ""),
+        ('<form><textarea>write</textarea><select><option>a</select></form><aside>by the way</aside>', ""),
+        ('<ol class="comment-list"><li class="comment"><article class="comment-body"><p>' + "Nice one, says a reader at length. " * 30 + "</p></article></li></ol>", ""),
+        ('<section id="comments" class="comments-area"><p>First!</p></section><div id="disqus_thread">Second!</div>', ""),
+    ],
+)
+def test_what_stays_and_goes(inner, want):
+    assert html_text.extract(page(inner), None) == " ".join(filter(None, [BODY, want, "Last words."]))
+
+
+def test_classes_never_take_the_article():
+    for name in ("post comments-open", "widget", "ad-free sponsored", "related"):
+        assert html_text.extract(page("", name), None) == BODY + " Last words."
+    for name in ("widget", "modal", "social-page"):
+        assert html_text.extract(f"<body><div class='{name}'><div><p>{'All the text there is. ' * 9}</p></div></div></body>", None) == " ".join(["All the text there is."] * 9)
+    assert html_text.extract("<body><div class=sidebar><article><p>Inside.</p></article></div></body>", None) == "Inside."
+
+
+def test_odd_pages(spark):
+    """Repeated rows, ties between paths, a long page, clashing names; many hosts joined instead of broadcast."""
+    long = page("<p>" + "word " * 200_000 + "</p>")
+    two = "<body><div class='a'><p>Same length here.</p></div><div class='b'><p>Same length there</p></div></body>"
+    rows = [(1, "http://h.org/1", long, 1), (1, "http://h.org/1", long, 1), (2, "http://t.org/1", two, 1), (3, "http://t.org/2", two, 1), (None, None, two, 1), (5, "not a url", "<p>x", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    want = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_pages(df).collect()), key=repr)
+    assert len(want) == 6 and want[0][2] > 1_000_000 or want[1][2] > 0
+    held, html_text.BROADCAST_HOSTS = html_text.BROADCAST_HOSTS, 1
+    try:
+        assert sorted(((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_pages(df).collect()), key=repr) == want
+    finally:
+        html_text.BROADCAST_HOSTS = held
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pages_of_the_table(spark):
+    """The pages of the test tables have one article each: its text, by a plain reading of the markup, is what comes out."""
+    import html
+    import re
+
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(spark.read.parquet(f"{DATA}/pages.parquet")).collect()}
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*)</article>", r["html"] or "", re.S)
+        assert got[r["page_id"]] == " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br|ul|li)\b[^>]*>", " ", inner[1]))).split())
+
+
 def test_consensus(spark):
     """A page whose best container is another one follows its host."""
     body = "<html><body><div class='main'><p>{}</p></div><div class='other'><p>{}</p></div></body></html>"
