@@ -22,8 +22,11 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-#: The special string of the byte-level vocabulary.
-END_TEXT = {"<|endoftext|>": 50256}
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """docs in sequences of the byte-level vocabulary."""
+    from .packing import pack
+
+    return pack(docs, vocabulary("byte_bpe_50k.json"), pattern())
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +72,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
-
-    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern(), END_TEXT)
+    return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cairnframe.llm import packing, tokens
-from cairnframe.llm.queries import END_TEXT, pattern, vocabulary
+from cairnframe.llm.queries import pack_documents, pattern, vocabulary
 
 ODD = ["", " ", "a <|endoftext|>b<|startoftext|> <|endoftext|>", "ΣΑΣ Σ İi̇ é it's I'LL", "12345 ,.;!!", "\x1c a\x1db c　d \t\n\r\x0b  x", "x" * 3000, "a  b   c\n\n d ", " \xa0 \xa0\xa0d", "ＡＢ ﬁ ǅ 漢字ß\U0001f600"]
 
@@ -26,7 +26,7 @@ def test_counts_equal_library():
 
 
 def test_ids_equal_library():
-    library, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.Encoder(vocabulary("byte_bpe_50k.tiktoken"), pattern(), END_TEXT, remember=50)
+    library, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.Encoder(vocabulary("byte_bpe_50k.json"), pattern(), remember=50)
     for text in samples():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
@@ -43,7 +43,7 @@ def test_packing_is_a_partition(spark, n):
     rnd = random.Random(n)
     rows = [(k, " ".join(rnd.choice(["the", "cat", "zxqv", "é"]) for _ in range(rnd.choice([0, 1, 5, 300, 900, 2600])))) for k in range(80)] + [(80, None), (81, ""), (3, "again"), (3, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
-    got = packing.pack(df, vocabulary("byte_bpe_50k.tiktoken"), pattern(), END_TEXT).collect()
+    got = pack_documents(df).collect()
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     ids = {}
     for k, t in rows:
@@ -68,23 +68,58 @@ def test_packing_is_a_partition(spark, n):
     assert partial <= n  # one window of a task at most
 
 
-def test_sum_of_squares_choice():
+@pytest.mark.parametrize("most", [5, 1000])
+def test_sum_of_squares_choice(most):
     """The level chosen has the smallest sum of squares of all that are possible."""
     rnd = random.Random(5)
-    levels = packing.SumOfSquares(32)
-    for _ in range(500):
+    levels = packing.SumOfSquares(32, most)
+    cuts = 0
+    for _ in range(800):
         size = rnd.randint(1, 31)
         before = levels.count.copy()
 
         def cost(h, size=size, before=before):
             n = before.copy()
-            if h:
-                n[h] -= 1
-            if h + size < 32:
-                n[h + size] += 1
+            n[h] -= h > 0
+            n[h + size if h + size <= 32 else h + size - 32] += 1
             return int((n[1:32] ** 2).sum())
 
-        options = [0] + [h for h in range(1, 33 - size) if before[h] > 0]
-        _, level = levels.place(size)
-        assert cost(level) == min(map(cost, options))
+        options = [0] * int(before[1:32].sum() < most) + [h for h in range(1, 33 - size) if before[h] > 0]
+        cut = not options
+        options = options or [h for h in range(33 - size, 32) if before[h] > 0]
+        got = levels.place(size)
+        cuts += cut
+        assert len(got) == 1 + cut and sum(n for _, _, n in got) == size
+        assert cost(got[0][1]) == min(map(cost, options))
         assert all(len(levels.open[h]) == levels.count[h] for h in range(1, 32))
+        assert levels.opened == levels.count[1:32].sum() <= most
+    assert (cuts > 10) == (most == 5) and cuts * (most - 5) == 0
+
+
+def test_placement_closes_windows():
+    """Of the tokens that placement handles, 95 % stand in windows it closes by itself."""
+    rnd = random.Random(6)
+    levels, total = packing.SumOfSquares(1024), 0
+    for _ in range(2000):
+        size = int(rnd.lognormvariate(6, 1)) % 1024 or 1
+        total += size
+        levels.place(size)
+    assert sum(h * n for h, n in enumerate(levels.count.tolist()) if h < 1024) < 0.05 * total
+
+
+def test_packing_odd_rows(spark):
+    """Clashing column names, null ids, an empty table."""
+    df = spark.createDataFrame([(None, "a b", 1, 2, 3), (None, "a b", 1, 2, 3), (4, None, 1, 2, 3)], "doc_id long, text string, start int, length int, sequence_id int")
+    got = pack_documents(df).collect()
+    assert sorted((r["doc_id"] or 0, r["start"], r["length"], r["doc_tokens"]) for r in got if r["doc_id"]) == [(4, 0, 1, 1)]
+    assert sum(r["length"] for r in got if r["doc_id"] is None) == 6
+    assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_tokens_of_every_code_point():
+    """Counts equal the library's for every code point of the first two planes, alone, between letters, and before 's."""
+    library, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), tokens.Counter(vocabulary("word_bpe_49k.json"))
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 2000):
+        texts = [t for c in points[k : k + 2000] for t in (c, f"x{c}y 1{c}2", f"a{c}'s")]
+        assert [own.count(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
