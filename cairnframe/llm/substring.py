@@ -14,8 +14,10 @@ be repeated, so one copy goes to the bucket, and its places go straight back.  T
 passage a third of all documents share) travel one by one, each to the bucket of its own hash, so no bucket is hot.
 
 Defined results: null and wordless texts have no windows; fewer words than a window: nothing is removed; a text equal
-to another loses all the words windows cover; several rows of one doc_id are separate documents (rows carry a number of
-their own while they travel); other columns are passed through by `remove`; an empty table gives no rows.
+to another loses all the words windows cover; several rows of one doc_id, or without one, are separate documents (rows
+carry a number of their own while they travel); of runs with equal hashes in a window the first is its minimiser; very
+long texts are cut nowhere; other columns are passed through by `remove`, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -30,13 +32,13 @@ from pyspark.sql import functions as F
 
 from . import _counts as C
 from . import _kernel as K
-from ._spark import flagged, keep, parts, regroup
+from ._spark import buckets_for, flagged, keep, regroup
 
 WINDOW = 35
 RUN = 20
-#: A minimiser announced more often than HOT times, or than one in HOT_SHARE of all announcements, is hot: its windows
-#: travel one by one, each to the bucket of its own hash.  So at most HOT_SHARE minimisers are broadcast as hot.
-HOT = 10_000
+#: A minimiser announced more often than HOT times is hot: its windows travel one by one, each to the bucket of its own
+#: hash.  Of more than HOT_SHARE such minimisers the HOT_SHARE announced most often are, so what is broadcast is bounded.
+HOT = 1_000
 HOT_SHARE = 1_000_000
 
 
@@ -141,7 +143,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, codes) of repeated minimisers; (null, codes) with counts for those announced often."""
     rows_out, codes_out, counts_out = [], [], []
     found_rows, found_codes = [], []
-    for bucket, blobs in _collect(batches).items():
+    got = _collect(batches)
+    while got:
+        bucket, blobs = got.popitem()
         if bucket < 0:
             for row, codes, _ in blobs:
                 rows_out.append(int(np.frombuffer(row, np.int64)[0]))
@@ -177,6 +181,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(rows_out, pa.int64()), pa.array(codes_out, pa.binary()), pa.array(counts_out, pa.binary())], names=["_row", "codes", "counts"])
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for codes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(codes, np.int64)), pa.array(np.frombuffer(counts, np.int64))], names=["code", "n"])
+
+
 def _travel(buckets: int, window: int, run: int, hot: np.ndarray):
     """Packed super-k-mers of repeated minimisers, by bucket; hits that are certain already come as bucket -1 - x."""
 
@@ -264,15 +274,17 @@ def _count_windows(window: int):
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_out, spans_out = [], []
         hit_rows, hit_spans = [], []
-        for bucket, blobs in _collect(batches).items():
+        got = _collect(batches)
+        while got:
+            bucket, blobs = got.popitem()
             if bucket < 0:
                 for row, spans, _ in blobs:
                     rows_out.append(int(np.frombuffer(row, np.int64)[0]))
                     spans_out.append(spans)
                 continue
             parts_: list[tuple[np.ndarray, ...]] = []
-            for blob in blobs:
-                parts_ += _windows(*blob, window)
+            while blobs:
+                parts_ += _windows(*blobs.pop(), window)
             one, two, row, start, more = (np.concatenate(x) for x in zip(*parts_, strict=True))
             order = np.lexsort((two, one))
             one, two = one[order], two[order]
@@ -305,21 +317,18 @@ def joined(blobs: list[bytes]) -> bytes:
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """_row, spans array<binary>: where windows that occur more than once start.  docs must have _row and text."""
-    spark = docs.sparkSession
-    buckets = 2 * parts(docs)
     docs = docs.select("_row", "text")
-    found = keep(regroup(docs.mapInArrow(_announce(buckets, window, run), BLOBS)).mapInArrow(_repeated, "_row long, codes binary, counts binary"))
-    often = [(np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in found.where("_row is null").collect()]
-    hot = np.concatenate([c for c, _ in often]) if often else np.empty(0, np.uint64)
-    if len(hot) > HOT_SHARE:
-        counts = np.concatenate([n for _, n in often])
-        hot = hot[np.argsort(-counts, kind="stable")[:HOT_SHARE]]
+    buckets = buckets_for(docs)
+    tasks = buckets // 2
+    found = keep(regroup(docs.mapInArrow(_announce(buckets, window, run), BLOBS), tasks=tasks).mapInArrow(_repeated, "_row long, codes binary, counts binary"))
+    often = found.where("_row is null").select("codes", "counts").mapInArrow(_each, "code long, n long")
+    hot = often.orderBy(F.desc("n"), "code").limit(HOT_SHARE).toArrow().column("code").to_numpy().view(np.uint64)
     wanted = found.where("_row is not null").groupBy("_row").agg(F.collect_list("codes").alias("codes"))
     some = flagged(docs, "_row", found.where("_row is not null"), "_row").where("_maybe").drop("_maybe")
     # equal rows have one number: each is a document of its own and both travel
     both = some.join(wanted, "_row").select("_row", "text", "codes")
     sent = both.mapInArrow(_travel(buckets, window, run, np.sort(hot)), BLOBS)
-    hits = regroup(sent).mapInArrow(_count_windows(window), "_row long, spans binary")
+    hits = regroup(sent, tasks=tasks).mapInArrow(_count_windows(window), "_row long, spans binary")
     return hits.groupBy("_row").agg(F.collect_list("spans").alias("spans"))
 
 
