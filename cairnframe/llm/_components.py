@@ -5,31 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import keep
+from ._spark import keep, spread_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """A hub's links are dealt over several tasks."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    seen = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    nearest = least.select("u", F.least("u", "m").alias("m"))
+    seen = spread_join(both, nearest, "u", least.select("u", "n"), ["v"], 2 * total)
     if large:
         out = seen.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = seen.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = seen.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(nearest.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node of it) for every node with a link; edges: u, v of type long."""
-    directed = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    before = None
+    directed = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    before, total = None, directed.count()
     while True:
         # large-star links every larger neighbour of a node to the smallest; then small-star the others
-        turned = _star(directed, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        directed = keep(_star(turned, False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        turned = _star(directed, True, total).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        directed = keep(_star(turned, False, total).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = tuple(directed.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     nodes = directed.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(directed.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,6 +25,18 @@ def parts(df: DataFrame) -> int:
 
 def keep(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder named by spark.checkpoint.dir."""
+    _folder(df)
+    return df.checkpoint(True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the same folder and read again."""
+    path = f"{_folder(df)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _folder(df: DataFrame) -> str:
     sc = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -34,7 +47,7 @@ def keep(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="checkpoints-")  # one machine, and no folder named
         sc.setCheckpointDir(folder)
-    return df.checkpoint(True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 #: Rows of one key that one task joins, at least; more where more than MOST_HOT keys would be hot.
@@ -73,12 +86,15 @@ def regroup(df: DataFrame, key: str = "bucket", tasks: int = 0) -> DataFrame:
 
 #: Bytes of input to a bucket, about, and the most buckets.
 PER_BUCKET, MOST_BUCKETS = 8 << 20, 1 << 16
+#: Spark says such sizes of what it knows nothing of.
+UNKNOWN = 1 << 53
 
 
 def buckets_for(df: DataFrame) -> int:
     """Buckets for packed rows of df: two to a task, and more for large inputs, by the size of its files."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(2 * parts(df), min(size // PER_BUCKET, MOST_BUCKETS))
+    known = size if size < UNKNOWN else 0
+    return max(2 * parts(df), min(known // PER_BUCKET, MOST_BUCKETS))
 
 
 #: Bits of a filter: at least, at most (32 MB), and for each wanted key.

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import _counts as C
 from . import _kernel as K
 from ._components import components
-from ._spark import flagged, keep, parts, regroup
+from ._spark import buckets_for, flagged, keep, parts, regroup, spread_join
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -45,7 +45,7 @@ LEADERS = 16
 #: Index lists up to this length are asked for all their pairs at once, longer ones by leaders first.
 SHORT = 8
 #: Bytes of a shingle's hash in sets that travel.
-ITEM = 6
+ITEM = 8
 #: One shingle in EXTRA is added to a prefix.
 EXTRA = 25
 #: Rows of a hot leader that one task answers.
@@ -142,7 +142,7 @@ def _blob(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _index(buckets: int, levels) -> object:
-    """Prefix entries by bucket of the shingle: (32 bits of the shingle, set) and (size, position), packed."""
+    """Prefix entries by bucket of the shingle: (shingle, set) and (size, position), packed."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -181,7 +181,7 @@ def _index_blobs(held: list[list[np.ndarray]], buckets: int) -> pa.RecordBatch:
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         part = slice(cuts[b], cuts[b + 1])
         small = np.stack([size[part], at[part]]).view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1)
-        rows.append((b, value[part].astype(np.uint32).tobytes() + name[part].tobytes(), pa.compress(np.ascontiguousarray(small).tobytes(), "zstd", asbytes=True)))
+        rows.append((b, value[part].tobytes() + name[part].tobytes(), pa.compress(np.ascontiguousarray(small).tobytes(), "zstd", asbytes=True)))
     return _blob(rows)
 
 
@@ -189,9 +189,9 @@ def _entries(blobs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, ...]:
     """(list, set, size, position) of lists with two sets or more, in order of (list, size, set)."""
     keys, names, smalls = [], [], []
     for a, b in blobs:
-        n = len(a) // 12
-        keys.append(np.frombuffer(a, np.uint32, n))
-        names.append(np.frombuffer(a, np.int64, n, 4 * n))
+        n = len(a) // 16
+        keys.append(np.frombuffer(a, np.uint64, n))
+        names.append(np.frombuffer(a, np.int64, n, 8 * n))
         raw = np.frombuffer(pa.decompress(b, 8 * n, "zstd", asbytes=True), np.uint8).reshape(2, 4, n).transpose(0, 2, 1)
         smalls.append(np.ascontiguousarray(raw).view(np.uint32).reshape(2, n))
     key, name, small = np.concatenate(keys), np.concatenate(names), np.concatenate(smalls, 1).astype(np.int64)
@@ -319,8 +319,8 @@ def _list(a: bytes, b: bytes) -> tuple[np.ndarray, ...]:
     sizes = pa.decompress(b, _plain(b), "zstd", asbytes=True)
     size, at = np.frombuffer(sizes, np.uint32).reshape(2, -1).astype(np.int64)
     n = len(size)
-    raw = pa.decompress(a, 12 * n, "zstd", asbytes=True)
-    return np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.int64, n, 4 * n), size, at
+    raw = pa.decompress(a, 16 * n, "zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), size, at
 
 
 def _plain(blob: bytes) -> int:
@@ -394,7 +394,7 @@ def _write_sets(levels) -> object:
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             sets = Sets(batch.column(1), levels.value)
-            raw = np.ascontiguousarray(sets.value.view(np.uint8).reshape(-1, 8)[:, :ITEM])  # low bytes, which tell shingles apart
+            raw = np.ascontiguousarray(sets.value.view(np.uint8).reshape(-1, 8)[:, :ITEM])
             blobs = [raw[a:b].tobytes() for a, b in zip(sets.first[:-1].tolist(), sets.first[1:].tolist(), strict=True)]
             yield _arrow([batch.column(0), pa.array(blobs, pa.binary())], ["sid", "items"])
 
@@ -483,13 +483,14 @@ def describe(docs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     """(u, v): links between different sets (sid) that connect every component; copies are not repeated."""
     sc = docs.sparkSession.sparkContext
-    n, buckets = parts(docs), 2 * parts(docs)
+    buckets = buckets_for(docs.select("text"))
+    n = max(parts(docs), buckets // 2)
     total = meta.agg(F.sum("n_shingles")).first()[0] or 0
     levels = sc.broadcast(shingle_levels(docs, total))
 
     sent = docs.select("text").mapInArrow(_index(buckets, levels), BLOBS)
-    first = keep(regroup(sent).mapInArrow(lambda batches: _first_pairs(batches, buckets), PAIR_ROWS))
-    pairs = keep(regroup(first.where(F.col("kind") < LIST)).mapInArrow(_chosen(False), "u long, v long"))
+    first = keep(regroup(sent, tasks=n).mapInArrow(lambda batches: _first_pairs(batches, buckets), PAIR_ROWS))
+    pairs = keep(regroup(first.where(F.col("kind") < LIST), tasks=n).mapInArrow(_chosen(False), "u long, v long"))
     lists = first.where(F.col("kind") == LIST).select("bucket", "a", "b")
 
     # the sets that take part, from one document each
@@ -518,8 +519,8 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("binary")
     marked = marks.select("bucket", "sid", "component").mapInArrow(pack, "bucket int, c binary").select("bucket", none.alias("a"), none.alias("b"), "c")
-    opened = regroup(lists.withColumn("c", none).unionByName(marked)).mapInArrow(lambda batches: _open_pairs(batches, buckets), PAIR_ROWS)
-    more = keep(regroup(opened.unionByName(first.where(F.col("kind") < OPEN))).mapInArrow(_chosen(True), "u long, v long"))
+    opened = regroup(lists.withColumn("c", none).unionByName(marked), tasks=n).mapInArrow(lambda batches: _open_pairs(batches, buckets), PAIR_ROWS)
+    more = keep(regroup(opened.unionByName(first.where(F.col("kind") < OPEN)), tasks=n).mapInArrow(_chosen(True), "u long, v long"))
     # z is the side with the more likely leader: v if it has one
     led = answered.groupBy("v").agg(F.min_by(F.struct("u", "minus", "plus"), F.struct(F.length("minus") + F.length("plus"), "u")).alias("by")).select(F.col("v").alias("z"), "by.*")
     asked = more.select(F.col("u").alias("y"), F.col("v").alias("z")).join(led.withColumnRenamed("u", "x"), "z", "left")
@@ -539,25 +540,32 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     return direct.unionByName(derived)
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """doc_id, _row, n_shingles and the component of each document."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """What `describe` says; sid, n, least, component for each set that is not empty; how many documents there are.
+
+    Copies share a set and near copies a component, however many they are, so nothing is joined by either of them
+    without dealing hot ones over several tasks.
+    """
     meta = keep(describe(docs))
     labels = components(links(docs, meta)).select(F.col("node").alias("sid"), "component")
-    # copies have one sid, so labels are joined once per set
-    return meta.join(labels, "sid", "left").select("doc_id", "_row", "n_shingles", F.coalesce("component", "sid").alias("component"))
+    per_set = meta.where("n_shingles > 0").groupBy("sid").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    sets = keep(per_set.join(labels, "sid", "left").select("sid", "n", "least", F.coalesce("component", "sid").alias("component")))
+    return meta, sets, meta.count()
 
 
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each document.
 
     Defined results: null and wordless texts have no set, link with nothing and are their own component; fewer than
-    five words are one shingle; equal rows are in one component; a component of null ids alone is null; other columns
-    are ignored; an empty table gives no rows.
+    five words are one shingle; equal rows are in one component; null ids are larger than others, so a component of null
+    ids alone is null; documents that share an id are told apart by their text; a tie at the threshold is a link; very
+    long texts are whole sets; other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    named = _named(docs)
-    least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    some = named.where("n_shingles > 0").join(least, "component").select("doc_id", "n_shingles", "component_id")
-    return some.unionByName(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    meta, sets, total = _grouped(docs)
+    groups = sets.groupBy("component").agg(F.count("*").alias("n"), F.min("least").alias("component_id"))
+    named = spread_join(sets.select("sid", "component"), groups.drop("n"), "component", groups.select("component", "n"), ["sid"], total)
+    some = spread_join(meta.where("n_shingles > 0"), named.select("sid", "component_id"), "sid", sets.select("sid", "n"), ["_row"], total)
+    return some.select("doc_id", "n_shingles", "component_id").unionByName(meta.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -566,10 +574,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     their text.  Only documents that may go are moved."""
     none = F.col("doc_id").isNull()
     key = F.xxhash64(F.xxhash64("doc_id", "text"), none).alias("_key")
-    named = _named(docs).select(F.xxhash64("_row", none).alias("_key"), "doc_id", "n_shingles", "component")
+    meta, sets, total = _grouped(docs)
+    named = spread_join(meta, sets.select("sid", "component"), "sid", sets.select("sid", "n"), ["_row"], total)
+    named = named.select(F.xxhash64("_row", none).alias("_key"), "doc_id", "n_shingles", "component")
     rows = keep(named.groupBy("_key").agg(F.count("*").alias("_n"), F.first("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("component").alias("component")))
-    best = rows.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(none.alias("none"), "doc_id", "_key"))["_key"].alias("_best"))
-    linked = rows.where("n_shingles > 0").join(best, "component").select("_key", "_n", (F.col("_key") == F.col("_best")).alias("_stays"))
+    full = rows.where("n_shingles > 0")
+    best = full.groupBy("component").agg(F.min(F.struct(none.alias("none"), "doc_id", "_key"))["_key"].alias("_best"), F.count("*").alias("n"))
+    linked = spread_join(full, best.drop("n"), "component", best.select("component", "n"), ["_key"], total).select("_key", "_n", (F.col("_key") == F.col("_best")).alias("_stays"))
     ids = linked.unionByName(rows.where("n_shingles = 0").select("_key", "_n", F.lit(True).alias("_stays")))
     special = keep(ids.where("not _stays or _n > 1").select("_key", "_stays"))
     both = flagged(docs.select("*", key), "_key", special, "_key")
