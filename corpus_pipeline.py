@@ -7,6 +7,11 @@
 5.  packing: what is left is laid out in sequences of 1024 tokens.
 
 All but the last stage return the columns of documents (n_chars is the length of the text as it is then).
+
+Defined results of every stage: a null or empty text is not rejected, links with nothing, loses nothing, is clean, and is
+packed as its end token; documents that share an id, or have none, are told apart by their text, and of equal rows one
+stays after the second stage; at a threshold a link, a hit or a rejection holds; very long texts are handled whole;
+other columns, whatever their names, pass through all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,9 +21,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnframe.llm import classifier, decontaminate, jaccard, packing, substring
-from cairnframe.llm._spark import keep, table
-from cairnframe.llm.queries import END_TEXT, pattern, vocabulary
+from cairnframe.llm import classifier, decontaminate, jaccard, substring
+from cairnframe.llm._spark import stored, table
+from cairnframe.llm.queries import pack_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), END_TEXT)
+    return pack_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -57,8 +62,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; between two of them the documents are written to the shared folder and read again."""
+    """All stages; between two of them the documents are written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else keep(docs), sf_dir)
+        docs = stage(spark, docs if k == 0 else stored(docs), sf_dir)
     return docs
