@@ -108,7 +108,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     before = docs
     for _, stage in p.STAGES[:-1]:
-        after = p.keep(stage(spark, before, DATA))
+        after = p.stored(stage(spark, before, DATA))
         assert after.columns == docs.columns
         assert {r[0] for r in after.select("doc_id").collect()} <= {r[0] for r in before.select("doc_id").collect()}
         before = after
