@@ -97,15 +97,15 @@ def buckets_for(df: DataFrame) -> int:
     return max(2 * parts(df), min(known // PER_BUCKET, MOST_BUCKETS))
 
 
-#: Bits of a filter: at least, at most (32 MB), and for each wanted key.
-LEAST_BITS, MOST_BITS, KEY_BITS = 20, 28, 16
+#: Bits of a filter: at least, at most (16 MB), and for each wanted key.
+LEAST_BITS, MOST_BITS, KEY_BITS = 20, 27, 8
 
 
 def flagged(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """df with a column `_maybe`: false only where the key is surely not among the wanted keys (a table written before).
 
     Keeps rows out of a shuffle that the exact join after it would drop.  A filter of KEY_BITS bits for each wanted key,
-    32 MB at most, is broadcast; where it is too small for the data, more rows go to the join.
+    16 MB at most, is broadcast; where it is too small for the data, more rows go to the join.
     """
     bits = min(max((KEY_BITS * wanted.count()).bit_length(), LEAST_BITS), MOST_BITS)
     place = F.pmod(F.xxhash64(wanted_key), F.lit(1 << bits))

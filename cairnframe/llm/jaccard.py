@@ -10,7 +10,8 @@ A document is the set of its distinct five-word shingles.  Two documents link wh
 4.  Answer level: each block first asks only for links with one leader.  Sets linked with the same leader are known to
     be connected, so their pairs are skipped; what is left are pairs of different components.  Such a pair (y, z) is
     answered from the leader x of z: |y & z| = |y & x| - |y & (x - z)| + |y & (z - x)|, where the two differences are
-    known from the link of z and small.
+    known from the link of z and small.  One pair of each two components is answered first, and where it links, their
+    other pairs are skipped too; the last of ROUNDS rounds answers all that are left.
 5.  Components come from the links by star contraction.
 
 The table of counts only orders the shingles: it changes the work and never the result.  Sets, lists and differences
@@ -50,6 +51,8 @@ ITEM = 8
 EXTRA = 25
 #: Rows of a hot leader that one task answers.
 SPLIT = 2_000
+#: Rounds in which pairs between components are answered; the last answers all that are left.
+ROUNDS = 3
 
 
 def matches(size: np.ndarray) -> np.ndarray:
@@ -436,7 +439,7 @@ def _answer_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _answer_derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (y, x, part, kind): the set y, the set x, then how sets z differ from x.  |y & z| is derived
+    """Rows in order of (x, part, y, kind): the set x, then each set y with how sets z differ from x.  |y & z| is derived
     from |y & x|."""
     y = x = np.empty(0, np.uint64)
     both = 0
@@ -444,9 +447,9 @@ def _answer_derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         us, vs = [], []
         for u, kind, v, items, minus, plus in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("y", "kind", "z", "items", "minus", "plus")), strict=True):
             if kind == 0:
-                y = _items(items)
-            elif kind == 1:
                 x = _items(items)
+            elif kind == 1:
+                y = _items(items)
                 both = int(np.isin(y, x, assume_unique=True).sum())
             else:
                 less, more = _items(minus), _items(plus)
@@ -524,20 +527,51 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     # z is the side with the more likely leader: v if it has one
     led = answered.groupBy("v").agg(F.min_by(F.struct("u", "minus", "plus"), F.struct(F.length("minus") + F.length("plus"), "u")).alias("by")).select(F.col("v").alias("z"), "by.*")
     asked = more.select(F.col("u").alias("y"), F.col("v").alias("z")).join(led.withColumnRenamed("u", "x"), "z", "left")
-    asked = keep(asked)
-    later = asked.select(F.col("y").alias("sid")).unionByName(asked.select(F.coalesce("x", "z").alias("sid"))).distinct()
-    sets = sets.unionByName(_sets(docs, meta, later.join(sets, "sid", "left_anti"), levels))
     empty = F.lit(b"")
     asked = asked.select("y", F.coalesce("x", "z").alias("x"), "z", F.coalesce("minus", empty).alias("minus"), F.coalesce("plus", empty).alias("plus"))
-    split, every = _spread(asked, ["y", "x"], "z")
-    columns = ["y", "x", "part", "kind", "z", "items", "minus", "plus"]
-    gone = F.lit(None).cast("long")
-    of_y = every.join(sets.withColumnRenamed("sid", "y"), "y").select("y", "x", "part", F.lit(0).alias("kind"), gone.alias("z"), "items", none.alias("minus"), none.alias("plus"))
-    of_x = every.join(sets.withColumnRenamed("sid", "x"), "x").select("y", "x", "part", F.lit(1).alias("kind"), gone.alias("z"), "items", none.alias("minus"), none.alias("plus"))
-    of_z = split.select("y", "x", "part", F.lit(2).alias("kind"), "z", none.alias("items"), "minus", "plus")
-    rows = of_y.unionByName(of_x).unionByName(of_z).select(*columns).repartition(n, "y", "x", "part").sortWithinPartitions("y", "x", "part", "kind")
-    derived = rows.mapInArrow(_answer_derived, "u long, v long")
-    return direct.unionByName(derived)
+    for side in ("y", "z"):
+        own = labels.select(F.col("sid").alias(side), F.col("component").alias(f"c{side}"))
+        asked = asked.join(own, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    asked = keep(asked)
+    later = asked.select(F.col("y").alias("sid")).unionByName(asked.select(F.col("x").alias("sid"))).distinct()
+    sets = sets.unionByName(_sets(docs, meta, later.join(sets, "sid", "left_anti"), levels))
+    found = [direct]
+    for round_ in range(ROUNDS):
+        # one pair of each two components first: where it links, their other pairs need no answer
+        a, b = F.least("cy", "cz").alias("ca"), F.greatest("cy", "cz").alias("cb")
+        if round_ < ROUNDS - 1:
+            one = asked.groupBy(a, b).agg(F.min(F.struct(F.xxhash64("y", "z", F.lit(round_)).alias("h"), "y", "z")).alias("p")).select("p.y", "p.z")
+            chosen = keep(asked.join(one, ["y", "z"], "left_semi"))
+        else:
+            chosen = asked
+        got = keep(_derived(chosen, sets, n))
+        found.append(got)
+        if round_ == ROUNDS - 1:
+            break
+        merged = components(got.join(chosen, (got["u"] == chosen["y"]) & (got["v"] == chosen["z"])).select(F.col("cy").alias("u"), F.col("cz").alias("v")))
+        asked = asked.join(chosen.select("y", "z"), ["y", "z"], "left_anti")
+        for side in ("cy", "cz"):
+            asked = asked.join(merged.select(F.col("node").alias(side), F.col("component").alias("_c")), side, "left").withColumn(side, F.coalesce("_c", side)).drop("_c")
+        asked = keep(asked.where("cy <> cz"))
+        if not asked.limit(1).count():
+            break
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _derived(asked: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
+    """Which of the pairs (y, z) link, where z differs by `minus` and `plus` from x.  A set x travels once to each of its
+    parts, a set y once for each x."""
+    split, every = _spread(asked.select("y", "x", "z", "minus", "plus"), ["x"], "y")
+    columns = ["x", "part", "y", "kind", "z", "items", "minus", "plus"]
+    gone, none = F.lit(None).cast("long"), F.lit(None).cast("binary")
+    of_x = every.join(sets.withColumnRenamed("sid", "x"), "x").select("x", "part", gone.alias("y"), F.lit(0).alias("kind"), gone.alias("z"), "items", none.alias("minus"), none.alias("plus"))
+    of_y = split.select("x", "part", "y").distinct().join(sets.withColumnRenamed("sid", "y"), "y").select("x", "part", "y", F.lit(1).alias("kind"), gone.alias("z"), "items", none.alias("minus"), none.alias("plus"))
+    of_z = split.select("x", "part", "y", F.lit(2).alias("kind"), "z", none.alias("items"), "minus", "plus")
+    rows = of_x.unionByName(of_y).unionByName(of_z).select(*columns).repartition(tasks, "x", "part").sortWithinPartitions("x", "part", F.asc_nulls_first("y"), "kind")
+    return rows.mapInArrow(_answer_derived, "u long, v long")
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
