@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from cairnframe.llm import decontaminate, jaccard, substring
+from cairnframe.llm import _components, decontaminate, jaccard, substring
 
 LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -63,10 +63,11 @@ def brute_components(rows):
     return sorted((k, len(s), least[find(i)]) for i, (k, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("short", [1, 8])
-def test_jaccard(spark, monkeypatch, short):
-    """With short = 1 every shared list goes by leaders and derived answers."""
+@pytest.mark.parametrize(("short", "local"), [(1, 0), (8, 10**6)])
+def test_jaccard(spark, monkeypatch, short, local):
+    """With short = 1 every shared list goes by leaders and derived answers; with local = 0 links are contracted by joins."""
     monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(_components, "LOCAL_LINKS", local)
     rows = corpus(1)
     got = sorted(map(tuple, jaccard.cluster(frame(spark, rows)).collect()))
     assert got == brute_components(rows)
@@ -195,3 +196,50 @@ def test_decontamination_groups_keep_rows_apart(spark):
         got = decontaminate.hits(df, bench, max_item_words=20).drop("spans", "items")
         assert sorted(map(tuple, got.collect()), key=repr) == brute_hits(docs, items)
         assert sorted(r["text"] for r in decontaminate.clean(df, bench).collect()) == sorted(texts[3:])
+
+
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(_components, "LOCAL_LINKS", local)
+    rnd = random.Random(4)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2000 + k) for k in range(1, 50)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in _components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: find(x) for u, v in links if u != v for x in (u, v)}
+
+
+def test_near_group_in_rounds(spark, monkeypatch):
+    """Pairs between components are answered in rounds; no link is lost, and few pairs are asked."""
+    monkeypatch.setattr(jaccard, "SHORT", 1)
+    monkeypatch.setattr(jaccard, "LEADERS", 1)
+    rnd = random.Random(11)
+    base = [f"v{k}" for k in range(90)]
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(90)] = f"n{rnd.randrange(9999)}"
+        rows.append((k, " ".join(w)))
+        if k % 10 == 9:
+            base = [x if rnd.random() < 0.97 else f"b{rnd.randrange(9999)}" for x in base]
+    assert sorted(map(tuple, jaccard.cluster(frame(spark, rows)).collect())) == brute_components(rows)
+
+
+def test_jaccard_odd_rows(spark):
+    """Null and repeated ids, ties at the threshold, a long text."""
+    tie = "a b c d e f g h"  # four shingles; with one more word five, of which four are shared: 80 %
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(None, tie), (5, tie + " i"), (5, "other words that stand alone here"), (7, tie + " i j k"), (8, long), (9, long + " end"), (None, None), (3, "few"), (2, "few")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.cluster(frame(spark, rows)).collect()), key=repr)
+    want = [(None, 4, 5), (5, 5, 5), (5, 2, 5), (7, 7, 7), (8, 29_996, 8), (9, 29_997, 8), (None, 0, None), (3, 1, 2), (2, 1, 2)]
+    assert got == sorted(want, key=repr)
