@@ -25,12 +25,46 @@ def collapse_spaces(c: Column) -> Column:
 
 
 def drop_non_ascii(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "")
+    """Without characters beyond ASCII; then runs of three spaces or more as one."""
+    return F.regexp_replace(F.regexp_replace(c, r"[^\x00-\x7F]", ""), r" {3,}", " ")
 
 
 def collapse_repeats(c: Column) -> Column:
-    """A word repeated immediately stands once."""
-    return F.regexp_replace(c, r"\b(\w+)(?: \1\b)+", "$1")
+    """A token of letters, digits and `!:.@#$%^&*()-` that is repeated immediately stands once."""
+    return F.regexp_replace(c, r"(?U)(\b[\w!:.@#$%^&*()-]+)(?:\s+\1)+", "$1")
+
+
+def collapse_same_space(c: Column) -> Column:
+    """A run of one and the same white-space character as one."""
+    return F.regexp_replace(c, r"([ \t\n\r\f\x0B\x1C-\x1F])\1+", "$1")
+
+
+def clean_scraped(c: Column, ascii_only: bool = True, repeats: bool = True, spaces: bool = True) -> Column:
+    """Text of a scraped page: without characters beyond ASCII, repeated tokens and repeated white space."""
+    if ascii_only:
+        c = drop_non_ascii(c)
+    if repeats:
+        c = collapse_repeats(c)
+    return collapse_same_space(c) if spaces else c
+
+
+def length_key(c: Column) -> Column:
+    """A sort key: length, then md5."""
+    return F.struct(F.length(c).alias("length"), F.md5(c).alias("md5"))
+
+
+def employee_range(c: Column) -> Column:
+    """Range label of an enumerated head count such as `c_00011_00050`; null for null and for what is none."""
+    low, high = (F.regexp_extract(c, r"^c_0*(\d+)_(?:0*(\d+)|max)$", k) for k in (1, 2))
+    return F.when(low != "", F.when(high != "", F.concat(low, F.lit("-"), high)).otherwise(F.concat(low, F.lit("+"))))
+
+
+def repeats_itself(c: Column, sizes: tuple[int, ...] = (2,), threshold: float = 0.2) -> Column:
+    """Whether the most frequent sequence of one of the sizes covers so large a part of a text; false for shorter texts."""
+    out = F.lit(False)
+    for n in sizes:
+        out = out | (repeated_share(c, n) >= threshold)
+    return F.coalesce(out, F.lit(False))
 
 
 def join_nonmissing(*columns: Column, sep: str = "|") -> Column:

@@ -60,14 +60,53 @@ def pivot_counts(df: DataFrame, key: str, column: Column, values: list) -> DataF
 
 
 def multi_level(df: DataFrame, entity: str, levels: list[str], thing: str, amount: Column) -> DataFrame:
-    """Grouping sets: for the entity alone and with every combination of levels, count, distinct things and sum."""
+    """Grouping sets: for the entity alone and with every combination of levels, count, distinct things and sum.
+
+    Rows are summed by entity, all levels and thing first; only these sums are repeated for each set, and a thing is
+    counted where its sums of a set have met, so nothing is made distinct twice."""
     from itertools import combinations
 
     names = [entity, *levels]
-    sets = [(entity, *c) for n in range(len(levels) + 1) for c in combinations(levels, n)]
-    return df.groupingSets([[F.col(x) for x in s] for s in sets], *names).agg(
-        F.grouping_id().alias("gid"), F.count("*").alias("n"), F.countDistinct(thing).alias("n_things"), F.sum(amount).alias("total")
-    )
+    base = df.withColumn("_a", amount).groupBy(*names, thing).agg(F.count("*").alias("_n"), F.sum("_a").alias("_s"))
+    kinds = {f.name: f.dataType for f in df.schema}
+    sets = []
+    for n in range(len(levels) + 1):
+        for chosen in combinations(levels, n):
+            gid = sum(1 << (len(levels) - 1 - k) for k, x in enumerate(levels) if x not in chosen)
+            sets.append(F.struct(F.lit(gid).cast("long").alias("gid"), *[(F.col(x) if x in chosen else F.lit(None).cast(kinds[x])).alias(x) for x in levels]))
+    rows = base.select(entity, thing, "_n", "_s", F.explode(F.array(*sets)).alias("_g")).select(entity, thing, "_n", "_s", "_g.*")
+    things = rows.groupBy("gid", *names, thing).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    return things.groupBy(*names, "gid").agg(F.sum("_n").alias("n"), F.count(thing).alias("n_things"), F.sum("_s").alias("total"))
+
+
+def transformed(df: DataFrame, key: str, value: str) -> DataFrame:
+    """df with the sum, mean and count of its group on each row; the group's sums are made first and joined."""
+    own = df.groupBy(F.col(key).alias("_k")).agg(F.sum(value).alias("group_sum"), F.avg(value).alias("group_mean"), F.count(value).alias("group_count"))
+    return df.join(own, df[key] == own["_k"], "left").drop("_k")
+
+
+def merged_weights(df: DataFrame, keys: list[str], tags: str) -> DataFrame:
+    """Weighted tags (arrays of struct<tag, wt>) of a group: as they are for a group of one row; else summed by tag and
+    divided by their total; largest first, ties by tag."""
+    size = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    rows = df.select(*keys, F.inline(tags)).groupBy(*keys, "tag").agg(F.sum("wt").alias("wt")).join(size, keys)
+    total = F.sum("wt").over(Window.partitionBy(*keys))
+    rows = rows.withColumn("wt", F.when(F.col("_rows") == 1, F.col("wt")).otherwise(F.col("wt") / total))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("wt")).alias("n"), "tag")))
+    return rows.groupBy(*keys).agg(order.alias("_t")).select(*keys, F.transform("_t", lambda x: F.struct(x["tag"].alias("tag"), (-x["n"]).alias("wt"))).alias("tags"))
+
+
+def subset_ratios(df: DataFrame, key: str, subset: Column, amounts: dict[str, Column], weighted: bool = True) -> DataFrame:
+    """Per entity and amount: the subset's part of the total, and (if weighted) that part times ln(total); null where
+    the total is 0."""
+    aggs = [F.sum(F.when(subset, a).otherwise(0)).alias(f"{n}_subset") for n, a in amounts.items()] + [F.sum(a).alias(f"{n}_total") for n, a in amounts.items()]
+    out = df.groupBy(key).agg(*aggs)
+    for n in amounts:
+        part = F.try_divide(F.col(f"{n}_subset").cast("double"), F.col(f"{n}_total").cast("double"))
+        out = out.withColumn(f"{n}_ratio", part)
+        if weighted:
+            out = out.withColumn(f"{n}_weighted", part * F.when(F.col(f"{n}_total") > 0, F.log(F.col(f"{n}_total").cast("double"))))
+    return out
 
 
 def metrics(df: DataFrame, keys: list[str], value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Terms of one tree.  Average linkage compares all pairs of terms, so a tree is one task of bounded size.
@@ -20,25 +20,75 @@ def singular_terms(terms: DataFrame, key: str, term: str) -> DataFrame:
 
 
 def average_linkage(vectors: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges (a, b, similarity) by cosine with average linkage; leaves are 0..n-1, merge k makes node n + k."""
+    """Merges (a, b, similarity) by cosine with average linkage; leaves are 0..n-1, merge k makes node n + k.
+
+    Chains of nearest neighbours: each step compares one row, so n terms take n^2 comparisons; merges come out in order
+    of their similarity."""
+    n = len(vectors)
     v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     sim = v @ v.T
-    n = len(v)
     np.fill_diagonal(sim, -np.inf)
-    size, name, alive = np.ones(n), list(range(n)), np.ones(n, bool)
-    out = []
-    for k in range(n - 1):
-        i, j = divmod(int(np.argmax(np.where(alive[:, None] & alive[None, :], sim, -np.inf))), n)
-        i, j = min(i, j), max(i, j)
-        out.append((name[i], name[j], float(sim[i, j])))
-        merged = (size[i] * sim[i] + size[j] * sim[j]) / (size[i] + size[j])
-        sim[i, :] = sim[:, i] = merged
-        sim[i, i] = -np.inf
-        size[i] += size[j]
-        alive[j], name[i] = False, n + k
+    size, alive = np.ones(n), np.ones(n, bool)
+    chain: list[int] = []
+    found: list[tuple[float, int, int]] = []
+    while len(found) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        i = chain[-1]
+        j = int(np.argmax(np.where(alive, sim[i], -np.inf)))
+        if len(chain) > 1 and sim[i, chain[-2]] >= sim[i, j]:
+            j = chain[-2]
+            chain = chain[:-2]
+            i, j = min(i, j), max(i, j)
+            found.append((float(sim[i, j]), i, j))
+            row = (size[i] * sim[i] + size[j] * sim[j]) / (size[i] + size[j])
+            sim[i, :] = sim[:, i] = row
+            sim[i, i] = -np.inf
+            size[i] += size[j]
+            alive[j] = False
+        else:
+            chain.append(j)
+    name, out = list(range(n)), []
+    for k, (s, i, j) in enumerate(sorted(found, key=lambda x: -x[0])):
+        out.append((_top(name, i), _top(name, j), s))
+        node = n + k
+        name.append(node)
+        name[out[-1][0]] = name[out[-1][1]] = node
     return out
 
 
+def _top(name: list[int], x: int) -> int:
+    while name[x] != x:
+        x = name[x]
+    return x
+
+
+def without_places(terms: DataFrame, key: str, term: str, places: DataFrame) -> DataFrame:
+    """key, term without terms that are a place (place) or hold one as consecutive words."""
+    words = terms.select(key, F.col(term).alias("term"), F.explode(_runs(F.col(term))).alias("run"))
+    bad = words.join(places.select(F.lower("place").alias("run")).distinct(), "run").select("term").distinct()
+    return terms.select(key, F.col(term).alias("term")).join(bad, "term", "left_anti").select(key, "term")
+
+
+def _runs(c: Column, most: int = 5) -> Column:
+    from .tags import ngrams
+
+    return ngrams(F.split(F.lower(c), " "), most)
+
+
+def synonym_groups(similar: DataFrame, frequency: DataFrame, least: float = 0.9, min_count: int = 2, excluded: list[str] | None = None) -> DataFrame:
+    """term, representative: terms joined by similarities (u, v, sim) of at least `least`, and the most frequent term of
+    each group, for groups of min_count documents in all.  frequency: term, n."""
+    from .network import min_label_components
+
+    label = min_label_components(similar.where(F.col("sim") >= least).select("u", "v"))
+    own = frequency.join(label, frequency["term"] == label["node"], "left").withColumn("g", F.coalesce("component", "term"))
+    if excluded:
+        own = own.where(~F.col("term").isin(excluded))
+    best = own.groupBy("g").agg(F.sum("n").alias("_s"), F.min(F.struct((-F.col("n")).alias("n"), "term"))["term"].alias("representative")).where(F.col("_s") >= min_count)
+    return own.join(best, "g").select("term", "representative")
+
+
 def tag_tree(terms: DataFrame, group: str, term: str, vector: str, freq: str) -> DataFrame:
     """group, node, parent, label, sim: the tree of each group's terms; a node is named by its term with the largest
     frequency-weighted similarity to the node's centre."""
@@ -76,3 +126,42 @@ def merge_small_clusters(assign: DataFrame, edges: DataFrame, ratio: float = 10,
     sized = between.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
     moves = sized.where((F.col("na") < largest) & (F.col("nb") > ratio * F.col("na"))).groupBy("a").agg(F.max_by("b", F.struct("s", "b")).alias("to"))
     return assign.join(moves, assign["cluster"] == moves["a"], "left").select("node", F.coalesce("to", "cluster").alias("cluster"))
+
+
+def tag_documents(documents: DataFrame, key: str, term: str, nodes: DataFrame, closure: DataFrame, least_similarity: float = 0.2, least_score: float = 0.15) -> DataFrame:
+    """key, tag, score: document terms (key, term) as tags of a tree.
+
+    nodes: term, tag (the node a term is closest to); closure: tag, ancestor, sim, the node itself included.  A tag's
+    weight in a document is the sum of similarities of at least least_similarity from the document's nodes to it; the
+    score is that weight times ln(documents / documents with the tag), over the length of the document's vector; scores
+    up to least_score go."""
+    from pyspark.sql import Window
+
+    own = documents.join(nodes, documents[term] == nodes["term"]).select(key, "tag")
+    up = own.join(closure.where(F.col("sim") >= least_similarity), "tag").groupBy(key, F.col("ancestor").alias("tag")).agg(F.sum("sim").alias("w"))
+    total = documents.select(key).distinct().agg(F.count("*").alias("_n"))
+    df = up.groupBy("tag").agg(F.count("*").alias("_df"))
+    rows = up.join(df, "tag").crossJoin(F.broadcast(total)).withColumn("x", F.col("w") * F.log(F.col("_n") / F.col("_df")))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
+    return rows.withColumn("score", F.try_divide("x", norm)).where(F.col("score") > least_score).select(key, "tag", "score")
+
+
+def pruned_tree(tree: DataFrame, group: str) -> DataFrame:
+    """group, node, parent, label of a tag tree without inner nodes named like their parent: their children move up.
+    One step of joins for each level that goes."""
+    out = tree.select(group, "node", "parent", "label")
+    for _ in range(64):
+        up = out.select(F.col(group).alias("_g"), F.col("node").alias("_n"), F.col("label").alias("_l"), F.col("parent").alias("_p"))
+        same = out.join(up, (out[group] == up["_g"]) & (out["parent"] == up["_n"])).where(F.col("label") == F.col("_l")).select(F.col(group).alias("_g"), F.col("node").alias("_gone"), F.col("parent").alias("_to"))
+        inner = out.select(F.col(group).alias("_h"), F.col("parent").alias("_q")).distinct()
+        same = same.join(inner, (F.col("_g") == F.col("_h")) & (F.col("_gone") == F.col("_q")), "left_semi")
+        same = same.join(same.select(F.col("_g").alias("_g2"), F.col("_gone").alias("_x")), (F.col("_g") == F.col("_g2")) & (F.col("_to") == F.col("_x")), "left_anti")  # one of a chain at a time
+        from ..sources.shared import keep
+
+        same = keep(same)
+        if not same.count():
+            return out
+        moved = out.join(same, (out[group] == F.col("_g")) & (out["parent"] == F.col("_gone")), "left").select(group, "node", F.coalesce("_to", "parent").alias("parent"), "label")
+        gone = same.select(F.col("_g").alias(group), F.col("_gone").alias("node"))
+        out = keep(moved.join(gone, [group, "node"], "left_anti"))
+    return out

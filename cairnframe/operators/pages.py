@@ -50,3 +50,51 @@ def number_texts(*columns: Column) -> Column:
     """The texts that are not empty, numbered, with blank lines between."""
     kept = F.filter(F.array(*columns), lambda x: x.isNotNull() & (F.trim(x) != ""))
     return F.array_join(F.transform(kept, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n\n")
+
+
+#: Texts of a page shorter than this fall back to its paragraphs; with section links, the second.
+SHORT_TEXT, SHORT_TEXT_LINKS = 500, 1_000
+
+
+def page_text(html: Column, links: bool = False) -> Column:
+    """Text of a page: strong and em marks off, tags as spaces, runs of white space as one; where that is short, the text
+    of its p and section elements, if that is longer; `empty` where there is none."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?i)</?(strong|em|b|i)\b[^>]*>", ""), r"<[^>]*>", " "), r"\s+", " "))
+    whole = plain(bare)
+    parts = plain(F.array_join(F.regexp_extract_all(bare, F.lit(r"(?is)<(?:p|section)\b[^>]*>(.*?)</(?:p|section)>"), F.lit(1)), " "))
+    least = SHORT_TEXT_LINKS if links else SHORT_TEXT
+    text = F.when((F.length(whole) < least) & (F.length(parts) > F.length(whole)), parts).otherwise(whole)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("empty")).otherwise(F.replace(text, F.lit("\u0000"), F.lit("\ufffd")))
+
+
+def site_pages(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """cache_id (`site` or `site/path`), kind (index or page) and text of each page."""
+    from ..functions.url import host
+
+    path = F.regexp_replace(F.regexp_extract(F.col(url), r"^[a-zA-Z]+://[^/?#]+/?([^?#]*)", 1), r"/+$", "")
+    key = F.when(path == "", host(F.col(url))).otherwise(F.concat(host(F.col(url)), F.lit("/"), path))
+    return pages.select(key.alias("cache_id"), F.when(path == "", "index").otherwise("page").alias("kind"), page_text(F.col(html)).alias("text"))
+
+
+def combined_sites(pages: DataFrame, site: str, text: str, order: str) -> DataFrame:
+    """One text for each site: its pages' in order, apart by blank lines."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return pages.where(F.col(text) != "empty").groupBy(site).agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def packed_texts(pages: DataFrame, site: str, order: str, text: str, budget: int, shortest: int = 1, fallback: int = 5_000) -> DataFrame:
+    """Per site, pages in order whose words fit a budget together; a page that does not fit is passed over and later ones
+    may.  Where none fits, the first page's beginning.  One fold over a site's pages."""
+    words = F.size(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""))
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), words.alias("n"), F.col(text).alias("t"))))
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("kept"), F.lit("").alias("t"))
+
+    def step(a: Column, x: Column) -> Column:
+        fits = (x["n"] >= shortest) & (a["used"] + x["n"] <= budget)
+        joined = F.when(a["kept"] > 0, F.concat(a["t"], F.lit("\n\n"), x["t"])).otherwise(x["t"])
+        return F.struct(F.when(fits, a["used"] + x["n"]).otherwise(a["used"]).alias("used"), F.when(fits, a["kept"] + 1).otherwise(a["kept"]).alias("kept"), F.when(fits, joined).otherwise(a["t"]).alias("t"))
+
+    rows = pages.groupBy(site).agg(items.alias("i")).withColumn("f", F.aggregate("i", start, step))
+    first = F.substring(F.element_at("i", 1)["t"], 1, fallback)
+    return rows.select(site, F.col("f.used").alias("n_words"), F.col("f.kept").alias("n_pages"), F.when(F.col("f.kept") > 0, F.col("f.t")).otherwise(first).alias("text"))

@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def set_jaccard(df: DataFrame, key: str, item: str, least: float = 0.0) -> DataFrame:
-    """(u, v, common, jaccard), u < v, for sets given as rows: through their items, never all pairs."""
+    """(u, v, common, jaccard), u < v, for sets given as rows: through their items, never all pairs.
+
+    With a bound, only prefixes meet: a set's items in order from the rarest, without the last ceil(least * size) but
+    one.  Two sets that reach the bound share an item of both prefixes, so common items are not joined.
+    """
     f = df.select(F.col(key).alias("u"), F.col(item).alias("i")).distinct()
     size = f.groupBy("u").agg(F.count("*").alias("n"))
-    pairs = f.join(f.select(F.col("u").alias("v"), "i"), "i").where("u < v").groupBy("u", "v").agg(F.count("*").alias("common"))
-    both = pairs.join(size.withColumnRenamed("n", "nu"), "u").join(size.select(F.col("u").alias("v"), F.col("n").alias("nv")), "v")
-    return both.select("u", "v", "common", (F.col("common") / (F.col("nu") + F.col("nv") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") > least)
+    if least <= 0:
+        pairs = f.join(f.select(F.col("u").alias("v"), "i"), "i").where("u < v").groupBy("u", "v").agg(F.count("*").alias("common"))
+        both = pairs.join(size.withColumnRenamed("n", "nu"), "u").join(size.select(F.col("u").alias("v"), F.col("n").alias("nv")), "v")
+        return both.select("u", "v", "common", (F.col("common") / (F.col("nu") + F.col("nv") - F.col("common"))).alias("jaccard"))
+    often = f.groupBy("i").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("df", "i"))
+    ranked = f.join(often, "i").withColumn("r", rank).join(size, "u")
+    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("u", "i", "n")
+    near = F.least("nu", "nv") >= F.greatest("nu", "nv") * (least - 1e-9)
+    pairs = prefix.withColumnRenamed("n", "nu").join(prefix.select(F.col("u").alias("v"), "i", F.col("n").alias("nv")), "i").where("u < v").where(near).select("u", "v").distinct()
+    sets = f.groupBy("u").agg(F.collect_list("i").alias("a"))
+    both = pairs.join(sets, "u").join(sets.select(F.col("u").alias("v"), F.col("a").alias("b")), "v").withColumn("common", F.size(F.array_intersect("a", "b")).cast("long"))
+    return both.select("u", "v", "common", (F.col("common") / (F.size("a") + F.size("b") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") > least)
 
 
 def neighbour_jaccard(edges: DataFrame, least: float = 0.0) -> DataFrame:
@@ -42,3 +56,23 @@ def influence_overlap(edges: DataFrame, keystones: DataFrame, least: int = 2) ->
     """source, n: sources with at least `least` edges to keystones (node)."""
     k = keystones.select(F.col("node").alias("v"))
     return edges.join(k, "v", "left_semi").groupBy(F.col("u").alias("source")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def overlap_forms(a, b):
+    """Column functions of two sets given as arrays: Jaccard; Jaccard over the largest one their sizes allow; which
+    elements of a are in b (1 or 0)."""
+    common, every = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    small, large = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b))), F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    jaccard = F.try_divide(common.cast("double"), every.cast("double"))
+    return jaccard, jaccard * F.try_divide(large.cast("double"), small.cast("double")), F.transform(a, lambda x: F.array_contains(b, x).cast("int"))
+
+
+def merge_identical(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Edges whose nodes of similar pairs (u, v; v is the one that goes) are replaced by the smallest node they are
+    linked with; edges that become equal are one."""
+    from .network import min_label_components
+
+    label = min_label_components(pairs)
+    at = lambda c, n: label.select(F.col("node").alias(c), F.col("component").alias(n))
+    rows = edges.join(at("u", "_a"), "u", "left").join(at("v", "_b"), "v", "left")
+    return rows.select(F.coalesce("_a", "u").alias("u"), F.coalesce("_b", "v").alias("v")).where("u <> v").distinct()

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .network import blocked_dot
@@ -71,3 +71,116 @@ def closure(tree: DataFrame, node: str, parent: str, depth: int) -> DataFrame:
 def missing_parents(levels: DataFrame, upper: DataFrame, parent: str, name: str) -> DataFrame:
     """Parents named one level down that do not exist; a taxonomy is valid if there are none."""
     return levels.select(F.col(parent).alias("name")).where("name is not null").distinct().join(upper.select(F.col(name).alias("name")).distinct(), "name", "left_anti")
+
+
+def similarity_percentiles(entities: DataFrame, key: str, vector: str, categories: DataFrame, name: str, category_vector: str, n: int = 5, threshold: float = 90.0, delta: float = 1.0) -> DataFrame:
+    """id, category, sim, pct, rank: per entity its best category, and up to n whose percentile is over the threshold and
+    within delta of the best one's.
+
+    The percentile of a similarity is the share of all pairs strictly below it.  Pairs are multiplied in blocks: a first
+    pass counts them in ranges, a second sends the similarities from the smallest candidate on, rounded to 9 places and
+    counted by value in each block; what lies below a value is then summed within its range only."""
+    from pyspark.sql import Window
+
+    names, matrix = _matrix(categories, name, category_vector)
+    rows = entities.select(F.col(key).alias("id"), F.col(vector).alias("embedding"))
+    kind = rows.schema["id"].dataType.simpleString()
+    send = entities.sparkSession.sparkContext.broadcast((names, matrix))
+    best = top_categories(entities, key, vector, categories, name, category_vector, n)
+    low, high = (float(x or 0.0) for x in best.agg(F.min("sim"), F.max("sim")).first())
+    steps = np.linspace(low, high, 4097)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, m = send.value
+        total = np.zeros(len(steps) + 1, np.int64)
+        for pdf in batches:
+            sims = np.round(np.stack(pdf["embedding"].to_numpy()).astype(float) @ m.T, 9)
+            total += np.bincount(np.searchsorted(steps, sims.ravel(), side="right"), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"b": at, "n": total[at]})
+
+    counted = {r["b"]: r["n"] for r in rows.mapInPandas(sums, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()}  # at most 4,098 rows
+    below = np.cumsum([0] + [counted.get(b, 0) for b in range(len(steps) + 1)])
+    every = int(below[-1])
+
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Similarities of the ranges that hold candidates, counted by value."""
+        _, m = send.value
+        for pdf in batches:
+            sims = np.round(np.stack(pdf["embedding"].to_numpy()).astype(float) @ m.T, 9).ravel()
+            x, c = np.unique(sims[sims >= low - 1e-9], return_counts=True)
+            yield pd.DataFrame({"b": np.searchsorted(steps, x, side="right"), "x": x, "c": c})
+
+    inside = rows.mapInPandas(values, "b long, x double, c long").groupBy("b", "x").agg(F.sum("c").alias("c"))
+    under = F.coalesce(F.sum("c").over(Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = entities.sparkSession.createDataFrame([(k, int(v)) for k, v in enumerate(below[:-1])], "b long, s long")
+    pct = inside.withColumn("u", under).join(F.broadcast(starts), "b").select("x", (100.0 * (F.col("s") + F.col("u")) / every).alias("pct"))
+    out = best.withColumn("x", F.round("sim", 9)).join(pct, "x", "left").withColumn("_m", F.max("pct").over(Window.partitionBy("id")))
+    good = (F.col("rank") == 1) | ((F.col("pct") > threshold) & (F.col("pct") > F.col("_m") - delta))
+    return out.where(good).select(F.col("id").cast(kind).alias("id"), "category", "sim", "pct", "rank")
+
+
+def _matrix(categories: DataFrame, name: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Names and vectors of a taxonomy of at most MAX_CATEGORIES categories."""
+    rows = categories.select(F.col(name).cast("string"), vector).orderBy(name).limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories")
+    return np.array([r[0] for r in rows], object), np.array([r[1] for r in rows], float)
+
+
+def level_paths(nodes: DataFrame, node: str, parent: str, root: str, depth: int) -> DataFrame:
+    """node, level0 ... level{depth - 1}: the names from the root down to the node.  Of deeper nodes, what lies beyond
+    the last level is one name, parts joined by ` - `."""
+    kids = nodes.select(F.col(node).alias("node"), F.col(parent).alias("_p"))
+    level = kids.where(F.col("_p") == root).select("node", F.array(F.col("node")).alias("path"))
+    out = level
+    for _ in range(depth + 8):
+        level = kids.join(level.select(F.col("node").alias("_p"), "path"), "_p").select("node", F.concat("path", F.array("node")).alias("path"))
+        out = out.unionByName(level)
+    deep = F.array_join(F.slice("path", depth, 99), " - ")
+    names = [F.when(F.size("path") > depth, deep).otherwise(F.get("path", F.lit(k))) if k == depth - 1 else F.get("path", F.lit(k)) for k in range(depth)]
+    return out.select("node", *[x.alias(f"level{k}") for k, x in enumerate(names)])
+
+
+def forced_parents(mapping: DataFrame, key: str, category: str, closure_: DataFrame) -> DataFrame:
+    """mapping (key, category) with all ancestors of its categories.  closure_: node, ancestor."""
+    up = mapping.join(closure_, mapping[category] == closure_["node"]).select(key, F.col("ancestor").alias(category))
+    return mapping.select(key, category).unionByName(up).distinct()
+
+
+def unique_children(terms: DataFrame, term: str, parent: str) -> DataFrame:
+    """terms where a name that stands under several parents gets its parent as a suffix."""
+    many = terms.groupBy(F.col(term).alias("_t")).agg(F.countDistinct(parent).alias("_n")).where(F.col("_n") > 1).select("_t")
+    out = terms.join(many, terms[term] == many["_t"], "left")
+    return out.withColumn(term, F.when(F.col("_t").isNotNull(), F.concat(F.col(term), F.lit(" ("), F.col(parent), F.lit(")"))).otherwise(F.col(term))).drop("_t")
+
+
+def over_mean(mapping: DataFrame, key: str, value: str, threshold: float) -> DataFrame:
+    """All rows of entities whose mean value passes the threshold."""
+    good = mapping.groupBy(key).agg(F.avg(value).alias("_m")).where(F.col("_m") > threshold).select(key)
+    return mapping.join(good, key, "left_semi")
+
+
+def mapping_to_entities(entities: DataFrame, mapping: DataFrame, key: str, pct: str, levels: list[str]) -> DataFrame:
+    """entities with the levels of their best mapping (the first by level names of equals) as best_*, and distinct lists
+    of all their levels as all_*."""
+    best = mapping.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct((-F.col(pct)).alias("p"), *levels)).alias("b"), *[F.array_sort(F.collect_set(c)).alias(f"all_{c}") for c in levels])
+    own = best.select("_k", *[F.col(f"b.{c}").alias(f"best_{c}") for c in levels], *[f"all_{c}" for c in levels])
+    return entities.join(own, entities[key] == own["_k"], "left").drop("_k")
+
+
+def share_table(rows: DataFrame, path: list[str], amount: Column) -> DataFrame:
+    """The table behind a sunburst: the amount of each path, its part of the whole and of its parent, and the cumulative
+    part within the parent, largest first."""
+    from pyspark.sql import Window
+
+    out = []
+    for d in range(1, len(path) + 1):
+        own = rows.groupBy(*path[:d]).agg(F.sum(amount).alias("amount"))
+        above = Window.partitionBy(*path[: d - 1])
+        order = above.orderBy(F.desc("amount"), path[d - 1])
+        part = F.try_divide("amount", F.sum("amount").over(above))
+        own = own.withColumn("of_parent", part).withColumn("cumulative", F.sum("of_parent").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        out.append(own.select(F.lit(d).alias("depth"), F.concat_ws("/", *path[:d]).alias("path"), "amount", "of_parent", "cumulative"))
+    whole = rows.agg(F.sum(amount).alias("_w"))
+    return reduce(DataFrame.unionByName, out).crossJoin(F.broadcast(whole)).withColumn("of_whole", F.try_divide("amount", "_w")).drop("_w")

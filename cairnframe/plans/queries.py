@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, dates, predicates, profile, text, url
 from ..operators import aggregate, funding, hierarchy, joins, network, similar, simulate, tags, taxonomy, viewer, windows
 from ..operators import pages as pages_op
-from ..sources.tables import list_columns, parquet
+from ..sources.shared import keep, new_path
+from ..sources.tables import parquet
 from ..streaming import events as stream
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def money(c: str):
-    return F.col(c).cast("decimal(18,2)")
+from .registry import ORACLE, QUERIES, money, query
 
 
 def _part_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -38,9 +21,9 @@ def _part_tags(spark: SparkSession, d: str) -> DataFrame:
 # --- scalar text and URL functions
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS clean, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))::BIGINT AS n_ascii FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS clean, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), ' {3,}', ' ', 'g'), ' +', ' ', 'g'), '\t+', chr(9), 'g'), '\n+', chr(10), 'g'), '\r+', chr(13), 'g'), '\f+', chr(12), 'g') AS scraped FROM documents")
 def text_clean(spark, d):
-    return parquet(spark, d, "documents").select("doc_id", text.collapse_spaces(F.col("text")).alias("clean"), F.length(text.drop_non_ascii(F.col("text"))).cast("long").alias("n_ascii"))
+    return parquet(spark, d, "documents").select("doc_id", text.collapse_spaces(F.col("text")).alias("clean"), text.clean_scraped(F.col("text"), repeats=False).alias("scraped"))
 
 
 @query()
@@ -70,12 +53,17 @@ def url_host_segment(spark, d):
     return parquet(spark, d, "pages").select("page_id", url.host(F.col("url")).alias("host"), url.last_segment(F.col("url")).alias("segment"))
 
 
-@query("SELECT page_id, 'https://' || regexp_replace(regexp_replace(lower(trim(url)), '^[a-z]+://(?:www\\.)?|[?#].*$|/+$', '', 'g'), '/+$', '') AS normal, regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z]+://', ''), '^www\\.|/+$', '', 'g'), '[/?=:]', '_', 'g') AS site_key, CASE WHEN NOT contains(regexp_replace(url, '^[a-zA-Z]+://[^/]+/?', ''), 'www') THEN regexp_replace(regexp_replace(url, '^[a-zA-Z]+://[^/]+/?', ''), '[^A-Za-z0-9]+', '_', 'g') END AS slug FROM pages")
+@query("SELECT page_id, 'https://' || regexp_replace(regexp_replace(lower(trim(url)), '^[a-z]+://(?:www\\.)?|[?#].*$|/+$', '', 'g'), '/+$', '') AS normal, translate(regexp_replace(trim(string_split(trim(string_split(url, '//')[2]), '?')[1]), '/$', ''), '/:', '__') AS site_key, CASE WHEN NOT contains(regexp_replace(url, '^[a-zA-Z]+://[^/]+/?', ''), 'www') THEN regexp_replace(regexp_replace(url, '^[a-zA-Z]+://[^/]+/?', ''), '[^A-Za-z0-9]+', '_', 'g') END AS slug FROM pages")
 def url_normalize(spark, d):
     u = F.col("url")
     return parquet(spark, d, "pages").select("page_id", url.normalise(u).alias("normal"), url.site_key(u).alias("site_key"), url.path_slug(u).alias("slug"))
 
 
+@query("SELECT page_id, regexp_replace(string_split(string_split(string_split(string_split(url, '//')[2], '?')[1], '/')[1], ':')[1], '^www\\.', '') AS host_key, regexp_extract(regexp_replace(lower(url), '^http://', 'https://'), '^(https://[^/?#]+)', 1) AS home FROM pages")
+def url_host_key(spark, d):
+    return parquet(spark, d, "pages").select("page_id", url.host_key(F.col("url")).alias("host_key"), url.clean_url(F.col("url"), home_only=True).alias("home"))
+
+
 @query("SELECT doc_id, md5(text) AS text_id FROM documents")
 def md5_key(spark, d):
     return parquet(spark, d, "documents").select("doc_id", F.md5("text").alias("text_id"))
@@ -144,10 +132,12 @@ def ngram_weights(spark, d):
     return tags.ngram_weights(p, "p_partkey", "w", 2).withColumn("weight", F.round("weight", 9))
 
 
-@query("WITH g AS (SELECT p_partkey, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) UNION ALL SELECT p_partkey, unnest(string_split(p_name, ' ')) FROM part), t(term, tag) AS (VALUES ('red', 'colour'), ('blue', 'colour'), ('red widget', 'widget'), ('small ring', 'ring'), ('ring', 'ring')) SELECT p_partkey, tag, count(*)::BIGINT AS n FROM g JOIN t ON ngram = term GROUP BY ALL")
+@query("WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name || ', ' || p_type), '[ ,]+'), lambda x: x <> '') AS w FROM part), g AS (SELECT p_partkey, unnest(w) AS ngram FROM w UNION ALL SELECT p_partkey, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM w UNION ALL SELECT p_partkey, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM w), k AS (SELECT p_partkey, ngram, count(*) AS n FROM g GROUP BY ALL), c AS (SELECT p_partkey, ngram, n / sum(n) OVER (PARTITION BY p_partkey) AS weight FROM k), t(term, tag) AS (VALUES ('red', 'colour'), ('red', 'look'), ('blue', 'colour'), ('red widget', 'widget'), ('small ring', 'ring'), ('small ring', 'jewel'), ('ring', 'ring'), ('ring', 'metal'), ('ring economy', 'cheap')) SELECT p_partkey, tag, round(sum(weight), 9)::DOUBLE AS weight FROM c JOIN t ON ngram = term GROUP BY ALL")
 def ngram_dictionary_match(spark, d):
-    terms = spark.createDataFrame([("red", "colour"), ("blue", "colour"), ("red widget", "widget"), ("small ring", "ring"), ("ring", "ring")], "term string, tag string")
-    return tags.dictionary_match(tags.ngram_weights(_part_tags(spark, d), "p_partkey", "tags", 2), "p_partkey", terms)
+    terms = [("red", ["colour"], ["look"]), ("blue", ["colour"], None), ("red widget", ["widget"], []), ("small ring", ["ring", "jewel"], None), ("ring", ["ring"], ["metal"]), ("ring economy", ["cheap"], None)]
+    dictionary = spark.createDataFrame(terms, "term string, tags array<string>, related array<string>")
+    grams = tags.text_ngrams(parquet(spark, d, "part"), "p_partkey", F.concat_ws(", ", "p_name", "p_type"), 3)
+    return tags.dictionary_match(grams, "p_partkey", dictionary).withColumn("weight", F.round("weight", 9))
 
 
 @query("WITH r AS (SELECT unnest(string_split(p_name, ' ')) AS term FROM part) SELECT term, count(*) AS df, round(1 + ln((SELECT count(*) FROM part) / count(*) + 1), 9)::DOUBLE AS idf FROM r GROUP BY term")
@@ -161,9 +151,10 @@ def keyword_entropy(spark, d):
     return tags.keyword_entropy(rows, "tag", "p_type").withColumns({c: F.round(c, 9) for c in ("entropy", "max_entropy")})
 
 
-@query("WITH r AS (SELECT unnest(string_split(p_name, ' ')) AS tag, p_brand FROM part), c AS (SELECT p_brand, tag, count(*) AS c FROM r GROUP BY ALL), x AS (SELECT *, sum(c) OVER (PARTITION BY tag) AS g, sum(c) OVER (PARTITION BY p_brand) AS s, (SELECT count(*) FROM r) AS a FROM c), w AS (SELECT p_brand, tag, c * sqrt((c / s) / (g / a)) AS weight FROM x WHERE (c / s) / (g / a) > 1), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(weight, 6) DESC, tag) AS i FROM w) SELECT p_brand, string_agg(tag, ', ' ORDER BY i) AS name FROM k WHERE i <= 3 GROUP BY p_brand")
+@query("WITH r AS (SELECT unnest(string_split(p_name, ' ') || [p_name]) AS tag, p_brand FROM part), g AS (SELECT tag, count(*) AS g FROM r GROUP BY tag HAVING count(*) >= 2), c AS (SELECT p_brand, r.tag, count(*) AS c, any_value(g) AS g FROM r JOIN g USING (tag) GROUP BY ALL), x AS (SELECT *, sum(c) OVER (PARTITION BY p_brand) AS s, (SELECT sum(g) FROM g) AS a FROM c), w AS (SELECT p_brand, tag, c * sqrt((c / s) / (g / a)) AS weight FROM x WHERE (c / s) / (g / a) > 1), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(weight, 6) DESC, tag) AS i FROM w), l AS (SELECT p_brand, list(tag ORDER BY i) AS t FROM k WHERE i <= 10 GROUP BY p_brand), o AS (SELECT p_brand, t, flatten(list_transform(list_filter(t, lambda x: contains(x, ' ')), lambda x: string_split(x, ' '))) AS inside FROM l), f AS (SELECT p_brand, list_filter(t, lambda x: NOT list_contains(inside, x)) AS t FROM o) SELECT p_brand, array_to_string(t[1:5], ', ') AS name, array_to_string(t, ', ') AS top_tags FROM f")
 def cluster_names(spark, d):
-    return tags.cluster_names(_part_tags(spark, d).select(F.explode("tags").alias("tag"), "p_brand"), "tag", "p_brand")
+    rows = parquet(spark, d, "part").select(F.explode(F.concat(F.split("p_name", " "), F.array("p_name"))).alias("tag"), "p_brand")
+    return tags.cluster_names(rows, "tag", "p_brand")
 
 
 # --- aggregates
@@ -414,20 +405,35 @@ def tag_cosine_edges(spark, d):
     return network.cosine_edges(_features(spark, d), "p_brand", "tag", "w").withColumn("sim", F.round("sim", 6))
 
 
-@query(f"WITH {_COSINE}, b AS (SELECT u, v, round(sim, 6) AS sim FROM (SELECT u, v, sim FROM e UNION ALL SELECT v, u, sim FROM e)), c AS (SELECT min(m) AS cut, count(*) AS nodes FROM (SELECT max(sim) AS m FROM b GROUP BY u)), k AS (SELECT b.*, nodes FROM b, c WHERE sim >= cut), r AS (SELECT *, (SELECT count(*) FROM k) AS links, count(*) OVER (PARTITION BY u) AS own, row_number() OVER (PARTITION BY u ORDER BY sim DESC, v) AS r FROM k) SELECT u, v, sim::DOUBLE AS sim FROM r WHERE r <= CASE WHEN links > 4.0 * nodes THEN greatest(1, round_even((4.0 * nodes / links * own)::DOUBLE, 0)) ELSE own END")
+@query(f"WITH {_COSINE}, b AS (SELECT u, v, round(sim, 6) AS sim FROM (SELECT u, v, sim FROM e UNION ALL SELECT v, u, sim FROM e)), c AS (SELECT min(m) AS cut, count(*) AS nodes FROM (SELECT max(sim) AS m FROM b GROUP BY u)), k AS (SELECT b.*, nodes FROM b, c WHERE sim >= cut), r AS (SELECT *, (SELECT count(*) FROM k) AS links, count(*) OVER (PARTITION BY u) AS own, row_number() OVER (PARTITION BY u ORDER BY sim DESC, v) AS r FROM k), h AS (SELECT u, v, sim, links > 1.0 * nodes AS thinned FROM r WHERE r <= CASE WHEN links > 1.0 * nodes THEN greatest(1, round_even((1.0 * nodes / links * own)::DOUBLE, 0)) ELSE own END), s AS (SELECT u, any_value(v) AS v FROM h WHERE thinned GROUP BY u HAVING count(*) = 1), i AS (SELECT x.u, x.v FROM s x JOIN s y ON x.u = y.v AND x.v = y.u), nx AS (SELECT b.u, b.v, b.sim FROM b JOIN i ON b.u = i.u WHERE b.v <> i.v QUALIFY row_number() OVER (PARTITION BY b.u ORDER BY b.sim DESC, b.v) = 1) SELECT u, v, sim::DOUBLE AS sim FROM h UNION ALL SELECT u, v, sim::DOUBLE FROM nx")
 def tag_threshold_edges(spark, d):
-    return network.threshold_edges(network.cosine_edges(_features(spark, d), "p_brand", "tag", "w"), 4.0, 6)
+    return network.threshold_edges(network.cosine_edges(_features(spark, d), "p_brand", "tag", "w"), 1.0, 6)
+
+
+@query(f"WITH {_COSINE} SELECT u, v, round(sim, 6)::DOUBLE AS sim FROM e WHERE sim >= 0.5")
+def tag_cosine_above(spark, d):
+    return network.cosine_edges(_features(spark, d), "p_brand", "tag", "w", 0.5).withColumn("sim", F.round("sim", 6))
 
 
 def _trade(spark: SparkSession, d: str) -> DataFrame:
-    """Directed edges between nations: customer's nation to supplier's nation."""
-    l, o = parquet(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), parquet(spark, d, "orders").select("o_orderkey", "o_custkey")
-    c, s = parquet(spark, d, "customer").select("c_custkey", "c_nationkey"), parquet(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.where("(l_orderkey + l_suppkey) % 211 = 0").select(F.col("c_nationkey").alias("u"), F.col("s_nationkey").alias("v")).distinct()
+    """Directed edges: a customer orders from the main supplier of each order (the largest price over its items), and
+    the supplier has delivered to the customer where the order is finished."""
+    l, o = parquet(spark, d, "lineitem"), parquet(spark, d, "orders")
+    sums = l.groupBy("l_orderkey", "l_suppkey").agg(F.sum(money("l_extendedprice")).alias("p"))
+    main = sums.groupBy("l_orderkey").agg(F.min(F.struct((-F.col("p")).alias("p"), "l_suppkey"))["l_suppkey"].alias("s"))
+    rows = main.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("c"), F.concat(F.lit("s"), F.col("s").cast("string")).alias("s"), "o_orderstatus")
+    there = rows.select(F.col("c").alias("u"), F.col("s").alias("v"))
+    return keep(there.unionByName(rows.where("o_orderstatus = 'F'").select(F.col("s").alias("u"), F.col("c").alias("v"))).distinct())
+
 
+_TRADE = "tq AS (SELECT l_orderkey, l_suppkey, sum(l_extendedprice::DECIMAL(18,2)) AS p FROM lineitem GROUP BY ALL), tm AS (SELECT l_orderkey, l_suppkey FROM tq QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY p DESC, l_suppkey) = 1), tj AS (SELECT 'c' || o_custkey AS c, 's' || l_suppkey AS s, o_orderstatus FROM tm JOIN orders ON l_orderkey = o_orderkey), t AS (SELECT c AS u, s AS v FROM tj UNION SELECT s, c FROM tj WHERE o_orderstatus = 'F')"
+_PARTIES = "parties AS (SELECT 'c' || c_custkey AS node, c_nationkey AS cluster FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey FROM supplier)"
 
-_TRADE = "t AS (SELECT DISTINCT c_nationkey AS u, s_nationkey AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE (l_orderkey + l_suppkey) % 211 = 0)"
+
+def _parties(spark: SparkSession, d: str) -> DataFrame:
+    """node, cluster: customers and suppliers with their nations."""
+    c = parquet(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_nationkey").alias("cluster"))
+    return c.unionByName(parquet(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), F.col("s_nationkey").alias("cluster")))
 
 
 @query(f"WITH {_TRADE}, x AS (SELECT u AS node, 1 AS o, 0 AS i FROM t UNION ALL SELECT v, 0, 1 FROM t) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree FROM x GROUP BY node")
@@ -440,27 +446,31 @@ def two_hop(spark, d):
     return network.two_hop(_trade(spark, d))
 
 
-@query(f"WITH {_TRADE}, x AS (SELECT u AS node, 1 AS o, 0 AS i FROM t UNION ALL SELECT v, 0, 1 FROM t), g AS (SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree FROM x GROUP BY node), h AS (SELECT a.u AS node, count(DISTINCT b.v) AS two_hop FROM t a JOIN t b ON a.v = b.u GROUP BY a.u), r AS (SELECT g.*, coalesce(two_hop, 0)::BIGINT AS two_hop, (out_degree - in_degree)::DOUBLE / degree AS asymmetry, out_degree + coalesce(two_hop, 0) AS reach, CASE WHEN out_degree > 0 THEN coalesce(two_hop, 0)::DOUBLE / out_degree END AS leverage FROM g LEFT JOIN h USING (node)) SELECT node, out_degree, in_degree, degree, two_hop, round(asymmetry, 9)::DOUBLE AS asymmetry, reach::BIGINT AS reach, round(leverage, 9)::DOUBLE AS leverage, round(coalesce((reach - min(reach) OVER ()) / nullif(max(reach) OVER () - min(reach) OVER (), 0), 0) * coalesce((leverage - min(leverage) OVER ()) / nullif(max(leverage) OVER () - min(leverage) OVER (), 0), 0), 9)::DOUBLE AS keystone FROM r")
+@query(f"WITH {_TRADE}, x AS (SELECT u AS node, 1 AS o, 0 AS i FROM t UNION ALL SELECT v, 0, 1 FROM t), g AS (SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree FROM x GROUP BY node), oo AS (SELECT a.u AS node, count(DISTINCT b.v) AS n FROM t a JOIN t b ON a.v = b.u GROUP BY a.u), ii AS (SELECT a.v AS node, count(DISTINCT b.u) AS n FROM t a JOIN t b ON a.u = b.v GROUP BY a.v), f AS (SELECT g.*, coalesce(oo.n, 0)::BIGINT AS outout, coalesce(ii.n, 0)::BIGINT AS inin FROM g LEFT JOIN oo USING (node) LEFT JOIN ii USING (node)), r AS (SELECT *, (out_degree - in_degree)::DOUBLE / degree AS asymmetry, 100.0::DOUBLE * outout / count(*) OVER () AS reach, CASE WHEN outout + inin > 0 THEN (outout - inin)::DOUBLE / (outout + inin) END AS leverage FROM f) SELECT node, out_degree, in_degree, degree, outout, inin, round(asymmetry, 9)::DOUBLE AS asymmetry, round(reach, 9)::DOUBLE AS reach, round(leverage, 9)::DOUBLE AS leverage, round((reach - min(reach) OVER ()) / (max(reach) OVER () - min(reach) OVER ()) * (leverage - min(leverage) OVER ()) / (max(leverage) OVER () - min(leverage) OVER ()), 9)::DOUBLE AS keystone FROM r")
 def keystone_index(spark, d):
-    return network.reach(_trade(spark, d)).withColumns({c: F.round(c, 9) for c in ("asymmetry", "leverage", "keystone")})
+    return network.reach(_trade(spark, d)).withColumns({c: F.round(c, 9) for c in ("asymmetry", "reach", "leverage", "keystone")})
 
 
-@query(f"WITH {_TRADE}, r AS (SELECT t.u, a.n_regionkey AS cu, b.n_regionkey AS cv FROM t JOIN nation a ON t.u = a.n_nationkey JOIN nation b ON t.v = b.n_nationkey), c AS (SELECT u, cu, cv, count(*) AS c FROM r GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY u) AS p FROM c), s AS (SELECT u, sum(c) AS degree, sum(CASE WHEN cu <> cv THEN c ELSE 0 END) AS outside, sum(-p * ln(p)) AS diversity FROM p GROUP BY u) SELECT u AS node, degree::BIGINT AS degree, round(outside / degree, 9)::DOUBLE AS inter, round(diversity, 9)::DOUBLE AS diversity, round(diversity * (outside / degree) / 4, 9)::DOUBLE AS bridging, round((1 - outside / degree) * degree / (1 + diversity), 9)::DOUBLE AS centrality FROM s")
+@query(f"WITH {_TRADE}, {_PARTIES}, d AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM t UNION ALL SELECT v FROM t) GROUP BY node), k AS (SELECT u, a.cluster AS cu, b.cluster AS cv, count(*) AS c FROM t JOIN parties a ON u = a.node JOIN parties b ON v = b.node GROUP BY ALL), s AS (SELECT u, sum(CASE WHEN cu <> cv THEN c ELSE 0 END) AS leave, sum(-(c / degree) * ln(c / degree)) AS diversity, count(*) AS groups FROM k JOIN d ON u = node GROUP BY u), z AS (SELECT node, cluster, degree, coalesce(leave, 0) / degree AS inter, coalesce(diversity, 0) AS diversity, CASE WHEN coalesce(groups, 0) < 2 THEN 0 ELSE diversity * leave / (groups - 1) END AS bridging, (1 - coalesce(leave, 0) / degree) * degree / (1 + coalesce(diversity, 0)) AS centrality FROM d JOIN parties USING (node) LEFT JOIN s ON u = node) SELECT node, cluster, degree, round(inter, 6)::DOUBLE AS inter, "
+    + ", ".join(f"round(CASE WHEN stddev_pop({c}) OVER w > 1e-12 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w ELSE {c} END, 6)::DOUBLE AS {c}" for c in ("diversity", "bridging", "centrality")) + " FROM z WINDOW w AS (PARTITION BY cluster)")
 def cluster_diversity(spark, d):
-    clusters = parquet(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("cluster"))
-    return network.cluster_diversity(_trade(spark, d), clusters).withColumns({c: F.round(c, 9) for c in ("inter", "diversity", "bridging", "centrality")})
+    return network.cluster_diversity(_trade(spark, d), _parties(spark, d)).withColumns({c: F.round(c, 6) for c in ("inter", "diversity", "bridging", "centrality")})
 
 
-@query(f"WITH {_TRADE}, n AS (SELECT count(*) AS n FROM nation), m AS (SELECT count(*) AS m FROM t), l AS (SELECT count(*) AS l FROM (SELECT u FROM t UNION SELECT v FROM t)) SELECT round(m / (n * (n - 1)), 9)::DOUBLE AS connectance, round((n - l) / n, 9)::DOUBLE AS isolated FROM n, m, l")
+@query(f"WITH {_TRADE}, {_PARTIES}, n AS (SELECT count(*) AS n FROM parties), m AS (SELECT count(*) AS m FROM t), l AS (SELECT count(*) AS l FROM (SELECT u FROM t UNION SELECT v FROM t)) SELECT round(m / (n * (n - 1)), 9)::DOUBLE AS connectance, round((n - l) / n, 9)::DOUBLE AS isolated FROM n, m, l")
 def connectance(spark, d):
-    return network.connectance(parquet(spark, d, "nation"), _trade(spark, d)).select(*[F.round(c, 9).alias(c) for c in ("connectance", "isolated")])
+    return network.connectance(_parties(spark, d), _trade(spark, d)).select(*[F.round(c, 9).alias(c) for c in ("connectance", "isolated")])
 
 
 def _bipartite(spark: SparkSession, d: str) -> DataFrame:
     return parquet(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_quantity").alias("w"))
 
 
-_BIPARTITE = "p AS (SELECT l_suppkey AS a, l_partkey AS b, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY ALL), d AS (SELECT b, count(*) AS kb FROM p GROUP BY b), k AS (SELECT a, count(*) AS ka, sqrt(sum(w * w)) AS na FROM p GROUP BY a), g AS (SELECT x.a AS u, y.a AS v, count(*) AS c, sum(1.0 / nullif(kb - 1, 0)) AS h, sum(x.w * y.w) AS dot, sum(1.0 / kb) AS s FROM p x JOIN p y USING (b) JOIN d USING (b) WHERE x.a < y.a GROUP BY x.a, y.a), j AS (SELECT g.*, i.ka AS ku, o.ka AS kv, i.na AS nu, o.na AS nv FROM g JOIN k i ON g.u = i.a JOIN k o ON g.v = o.a)"
+_BIPARTITE = (
+    "p AS (SELECT l_suppkey AS a, l_partkey AS b, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY ALL), d AS (SELECT b, sum(w) AS sb FROM p GROUP BY b), k AS (SELECT a, count(*) AS k, sum(w) AS s, sum(w * w) AS q FROM p GROUP BY a), z AS (SELECT count(*) AS n, sum(sb) AS total FROM d),"
+    " j AS (SELECT x.a AS u, y.a AS v, count(*) AS c, sum(x.w * y.w) AS dot, sum(x.w * y.w / sb) AS x, sum(x.w * y.w / (sb * sb)) AS h, sum(sqrt(x.w / i.s) * y.w / sb) AS a1, sum(sqrt(y.w / o.s) * x.w / sb) AS a2, any_value(i.k) AS k1, any_value(o.k) AS k2, any_value(i.s) AS s1, any_value(o.s) AS s2, any_value(i.q) AS q1, any_value(o.q) AS q2, any_value(n) AS n, any_value(total) AS total"
+    " FROM p x JOIN p y USING (b) JOIN d USING (b) JOIN k i ON x.a = i.a JOIN k o ON y.a = o.a, z WHERE x.a < y.a GROUP BY x.a, y.a)"
+)
 
 
 def _projection(kind: str, weight: str) -> None:
@@ -468,10 +478,15 @@ def _projection(kind: str, weight: str) -> None:
         return network.project(_bipartite(spark, d), kind).withColumn("weight", F.round("weight", 6))
 
     QUERIES[f"bipartite_{kind}"] = run
-    ORACLE[f"bipartite_{kind}"] = f"WITH {_BIPARTITE} SELECT u, v, round(({weight})::DOUBLE, 6)::DOUBLE AS weight FROM j"
+    least = " WHERE (1 + (dot - s1 * s2 / n) / sqrt((q1 - s1 * s1 / n) * (q2 - s2 * s2 / n))) / 2 >= 0.5" if kind == "pearson" else ""
+    ORACLE[f"bipartite_{kind}"] = f"WITH {_BIPARTITE} SELECT u, v, round(({weight})::DOUBLE, 6)::DOUBLE AS weight FROM j{least}"
 
 
-for _kind, _weight in {"common": "c", "hyperbolic": "h", "jaccard": "c / (ku + kv - c)", "cosine": "dot / (nu * nv)", "probs": "s * (1 / ku + 1 / kv) / 2", "heats": "s * (1 / kv + 1 / ku) / 2", "hybrid": "s / sqrt(ku * kv)"}.items():
+for _kind, _weight in {
+    "simple": "dot", "hyperbolic": "h", "jaccard": "c / (k1 + k2 - c)", "euclidean": "CASE WHEN q1 + q2 - 2 * dot <= 1e-9 THEN 1 ELSE 1 / sqrt(q1 + q2 - 2 * dot) END", "cosine": "dot / sqrt(q1 * q2)",
+    "pearson": "(1 + (dot - s1 * s2 / n) / sqrt((q1 - s1 * s1 / n) * (q2 - s2 * s2 / n))) / 2", "probs": "(x / s1 + x / s2) / 2", "heats": "(x / s2 + x / s1) / 2",
+    "hybrid": "(a1 * a2 + a2 * a1) / 2", "ycn": "(x / s1 * s2 / total + x / s2 * s1 / total) / 2",
+}.items():
     _projection(_kind, _weight)
 
 
@@ -480,13 +495,14 @@ def louvain_clusters(spark, d):
     return tag_network(spark, d)
 
 
+def _tag_edges(spark: SparkSession, d: str) -> DataFrame:
+    f = parquet(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("g"), F.explode(F.split("p_name", " ")).alias("tag")).groupBy("g", "tag").agg(F.count("*").alias("w"))
+    return keep(network.undirected(network.threshold_edges(network.cosine_edges(f, "g", "tag", "w"), 3.0)))
+
+
 def tag_network(spark: SparkSession, d: str) -> DataFrame:
     """Tags to cosine to threshold to modularity clusters: the library's central computation."""
-    f = parquet(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("g"), F.explode(F.split("p_name", " ")).alias("tag")).groupBy("g", "tag").agg(F.count("*").alias("w"))
-    directed = network.threshold_edges(network.cosine_edges(f, "g", "tag", "w"), 3.0)
-    edges = directed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sim").distinct()
-    one = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct().withColumn("component", F.lit(0))
-    return network.louvain_clusters(edges, one)
+    return network.louvain_clusters(_tag_edges(spark, d))
 
 
 # --- taxonomy and embeddings
@@ -542,14 +558,19 @@ def viewer_links(spark, d):
     return viewer.links(_trade(spark, d), "u", "v", ["u"])
 
 
-@query(f"WITH {_TRADE} SELECT u, v FROM t WHERE u NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 20) OR v NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 20)")
+@query(f"WITH {_TRADE}, {_PARTIES} SELECT u, v FROM t WHERE u NOT IN (SELECT node FROM parties WHERE cluster < 20) OR v NOT IN (SELECT node FROM parties WHERE cluster < 20)")
 def orphan_links(spark, d):
-    return viewer.orphan_links(_trade(spark, d), parquet(spark, d, "nation").where("n_nationkey < 20"), "n_nationkey")
+    return viewer.orphan_links(_trade(spark, d), _parties(spark, d).where("cluster < 20"), "node")
 
 
-@query("SELECT * FROM (VALUES ('p_partkey', 'integer', 0::BIGINT), ('p_name', 'string', 0), ('p_brand', 'string', 0), ('p_type', 'string', 0), ('p_size', 'integer', 0), ('p_retailprice', 'float', 0)) t(attribute, type, n_null)")
+@query("WITH x AS (SELECT o_orderkey, o_custkey, o_totalprice, year(o_orderdate) AS year, epoch(o_orderdate)::BIGINT AS stamp, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus || '|' || o_orderpriority END AS tags FROM orders) SELECT attribute, CASE WHEN whole = 1 THEN CASE WHEN lo >= 1800 AND hi <= 2100 THEN 'year' WHEN lo >= 1e9 AND hi <= 9999999999 THEN 'timestamp' ELSE 'integer' END WHEN whole = 0 THEN 'float' WHEN bar = 1 THEN 'liststring' ELSE 'string' END AS type, n_null::BIGINT AS n_null FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS attribute, min({e})::DOUBLE AS lo, max({e})::DOUBLE AS hi, min((floor({e}) = {e})::INT) AS whole, 0 AS bar, sum(({e} IS NULL)::INT) AS n_null FROM x" for c, e in (("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey"), ("o_totalprice", "o_totalprice"), ("year", "year"), ("stamp", "stamp")))
+    + " UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', NULL, NULL, NULL, max(coalesce(contains({c}, '|'), false)::INT), sum(({c} IS NULL)::INT) FROM x" for c in ("o_orderstatus", "o_orderpriority", "tags"))
+    + ") t")
 def infer_attr_types(spark, d):
-    return viewer.attribute_types(parquet(spark, d, "part"))
+    o = parquet(spark, d, "orders")
+    x = o.select("o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("year"), F.unix_timestamp("o_orderdate").alias("stamp"), "o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 3 > 0, F.concat_ws("|", "o_orderstatus", "o_orderpriority")).alias("tags"))
+    return viewer.attribute_types(x)
 
 
 @query("SELECT DISTINCT url, path FROM (SELECT url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS path FROM pages) WHERE regexp_matches(path, '^/[^/]') AND (NOT regexp_matches(path, '\\.[A-Za-z0-9]{2,4}$') OR regexp_matches(path, '\\.html?$'))")
@@ -582,21 +603,9 @@ def stream_session(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_incremental(spark, d):
-    import tempfile
-    import uuid
-
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = folder.get() if folder.isDefined() else tempfile.mkdtemp()
     schema = parquet(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    return stream.run_to_end(spark, source.groupBy("event_type").agg(F.count("*").alias("n")), f"s_{uuid.uuid4().hex}", f"{base}/{uuid.uuid4().hex}")
-
-
-@query("SELECT n FROM (VALUES (0::BIGINT)) t(n)")
-def list_column_scan(spark, d):
-    return spark.createDataFrame([(len(list_columns(parquet(spark, d, "part"))),)], "n long")
-
-
+    return stream.run_to_end(spark, source.groupBy("event_type").agg(F.count("*").alias("n")), new_path(spark), new_path(spark))
 
 
 # --- further operators
@@ -610,9 +619,7 @@ def predicate_filter(spark, d):
 
 @query("SELECT l_orderkey, l_suppkey FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING avg(l_discount) > 0.06) USING (l_orderkey)")
 def threshold_by_mean(spark, d):
-    l = parquet(spark, d, "lineitem")
-    good = l.groupBy("l_orderkey").agg(F.avg("l_discount").alias("m")).where("m > 0.06").select("l_orderkey")
-    return l.select("l_orderkey", "l_suppkey").distinct().join(good, "l_orderkey", "left_semi")
+    return taxonomy.over_mean(parquet(spark, d, "lineitem"), "l_orderkey", "l_discount", 0.06).select("l_orderkey", "l_suppkey").distinct()
 
 
 @query("WITH k AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS t FROM orders GROUP BY o_custkey), x AS (SELECT c_custkey, coalesce(t, []) AS t FROM customer LEFT JOIN k ON c_custkey = o_custkey) SELECT c_custkey, CASE WHEN len(t) = 0 THEN 'none' WHEN len(list_filter(t, lambda x: x NOT IN ('4-NOT SPECIFIED', '5-LOW'))) = 0 THEN 'philanthropy' WHEN len(list_filter(t, lambda x: x NOT IN ('1-URGENT', '2-HIGH'))) = 0 THEN 'venture' WHEN list_has_any(t, ['4-NOT SPECIFIED', '5-LOW']) AND list_has_any(t, ['1-URGENT', '2-HIGH']) THEN 'mixed' ELSE 'other' END AS kind FROM x")
@@ -634,22 +641,21 @@ def choose_pages(spark, d):
     return pages_op.choose_pages(p, "site", "path", ["en", "de"], 3)
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN '## ' || text ELSE '* ' || text END AS md FROM conversations")
+@query("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '## ' || text ELSE '* ' || text END, chr(10) ORDER BY turn) AS md FROM conversations GROUP BY conv_id")
 def section_text(spark, d):
-    c = parquet(spark, d, "conversations")
-    e = F.array(F.struct(F.when(F.col("role") == "user", "Title").otherwise("ListItem").alias("kind"), F.lit(1).alias("depth"), F.col("text").alias("text")))
-    return c.select("conv_id", "turn", pages_op.section_text(F.element_at(pages_op.sections(e), 1)).alias("md"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(F.when(x["role"] == "user", "Title").otherwise("ListItem").alias("kind"), F.lit(1).alias("depth"), x["text"].alias("text")))
+    pages = parquet(spark, d, "conversations").groupBy("conv_id").agg(items.alias("e"))
+    return pages.select("conv_id", F.array_join(F.transform(pages_op.sections(F.col("e")), pages_op.section_text), "\n").alias("md"))
 
 
-@query("WITH f AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS i FROM lineitem WHERE l_partkey < 400), s AS (SELECT u, count(*) AS n FROM f GROUP BY u), p AS (SELECT a.u, b.u AS v, count(*) AS common FROM f a JOIN f b USING (i) WHERE a.u < b.u GROUP BY ALL) SELECT p.u, p.v, common, round(common / (x.n + y.n - common), 9)::DOUBLE AS jaccard FROM p JOIN s x ON p.u = x.u JOIN s y ON p.v = y.u WHERE common / (x.n + y.n - common) > 0.2")
+@query("WITH f AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS i FROM lineitem), s AS (SELECT u, count(*) AS n FROM f GROUP BY u), p AS (SELECT a.u, b.u AS v, count(*) AS common FROM f a JOIN f b USING (i) WHERE a.u < b.u GROUP BY ALL) SELECT p.u, p.v, common, round(common / (x.n + y.n - common), 9)::DOUBLE AS jaccard FROM p JOIN s x ON p.u = x.u JOIN s y ON p.v = y.u WHERE common / (x.n + y.n - common) > 0.16")
 def set_jaccard(spark, d):
-    l = parquet(spark, d, "lineitem").where("l_partkey < 400")
-    return similar.set_jaccard(l, "l_suppkey", "l_partkey", 0.2).withColumn("jaccard", F.round("jaccard", 9))
+    return similar.set_jaccard(parquet(spark, d, "lineitem"), "l_suppkey", "l_partkey", 0.16).withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query(f"WITH {_TRADE}, f AS (SELECT u AS node, 'o' || v AS i FROM t UNION ALL SELECT v, 'i' || u FROM t), s AS (SELECT node, count(*) AS n FROM f GROUP BY node), p AS (SELECT a.node AS u, b.node AS v, count(*) AS common FROM f a JOIN f b USING (i) WHERE a.node < b.node GROUP BY ALL) SELECT p.u, p.v, common, round(common / (x.n + y.n - common), 9)::DOUBLE AS jaccard FROM p JOIN s x ON p.u = x.node JOIN s y ON p.v = y.node")
+@query(f"WITH {_TRADE}, f AS (SELECT u AS node, 'o' || v AS i FROM t UNION ALL SELECT v, 'i' || u FROM t), s AS (SELECT node, count(*) AS n FROM f GROUP BY node), p AS (SELECT a.node AS u, b.node AS v, count(*) AS common FROM f a JOIN f b USING (i) WHERE a.node < b.node GROUP BY ALL) SELECT p.u, p.v, common, round(common / (x.n + y.n - common), 9)::DOUBLE AS jaccard FROM p JOIN s x ON p.u = x.node JOIN s y ON p.v = y.node WHERE common / (x.n + y.n - common) > 0.3")
 def neighbour_jaccard(spark, d):
-    return similar.neighbour_jaccard(_trade(spark, d)).withColumn("jaccard", F.round("jaccard", 9))
+    return similar.neighbour_jaccard(_trade(spark, d), 0.3).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query("WITH b(box, x0, x1, y0, y1) AS (VALUES ('a', 0.0, 20.0, 0.0, 3000.0), ('b', 10.0, 50.0, 1000.0, 9000.0)) SELECT c_custkey AS point, box FROM customer JOIN b ON c_nationkey BETWEEN x0 AND x1 AND c_acctbal BETWEEN y0 AND y1")
@@ -666,9 +672,9 @@ def points_in_polygons(spark, d):
     return similar.points_in_polygons(p, edges)
 
 
-@query(f"WITH {_TRADE} SELECT u AS source, count(*) AS n FROM t WHERE v < 6 GROUP BY u HAVING count(*) >= 2")
+@query(f"WITH {_TRADE}, {_PARTIES} SELECT u AS source, count(*) AS n FROM t WHERE v IN (SELECT node FROM parties WHERE cluster < 6) GROUP BY u HAVING count(*) >= 2")
 def influence_overlap(spark, d):
-    return similar.influence_overlap(_trade(spark, d), spark.range(6).withColumnRenamed("id", "node"), 2)
+    return similar.influence_overlap(_trade(spark, d), _parties(spark, d).where("cluster < 6").select("node"), 2)
 
 
 @query()
@@ -684,22 +690,23 @@ def tag_tree(spark, d):
     return hierarchy.tag_tree(e, "g", "term", "embedding", "freq")
 
 
-@query("WITH r AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name || 's ' || p_name, ' ')) AS term FROM part WHERE p_partkey % 2 = 0) SELECT DISTINCT p_partkey, CASE WHEN s.t IS NOT NULL THEN s.t ELSE r.term END AS term FROM r LEFT JOIN (SELECT DISTINCT term AS t FROM r) s ON s.t = CASE WHEN suffix(r.term, 'ies') THEN regexp_replace(r.term, 'ies$', 'y') WHEN suffix(r.term, 's') THEN regexp_replace(r.term, 's$', '') END")
+@query("WITH r AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name || 's ' || p_name, ' ')) AS term FROM part) SELECT DISTINCT p_partkey, CASE WHEN s.t IS NOT NULL THEN s.t ELSE r.term END AS term FROM r LEFT JOIN (SELECT DISTINCT term AS t FROM r) s ON s.t = CASE WHEN suffix(r.term, 'ies') THEN regexp_replace(r.term, 'ies$', 'y') WHEN suffix(r.term, 's') THEN regexp_replace(r.term, 's$', '') END")
 def singular_terms(spark, d):
-    p = parquet(spark, d, "part").where("p_partkey % 2 = 0").select("p_partkey", F.explode(F.split(F.concat(F.col("p_name"), F.lit("s "), F.col("p_name")), " ")).alias("t"))
+    p = parquet(spark, d, "part").select("p_partkey", F.explode(F.split(F.concat(F.col("p_name"), F.lit("s "), F.col("p_name")), " ")).alias("t"))
     return hierarchy.singular_terms(p, "p_partkey", "t")
 
 
-@query(f"WITH {_TRADE}, a AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey < 20 THEN 0 ELSE n_nationkey END AS cluster FROM nation), z AS (SELECT cluster, count(*) AS n FROM a GROUP BY cluster), b AS (SELECT x.cluster AS a, y.cluster AS b, avg(1.0) AS s FROM t JOIN a x ON t.u = x.node JOIN a y ON t.v = y.node WHERE x.cluster <> y.cluster GROUP BY ALL), m AS (SELECT b.a, max(b.b) AS t FROM b JOIN z p ON b.a = p.cluster JOIN z q ON b.b = q.cluster WHERE p.n < 40 AND q.n > 10 * p.n GROUP BY b.a) SELECT node, coalesce(m.t, cluster)::INT AS cluster FROM a LEFT JOIN m ON m.a = cluster")
+@query(f"WITH {_TRADE}, a AS (SELECT 'c' || c_custkey AS node, 'n' || c_nationkey AS cluster FROM customer UNION ALL SELECT 's' || s_suppkey, 's' || s_suppkey FROM supplier), z AS (SELECT cluster, count(*) AS n FROM a GROUP BY cluster), b AS (SELECT x.cluster AS a, y.cluster AS b, avg(1.0 + length(x.node)) AS s FROM t JOIN a x ON t.u = x.node JOIN a y ON t.v = y.node WHERE x.cluster <> y.cluster GROUP BY ALL), m AS (SELECT b.a, max({{'s': b.s, 'b': b.b}}).b AS t FROM b JOIN z p ON b.a = p.cluster JOIN z q ON b.b = q.cluster WHERE p.n < 40 AND q.n > 10 * p.n GROUP BY b.a) SELECT node, coalesce(m.t, cluster) AS cluster FROM a LEFT JOIN m ON m.a = cluster")
 def merge_small_clusters(spark, d):
-    a = parquet(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") < 20, 0).otherwise(F.col("n_nationkey")).alias("cluster"))
-    return hierarchy.merge_small_clusters(a, _trade(spark, d).withColumn("sim", F.lit(1.0)))
+    c = parquet(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("cluster"))
+    s_ = parquet(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node")).withColumn("cluster", F.col("node"))
+    return hierarchy.merge_small_clusters(c.unionByName(s_), _trade(spark, d).withColumn("sim", 1.0 + F.length("u")))
 
 
-@query("SELECT conv_id, regexp_replace('https://www.linkedin.com/company/' || role || conv_id || '/', '^x', '') AS url, role || conv_id AS id FROM conversations WHERE turn = 0")
+@query("SELECT conv_id, turn, 'https://www.linkedin.com/company/' || role || conv_id || '/' AS url, role || conv_id AS id FROM conversations")
 def profile_addresses(spark, d):
     raw = F.concat(F.lit(" HTTP://uk.LinkedIn.com/company/company/"), F.col("role"), F.col("conv_id").cast("string"), F.lit("/about/?x=1"))
-    return parquet(spark, d, "conversations").where("turn = 0").select("conv_id", profile.profile_url(raw).alias("url"), profile.profile_id(profile.profile_url(raw)).alias("id"))
+    return parquet(spark, d, "conversations").select("conv_id", "turn", profile.profile_url(raw).alias("url"), profile.profile_id(profile.profile_url(raw)).alias("id"))
 
 
 @query("SELECT event_id, (props::JSON ->> 'k')::INT AS k FROM events")

@@ -12,7 +12,8 @@ def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def delimited(spark: SparkSession, path: str, schema: str, separator: str = "|", encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
     """Rows of delimited text and, apart from them, the lines that do not fit the schema."""
-    rows = spark.read.csv(path, schema=f"{schema}, _corrupt string", sep=separator, encoding=encoding, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    whole = not encoding.upper().startswith(("UTF-8", "US-ASCII", "ISO-8859"))  # lines of wide characters cannot be found by bytes
+    rows = spark.read.csv(path, schema=f"{schema}, _corrupt string", sep=separator, encoding=encoding, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=whole)
     return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("_corrupt")
 
 

@@ -21,8 +21,11 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a streaming aggregate over all that is there now; the result so far."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def run_to_end(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a streaming aggregate over all that is there now; the result so far, as a table at `path`."""
+
+    def put(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

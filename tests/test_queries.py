@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from cairnframe.plans.queries import ORACLE, QUERIES
+import __spark_entry__  # noqa: F401  registers all queries
+from cairnframe.plans.registry import ORACLE, QUERIES
 
 from .conftest import DATA
 
