@@ -11,7 +11,9 @@ A document is the set of its distinct five-word shingles.  Two documents link wh
     be connected, so their pairs are skipped; what is left are pairs of different components.  Such a pair (y, z) is
     answered from the leader x of z: |y & z| = |y & x| - |y & (x - z)| + |y & (z - x)|, where the two differences are
     known from the link of z and small.  One pair of each two components is answered first, and where it links, their
-    other pairs are skipped too; the last of ROUNDS rounds answers all that are left.
+    other pairs are skipped too; the last of ROUNDS rounds answers all that are left.  Sets that are near one leader x
+    are its family, linked with it or not: all pairs of a family are answered from the differences to x alone, through an
+    index of the differences, so a large group of near copies makes no rows of pairs.
 5.  Components come from the links by star contraction.
 
 The table of counts only orders the shingles: it changes the work and never the result.  Sets, lists and differences
@@ -51,6 +53,10 @@ ITEM = 8
 EXTRA = 25
 #: Rows of a hot leader that one task answers.
 SPLIT = 2_000
+#: Two sets are near if they share one item in NEAR of the larger; a set that FAMILY others are near to has a family, which
+#: is answered in parts of SPLIT sets.
+NEAR = 4
+FAMILY = 32
 #: Rounds in which pairs between components are answered; the last answers all that are left.
 ROUNDS = 3
 
@@ -350,27 +356,27 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
     """(u, v) of different components that meet in a long list and can still link.
 
     In each list, sets are in order of size.  Blocks of sets are skipped whole where the best of them cannot reach the
-    overlap needed with the smallest set in question; sets of the same component are skipped.
+    overlap needed with the smallest set in question; sets of the same component or family are skipped.
     """
     for bucket, blobs in _collect(batches).items():
         lists = [(a, b) for a, b, c in blobs if c is None]
-        marks = [np.frombuffer(c, np.int64).reshape(2, -1) for _, _, c in blobs if c is not None]
-        of = np.concatenate(marks, 1) if marks else np.empty((2, 0), np.int64)
+        marks = [np.frombuffer(c, np.int64).reshape(3, -1) for _, _, c in blobs if c is not None]
+        of = np.concatenate(marks, 1) if marks else np.empty((3, 0), np.int64)
         of = of[:, np.argsort(of[0])]
         pairs: tuple[list, list, list] = ([], [], [])
         for a, b in lists:
             key, name, size, at = _list(a, b)
             n = len(key)
-            comp = name.copy()
+            comp, family = name.copy(), np.zeros(n, np.int64)
             if of.shape[1]:
                 k = np.minimum(np.searchsorted(of[0], name), of.shape[1] - 1)
-                comp = np.where(of[0][k] == name, of[1][k], name)
+                comp, family = np.where(of[0][k] == name, of[1][k], name), np.where(of[0][k] == name, of[2][k], 0)
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for lo, hi in zip(first.tolist(), np.r_[first[1:], n].tolist(), strict=True):
                 c = comp[lo:hi]
                 if (c == c[0]).all():
                     continue
-                s, p, names = size[lo:hi], at[lo:hi], name[lo:hi]
+                s, p, names, f = size[lo:hi], at[lo:hi], name[lo:hi], family[lo:hi]
                 # sets outside the largest component against all; pairs inside it are known to be connected
                 values, counts = np.unique(c, return_counts=True)
                 out = c != values[counts.argmax()]
@@ -383,7 +389,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
                         continue
                     j = np.arange(start, stop)
                     # a pair of two sets outside is taken once
-                    j = j[(c[j] != c[i]) & ~(out[j] & (j < i)) & _reach(s[i], p[i], s[j], p[j])]
+                    j = j[(c[j] != c[i]) & ((f[j] != f[i]) | (f[j] == 0)) & ~(out[j] & (j < i)) & _reach(s[i], p[i], s[j], p[j])]
                     for column, values in zip(pairs, (np.full(len(j), names[i]), names[j], np.minimum(s[i], s[j])), strict=True):
                         column.append(values)
                 if sum(map(len, pairs[0])) > 1_000_000:
@@ -415,12 +421,12 @@ def _blob_of(items: np.ndarray) -> bytes:
 
 
 def _answer_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (leader, part, kind): the leader's set, then its members' sets.  Gives the links, and how a
-    member's set differs from the leader's."""
+    """Rows in order of (leader, part, kind): the leader's set, then its members' sets.  Gives the pairs that are near, how
+    the member's set differs from the leader's, and whether they link."""
     leader = np.empty(0, np.uint64)
     name = None
     for batch in batches:
-        us, vs, minus, plus, sizes = [], [], [], [], []
+        us, vs, minus, plus, sizes, links_ = [], [], [], [], [], []
         for u, v, items in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("u", "v", "items")), strict=True):
             mine = _items(items)
             if v is None:
@@ -429,13 +435,60 @@ def _answer_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             assert name == u
             common = np.isin(mine, leader, assume_unique=True)
             both = int(common.sum())
-            if DENOMINATOR * both >= NUMERATOR * (len(mine) + len(leader) - both):
+            linked = DENOMINATOR * both >= NUMERATOR * (len(mine) + len(leader) - both)
+            if linked or NEAR * both >= max(len(mine), len(leader)):
                 us.append(u)
                 vs.append(v)
+                links_.append(linked)
                 plus.append(_blob_of(mine[~common]))
                 minus.append(_blob_of(leader[~np.isin(leader, mine, assume_unique=True)]))
                 sizes.append(len(mine))
-        yield _arrow([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(minus, pa.binary()), pa.array(plus, pa.binary()), pa.array(sizes, pa.int64())], ["u", "v", "minus", "plus", "size"])
+        yield _arrow([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(minus, pa.binary()), pa.array(plus, pa.binary()), pa.array(sizes, pa.int64()), pa.array(links_, pa.bool_())], ["u", "v", "minus", "plus", "size", "linked"])
+
+
+def _answer_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (x, i, j): sets y that are near x, with how they differ from it and their component, of parts i
+    and j of x's family.  |y & z| = |x| - |x - y| - |x - z| + what the differences have in common, so pairs are answered
+    through an index of differences and no pair is a row.  Gives links that connect components, each once."""
+    held: list[tuple] = []
+    key = None
+    for batch in batches:
+        for x, i, j, own, y, minus, plus, size, component in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("x", "i", "j", "part", "y", "minus", "plus", "size", "component")), strict=True):
+            if key is not None and key != (x, i, j):
+                yield _family_links(held, key)
+                held = []
+            key = (x, i, j)
+            held.append((own, y, _items(minus), _items(plus), size, component))
+    if held:
+        yield _family_links(held, key)
+
+
+def _family_links(rows: list[tuple], key: tuple) -> pa.RecordBatch:
+    _, i, j = key
+    part = np.array([r[0] for r in rows])
+    names = np.array([r[1] for r in rows], np.int64)
+    gone, size = np.array([len(r[2]) for r in rows]), np.array([r[4] for r in rows])
+    base = size + gone - np.array([len(r[3]) for r in rows])  # the size of x
+    _, label = np.unique(np.array([r[5] for r in rows], np.int64), return_inverse=True)
+    differs = [np.concatenate([K.mix(r[2]), K.mix(r[3] ^ K.U64(0x5851F42D4C957F2D))]) for r in rows]
+    right = np.flatnonzero(part == j)
+    element = np.concatenate([differs[k] for k in right] or [np.empty(0, np.uint64)])
+    owner = np.repeat(np.arange(len(right)), [len(differs[k]) for k in right])
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    us, vs = [], []
+    for y in np.flatnonzero(part == i).tolist():
+        lo, hi = np.searchsorted(element, differs[y], side="left"), np.searchsorted(element, differs[y], side="right")
+        times = hi - lo
+        at = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        common = base[y] - gone[y] - gone[right] + np.bincount(owner[at], minlength=len(right))
+        good = right[(DENOMINATOR * common >= NUMERATOR * (size[y] + size[right] - common)) & (label[right] != label[y])]
+        if len(good):
+            others, first = np.unique(label[good], return_index=True)
+            us += [int(names[y])] * len(first)
+            vs += names[good[first]].tolist()
+            label = np.where(np.isin(label, others), label[y], label)
+    return _arrow([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
 def _answer_derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,26 +559,35 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     members = split.join(sets.withColumnRenamed("sid", "v"), "v").select("u", "part", "v", "items")
     heads = every.join(sets.withColumnRenamed("sid", "u"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "items")
     rows = members.unionByName(heads).repartition(n, "u", "part").sortWithinPartitions("u", "part", F.col("v").isNotNull())
-    answered = keep(rows.mapInArrow(_answer_leaders, "u long, v long, minus binary, plus binary, size long"))
-    direct = answered.select("u", "v")
+    answered = keep(rows.mapInArrow(_answer_leaders, "u long, v long, minus binary, plus binary, size long, linked boolean"))
+    direct = answered.where("linked").select("u", "v")
+    labels = keep(components(direct).withColumnRenamed("node", "sid"))
+
+    # families of sets near one leader
+    members = _families(answered, labels)
+    inside = keep(_in_families(members, n))
+    if inside.limit(1).count():
+        direct = direct.unionByName(inside)
+        labels = keep(components(direct).withColumnRenamed("node", "sid"))
 
     # pairs of different components that meet in long lists
-    labels = keep(components(direct).withColumnRenamed("node", "sid"))
-    marks = lists.mapInArrow(_names_of_lists, "bucket int, sid long").distinct().join(labels, "sid")
+    family = members.select(F.col("y").alias("sid"), F.col("x").alias("family"))
+    own = labels.join(family, "sid", "full").select("sid", F.coalesce("component", "sid").alias("component"), F.coalesce("family", F.lit(0)).alias("family"))
+    marks = lists.mapInArrow(_names_of_lists, "bucket int, sid long").distinct().join(own, "sid")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket = batch.column(0).to_numpy(zero_copy_only=False)
-            both = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)])
+            every = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)])
             values = np.unique(bucket)
-            yield _arrow([pa.array(values.astype(np.int32)), pa.array([both[:, bucket == b].tobytes() for b in values], pa.binary())], ["bucket", "c"])
+            yield _arrow([pa.array(values.astype(np.int32)), pa.array([every[:, bucket == b].tobytes() for b in values], pa.binary())], ["bucket", "c"])
 
     none = F.lit(None).cast("binary")
-    marked = marks.select("bucket", "sid", "component").mapInArrow(pack, "bucket int, c binary").select("bucket", none.alias("a"), none.alias("b"), "c")
+    marked = marks.select("bucket", "sid", "component", "family").mapInArrow(pack, "bucket int, c binary").select("bucket", none.alias("a"), none.alias("b"), "c")
     opened = regroup(lists.withColumn("c", none).unionByName(marked), tasks=n).mapInArrow(lambda batches: _open_pairs(batches, buckets), PAIR_ROWS)
     more = keep(regroup(opened.unionByName(first.where(F.col("kind") < OPEN)), tasks=n).mapInArrow(_chosen(True), "u long, v long"))
     # z is the side with the more likely leader: v if it has one
-    led = answered.groupBy("v").agg(F.min_by(F.struct("u", "minus", "plus"), F.struct(F.length("minus") + F.length("plus"), "u")).alias("by")).select(F.col("v").alias("z"), "by.*")
+    led = answered.where("linked").groupBy("v").agg(F.min_by(F.struct("u", "minus", "plus"), F.struct(F.length("minus") + F.length("plus"), "u")).alias("by")).select(F.col("v").alias("z"), "by.*")
     asked = more.select(F.col("u").alias("y"), F.col("v").alias("z")).join(led.withColumnRenamed("u", "x"), "z", "left")
     empty = F.lit(b"")
     asked = asked.select("y", F.coalesce("x", "z").alias("x"), "z", F.coalesce("minus", empty).alias("minus"), F.coalesce("plus", empty).alias("plus"))
@@ -561,6 +623,28 @@ def links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     return out
 
 
+def _families(answered: DataFrame, labels: DataFrame) -> DataFrame:
+    """x, y, minus, plus, size, component: each set y with the one set x near it that most sets are near to, if these are
+    FAMILY or more; how y differs from x, and y's size and component."""
+    near = answered.select(F.col("u").alias("x"), F.col("v").alias("y"), "minus", "plus", "size")
+    size = F.col("size") + (F.length("minus") - F.length("plus")) / ITEM
+    near = near.unionByName(answered.select(F.col("v").alias("x"), F.col("u").alias("y"), F.col("plus").alias("minus"), F.col("minus").alias("plus"), size.cast("long").alias("size")))
+    many = near.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= FAMILY)
+    best = near.select("x", "y").join(many, "x").groupBy("y").agg(F.max(F.struct("n", "x"))["x"].alias("x"))
+    own = near.join(best, ["x", "y"]).join(labels.select(F.col("sid").alias("y"), "component"), "y", "left")
+    return keep(own.select("x", "y", "minus", "plus", "size", F.coalesce("component", "y").alias("component")))
+
+
+def _in_families(members: DataFrame, tasks: int) -> DataFrame:
+    """Links that connect the components of each family.  A family of more than SPLIT sets is dealt into parts, and each
+    two parts meet in one task."""
+    parts_ = members.groupBy("x").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("_n"))
+    rows = members.join(parts_, "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.select("x", F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), "part", "y", "minus", "plus", "size", "component")
+    return rows.repartition(tasks, "x", "i", "j").sortWithinPartitions("x", "i", "j", "y").mapInArrow(_answer_family, "u long, v long")
+
+
 def _derived(asked: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
     """Which of the pairs (y, z) link, where z differs by `minus` and `plus` from x.  A set x travels once to each of its
     parts, a set y once for each x."""

@@ -218,10 +218,13 @@ def test_components(spark, monkeypatch, local):
     assert got == {x: find(x) for u, v in links if u != v for x in (u, v)}
 
 
-def test_near_group_in_rounds(spark, monkeypatch):
-    """Pairs between components are answered in rounds; no link is lost, and few pairs are asked."""
+@pytest.mark.parametrize(("family", "split"), [(10**6, 2000), (3, 2000), (3, 10)])
+def test_near_group_in_rounds(spark, monkeypatch, family, split):
+    """Pairs between components are answered in rounds, or in families of one part or several; no link is lost."""
     monkeypatch.setattr(jaccard, "SHORT", 1)
     monkeypatch.setattr(jaccard, "LEADERS", 1)
+    monkeypatch.setattr(jaccard, "FAMILY", family)
+    monkeypatch.setattr(jaccard, "SPLIT", split)
     rnd = random.Random(11)
     base = [f"v{k}" for k in range(90)]
     rows = []
@@ -243,3 +246,41 @@ def test_jaccard_odd_rows(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.cluster(frame(spark, rows)).collect()), key=repr)
     want = [(None, 4, 5), (5, 5, 5), (5, 2, 5), (7, 7, 7), (8, 29_996, 8), (9, 29_997, 8), (None, 0, None), (3, 1, 2), (2, 1, 2)]
     assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("split", [2000, 7])
+def test_family_answers_every_pair(split):
+    """Links of a family by differences connect what links of all pairs connect."""
+    import numpy as np
+
+    rnd = random.Random(3)
+    base = set(range(1, 101))
+    sets = []
+    for k in range(60):
+        edits = rnd.choice([0, 2, 5, 12, 20])
+        own = base - set(rnd.sample(range(1, 101), edits)) | {1000 + rnd.randrange(60) for _ in range(edits)}
+        sets.append(own if k % 3 else own - set(range(1, 30)) | set(range(5000, 5025)))
+    rows = [(k, np.array(sorted(base - x), np.uint64), np.array(sorted(x - base), np.uint64), len(x)) for k, x in enumerate(sets)]
+    parts = -(-len(rows) // split)
+    links = []
+    for i in range(parts):
+        for j in range(i, parts):
+            held = [(k % parts, k, minus, plus, size, k) for k, minus, plus, size in rows if k % parts in (i, j)]
+            got = jaccard._family_links(held, (0, i, j))
+            links += zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)
+    every = [(a, b) for a in range(60) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert all((max(a, b), min(a, b)) in every for a, b in links) and len(links) < len(every)
+
+    def groups(pairs):
+        root = list(range(60))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(k) for k in range(60)]
+
+    assert groups(links) == groups(every)
