@@ -8,7 +8,9 @@ PENALTY * log(words) for each language after the first.
 Every language of the training rows is learned: BINS counts for each, so the model grows with their number alone.
 
 Defined results: null text and text without letters is `und` with score 0; without training rows everything is `und`;
-ties go to the language first in order; other columns never count; equal rows give equal results.
+ties go to the language first in order; equal rows give equal results; very long texts are read whole; a null doc_id
+counts as the empty string and stays null; other columns never count, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations

@@ -5,10 +5,11 @@ each of its most common words occurs (all other words are one more class).  A do
 of its language by Jensen-Shannon distance (base 2, so from 0 to 1).  Either comparison is made only where the
 document is long enough for its histogram to mean something.
 
-Languages beyond the MAX_LANGS most frequent, and rows without one, are compared with references over all documents.
+Every language has references of its own; rows without one are compared with references over all documents.
 
 Defined results: null, empty and wordless texts have zero counts and fail the base rule; equal rows give equal
-results; ties among common words fall to the smaller hash; other columns are ignored; an empty table gives no rows.
+results; ties among common words fall to the smaller hash; very long texts are counted whole; a null doc_id stays null;
+other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from . import _kernel as K
 from ._spark import parts, regroup
 
 COMMON = 200
-MAX_LANGS = 256
 #: Guards: code points in words for the character classes, words for the common words.
 MIN_CHARS = 200
 MIN_WORDS = 50
@@ -106,11 +106,9 @@ def base_counts(w: K.Words) -> dict[str, np.ndarray]:
 def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By language (and ALL): class counts, hashes of the common words, and their counts followed by all others'.
 
-    What comes back to the driver is bounded by MAX_LANGS + 1 languages of `common` words.
+    What comes back to the driver is `common` words and a few counts for each language.
     """
     buckets = 2 * parts(docs)
-    langs = [r[0] for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    known = set(langs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, C.Tally] = {}
@@ -119,7 +117,7 @@ def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndar
             data, offsets = K.buffers(batch.column(1))
             w = K.find_words(data, offsets, K.SPACE_WORDS)
             h, cc, wdoc = K.hash_words(w, True), class_counts(data, offsets), w.doc
-            own = np.array([x if x in known else ALL for x in batch.column(0).to_pylist()], object)
+            own = np.array([ALL if x is None else x for x in batch.column(0).to_pylist()], object)
             for lang in set(own):
                 mine = own == lang
                 classes[lang] = classes.get(lang, 0) + cc[mine].sum(0)
@@ -153,18 +151,17 @@ def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndar
     found = regroup(sent).mapInArrow(best, "lang string, kind string, key long, n long")
     found = found.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), F.expr("key < 0"), "key"))
-    rows = found.withColumn("r", rank).where((F.col("kind") != "word") | (F.col("r") <= common)).collect()
+    rows = found.withColumn("r", rank).where((F.col("kind") != "word") | (F.col("r") <= common)).orderBy("lang", "kind", "r").toArrow()
+    lang, kind = (rows.column(c).to_numpy() for c in ("lang", "kind"))
+    key, n = (rows.column(c).to_numpy() for c in ("key", "n"))
+    cuts = np.flatnonzero(np.r_[True, lang[1:] != lang[:-1], True]) if len(lang) else np.zeros(1, np.int64)
     out = {}
-    for lang in {r["lang"] for r in rows}:
-        mine = [r for r in rows if r["lang"] == lang]
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        of = {k: np.flatnonzero(kind[i:j] == k) + i for k in ("all", "class", "word")}
         classes = np.zeros(CLASSES)
-        for r in mine:
-            if r["kind"] == "class":
-                classes[r["key"]] = r["n"]
-        words = sorted((r["r"], r["key"], r["n"]) for r in mine if r["kind"] == "word")
-        every = sum(r["n"] for r in mine if r["kind"] == "all")
-        counts = np.array([n for _, _, n in words], float)
-        out[lang] = (classes, np.array([k for _, k, _ in words], np.int64).view(np.uint64), np.r_[counts, every - counts.sum()])
+        classes[key[of["class"]]] = n[of["class"]]
+        words, every = of["word"], n[of["all"]].sum()
+        out[str(lang[i])] = (classes, key[words].view(np.uint64), np.r_[n[words].astype(float), every - n[words].sum()])
     return out
 
 
@@ -175,28 +172,36 @@ class Judge:
         self.number = {lang: i for i, lang in enumerate(sorted(refs))}
         self.classes = np.array([refs[x][0] for x in self.number] or np.zeros((1, CLASSES)))
         self.words = np.zeros((max(1, len(refs)), common + 1))
-        self.vocabulary = np.unique(np.concatenate([refs[x][1] for x in self.number] or [np.zeros(0, np.uint64)]))
-        self.place = np.full((max(1, len(refs)), len(self.vocabulary) + 1), common)
+        keys, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for lang, i in self.number.items():
             _, hashes, counts = refs[lang]
             self.words[i, : len(hashes)], self.words[i, common] = counts[:-1], counts[-1]
-            self.place[i, np.searchsorted(self.vocabulary, hashes)] = np.arange(len(hashes))
+            keys.append(self._key(hashes, np.full(len(hashes), i)))
+            places.append(np.arange(len(hashes)))
+        key, place = np.concatenate(keys), np.concatenate(places)
+        order = np.argsort(key)
+        #: common words of all languages: a hash of language and word, and the word's place in its language
+        self.keys, self.place = key[order], place[order]
         self.may = np.zeros(1 << 16, bool)
-        self.may[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
+        self.may[(self.keys >> np.uint64(48)).astype(np.int64)] = True
         self.common = common
 
+    @staticmethod
+    def _key(hashes: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        return K.mix(hashes + (lang + 1).astype(np.uint64) * K.U64(0x9E3779B97F4A7C15))
+
     def distances(self, w: K.Words, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         n = len(w.counts)
         rest = self.number.get(ALL, 0)
         of = np.array([self.number.get(x, rest) for x in langs], np.int64)
         char = js_distance(class_counts(w.data, w.offsets), self.classes[of])
         h, wdoc = K.hash_words(w, True), w.doc
-        which = np.full(len(h), len(self.vocabulary))
-        near = np.flatnonzero(self.may[(h >> np.uint64(48)).astype(np.int64)])
-        if len(self.vocabulary) and len(near):
-            at = np.minimum(np.searchsorted(self.vocabulary, h[near]), len(self.vocabulary) - 1)
-            which[near] = np.where(self.vocabulary[at] == h[near], at, len(self.vocabulary))
-        place = self.place[of[wdoc], which]
+        key = self._key(h, of[wdoc])
+        place = np.full(len(h), self.common)
+        near = np.flatnonzero(self.may[(key >> np.uint64(48)).astype(np.int64)])
+        if len(self.keys) and len(near):
+            at = np.minimum(np.searchsorted(self.keys, key[near]), len(self.keys) - 1)
+            place[near] = np.where(self.keys[at] == key[near], self.place[at], self.common)
         hist = np.bincount(wdoc * (self.common + 1) + place, minlength=n * (self.common + 1)).reshape(n, -1)
         return char, js_distance(hist, self.words[of])
 

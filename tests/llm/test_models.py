@@ -268,3 +268,40 @@ def test_language_learns_every_language(spark):
     rows = [(k, " ".join(rnd.choice(own[n]) for _ in range(60)), f"l{n:02}") for k, n in enumerate(n for n in range(70) for _ in range(8 if n < 64 else 6))]
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert np.mean([got[k] == lang for k, _, lang in rows if lang >= "l64"]) > 0.95
+
+
+def test_quality_judges_every_language(spark):
+    """Of 300 languages, also the rarest, each is judged by its own references; verdicts as by a plain computation."""
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = [["".join(rnd.choice(letters) for _ in range(4)) for _ in range(12)] for _ in range(300)]
+    rows = [(3 * n + k, " ".join(rnd.choice(own[n]) for _ in range(80)), f"l{n:03}") for n in range(300) for k in range(3)]
+    foreign = [(9000, " ".join(rnd.choice(own[0]) for _ in range(80)), "l299"), (9001, " ".join(rnd.choice(own[299]) for _ in range(80)), "l299")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows + foreign, "doc_id long, text string, lang string")).collect()}
+    assert got[9000]["word_distance"] > got[9001]["word_distance"] + 0.3
+    texts = [t for _, t, lang in rows + foreign if lang == "l299"]
+    every = Counter(w for t in texts for w in t.split())
+    for k, t, lang in rows + foreign:
+        if lang == "l299":
+            doc = Counter(t.split())
+            p, q = (np.array([[c[w] for w in every]], float) for c in (doc, every))
+            assert got[k]["word_distance"] == pytest.approx(quality_rules.js_distance(p, q)[0])
+            limit = quality_rules.MAX_WORD_DISTANCE + quality_rules.NOISE / math.sqrt(80)
+            assert got[k]["kept"] == (not got[k]["base_failed"] and got[k]["word_distance"] <= limit and got[k]["char_distance"] <= quality_rules.MAX_CHAR_DISTANCE)
+
+
+def test_quality_and_language_odd_rows(spark):
+    """Repeated rows, null ids, clashing names, a very long text, ties, an empty table."""
+    rnd = random.Random(13)
+    long = " ".join(text_in("bb", rnd, 1) for _ in range(40_000))
+    rows = [(1, text_in("aa", rnd, 90), "aa")] * 2 + [(None, text_in("bb", rnd, 90), None), (3, long, "bb"), (4, "x y " * 40, "cc"), (5, None, None), (6, "tie", "aa"), (7, "tie", "bb")]
+    df = spark.createDataFrame([(*r, 1, "c", b"x") for r in rows], "doc_id long, text string, lang string, n_words int, chunk string, counts binary")
+    judged = quality_rules.judge(df).collect()
+    assert len(judged) == len(rows)
+    first = [tuple(r) for r in judged if r["doc_id"] == 1]
+    assert first[0] == first[1] and next(r for r in judged if r["doc_id"] == 3)["n_words"] == len(long.split())
+    assert next(r for r in judged if r["doc_id"] == 5)["base_failed"]
+    found = language.identify(df).collect()
+    assert len(found) == len(rows) and len({(r["lang_pred"], r["score"]) for r in found if r["doc_id"] == 1}) == 1
+    assert len({(r["lang_pred"], r["score"]) for r in found if r["doc_id"] in (6, 7)}) == 1
+    assert language.identify(df.limit(0)).count() == 0
