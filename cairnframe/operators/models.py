@@ -127,10 +127,13 @@ class OrgTypes:
         self.text, self.label, self.categories, self.features, self.rounds = text, label, categories, features, rounds
 
     def _terms(self, df: DataFrame, *more: Column) -> DataFrame:
-        from .tags import ngrams
+        from pyspark.ml.feature import NGram
 
         words = F.filter(F.split(F.lower(F.coalesce(F.col(self.text), F.lit(""))), r"\W+"), lambda w: w != "")
-        return df.select("*", ngrams(words, 3).alias("_terms"), *more)
+        rows = df.select("*", words.alias("_w1"), *more)
+        for n in (2, 3):
+            rows = NGram(n=n, inputCol="_w1", outputCol=f"_w{n}").transform(rows)
+        return rows.withColumn("_terms", F.concat("_w1", "_w2", "_w3")).drop("_w1", "_w2", "_w3")
 
     def fit(self, df: DataFrame) -> OrgTypes:
         from pyspark.ml import Pipeline

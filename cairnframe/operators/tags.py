@@ -37,6 +37,14 @@ def ngrams(words: Column, most: int = 3) -> Column:
     return F.concat(*map(of, range(1, most + 1)))
 
 
+def exploded_ngrams(df: DataFrame, keys: list[str], words: str, most: int) -> DataFrame:
+    """keys, ngram: a row for each n-gram of 1 to `most` words.  Words are numbered and their followers found by position,
+    one list for each n, so the work grows with the words and not with their square."""
+    rows = df.select(*keys, words, F.posexplode(words).alias("_i", "_x"))
+    gram = lambda n: F.when(F.col("_i") + n <= F.size(words), F.array_join(F.slice(words, F.col("_i") + 1, n), " "))
+    return rows.select(*keys, F.explode(F.array(*[gram(n) for n in range(1, most + 1)])).alias("ngram")).where("ngram is not null")
+
+
 def ngram_weights(df: DataFrame, key: str, words: str, most: int = 3) -> DataFrame:
     """key, ngram, weight: the share of the row's n-grams."""
     rows = df.select(key, F.explode(ngrams(F.col(words), most)).alias("ngram"))
@@ -60,7 +68,7 @@ def text_ngrams(df: DataFrame, key: str, text: Column, most: int = 5, stop: list
     """key, ngram, n, weight: n-grams of the lower-cased words of a text, over the ends of phrases too, without single
     stop words; the weight is the share of the row's n-grams."""
     words = F.filter(F.split(F.regexp_replace(F.lower(text), PHRASE_END, " "), r"\s+"), lambda w: w != "")
-    rows = df.select(key, F.explode(ngrams(words, most)).alias("ngram")).where(~F.col("ngram").isin(STOP_WORDS if stop is None else stop))
+    rows = exploded_ngrams(df.select(key, words.alias("_w")), [key], "_w", most).where(~F.col("ngram").isin(STOP_WORDS if stop is None else stop))
     counts = rows.groupBy(key, "ngram").agg(F.count("*").alias("n"))
     return counts.select(key, "ngram", "n", (F.col("n") / F.sum("n").over(Window.partitionBy(key))).alias("weight"))
 
