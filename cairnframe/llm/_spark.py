@@ -79,6 +79,12 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def shielded(df: DataFrame) -> DataFrame:
+    """df with all columns but doc_id and text renamed, so that they clash with no column an operator adds; `toDF` of the
+    old names gives them back."""
+    return df.toDF(*[c if c in ("doc_id", "text") else f"_p{k}" for k, c in enumerate(df.columns)])
+
+
 def regroup(df: DataFrame, key: str = "bucket", tasks: int = 0) -> DataFrame:
     """Packed rows of one bucket brought together, in spark.sql.shuffle.partitions tasks or more."""
     return df.repartition(max(parts(df), tasks), key)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import _counts as C
 from . import _kernel as K
 from ._components import components
-from ._spark import buckets_for, flagged, keep, parts, regroup, spread_join
+from ._spark import buckets_for, flagged, keep, parts, regroup, shielded, spread_join
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -690,6 +690,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id (nulls last, then by text hash), with all
     columns; of rows with equal doc_id and text one stays.  Documents that share an id, or have none, are told apart by
     their text.  Only documents that may go are moved."""
+    given, docs = docs.columns, shielded(docs)
     none = F.col("doc_id").isNull()
     key = F.xxhash64(F.xxhash64("doc_id", "text"), none).alias("_key")
     meta, sets, total = _grouped(docs)
@@ -703,4 +704,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     special = keep(ids.where("not _stays or _n > 1").select("_key", "_stays"))
     both = flagged(docs.select("*", key), "_key", special, "_key")
     rest = both.where("_maybe").join(special, "_key", "left").where("coalesce(_stays, true)").dropDuplicates(["_key"])
-    return both.where("not _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return both.where("not _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns)).toDF(*given)

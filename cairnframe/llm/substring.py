@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import _counts as C
 from . import _kernel as K
-from ._spark import buckets_for, flagged, keep, regroup
+from ._spark import buckets_for, flagged, keep, regroup, shielded
 
 WINDOW = 35
 RUN = 20
@@ -375,6 +375,7 @@ def digest(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
 def remove(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """The documents with all columns; where windows repeat, text is the kept words joined by one space.  A document
     that loses all its words goes; one that had none stays."""
+    given, docs = docs.columns, shielded(docs)
     names, at, width = docs.columns, docs.columns.index("text"), len(docs.columns)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,4 +393,4 @@ def remove(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
             yield made.filter(pa.array([not e for e in emptied])) if any(emptied) else made
 
     clean, hit = _split(with_row(docs), window, run)
-    return clean.select(*names).unionByName(hit.select(*names, "spans").mapInArrow(out, docs.schema))
+    return clean.select(*names).unionByName(hit.select(*names, "spans").mapInArrow(out, docs.schema)).toDF(*given)

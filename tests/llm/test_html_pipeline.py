@@ -114,3 +114,91 @@ def test_pipeline(spark):
         before = after
     packed = p.STAGES[-1][1](spark, before, DATA)
     assert {r[0] for r in packed.select("doc_id").collect()} == {r[0] for r in before.select("doc_id").collect()}
+
+
+def test_stages_by_brute_force(spark, tmp_path):
+    """Each stage on rows with nulls, empty texts, repeated rows, ties, a long text and extra columns that clash, against
+    a plain version of it; and every stage on an empty table."""
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+    import public_tokenizers as P
+    from cairnframe.llm import classifier
+
+    from .test_dedup import brute_hits, brute_removed, corpus, shingles
+
+    rnd = random.Random(21)
+    rows = corpus(5, 50)
+    rows += [(200, rows[3][1]), (200, rows[3][1]), (None, None), (None, ""), (None, "no id, some words here of its own"), (None, "no id, some words here of its own"), (None, "another text without an id at all")]
+    rows += [(300 + k, " ".join(f"{rnd.choice('abcdef')}{rnd.randrange(400)}###" for _ in range(60))) for k in range(8)] + [(400, " ".join(f"long{k}" for k in range(30_000)))]
+    items = [(1, rows[10][1] or "x y z"), (2, "w1 w2"), (2, "w3 w4 w5"), (None, "w7 w7"), (3, " ".join(f"long{k}" for k in range(100, 130)))]
+    schema = "doc_id long, text string, lang string, n_chars long, bucket string, sid long, spans string, hash int, _h int"
+    frame = lambda rs: spark.createDataFrame([(k, t, "en", len(t or ""), "b", 7, "s", 1, 2) for k, t in rs], schema)
+    folder = str(tmp_path)
+    labels = spark.createDataFrame([(300 + k, 0, 0) for k in range(6)] + [(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+    for _, stage in p.STAGES:
+        assert stage(spark, frame(rows).limit(0), folder).count() == 0
+
+    docs = frame(rows)
+    kept = classifier.classify(docs, labels).collect()
+    first = p.quality(spark, docs, folder)
+    assert first.columns == docs.columns
+    left = pairs(first)
+    assert len(left) == sum(r["kept"] for r in kept) and not [k for k, t in left if "###" in (t or "")]
+    assert {(k, t) for k, t in rows if "###" not in (t or "")} <= set(left)
+
+    sets = [(k, t, shingles(t)) for k, t in left]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = sets[i][2], sets[j][2]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i, (k, t, s) in enumerate(sets):
+        groups.setdefault(find(i) if s else (k, t), []).append((k, t))
+    second = p.near_duplicates(spark, p.stored(first), folder)
+    assert second.columns == docs.columns
+    got = pairs(second)
+    assert len(got) == len(groups)
+    for members in groups.values():
+        least = min((k for k, _ in members if k is not None), default=None)
+        assert sum((k, t) in members and k == least for k, t in got) == 1 or least is None
+
+    third = p.passages(spark, p.stored(second), folder)
+    assert third.columns == docs.columns
+    numbered = list(enumerate(got))
+    want = []
+    for n, words, gone, _, text in brute_removed([(n, t) for n, (_, t) in numbered]):
+        if not (gone and gone == words):
+            want.append((got[n][0], text if gone else got[n][1]))
+    assert pairs(third) == sorted(want, key=repr)
+    assert all(r["n_chars"] == len(r["text"]) for r in third.collect() if r["text"] is not None)
+
+    fourth = p.contamination(spark, p.stored(third), folder)
+    assert fourth.columns == docs.columns
+    bad = brute_hits(list(enumerate(t for _, t in sorted(want, key=repr))), items)
+    clean = [sorted(want, key=repr)[r[0]] for r in bad if not r[5]]
+    assert pairs(fourth) == sorted(clean, key=repr) and len(clean) < len(want)
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    total = sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in clean)
+    packed = p.sequences(spark, p.stored(fourth), folder).collect()
+    assert sum(r["length"] for r in packed) == total
+    fill = {}
+    for r in packed:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    assert max(fill.values()) <= 1024 and np.mean(list(fill.values())) > 512
