@@ -523,7 +523,7 @@ def _spread(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, Data
 
 def _sets(docs: DataFrame, meta: DataFrame, wanted: DataFrame, levels) -> DataFrame:
     """sid, items of the wanted sets, each from one document."""
-    rows = keep(meta.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("_row").alias("_row")))
+    rows = keep(meta.groupBy("sid").agg(F.min("_row").alias("_row")).join(wanted, "sid", "left_semi"))  # copies are one row before they meet
     some = flagged(docs.select(F.xxhash64("doc_id", "text").alias("_row"), "text"), "_row", rows, "_row").where("_maybe").drop("_maybe")
     one = some.join(rows, "_row").dropDuplicates(["_row"]).select("sid", "text")
     return keep(one.mapInArrow(_write_sets(levels), "sid long, items binary"))
