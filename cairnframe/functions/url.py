@@ -24,6 +24,11 @@ def site_key(c: Column) -> Column:
     return F.translate(F.regexp_replace(F.trim(F.regexp_extract(F.trim(after), r"^([^?]*)", 1)), r"/$", ""), "/:", "__")
 
 
+def cache_key(c: Column) -> Column:
+    """A key of a whole address: after the scheme and `www.`, without last slashes, with `/`, `?`, `=` and `:` as `_`."""
+    return F.translate(F.regexp_replace(F.regexp_replace(c, r"^[a-zA-Z]+://", ""), r"^www\.|/+$", ""), "/?=:", "____")
+
+
 def host_key(c: Column) -> Column:
     """The host of a site key, without `www.`."""
     return F.regexp_replace(F.regexp_extract(site_key(c), r"^([^_]*)", 1), r"^www\.", "")

@@ -59,9 +59,9 @@ def url_normalize(spark, d):
     return parquet(spark, d, "pages").select("page_id", url.normalise(u).alias("normal"), url.site_key(u).alias("site_key"), url.path_slug(u).alias("slug"))
 
 
-@query("SELECT page_id, regexp_replace(string_split(string_split(string_split(string_split(url, '//')[2], '?')[1], '/')[1], ':')[1], '^www\\.', '') AS host_key, regexp_extract(regexp_replace(lower(url), '^http://', 'https://'), '^(https://[^/?#]+)', 1) AS home FROM pages")
+@query("SELECT page_id, regexp_replace(string_split(string_split(string_split(string_split(url, '//')[2], '?')[1], '/')[1], ':')[1], '^www\\.', '') AS host_key, regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z]+://', ''), '^www\\.|/+$', '', 'g'), '[/?=:]', '_', 'g') AS cache_key, regexp_extract(regexp_replace(lower(url), '^http://', 'https://'), '^(https://[^/?#]+)', 1) AS home FROM pages")
 def url_host_key(spark, d):
-    return parquet(spark, d, "pages").select("page_id", url.host_key(F.col("url")).alias("host_key"), url.clean_url(F.col("url"), home_only=True).alias("home"))
+    return parquet(spark, d, "pages").select("page_id", url.host_key(F.col("url")).alias("host_key"), url.cache_key(F.col("url")).alias("cache_key"), url.clean_url(F.col("url"), home_only=True).alias("home"))
 
 
 @query("SELECT doc_id, md5(text) AS text_id FROM documents")

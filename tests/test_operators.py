@@ -39,6 +39,7 @@ def test_url(spark):
     for given, want in (("https://google.com", "google.com"), ("https://google.com/", "google.com"), ("https://some.com:80", "some.com_80"), ("https://cool.com/inner/page/1", "cool.com_inner_page_1"), ("https://another.com?query=my", "another.com"), ("www.bare.org/x", "www.bare.org_x")):
         assert one(spark, given, url.site_key) == want
     assert one(spark, "https://www.a.org/x/y", url.host_key) == "a.org"
+    assert one(spark, "http://www.a.org/x?y=1/", url.cache_key) == "a.org_x_y_1"
     assert one(spark, "http://A.org/File.PDF", url.clean_url) == "https://A.org/File.PDF"
     assert one(spark, "facebook.com/x", lambda c: url.clean_url(c, drop_social=True)) is None
     assert one(spark, "http://a.org/x/y/", url.last_segment) == "y"
