@@ -143,5 +143,10 @@ def size_band(c: Column) -> Column:
 def repeated_share(c: Column, n: int) -> Column:
     """Share of a text covered by its most frequent substring of n characters; 0 for shorter texts."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
-    counts = F.transform(F.array_distinct(grams), lambda g: F.size(F.filter(grams, lambda x: x == g)))
-    return F.when(F.length(c) >= n, F.array_max(counts) * n / F.length(c)).otherwise(F.lit(0.0))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(x == a["last"], a["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+    most = F.aggregate(F.array_sort(grams), F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")), step, lambda a: a["best"])
+    return F.when(F.length(c) >= n, most * n / F.length(c)).otherwise(F.lit(0.0))

@@ -229,3 +229,68 @@ def down_sample(df: DataFrame, label: str, fractions: dict[str, float], key: str
 def mapped(df: DataFrame, run: Callable[[DataFrame], DataFrame], pieces: int = 8) -> DataFrame:
     """run over df dealt into pieces."""
     return run(df.repartition(pieces))
+
+
+def coerced(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns as numbers of a type; what is none becomes null."""
+    return df.withColumns({c: F.expr(f"try_cast(`{c}` as {kind})") for c, kind in columns.items()})
+
+
+def missing_text(c: Column, least: int = 100) -> Column:
+    """Whether a text is null or shorter than `least` characters."""
+    return c.isNull() | (F.length(c) < least)
+
+
+def some_text(*columns: Column) -> Column:
+    """Whether one of the texts is neither null nor blank."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.trim(c) != "", F.lit(False))
+    return out
+
+
+def match_hosts(rows: DataFrame, website: str, urls: DataFrame, url: str) -> DataFrame:
+    """rows whose website has the host of one of the urls, with that url (the least); each row once."""
+    from ..functions.url import host
+
+    known = urls.select(host(F.col(url)).alias("_h"), F.col(url).alias("matched")).where("_h <> ''").groupBy("_h").agg(F.min("matched").alias("matched"))
+    return rows.withColumn("_h", host(F.col(website))).join(known, "_h").drop("_h")
+
+
+def with_known(rows: DataFrame, key: str, listing: DataFrame, value: str, process) -> DataFrame:
+    """rows with a value: that of the listing (key, value) where it has one, else what `process`, a function of the rows
+    it lacks, gives."""
+    found = rows.join(listing.select(key, value), key)
+    missing = rows.join(listing.select(key).distinct(), key, "left_anti")
+    return found.unionByName(process(missing), allowMissingColumns=True)
+
+
+def provenance_lists(prior: DataFrame, new: DataFrame, key: str, items: str) -> DataFrame:
+    """key, provenance (prior, new or both), all items, and the items that are only new; null lists count as empty."""
+    none = F.array().cast("array<string>")
+    a, b = prior.select(F.col(key).alias("_a"), F.col(items).alias("_x")), new.select(F.col(key).alias("_b"), F.col(items).alias("_y"))
+    x, y = F.coalesce("_x", none), F.coalesce("_y", none)
+    kind = F.when(F.col("_b").isNull(), "prior").when(F.col("_a").isNull(), "new").otherwise("both")
+    return a.join(b, F.col("_a") == F.col("_b"), "full").select(F.coalesce("_a", "_b").alias(key), kind.alias("provenance"), F.array_sort(F.array_union(x, y)).alias("items"), F.array_sort(F.array_except(y, x)).alias("added"))
+
+
+def similar_clusters(pairs: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
+    """(a, b, sim): for each cluster the n others with the largest similarity, smaller ones first among equals.
+    pairs: a, b, sim; sizes: cluster, size."""
+    s = sizes.select(F.col("cluster").alias("b"), F.col("size").alias("_s"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "_s", "b"))
+    return pairs.join(s, "b").withColumn("_r", rank).where(F.col("_r") <= n).select("a", "b", "sim")
+
+
+def equity_stage(types: Column, order: list[str], mapping: dict[str, str]) -> Column:
+    """The latest stage, in `order`, of a list of round types, after types that are combined are renamed; null where
+    none is known."""
+    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    known = F.array(*map(F.lit, order))
+    place = F.array_max(F.transform(types, lambda t: F.array_position(known, F.coalesce(F.try_element_at(table, t), t))))
+    return F.when(place > 0, F.element_at(known, F.greatest(place, F.lit(1)).cast("int")))
+
+
+def raised_from(rounds: Column, kinds: list[str]) -> Column:
+    """The sum of amounts of rounds (structs with kind and amount) of some kinds; 0 where there are none."""
+    return F.aggregate(F.filter(rounds, lambda r: r["kind"].isin(kinds)), F.lit(0).cast("decimal(38,2)"), lambda a, r: (a + F.coalesce(r["amount"], F.lit(0))).cast("decimal(38,2)"))

@@ -429,3 +429,64 @@ def changed_skills(spark, d):
 def wide_means(spark, d):
     got = simulate.wide_means(parquet(spark, d, "orders").withColumn("round", F.lit(1)), "o_orderstatus", "o_totalprice", list("FOP"))
     return got.select("round", *[F.round(c, 6).alias(c) for c in "FOP"])
+
+
+# --- filters, matches and rules
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 4 > 0 AND p_retailprice > 950 AND p_size >= 10")
+def numeric_filter(spark, d):
+    p = parquet(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.col("p_retailprice").cast("string")).otherwise("n/a").alias("price"), F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") < 10, " or so").otherwise("")).alias("year"))
+    return entities.coerced(p, {"price": "double", "year": "int"}).where("price > 950 and year >= 10").select("p_partkey")
+
+
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING bool_or(o_orderpriority = '1-URGENT')")
+def facet_filter(spark, d):
+    o = parquet(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("facets"))
+    return entities.located_in(o, "facets", "1-URGENT").select("o_custkey")
+
+
+@query("SELECT doc_id, (doc_id % 3 = 0 OR length(text) < 1000) AS missing, (doc_id % 3 > 0 OR lang = 'en') AS some FROM documents")
+def missing_descriptions(spark, d):
+    x = parquet(spark, d, "documents").withColumns({"a": F.when(F.col("doc_id") % 3 > 0, F.col("text")), "b": F.when(F.col("lang") == "en", "x").otherwise("  ")})
+    return x.select("doc_id", entities.missing_text(F.col("a"), 1000).alias("missing"), entities.some_text(F.col("a"), F.col("b")).alias("some"))
+
+
+@query("WITH g AS (SELECT conv_id, turn, length(text) AS n, unnest(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS g FROM conversations), c AS (SELECT conv_id, turn, any_value(n) AS n, g, count(*) AS c FROM g GROUP BY conv_id, turn, g) SELECT conv_id, turn, max(c) * 2 / any_value(n) >= 0.05 AS repeats FROM c GROUP BY conv_id, turn")
+def repeats_itself(spark, d):
+    c = parquet(spark, d, "conversations").where("length(text) >= 2")
+    return c.select("conv_id", "turn", text.repeats_itself(F.col("text"), (2,), 0.05).alias("repeats"))
+
+
+@query("WITH h AS (SELECT regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?([^/:?#]+)', 1), '^www\\.', '') AS h, min(url) AS matched FROM pages GROUP BY 1) SELECT page_id, matched FROM (SELECT page_id, regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?([^/:?#]+)', 1), '^www\\.', '') AS h FROM pages) JOIN (SELECT h, min(url) AS matched FROM (SELECT *, regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?([^/:?#]+)', 1), '^www\\.', '') AS h FROM pages WHERE page_id < 20) GROUP BY h) USING (h)")
+def match_hosts(spark, d):
+    p = parquet(spark, d, "pages")
+    return entities.match_hosts(p.select("page_id", F.upper("url").alias("site")), "site", p.where("page_id < 20"), "url").select("page_id", "matched")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'known' ELSE 'new' || s_nationkey END AS image FROM supplier")
+def with_known(spark, d):
+    s = parquet(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    listing = s.where("s_suppkey % 2 = 0").select("s_suppkey", F.lit("known").alias("image"))
+    return entities.with_known(s, "s_suppkey", listing, "image", lambda rows: rows.withColumn("image", F.concat(F.lit("new"), F.col("s_nationkey").cast("string")))).select("s_suppkey", "image")
+
+
+@query("WITH a AS (SELECT p_brand, list(DISTINCT p_type) AS t FROM part WHERE p_size < 15 GROUP BY 1), b AS (SELECT p_brand, list(DISTINCT p_type) AS t FROM part WHERE p_size > 40 GROUP BY 1), j AS (SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, a.p_brand IS NULL AS na, b.p_brand IS NULL AS nb, coalesce(a.t, []) AS x, coalesce(b.t, []) AS y FROM a FULL JOIN b ON a.p_brand = b.p_brand) SELECT p_brand, CASE WHEN nb THEN 'prior' WHEN na THEN 'new' ELSE 'both' END AS provenance, array_to_string(list_sort(list_distinct(x || y)), '|') AS items, array_to_string(list_sort(list_filter(y, lambda z: NOT list_contains(x, z))), '|') AS added FROM j")
+def provenance_lists(spark, d):
+    p = parquet(spark, d, "part")
+    own = lambda rows: rows.groupBy("p_brand").agg(F.collect_set("p_type").alias("t"))
+    return entities.provenance_lists(own(p.where("p_size < 15")), own(p.where("p_size > 40")), "p_brand", "t").withColumns({c: F.array_join(c, "|") for c in ("items", "added")})
+
+
+@query("WITH s AS (SELECT p_brand AS cluster, count(*) AS size FROM part GROUP BY 1), p AS (SELECT a.p_brand AS a, b.p_brand AS b, count(DISTINCT a.p_type)::BIGINT AS sim FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size WHERE a.p_brand <> b.p_brand GROUP BY ALL) SELECT a, b, sim FROM p JOIN s ON b = cluster QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, size, b) <= 3")
+def similar_clusters(spark, d):
+    p = parquet(spark, d, "part").select("p_brand", "p_type", "p_size").distinct()
+    pairs = p.withColumnRenamed("p_brand", "a").join(p.withColumnRenamed("p_brand", "b"), ["p_type", "p_size"]).where("a <> b").groupBy("a", "b").agg(F.countDistinct("p_type").alias("sim"))
+    return entities.similar_clusters(pairs, parquet(spark, d, "part").groupBy(F.col("p_brand").alias("cluster")).agg(F.count("*").alias("size")), 3)
+
+
+@query("WITH r AS (SELECT o_custkey, list(o_orderpriority) AS t, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_totalprice::DECIMAL(18,2) END) AS v FROM orders GROUP BY o_custkey) SELECT o_custkey, CASE WHEN list_has_any(t, ['1-URGENT', '2-HIGH']) THEN 'late' WHEN list_contains(t, '3-MEDIUM') THEN '3-MEDIUM' WHEN list_contains(t, '5-LOW') THEN '5-LOW' END AS stage, coalesce(v, 0)::DOUBLE AS raised FROM r")
+def equity_stage(spark, d):
+    r = parquet(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("kind"), money("o_totalprice").alias("amount"))).alias("r"))
+    stage = entities.equity_stage(F.transform("r", lambda x: x["kind"]), ["5-LOW", "3-MEDIUM", "late"], {"1-URGENT": "late", "2-HIGH": "late"})
+    return r.select("o_custkey", stage.alias("stage"), entities.raised_from(F.col("r"), ["1-URGENT", "2-HIGH"]).cast("double").alias("raised"))
