@@ -434,10 +434,10 @@ def wide_means(spark, d):
 # --- filters, matches and rules
 
 
-@query("SELECT p_partkey FROM part WHERE p_size % 4 > 0 AND p_retailprice > 950 AND p_size >= 10")
+@query("SELECT p_partkey FROM part WHERE p_size % 4 > 0 AND p_retailprice > 905 AND p_size >= 10")
 def numeric_filter(spark, d):
     p = parquet(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.col("p_retailprice").cast("string")).otherwise("n/a").alias("price"), F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") < 10, " or so").otherwise("")).alias("year"))
-    return entities.coerced(p, {"price": "double", "year": "int"}).where("price > 950 and year >= 10").select("p_partkey")
+    return entities.coerced(p, {"price": "double", "year": "int"}).where("price > 905 and year >= 10").select("p_partkey")
 
 
 @query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING bool_or(o_orderpriority = '1-URGENT')")
