@@ -109,17 +109,29 @@ def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Wo
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
+#: Bytes that are hashed at once: arrays of 16 bytes for each byte of text stay this long, however long a text is.
+HASH_BYTES = 1 << 20
+
+
 def hash_words(w: Words, lower: bool) -> np.ndarray:
-    """A hash of 64 bits for each word."""
-    if not len(w.starts):
+    """A hash of 64 bits for each word; it does not depend on where the word stands."""
+    if len(w.data) <= HASH_BYTES:
+        return _hash(w.data, w.starts, w.ends, lower)
+    cuts = np.searchsorted(w.starts, np.arange(0, len(w.data) + HASH_BYTES, HASH_BYTES))
+    parts = [_hash(w.data[w.starts[a] : w.ends[b - 1]], w.starts[a:b] - w.starts[a], w.ends[a:b] - w.starts[a], lower) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
+    return np.concatenate(parts) if parts else np.empty(0, U64)
+
+
+def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    if not len(starts):
         return np.empty(0, U64)
-    bits = max(19, int(len(w.data)).bit_length())
-    sums = np.empty(len(w.data) + 1, U64)
+    bits = max(19, len(data).bit_length())
+    sums = np.empty(len(data) + 1, U64)
     sums[0] = 0
-    values = (_LOWER_VALUES if lower else _VALUES)[w.data]
-    values *= _powers(bits, _P)[: len(w.data)]
+    values = (_LOWER_VALUES if lower else _VALUES)[data]
+    values *= _powers(bits, _P)[: len(data)]
     np.cumsum(values, out=sums[1:])
-    return mix((sums[w.ends] - sums[w.starts]) * _powers(bits, _PINV)[w.starts])
+    return mix((sums[ends] - sums[starts]) * _powers(bits, _PINV)[starts])
 
 
 def hash_runs(hashes: np.ndarray, k: int) -> np.ndarray:

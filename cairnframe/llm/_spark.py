@@ -10,7 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch of rows that crosses to Python, about.  Long texts make Spark's own batches large: a task holds a
+#: batch on both sides, and buffers of that size stay with the executor.
+BATCH_BYTES = 4 << 20
+
+
+def modest(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,6 +31,7 @@ def crc_mod(column: str, n: int):
 
 
 def parts(df: DataFrame) -> int:
+    modest(df.sparkSession)
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 

@@ -284,3 +284,19 @@ def test_family_answers_every_pair(split):
         return [find(k) for k in range(60)]
 
     assert groups(links) == groups(every)
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from cairnframe.llm import _kernel as K
+
+    rnd = random.Random(6)
+    texts = [" ".join("x" * rnd.randint(1, 300) + str(rnd.randrange(50)) for _ in range(rnd.randint(0, 60))) for _ in range(20)] + ["y" * 3000, ""]
+    data, offsets = K.buffers(pa.array(texts))
+    w = K.find_words(data, offsets, K.SPACE_WORDS)
+    whole = K.hash_words(w, True)
+    monkeypatch.setattr(K, "HASH_BYTES", 512)
+    assert np.array_equal(whole, K.hash_words(w, True))
+    assert len({x for t in texts for x in t.split()}) == len(set(whole.tolist()))
