@@ -159,3 +159,27 @@ class OrgTypes:
         rows = self._terms(df, never.alias("_never"), always.alias("_always"))
         got = self.second.transform(self.first.transform(self.tf.transform(rows)))
         return got.select(key, F.when(F.col("_never"), 0.0).when(F.col("_always"), 1.0).otherwise(F.col("prediction")).alias("prediction"))
+
+
+def summaries(rows: DataFrame, key: str, texts: list[str], cache: DataFrame, call: Callable[[str], str], fallback: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows with `summary`: a model's reply to their numbered texts, null where they have none or it fails; then the
+    text of the fallback column if one is named."""
+    asked = rows.withColumn("_p", numbered(F.array(*[F.col(t) for t in texts])))
+    answers, cache = cached_results(asked.where(F.col("_p") != "").select(key, "_p"), cache, key, "_p", call)
+    out = rows.join(answers.withColumnRenamed("response", "summary"), key, "left")
+    return out.withColumn("summary", F.coalesce("summary", fallback)) if fallback else out, cache
+
+
+def translated(rows: DataFrame, key: str, columns: list[str], language: str, cache: DataFrame, call: Callable[[str], str], target: str = "en") -> tuple[DataFrame, DataFrame]:
+    """rows whose texts in another language are a model's translations, where there are any; and the new cache.  Each
+    column of a row is asked for by itself."""
+    far = rows.where(F.coalesce(F.col(language), F.lit(target)) != target)
+    asked = None
+    for c in columns:
+        part = far.where(F.col(c) != "").select(F.concat_ws("|", F.col(key).cast("string"), F.lit(c)).alias("id"), F.col(c).alias("_t"))
+        asked = part if asked is None else asked.unionByName(part)
+    answers, cache = cached_results(asked, cache, "id", "_t", call)
+    for c in columns:
+        got = answers.where(F.col("id").endswith(f"|{c}")).select(F.regexp_extract("id", r"^(.*)\|", 1).alias("_k"), F.col("response").alias("_r"))
+        rows = rows.join(got, rows[key].cast("string") == got["_k"], "left").withColumn(c, F.coalesce("_r", c)).drop("_k", "_r")
+    return rows, cache

@@ -98,3 +98,12 @@ def packed_texts(pages: DataFrame, site: str, order: str, text: str, budget: int
     rows = pages.groupBy(site).agg(items.alias("i")).withColumn("f", F.aggregate("i", start, step))
     first = F.substring(F.element_at("i", 1)["t"], 1, fallback)
     return rows.select(site, F.col("f.used").alias("n_words"), F.col("f.kept").alias("n_pages"), F.when(F.col("f.kept") > 0, F.col("f.t")).otherwise(first).alias("text"))
+
+
+def definitions(html: Column) -> Column:
+    """The terms and descriptions of a page's definition lists, as a map of plain texts; of a term twice the first."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
+    pairs = F.regexp_extract_all(html, F.lit(r"(?is)<dt\b[^>]*>.*?</dt>\s*<dd\b[^>]*>.*?</dd>"), F.lit(0))
+    items = F.transform(pairs, lambda p: F.struct(plain(F.regexp_extract(p, r"(?is)<dt\b[^>]*>(.*?)</dt>", 1)).alias("k"), plain(F.regexp_extract(p, r"(?is)<dd\b[^>]*>(.*?)</dd>", 1)).alias("v")))
+    names = F.transform(items, lambda x: x["k"])
+    return F.map_from_entries(F.filter(items, lambda x, i: F.array_position(names, x["k"]) == i + 1))

@@ -121,18 +121,18 @@ def cached_results(rows: DataFrame, cache: DataFrame, key: str, text: str, call:
     A row whose key and text are in the cache is not asked again; a changed text is; an error counts, and a row whose
     errors reach the budget is skipped.  The model is called once for each distinct text of a task's rows.
     """
-    asked = rows.select(key, text, F.md5(text).alias("text_id"))
-    c = cache.select(F.col(key).alias("_k"), F.col("text_id").alias("_t"), F.col("response").alias("_r"), F.col("num_errors").alias("_e"))
-    state = asked.join(c, (asked[key] == c["_k"]) & (asked["text_id"] == c["_t"]), "left")
-    found = state.where(F.col("_r").isNotNull()) if use_cached else state.limit(0)
-    due = state.where((F.col("_r").isNull() if use_cached else F.lit(True)) & (F.coalesce("_e", F.lit(0)) < max_errors))
+    asked = rows.select(F.col(key).alias("q_key"), F.col(text).alias("q_text"), F.md5(text).alias("q_id"))
+    c = cache.select(F.col(key).alias("c_key"), F.col("text_id").alias("c_id"), F.col("response").alias("c_response"), F.col("num_errors").alias("c_errors"))
+    state = asked.join(c, (asked["q_key"] == c["c_key"]) & (asked["q_id"] == c["c_id"]), "left")
+    found = state.where(F.col("c_response").isNotNull()) if use_cached else state.limit(0)
+    due = state.where((F.col("c_response").isNull() if use_cached else F.lit(True)) & (F.coalesce("c_errors", F.lit(0)) < max_errors))
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[str | None, int]] = {}
         for pdf in batches:
             got = []
-            for k, t, i, e in zip(pdf[key], pdf[text], pdf["text_id"], pdf["_e"], strict=True):
+            for k, t, i, e in zip(pdf["q_key"], pdf["q_text"], pdf["q_id"], pdf["e"], strict=True):
                 if i not in known:
                     try:
                         known[i] = (call(t), 0)
@@ -142,12 +142,12 @@ def cached_results(rows: DataFrame, cache: DataFrame, key: str, text: str, call:
                 got.append((k, i, response, int(e) + failed))
             yield pd.DataFrame(got, columns=[key, "text_id", "response", "num_errors"])
 
-    due = due.select(key, text, "text_id", F.coalesce("_e", F.lit(0)).cast("int").alias("_e"))
-    fresh = due.mapInPandas(run, f"{key} {kind}, text_id string, response string, num_errors int")
+    due = due.select("q_key", "q_text", "q_id", F.coalesce("c_errors", F.lit(0)).cast("int").alias("e"))
+    fresh = due.mapInPandas(run, f"`{key}` {kind}, text_id string, response string, num_errors int")
     from ..sources.shared import keep
 
     fresh = keep(fresh)  # the service is asked once, whatever is done with the answers
-    answers = found.select(key, F.col("_r").alias("response")).unionByName(fresh.where("response is not null").select(key, "response"))
+    answers = found.select(F.col("q_key").alias(key), F.col("c_response").alias("response")).unionByName(fresh.where("response is not null").select(key, "response"))
     old = cache.select(key, "text_id", "response", "num_errors").withColumn("_v", F.lit(0))
     return answers, upsert(old, fresh.withColumn("_v", F.lit(1)), [key], "_v").drop("_v")
 
@@ -185,3 +185,38 @@ def prompt_registry(prompts: DataFrame, registry: DataFrame) -> DataFrame:
 
     new = prompts.select(uuid5(F.col("prompt")).alias("id"), "prompt").distinct()
     return registry.unionByName(new.join(registry, "id", "left_anti"))
+
+
+def embedded(rows: DataFrame, key: str, text: str, cache: DataFrame, call: Callable[[str], list[float]]) -> tuple[DataFrame, DataFrame]:
+    """(key, vector) of each row's text, and the new cache; a text is asked for once, whatever rows hold it.  Rows whose
+    text has no vector are left out, so vectors are joined by key and never by position."""
+    texts = rows.select(F.md5(text).alias("id"), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).dropDuplicates(["id"])
+    answers, cache = cached_results(texts, cache, "id", "_t", lambda t: json.dumps(call(t)))
+    vectors = answers.select("id", F.from_json("response", "array<double>").alias("vector"))
+    return rows.select(key, F.md5(text).alias("id")).join(vectors, "id").select(key, "vector"), cache
+
+
+def sheet_values(spark: SparkSession, fetch: Callable[[], list[list]], header: bool = True) -> DataFrame:
+    """A range that a sheet service gives, as texts; the first row names the columns, short rows end in nulls."""
+    rows = fetch()
+    names = [str(x) for x in rows[0]] if header and rows else [f"column_{k + 1}" for k in range(max(map(len, rows), default=0))]
+    body = rows[1:] if header else rows
+    data = [tuple(None if k >= len(r) or r[k] in (None, "") else str(r[k]) for k in range(len(names))) for r in body]
+    return spark.createDataFrame(data, ", ".join(f"`{n}` string" for n in names))
+
+
+def sheet_rows(df: DataFrame, empty: bool, mode: str = "append") -> list[list]:
+    """The values to send to a sheet service: the header only where the sheet is empty or overwritten, nulls as ''."""
+    body = [["" if v is None else v for v in r] for r in df.toLocalIterator()]  # a sheet's rows are bounded
+    return [list(df.columns), *body] if empty or mode == "overwrite" else body
+
+
+def setting(config: dict, key: str, defaults: dict | None = None):
+    """The value of a dotted key in nested settings, else in the defaults, else None."""
+    for source in (config, defaults or {}):
+        at = source
+        for part in key.split("."):
+            at = at.get(part) if isinstance(at, dict) else None
+        if at is not None:
+            return at
+    return None

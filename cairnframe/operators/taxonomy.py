@@ -184,3 +184,34 @@ def share_table(rows: DataFrame, path: list[str], amount: Column) -> DataFrame:
         out.append(own.select(F.lit(d).alias("depth"), F.concat_ws("/", *path[:d]).alias("path"), "amount", "of_parent", "cumulative"))
     whole = rows.agg(F.sum(amount).alias("_w"))
     return reduce(DataFrame.unionByName, out).crossJoin(F.broadcast(whole)).withColumn("of_whole", F.try_divide("amount", "_w")).drop("_w")
+
+
+def several_mappings(entities: DataFrame, key: str, mappings: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
+    """entities with the best and all levels of several mappings (mapping, its score, its levels), under each one's
+    name."""
+    out = entities
+    for name, (mapping, score, levels) in mappings.items():
+        got = mapping_to_entities(entities.select(key), mapping, key, score, levels)
+        out = out.join(got.toDF(key, *[f"{name}_{c}" for c in got.columns if c != key]), key, "left")
+    return out
+
+
+def filled_sheet(rows: DataFrame, order: str, columns: list[str], exclude: str | None = None) -> DataFrame:
+    """Rows of a sheet with merged cells: each empty cell of the columns takes the last value above it; then rows that
+    `exclude` marks with 1 go.  A sheet is a bounded table, so one ordered pass fills it."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({c: F.last(F.when(F.col(c) != "", F.col(c)), ignorenulls=True).over(w) for c in columns})
+    return out.where(F.coalesce(F.col(exclude).cast("int"), F.lit(0)) != 1) if exclude else out
+
+
+def tree_document(tree: DataFrame, group: str) -> DataFrame:
+    """group, document: a tag tree (node, parent, label, sim) as JSON."""
+    items = F.array_sort(F.collect_list(F.struct("node", "parent", "label", "sim")))
+    return tree.groupBy(group).agg(F.to_json(items).alias("document"))
+
+
+def tree_from_document(documents: DataFrame, group: str) -> DataFrame:
+    """The tree that `tree_document` wrote."""
+    return documents.select(group, F.inline(F.from_json("document", "array<struct<node: int, parent: int, label: string, sim: double>>")))

@@ -490,3 +490,33 @@ def equity_stage(spark, d):
     r = parquet(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("kind"), money("o_totalprice").alias("amount"))).alias("r"))
     stage = entities.equity_stage(F.transform("r", lambda x: x["kind"]), ["5-LOW", "3-MEDIUM", "late"], {"1-URGENT": "late", "2-HIGH": "late"})
     return r.select("o_custkey", stage.alias("stage"), entities.raised_from(F.col("r"), ["1-URGENT", "2-HIGH"]).cast("double").alias("raised"))
+
+
+@query("SELECT n_nationkey, 'r' || n_regionkey AS region FROM nation WHERE n_nationkey % 7 <> 3")
+def filled_sheet(spark, d):
+    from pyspark.sql import Window
+
+    n = parquet(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("r"), (F.col("n_regionkey") * 100 + F.col("n_nationkey")).alias("o"))
+    first = F.row_number().over(Window.partitionBy("r").orderBy("o")) == 1
+    sheet = n.select("n_nationkey", "o", F.when(first, F.concat(F.lit("r"), F.col("r").cast("string"))).otherwise("").alias("region"), F.when(F.col("n_nationkey") % 7 == 3, "1").alias("exclude"))
+    return taxonomy.filled_sheet(sheet, "o", ["region"], "exclude").select("n_nationkey", "region")
+
+
+@query("WITH a AS (SELECT o_custkey AS k, o_orderstatus AS s FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderstatus) = 1), b AS (SELECT o_custkey AS k, o_orderpriority AS p FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, o_orderpriority) = 1) SELECT c_custkey, s AS status_best, p AS priority_best FROM customer LEFT JOIN a ON c_custkey = a.k LEFT JOIN b ON c_custkey = b.k")
+def several_mappings(spark, d):
+    o = parquet(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    got = taxonomy.several_mappings(parquet(spark, d, "customer").select("c_custkey"), "c_custkey", {"status": (o, "o_totalprice", ["o_orderstatus"]), "priority": (o, "o_orderkey", ["o_orderpriority"])})
+    return got.select("c_custkey", F.col("status_best_o_orderstatus").alias("status_best"), F.col("priority_best_o_orderpriority").alias("priority_best"))
+
+
+@query("SELECT n_nationkey AS node, n_regionkey AS parent, n_name AS label FROM nation")
+def tree_round_trip(spark, d):
+    t = parquet(spark, d, "nation").select(F.lit("g").alias("g"), F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("parent"), F.col("n_name").alias("label"), F.lit(0.5).alias("sim"))
+    return taxonomy.tree_from_document(taxonomy.tree_document(t, "g"), "g").select("node", "parent", "label")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'a' || c_custkey WHEN c_custkey % 3 = 1 THEN 'b' || c_custkey END AS uid FROM customer")
+def first_known(spark, d):
+    a = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("a"), F.col("c_custkey").cast("string"))).otherwise("")
+    b = F.when(F.col("c_custkey") % 3 < 2, F.concat(F.lit("b"), F.col("c_custkey").cast("string")))
+    return parquet(spark, d, "customer").select("c_custkey", entities.first_known(a, b).alias("uid"))

@@ -137,3 +137,14 @@ def overlap_forms(spark, d):
 def identical_merged(spark, d):
     edges = _trade(spark, d)
     return similar.merge_identical(edges, similar.neighbour_jaccard(edges, 0.3).select("u", "v"))
+
+
+@query("WITH p AS (SELECT l_suppkey AS node, l_returnflag AS cluster, count(*) / sum(count(*)) OVER (PARTITION BY l_suppkey) AS p FROM lineitem GROUP BY l_suppkey, l_returnflag), b AS (SELECT node, cluster AS best, p AS best_prob FROM p QUALIFY row_number() OVER (PARTITION BY node ORDER BY p DESC, cluster) = 1) SELECT row_number() OVER (ORDER BY best, best_prob DESC, node) AS position, node, best, " + ", ".join(f"round(coalesce((SELECT p FROM p WHERE p.node = b.node AND cluster = '{c}'), 0), 9)::DOUBLE AS \"{c}\"" for c in "ANR") + " FROM b")
+def membership_order(spark, d):
+    from pyspark.sql import Window
+
+    c = parquet(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("node"), F.col("l_returnflag").alias("cluster")).agg(F.count("*").alias("c"))
+    p = c.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("node"))).drop("c")
+    best = p.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("p"), "cluster"))).where("r = 1").select("node", F.col("cluster").alias("best"), F.col("p").alias("best_prob"))
+    got = network.membership_order(best, list("ANR"), p)
+    return got.select("position", "node", "best", *[F.round(x, 9).alias(x) for x in "ANR"])

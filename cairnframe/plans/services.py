@@ -321,3 +321,59 @@ def combined_sites(spark, d):
 @query()
 def packed_texts(spark, d):
     return pages.packed_texts(parquet(spark, d, "conversations"), "conv_id", "turn", "text", 120, 5)
+
+
+@query("SELECT doc_id, [length(text)::DOUBLE, (doc_id * 0)::DOUBLE + 1] AS vector FROM documents WHERE length(text) % 11 > 0")
+def embedded_texts(spark, d):
+    def call(t: str) -> list[float]:
+        if len(t) % 11 == 0:
+            raise ValueError("no vector")
+        return [float(len(t)), 1.0]
+
+    cache = spark.createDataFrame([], "id string, text_id string, response string, num_errors int")
+    return services.embedded(parquet(spark, d, "documents"), "doc_id", "text", cache, call)[0]
+
+
+@query("SELECT n_name, CASE WHEN n_regionkey > 0 THEN n_regionkey::VARCHAR END AS n_regionkey FROM nation")
+def sheet_service(spark, d):
+    sent = services.sheet_rows(parquet(spark, d, "nation").orderBy("n_name").select("n_name", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("n_regionkey")), True)
+    return services.sheet_values(spark, lambda: sent)
+
+
+@query("SELECT s_suppkey, 'name=' || s_name || ';nation=' || s_nationkey AS fields FROM supplier")
+def page_definitions(spark, d):
+    s = parquet(spark, d, "supplier")
+    html = F.concat(F.lit("<dl class='core'><dt>name</dt> <dd><b>"), "s_name", F.lit("</b></dd><dt>nation</dt><dd> "), F.col("s_nationkey").cast("string"), F.lit("</dd><dt>name</dt><dd>twice</dd></dl>"))
+    fields = pages.definitions(html)
+    return s.select("s_suppkey", F.concat(F.lit("name="), fields["name"], F.lit(";nation="), fields["nation"]).alias("fields"))
+
+
+@query("SELECT conv_id, CASE WHEN n % 5 > 0 THEN 'S' || n ELSE 'first' END AS summary FROM (SELECT conv_id, sum(length('Description ' || i || chr(10) || t)) + 2 * (count(*) - 1) AS n FROM (SELECT conv_id, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE turn < 2) GROUP BY conv_id)")
+def text_summaries(spark, d):
+    def call(p: str) -> str:
+        if len(p) % 5 == 0:
+            raise ValueError("no summary")
+        return f"S{len(p)}"
+
+    c = parquet(spark, d, "conversations").groupBy("conv_id").pivot("turn", [0, 1]).agg(F.first("text")).toDF("conv_id", "a", "b").withColumn("f", F.lit("first"))
+    cache = spark.createDataFrame([], "conv_id long, text_id string, response string, num_errors int")
+    return models.summaries(c, "conv_id", ["a", "b"], cache, call, "f")[0].select("conv_id", "summary")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE upper(source) END AS source, CASE WHEN lang = 'en' THEN lang ELSE upper(lang) END AS lang2 FROM documents")
+def translated_columns(spark, d):
+    rows = parquet(spark, d, "documents").select("doc_id", "lang", "source", F.col("lang").alias("lang2"))
+    cache = spark.createDataFrame([], "id string, text_id string, response string, num_errors int")
+    return models.translated(rows, "doc_id", ["source", "lang2"], "lang", cache, str.upper)[0].drop("lang")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT level1) AS nations FROM (SELECT 'r' || n_regionkey AS level0, 'n' || n_nationkey AS level1 FROM nation)")
+def taxonomy_workbook(spark, d):
+    import tempfile
+
+    levels = parquet(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("level0"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("level1"))
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "book.xlsx")
+        files.write_taxonomy(levels, ["Region", "Nation"], path)
+        back = files.read_sheet(spark, path, "Level 2")
+    return back.agg(F.count("*").alias("n"), F.countDistinct("Nation").alias("nations"))

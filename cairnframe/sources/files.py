@@ -184,3 +184,9 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | int = 0, lists: list
     for c in lists if lists is not None else list_columns(df) if len(rows) > 1 else []:
         df = df.withColumn(c, literal_list(F.col(c)))
     return df
+
+
+def write_taxonomy(levels: DataFrame, names: list[str], path: str) -> None:
+    """A workbook with a sheet for each depth of a taxonomy: the distinct rows of the first levels, under their names."""
+    tables = {f"Level {d + 1}": levels.select(*[F.col(f"level{k}").alias(names[k]) for k in range(d + 1)]).where(F.col(names[d]).isNotNull()).distinct().orderBy(*names[: d + 1]) for d in range(len(names))}
+    write_sheets(tables, path)

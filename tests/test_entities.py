@@ -153,6 +153,7 @@ def test_plain_services():
     assert viewer.sponsors(["b", "z", "a"], {"a": ("i", "u"), "b": ("j", "w")}) == [("b", "j", "w"), ("a", "i", "u")]
     page = viewer.with_head("<html><head></head></html>", "G-1", {"title": 'a "b"'})
     assert 'og:title" content="a &quot;b&quot;"' in page and "id=G-1" in page
+    assert [services.setting({"a": {"b": 1}}, k, {"a": {"c": 2}}) for k in ("a.b", "a.c", "x.y")] == [1, 2, None]
     assert entities.settings_lists([{"column": "a", "keep": 1, "filter": 1}, {"column": "b", "keep": 0, "filter": 1}], ["filter"]) == {"filter": ["a"]}
 
 
