@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Terms of one tree.  Average linkage compares all pairs of terms, so a tree is one task of bounded size.
-MAX_TERMS = 4_000
+#: Similarities closer than this are equal; sums of vectors are only exact to rounding.
+EQUAL = 1e-12
 
 
 def singular_terms(terms: DataFrame, key: str, term: str) -> DataFrame:
@@ -22,32 +22,37 @@ def singular_terms(terms: DataFrame, key: str, term: str) -> DataFrame:
 def average_linkage(vectors: np.ndarray) -> list[tuple[int, int, float]]:
     """Merges (a, b, similarity) by cosine with average linkage; leaves are 0..n-1, merge k makes node n + k.
 
-    Chains of nearest neighbours: each step compares one row, so n terms take n^2 comparisons; merges come out in order
-    of their similarity."""
+    Chains of nearest neighbours: each step compares one cluster with the others, so n terms take n^2 comparisons; merges
+    come out in order of their similarity.  The mean cosine of two clusters is the product of their sums of unit vectors
+    over their sizes, so no table of pairs is held: memory grows as the terms."""
     n = len(vectors)
-    v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    sim = v @ v.T
-    np.fill_diagonal(sim, -np.inf)
-    size, alive = np.ones(n), np.ones(n, bool)
+    total = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    size, alive, leaf = np.ones(n), np.ones(n, bool), np.arange(n)
     chain: list[int] = []
     found: list[tuple[float, int, int]] = []
+    dead = 0
     while len(found) < n - 1:
+        if dead * 4 > len(leaf):
+            at = np.cumsum(alive) - 1
+            chain = [int(at[x]) for x in chain]
+            total, size, leaf, alive, dead = total[alive], size[alive], leaf[alive], np.ones(int(alive.sum()), bool), 0
         if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
+            chain = [int(np.argmax(alive))]
         i = chain[-1]
-        j = int(np.argmax(np.where(alive, sim[i], -np.inf)))
-        if len(chain) > 1 and sim[i, chain[-2]] >= sim[i, j]:
+        sim = np.where(alive, total @ total[i] / (size * size[i]), -np.inf)
+        sim[i] = -np.inf
+        most = sim.max()
+        if len(chain) > 1 and sim[chain[-2]] >= most - EQUAL:
             j = chain[-2]
             chain = chain[:-2]
             i, j = min(i, j), max(i, j)
-            found.append((float(sim[i, j]), i, j))
-            row = (size[i] * sim[i] + size[j] * sim[j]) / (size[i] + size[j])
-            sim[i, :] = sim[:, i] = row
-            sim[i, i] = -np.inf
+            found.append((float(total[i] @ total[j] / (size[i] * size[j])), int(leaf[i]), int(leaf[j])))
+            total[i] += total[j]
             size[i] += size[j]
             alive[j] = False
+            dead += 1
         else:
-            chain.append(j)
+            chain.append(int(np.argmax(sim >= most - EQUAL / 10)))
     name, out = list(range(n)), []
     for k, (s, i, j) in enumerate(sorted(found, key=lambda x: -x[0])):
         out.append((_top(name, i), _top(name, j), s))
@@ -59,7 +64,7 @@ def average_linkage(vectors: np.ndarray) -> list[tuple[int, int, float]]:
 
 def _top(name: list[int], x: int) -> int:
     while name[x] != x:
-        x = name[x]
+        name[x] = x = name[name[x]]
     return x
 
 
@@ -91,25 +96,32 @@ def synonym_groups(similar: DataFrame, frequency: DataFrame, least: float = 0.9,
 
 def tag_tree(terms: DataFrame, group: str, term: str, vector: str, freq: str) -> DataFrame:
     """group, node, parent, label, sim: the tree of each group's terms; a node is named by its term with the largest
-    frequency-weighted similarity to the node's centre."""
+    frequency-weighted similarity to the node's centre, of equal ones by the last in order."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([freq, term], ascending=[False, True])
-        if len(pdf) > MAX_TERMS:
-            raise ValueError(f"a tree of {len(pdf)} terms; split the group or raise MAX_TERMS")
-        vectors, names, counts = np.stack(pdf[vector].to_numpy()).astype(float), pdf[term].tolist(), pdf[freq].to_numpy(float)
-        unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        members: dict[int, list[int]] = {k: [k] for k in range(len(names))}
-        rows, parent = [], {}
-        for k, (a, b, s) in enumerate(average_linkage(vectors)):
-            node = len(names) + k
-            parent[a] = parent[b] = node
-            members[node] = members[a] + members[b]
-            centre = unit[members[node]].mean(0)
-            best = max(members[node], key=lambda m: (counts[m] * (unit[m] @ centre), names[m]))
-            rows.append((node, names[best], s))
-        rows += [(k, names[k], 1.0) for k in range(len(names))]
-        return pd.DataFrame({group: pdf[group].iloc[0], "node": [r[0] for r in rows], "parent": [parent.get(r[0], -1) for r in rows], "label": [r[1] for r in rows], "sim": [r[2] for r in rows]})
+        vectors, names, counts = np.stack(pdf[vector].to_numpy()).astype(float), pdf[term].to_numpy(object), pdf[freq].to_numpy(float)
+        n = len(names)
+        merges = average_linkage(vectors)
+        size, start, parent = np.ones(2 * n - 1, int), np.zeros(2 * n - 1, int), np.full(2 * n - 1, -1)
+        for k, (a, b, _) in enumerate(merges):
+            size[n + k] = size[a] + size[b]
+            parent[a] = parent[b] = n + k
+        for k, (a, b, _) in reversed(list(enumerate(merges))):
+            start[a], start[b] = start[n + k], start[n + k] + size[a]
+        leaves = np.argsort(start[:n])  # a node's terms are next to each other
+        unit = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12))[leaves]
+        counts, place = counts[leaves], np.argsort(np.argsort(names, kind="stable"))[leaves]
+        label = np.arange(2 * n - 1)
+        for node in range(n, 2 * n - 1):
+            own = slice(start[node], start[node] + size[node])
+            centre = unit[own].mean(0)
+            score = counts[own] * (unit[own] @ centre)
+            near = np.flatnonzero(score >= score.max() - EQUAL * np.abs(score).max()) + start[node]
+            label[node] = leaves[near[np.argmax(place[near])]]
+        order = np.r_[n : 2 * n - 1, 0:n]
+        sims = np.r_[[m[2] for m in merges], np.ones(n)]
+        return pd.DataFrame({group: pdf[group].iloc[0], "node": order, "parent": parent[order], "label": names[label[order]], "sim": sims})
 
     kind = terms.schema[group].dataType.simpleString()
     return terms.groupBy(group).applyInPandas(build, f"{group} {kind}, node int, parent int, label string, sim double")

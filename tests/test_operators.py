@@ -197,3 +197,29 @@ def test_simulations_have_the_reference_rounds(spark):
     runs = simulate.jittered_relevance(rows, "l_suppkey", "l_partkey", "y", 1000, 5, threshold=0.33)
     want = {r["person"]: r["mean"] for r in simulate.stability(runs, "person", "share").collect()}
     assert {r["person"]: r["mean"] for r in QUERIES["sensitivity_rounds"](spark, DATA).collect()} == pytest.approx(want)
+
+
+def test_tag_tree_of_a_large_group(spark):
+    """More terms than one table of pairs should hold, equal vectors among them."""
+    from cairnframe.operators import hierarchy
+
+    rnd = np.random.default_rng(5)
+    vectors = np.repeat(rnd.normal(size=(1040, 8)), 4, axis=0)
+    rows = [("g", f"t{k:04}", [float(x) for x in v], k % 7 + 1) for k, v in enumerate(vectors)]
+    tree = hierarchy.tag_tree(spark.createDataFrame(rows, "g string, term string, v array<double>, freq int"), "g", "term", "v", "freq").toPandas()
+    assert len(tree) == 2 * len(rows) - 1 and set(tree["label"][tree["node"] < len(rows)]) == {r[1] for r in rows}
+    assert (tree["parent"] == -1).sum() == 1 and (tree["sim"][tree["node"] >= len(rows)] > 1 - 1e-9).sum() == 3 * 1040
+
+
+def test_average_linkage_against_all_pairs():
+    from cairnframe.operators import hierarchy
+
+    rnd = np.random.default_rng(2)
+    vectors = np.r_[rnd.normal(size=(40, 5)), rnd.normal(size=(3, 5)).repeat(3, axis=0)]
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    own, sims = {k: [k] for k in range(len(vectors))}, []
+    while len(own) > 1:
+        s, a, b = max(((unit[own[a]] @ unit[own[b]].T).mean(), a, b) for a in own for b in own if a < b)
+        own[a] += own.pop(b)
+        sims.append(s)
+    assert [m[2] for m in hierarchy.average_linkage(vectors)] == pytest.approx(sims)
