@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,7 +19,8 @@ MAX_CATEGORIES = 20_000
 
 def top_categories(entities: DataFrame, key: str, vector: str, categories: DataFrame, name: str, category_vector: str, n: int = 5) -> DataFrame:
     """id, category, sim, rank: the n categories with the largest dot product.  The taxonomy is read in pieces of
-    bounded size, each multiplied with blocks of entities; the pieces' best are ranked again."""
+    bounded size, each multiplied with blocks of entities; the pieces' best are ranked again.  Of equal vectors in a
+    piece, the first n by name are enough."""
     rows = entities.select(F.col(key).alias("id"), F.col(vector).alias("embedding"))
     kind = rows.schema["id"].dataType.simpleString()
     out, piece = [], []
@@ -26,6 +28,12 @@ def top_categories(entities: DataFrame, key: str, vector: str, categories: DataF
     def multiply(piece: list) -> DataFrame:
         names = np.array([r[0] for r in piece], object)
         matrix = np.array([r[1] for r in piece], float)
+        seen: Counter[bytes] = Counter()
+        first = np.zeros(len(piece), bool)
+        for k, x in enumerate(matrix):
+            first[k] = seen[x.tobytes()] < n
+            seen[x.tobytes()] += 1
+        names, matrix = names[first], matrix[first]
         send = entities.sparkSession.sparkContext.broadcast((names, matrix))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -270,3 +270,26 @@ def test_permutations_by_sorting(spark):
     got = funding.permutation_test(df, "y", F.col("v"), "k", 40, 9).first()
     assert got["observed"] == pytest.approx(own / m - (total - own) / (n - m)) and got["p_value"] == pytest.approx(higher / 40)
     assert funding.permutation_test(df.where("y"), "y", F.col("v"), "k", 5, 9).first()["p_value"] is None
+
+
+def test_dot_products_are_made_in_blocks():
+    """The best of many others, in bounded memory, with equal vectors in the table's order."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rnd = np.random.default_rng(3)
+    others = rnd.normal(size=(20_000, 8))
+    others[::97] = others[5]
+    names = np.array([f"c{k:05}" for k in range(len(others))], object)
+    own = pd.DataFrame({"id": range(2000), "embedding": list(rnd.normal(size=(1997, 8))) + [others[5], others[97], np.zeros(8)]})
+    tracemalloc.start()
+    got = pd.concat(network.blocked_dot(iter([own]), others, names, 7))
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    for k in (0, 1, 500, 1997, 1999):
+        sims = np.zeros(len(others))
+        for x, y in zip(own["embedding"][k], others.T, strict=True):
+            sims += x * y
+        assert list(got["category"][got["id"] == k]) == list(names[np.argsort(-sims, kind="stable")[:7]])
+    assert len(got) == 7 * len(own)
