@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import keep
+from .blocks import block_pairs, common_items, met
+
 
 def set_jaccard(df: DataFrame, key: str, item: str, least: float = 0.0) -> DataFrame:
     """(u, v, common, jaccard), u < v, for sets given as rows: through their items, never all pairs.
 
     With a bound, only prefixes meet: a set's items in order from the rarest, without the last ceil(least * size) but
-    one.  Two sets that reach the bound share an item of both prefixes, so common items are not joined.
+    one.  Two sets that reach the bound share an item of both prefixes, so common items are not joined.  Prefixes meet in
+    blocks of sets; pairs whose shared items and the rest of a set could reach the bound are answered from whole sets.
     """
     f = df.select(F.col(key).alias("u"), F.col(item).alias("i")).distinct()
     size = f.groupBy("u").agg(F.count("*").alias("n"))
@@ -18,15 +26,38 @@ def set_jaccard(df: DataFrame, key: str, item: str, least: float = 0.0) -> DataF
         pairs = f.join(f.select(F.col("u").alias("v"), "i"), "i").where("u < v").groupBy("u", "v").agg(F.count("*").alias("common"))
         both = pairs.join(size.withColumnRenamed("n", "nu"), "u").join(size.select(F.col("u").alias("v"), F.col("n").alias("nv")), "v")
         return both.select("u", "v", "common", (F.col("common") / (F.col("nu") + F.col("nv") - F.col("common"))).alias("jaccard"))
-    often = f.groupBy("i").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy("df", "i"))
-    ranked = f.join(often, "i").withColumn("r", rank).join(size, "u")
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("u", "i", "n")
-    near = F.least("nu", "nv") >= F.greatest("nu", "nv") * (least - 1e-9)
-    pairs = prefix.withColumnRenamed("n", "nu").join(prefix.select(F.col("u").alias("v"), "i", F.col("n").alias("nv")), "i").where("u < v").where(near).select("u", "v").distinct()
-    sets = f.groupBy("u").agg(F.collect_list("i").alias("a"))
-    both = pairs.join(sets, "u").join(sets.select(F.col("u").alias("v"), F.col("a").alias("b")), "v").withColumn("common", F.size(F.array_intersect("a", "b")).cast("long"))
-    return both.select("u", "v", "common", (F.col("common") / (F.size("a") + F.size("b") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") > least)
+    often = keep(f.groupBy("i").agg(F.count("*").alias("df")).where("df > 1").withColumn("id", F.monotonically_increasing_id()))
+    rows = f.join(often, "i").join(size, "u").select(F.col("u").alias("node"), "id", "df", "n")
+    kind = df.schema[key].dataType.simpleString()
+
+    def answer(a: tuple, b: tuple, same: bool) -> Iterator[pd.DataFrame]:
+        (pa_, na), (pb, nb) = a[3], b[3]
+        for u, v, c in met((a[1][pa_], a[2][pa_]), (b[1][pb], b[2][pb]), len(b[0]), None, same):
+            x, y = na[u], nb[v]
+            small, large = np.minimum(x, y), np.maximum(x, y)
+            rest = np.ceil(large * least - 1e-9) - 1  # what the prefixes leave out of either set, at most
+            good = (small >= large * (least - 1e-9)) & ((c + rest) * (1 + least) >= least * (x + y) - 1e-6)
+            u, v, x, y = u[good], v[good], x[good], y[good]
+            c = common_items(u, v, a, b)
+            jaccard = c / (x + y - c)
+            good = jaccard > least
+            s, t = a[0][u[good]], b[0][v[good]]
+            yield pd.DataFrame({"u": np.where(s < t, s, t), "v": np.where(s < t, t, s), "common": c[good], "jaccard": jaccard[good]})
+
+    return block_pairs(rows, answer, f"u {kind}, v {kind}, common long, jaccard double", lambda block: _prefix(block, least))
+
+
+def _prefix(block: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a block are in their sets' prefixes, and the sizes of the sets."""
+    names, local, ids, x = block
+    size = np.zeros(len(names), np.int64)
+    size[local] = x["n"]
+    order = np.lexsort((ids, x["df"], local))
+    start = np.flatnonzero(np.diff(local[order], prepend=-1))
+    own = np.diff(np.r_[start, len(local)])
+    place = np.empty(len(local), np.int64)
+    place[order] = np.arange(len(local)) - np.repeat(start + own - size[local[order][start]], own)  # items of no other set come first
+    return np.flatnonzero(place < size[local] - np.ceil(size[local] * least - 1e-9) + 1), size
 
 
 def neighbour_jaccard(edges: DataFrame, least: float = 0.0) -> DataFrame:

@@ -293,3 +293,20 @@ def test_dot_products_are_made_in_blocks():
             sims += x * y
         assert list(got["category"][got["id"] == k]) == list(names[np.argsort(-sims, kind="stable")[:7]])
     assert len(got) == 7 * len(own)
+
+
+def test_blocks_meet_in_ranges(monkeypatch):
+    """Shared rows of two blocks, held a few at a time, against a plain count."""
+    from cairnframe.operators import blocks
+
+    rnd = np.random.default_rng(4)
+    local, ids = np.unique(np.c_[rnd.integers(0, 30, 400), rnd.integers(0, 25, 400)], axis=0).T
+    order = np.argsort(ids, kind="stable")
+    block = (np.arange(30), local[order], ids[order], {})
+    want = {(u, v): len(set(ids[local == u]) & set(ids[local == v])) for u in range(30) for v in range(30)}
+    for most in (1, 7, 50, 1 << 21):
+        monkeypatch.setattr(blocks, "MET", most)
+        got = {(int(u), int(v)): c for us, vs, cs in blocks.met(block[1:3], block[1:3], 30) for u, v, c in zip(us, vs, cs, strict=True)}
+        assert got == {k: c for k, c in want.items() if c}
+        u, v = np.array(sorted(want)).T
+        assert list(blocks.common_items(u, v, block, block)) == [want[k] for k in sorted(want)]
