@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import keep
 from .blocks import block_pairs, common_items, met
 
 
@@ -19,16 +18,24 @@ def set_jaccard(df: DataFrame, key: str, item: str, least: float = 0.0) -> DataF
     With a bound, only prefixes meet: a set's items in order from the rarest, without the last ceil(least * size) but
     one.  Two sets that reach the bound share an item of both prefixes, so common items are not joined.  Prefixes meet in
     blocks of sets; pairs whose shared items and the rest of a set could reach the bound are answered from whole sets.
+
+    Rows are shuffled once, by set, and told apart there: whole numbers are items themselves, others are told apart by 64
+    bits.  How common an item is is read from a table of bounded size, which only orders items and never changes a result.
     """
-    f = df.select(F.col(key).alias("u"), F.col(item).alias("i")).distinct()
-    size = f.groupBy("u").agg(F.count("*").alias("n"))
     if least <= 0:
+        f = df.select(F.col(key).alias("u"), F.col(item).alias("i")).distinct()
+        size = f.groupBy("u").agg(F.count("*").alias("n"))
         pairs = f.join(f.select(F.col("u").alias("v"), "i"), "i").where("u < v").groupBy("u", "v").agg(F.count("*").alias("common"))
         both = pairs.join(size.withColumnRenamed("n", "nu"), "u").join(size.select(F.col("u").alias("v"), F.col("n").alias("nv")), "v")
         return both.select("u", "v", "common", (F.col("common") / (F.col("nu") + F.col("nv") - F.col("common"))).alias("jaccard"))
-    often = keep(f.groupBy("i").agg(F.count("*").alias("df")).where("df > 1").withColumn("id", F.monotonically_increasing_id()))
-    rows = f.join(often, "i").join(size, "u").select(F.col("u").alias("node"), "id", "df", "n")
-    kind = df.schema[key].dataType.simpleString()
+    kind, whole = df.schema[key].dataType.simpleString(), df.schema[item].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = F.col(item).cast("long") if whole else F.xxhash64(item)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("node"), F.coalesce(number, F.lit(0)).alias("id"), F.col(item).isNull().alias("none"))
+    often = rows.groupBy(F.pmod("id", F.lit(PLACES)).cast("int").alias("place")).agg(F.count("*").alias("n")).toArrow()
+    place, n = (often.column(c).to_numpy() for c in ("place", "n"))
+    table = np.zeros(PLACES, np.int32)
+    table[place] = np.minimum(n, 2**31 - 1)
+    send = df.sparkSession.sparkContext.broadcast(table)
 
     def answer(a: tuple, b: tuple, same: bool) -> Iterator[pd.DataFrame]:
         (pa_, na), (pb, nb) = a[3], b[3]
@@ -44,20 +51,31 @@ def set_jaccard(df: DataFrame, key: str, item: str, least: float = 0.0) -> DataF
             s, t = a[0][u[good]], b[0][v[good]]
             yield pd.DataFrame({"u": np.where(s < t, s, t), "v": np.where(s < t, t, s), "common": c[good], "jaccard": jaccard[good]})
 
-    return block_pairs(rows, answer, f"u {kind}, v {kind}, common long, jaccard double", lambda block: _prefix(block, least))
+    return block_pairs(rows, answer, f"u {kind}, v {kind}, common long, jaccard double", lambda block: _prefix(block, least, send.value), int(n.sum()))
+
+
+#: Places of the table of how common items are.
+PLACES = 1 << 20
 
 
-def _prefix(block: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of a block are in their sets' prefixes, and the sizes of the sets."""
+def _prefix(block: tuple, least: float, often: np.ndarray) -> tuple:
+    """The block with each row once and without null items, and as its numbers which rows are in their sets' prefixes and
+    the sizes of the sets.  The order of items: the counts of their places in the table, then ids."""
     names, local, ids, x = block
-    size = np.zeros(len(names), np.int64)
-    size[local] = x["n"]
-    order = np.lexsort((ids, x["df"], local))
+    order = np.lexsort((x["none"], ids, local))
+    local, ids, none = local[order], ids[order], x["none"][order]
+    new = np.r_[True, (local[1:] != local[:-1]) | (ids[1:] != ids[:-1]) | (none[1:] != none[:-1])]
+    size = np.bincount(local[new], minlength=len(names))  # a null item is one that no other set has
+    good = new & ~none
+    local, ids = local[good], ids[good]
+    order = np.lexsort((ids, often[ids % len(often)], local))
     start = np.flatnonzero(np.diff(local[order], prepend=-1))
     own = np.diff(np.r_[start, len(local)])
     place = np.empty(len(local), np.int64)
-    place[order] = np.arange(len(local)) - np.repeat(start + own - size[local[order][start]], own)  # items of no other set come first
-    return np.flatnonzero(place < size[local] - np.ceil(size[local] * least - 1e-9) + 1), size
+    place[order] = np.arange(len(local)) - np.repeat(start + own - size[local[order][start]], own)  # null items come first
+    chosen = place < size[local] - np.ceil(size[local] * least - 1e-9) + 1
+    order = np.argsort(ids, kind="stable")
+    return names, local[order], ids[order], (np.flatnonzero(chosen[order]), size)
 
 
 def neighbour_jaccard(edges: DataFrame, least: float = 0.0) -> DataFrame:

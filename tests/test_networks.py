@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnframe.operators import funding, network, similar, tags
+from cairnframe.operators import blocks, funding, network, similar, tags
 
 
 def graph(seed, n=14, m=40):
@@ -44,6 +44,24 @@ def test_prefixes_lose_no_pair(spark):
         assert got == pytest.approx(whole) and whole
 
 
+def test_set_rows_are_dealt_once_and_not_written(spark, monkeypatch):
+    sets = {(a, b) for a, b, _ in sparse_sets(3)}
+    rows = [*sets, *sorted(sets)[::3], *((a, None) for a, _ in sorted(sets)[::40]), (None, "i1"), (None, None)]
+    kept = []
+    monkeypatch.setattr(blocks, "keep", lambda df, f=blocks.keep: kept.append(n := f(df)) or n)
+    got = {(r["u"], r["v"]): (r["common"], r["jaccard"]) for r in similar.set_jaccard(spark.createDataFrame(rows, "k string, i string"), "k", "i", 0.2).collect()}
+    assert [x.columns for x in kept] == [["_block", "size", "packed"]]
+    own = {}
+    for a, b in rows:
+        own.setdefault(a, set()).add(b)
+    want = {}
+    for u, v in itertools.combinations(sorted(x for x in own if x), 2):
+        c = len((own[u] & own[v]) - {None})
+        if c / (len(own[u]) + len(own[v]) - c) > 0.2:
+            want[u, v] = (c, pytest.approx(c / (len(own[u]) + len(own[v]) - c)))
+    assert got == want and want
+
+
 def test_isolated_pairs_get_a_further_link(spark):
     sims = {("a", "b"): 0.9, ("a", "c"): 0.3, ("b", "c"): 0.35, ("c", "d"): 0.8, ("c", "e"): 0.7, ("d", "e"): 0.75, ("a", "d"): 0.2}
     edges = spark.createDataFrame([(*e, s) for e, s in sims.items()], "u string, v string, sim double")
