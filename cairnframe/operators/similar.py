@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .blocks import block_pairs, common_items, met
 
 
@@ -116,12 +117,17 @@ def overlap_forms(a, b):
     return jaccard, jaccard * F.try_divide(large.cast("double"), small.cast("double")), F.transform(a, lambda x: F.array_contains(b, x).cast("int"))
 
 
+#: Rows of a table of labels that is broadcast, at most.
+BROADCAST_LABELS = 500_000
+
+
 def merge_identical(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges whose nodes of similar pairs (u, v; v is the one that goes) are replaced by the smallest node they are
     linked with; edges that become equal are one."""
     from .network import min_label_components
 
-    label = min_label_components(pairs)
-    at = lambda c, n: label.select(F.col("node").alias(c), F.col("component").alias(n))
+    label = min_label_components(stored(pairs.select("u", "v")))  # pairs are read twice
+    few = label.count() <= BROADCAST_LABELS
+    at = lambda c, n: (F.broadcast(label) if few else label).select(F.col("node").alias(c), F.col("component").alias(n))
     rows = edges.join(at("u", "_a"), "u", "left").join(at("v", "_b"), "v", "left")
     return rows.select(F.coalesce("_a", "u").alias("u"), F.coalesce("_b", "v").alias("v")).where("u <> v").distinct()

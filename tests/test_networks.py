@@ -62,6 +62,19 @@ def test_set_rows_are_dealt_once_and_not_written(spark, monkeypatch):
     assert got == want and want
 
 
+def test_pairs_to_merge_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    pairs = frame(spark, [("b", "a"), ("c", "b"), ("x", "y")]).mapInPandas(count, "u string, v string")
+    got = similar.merge_identical(frame(spark, [("c", "p"), ("a", "p"), ("y", "c"), ("b", "c"), ("p", "q")]), pairs)
+    assert {tuple(r) for r in got.collect()} == {("a", "p"), ("x", "a"), ("p", "q")} and seen.value == 3
+
+
 def test_isolated_pairs_get_a_further_link(spark):
     sims = {("a", "b"): 0.9, ("a", "c"): 0.3, ("b", "c"): 0.35, ("c", "d"): 0.8, ("c", "e"): 0.7, ("d", "e"): 0.75, ("a", "d"): 0.2}
     edges = spark.createDataFrame([(*e, s) for e, s in sims.items()], "u string, v string, sim double")
