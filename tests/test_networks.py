@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -244,6 +245,46 @@ def test_betweenness_by_paths(spark):
     assert got == pytest.approx({k: x / ((n - 1) * (n - 2)) for k, x in total.items()})
 
 
+def test_betweenness_of_many_sources_together(spark, monkeypatch):
+    rnd = random.Random(5)
+    path = [(f"p{k:02}", f"p{k + 1:02}") for k in range(30)]
+    star = [("hub", f"x{k}") for k in range(60)] + [(f"x{k}", "hub") for k in range(0, 60, 2)]
+    edges = graph(9, 25, 60) + path + star + [("loop", "loop"), ("n01", "n02"), ("n01", "n02")] + [(f"x{rnd.randrange(60)}", f"x{rnd.randrange(60)}") for _ in range(40)]
+    nodes = sorted({x for e in edges for x in e})
+    for directed in (True, False):
+        links = {*edges} | (set() if directed else {(v, u) for u, v in edges})
+        after = {n: [v for u, v in links if u == n] for n in nodes}
+        total = dict.fromkeys(nodes, 0.0)
+        for s in nodes:
+            far, ways, order = {s: 0}, {s: 1}, [s]
+            for x in order:
+                for y in after[x]:
+                    if y not in far:
+                        far[y], ways[y] = far[x] + 1, 0
+                        order.append(y)
+                    ways[y] += ways[x] * (far[y] == far[x] + 1)
+            share = dict.fromkeys(order, 0.0)
+            for x in order[:0:-1]:
+                share[x] = sum(ways[x] / ways[y] * (1 + share[y]) for y in after[x] if far[y] == far[x] + 1)
+                total[x] += share[x]
+        n = len(nodes)
+        for sources, held in ((network.SOURCES, network.HELD), (7, 100)):
+            monkeypatch.setattr(network, "SOURCES", sources)
+            monkeypatch.setattr(network._dependencies, "__defaults__", (held,))
+            rows = network.betweenness(frame(spark, edges), directed).collect()
+            assert {r["node"]: r["betweenness"] for r in rows} == pytest.approx({k: x / ((n - 1) * (n - 2)) for k, x in total.items()})
+            assert len(rows) == n
+
+
+def test_betweenness_of_a_dense_graph_takes_seconds(spark):
+    rnd = np.random.default_rng(3)
+    edges = np.unique(rnd.integers(0, 3000, (150_000, 2)), axis=0)
+    began = time.time()
+    rows = network.betweenness(spark.createDataFrame(edges.tolist(), "u int, v int")).collect()
+    assert len(rows) == 3000 and all(r["betweenness"] > 0 for r in rows)
+    assert time.time() - began < 45  # plain loops over 3000 * 150000 edges take minutes
+
+
 def test_trophic_levels_by_solving(spark):
     edges = graph(8, 8, 16)
     nodes = sorted({x for e in edges for x in e})
