@@ -123,3 +123,15 @@ def test_tokens_of_every_code_point():
     for k in range(0, len(points), 2000):
         texts = [t for c in points[k : k + 2000] for t in (c, f"x{c}y 1{c}2", f"a{c}'s")]
         assert [own.count(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_slices_give_free_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from cairnframe.llm import _kernel as K
+
+    said = []
+    monkeypatch.setattr(K, "give_back", lambda: said.append(len(said)))
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(x, pa.string())}) for x in ([], ["a b", None, "c" * 30])]
+    assert [r for b in K.slices(iter(batches), size=8) for r in b.column(0).to_pylist()] == ["a b", None, "c" * 30]
+    assert len(said) == 2
