@@ -276,6 +276,37 @@ def test_betweenness_of_many_sources_together(spark, monkeypatch):
             assert len(rows) == n
 
 
+def test_betweenness_by_every_kind_of_step(monkeypatch):
+    rng = np.random.default_rng(4)
+    shops = np.r_[np.c_[rng.integers(20, 320, 1500), rng.integers(0, 20, 1500)], np.c_[rng.integers(0, 20, 400), rng.integers(20, 320, 400)]]
+    path = np.r_[np.c_[np.arange(59), np.arange(1, 60)], rng.integers(0, 60, (20, 2))]
+    for edges in (shops, path, np.c_[np.minimum(rng.zipf(1.5, 300), 80) - 1, rng.integers(0, 80, 300)]):
+        edges = np.unique(edges, axis=0)
+        edges = edges[np.argsort(edges[:, 1], kind="stable")]
+        n = int(edges.max()) + 1
+        after = [edges[edges[:, 0] == x, 1].tolist() for x in range(n)]
+        total = np.zeros(n)
+        for s in range(n):
+            far, ways, order = {s: 0}, {s: 1}, [s]
+            for x in order:
+                for y in after[x]:
+                    if y not in far:
+                        far[y], ways[y] = far[x] + 1, 0
+                        order.append(y)
+                    ways[y] += ways[x] * (far[y] == far[x] + 1)
+            share = dict.fromkeys(order, 0.0)
+            for x in order[:0:-1]:
+                share[x] = sum(ways[x] / ways[y] * (1 + share[y]) for y in after[x] if far[y] == far[x] + 1)
+                total[x] += share[x]
+        links = network._Links(n, edges[:, 0], edges[:, 1])
+        for dear, pairs, long in ((1, 1 << 22, 64), (16, 1 << 22, 8), (16, 200, 64), (10**9, 0, 8)):
+            monkeypatch.setattr(network, "DEAR", dear)
+            monkeypatch.setattr(network, "PAIRS", pairs)
+            monkeypatch.setattr(network, "LONG", long)
+            got = sum(network._dependencies(links, np.arange(s, min(s + 64, n))) for s in range(0, n, 64))
+            assert got == pytest.approx(total)
+
+
 def test_betweenness_of_a_dense_graph_takes_seconds(spark):
     rnd = np.random.default_rng(3)
     edges = np.unique(rnd.integers(0, 3000, (150_000, 2)), axis=0)
