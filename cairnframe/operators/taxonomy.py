@@ -17,11 +17,12 @@ from .network import blocked_dot
 MAX_CATEGORIES = 20_000
 
 
-def top_categories(entities: DataFrame, key: str, vector: str, categories: DataFrame, name: str, category_vector: str, n: int = 5) -> DataFrame:
-    """id, category, sim, rank: the n categories with the largest dot product.  The taxonomy is read in pieces of
+def top_categories(entities: DataFrame, key: str, vector: str, categories: DataFrame, name: str, category_vector: str, n: int = 5, places: int | None = None, own: str | None = None) -> DataFrame:
+    """id, category, sim, rank: the n categories with the largest dot product, rounded if places are given; of an entity
+    as many as its column `own` says, n at most (n of each piece, where there are several).  The taxonomy is read in pieces of
     bounded size, each multiplied with blocks of entities; the pieces' best are ranked again.  Of equal vectors in a
     piece, the first n by name are enough."""
-    rows = entities.select(F.col(key).alias("id"), F.col(vector).alias("embedding"))
+    rows = entities.select(F.col(key).alias("id"), F.col(vector).alias("embedding"), *([F.col(own).alias("n")] if own else []))
     kind = rows.schema["id"].dataType.simpleString()
     out, piece = [], []
 
@@ -38,7 +39,7 @@ def top_categories(entities: DataFrame, key: str, vector: str, categories: DataF
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, matrix = send.value
-            yield from blocked_dot(batches, matrix, names, n)
+            yield from blocked_dot(batches, matrix, names, n, places)
 
         return rows.mapInPandas(run, f"id {kind}, category string, sim double, rank int")
 

@@ -316,6 +316,31 @@ def test_betweenness_of_a_dense_graph_takes_seconds(spark):
     assert time.time() - began < 45  # plain loops over 3000 * 150000 edges take minutes
 
 
+def test_embedding_network_thresholds_all_pairs(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    from cairnframe.operators import taxonomy
+    from cairnframe.plans import graphs
+
+    rnd = np.random.default_rng(8)
+    centers = rnd.normal(size=(3, 8))
+    vectors = np.concatenate([centers[[0] * 40 + [1] * 12 + [2] * 8] + 0.3 * rnd.normal(size=(60, 8)), np.repeat(centers[:1], 15, 0), [np.zeros(8)], -centers[:1]])
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(vectors)], "vec_id long, embedding array<float>")
+    own = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
+    sims = [(a, b, float(sum(x * y for x, y in zip(own[int(a)], own[int(b)], strict=True)))) for a, b in itertools.combinations(map(str, range(len(own))), 2)]
+    every = spark.createDataFrame(pd.DataFrame(sims, columns=["u", "v", "sim"])).coalesce(1).cache()
+    rows = lambda edges: sorted((r["u"], r["v"], round(r["sim"], 8)) for r in edges.collect())
+    for size, links in ((20_000, 1.0), (40, 6.0)):
+        monkeypatch.setattr(taxonomy, "MAX_CATEGORIES", size)
+        assert rows(network.embed_threshold_edges(df, "vec_id", "embedding", links)) == rows(network.threshold_edges(every, links))
+    kept = network.threshold_edges(every, 6.0).cache()
+    assert kept.groupBy("u").count().agg(F.max("count")).first()[0] > 6  # more than six partners of one node
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = network.louvain_clusters(network.undirected(kept))
+    assert sorted(graphs.embedding_network(spark, str(tmp_path)).collect()) == sorted(want.collect())
+
+
 def test_trophic_levels_by_solving(spark):
     edges = graph(8, 8, 16)
     nodes = sorted({x for e in edges for x in e})
