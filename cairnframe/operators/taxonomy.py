@@ -164,9 +164,16 @@ def unique_children(terms: DataFrame, term: str, parent: str) -> DataFrame:
     return out.withColumn(term, F.when(F.col("_t").isNotNull(), F.concat(F.col(term), F.lit(" ("), F.col(parent), F.lit(")"))).otherwise(F.col(term))).drop("_t")
 
 
-def over_mean(mapping: DataFrame, key: str, value: str, threshold: float) -> DataFrame:
-    """All rows of entities whose mean value passes the threshold."""
-    good = mapping.groupBy(key).agg(F.avg(value).alias("_m")).where(F.col("_m") > threshold).select(key)
+def over_mean(mapping: DataFrame, key: str, value: str, threshold: float, order: str | None = None) -> DataFrame:
+    """All rows of entities whose mean value passes the threshold.  A sum of doubles depends on the order of its terms, and
+    so does a mean that lies on the threshold; with `order`, an entity's values are held together and added in its order,
+    however rows are dealt."""
+    if order is None:
+        mean = F.avg(value)
+    else:
+        values = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value))))
+        mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x[value].cast("double")), F.size(values).cast("double"))
+    good = mapping.groupBy(key).agg(mean.alias("_m")).where(F.col("_m") > threshold).select(key)
     return mapping.join(good, key, "left_semi")
 
 

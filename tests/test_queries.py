@@ -2,8 +2,11 @@
 
 import glob
 import os
+import random
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__  # noqa: F401  registers all queries
@@ -36,3 +39,17 @@ def test_query(spark, duck, name):
     order = [want.columns.index(c) for c in sorted(want.columns)]
     assert sorted(want.columns) == sorted(df.columns)
     assert rows == sorted(repr([_plain(r[i]) for i in order]) for r in want.fetchall())
+
+
+def test_means_do_not_depend_on_how_rows_are_dealt(spark, tmp_path):
+    rnd = random.Random(2)
+    path = tmp_path / "lineitem.parquet"
+    path.mkdir()
+    for k in range(3):
+        rows = [(rnd.randrange(2000), rnd.randrange(50), rnd.choice([None, *(x / 100 for x in range(11))])) for _ in range(3000)]
+        pq.write_table(pa.table(dict(zip(("l_orderkey", "l_suppkey", "l_discount"), map(list, zip(*rows, strict=True)), strict=True))), path / f"{k}.parquet")
+    con = duckdb.connect()
+    con.sql("set threads = 1")
+    con.sql(f"create view lineitem as select * from '{path}/*.parquet'")
+    want = sorted(con.sql(ORACLE["threshold_by_mean"]).fetchall())
+    assert sorted(map(tuple, QUERIES["threshold_by_mean"](spark, str(tmp_path)).collect())) == want
